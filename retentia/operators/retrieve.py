@@ -150,3 +150,16 @@ def context_items(hits: DataFrame, group: str, k_max: int = 20) -> DataFrame:
 def with_context_text(df: DataFrame, items_col: str = "context_items") -> DataFrame:
     """The numbered context text (fixed sentence when there is no history)."""
     return df.withColumn("context_text", X.format_context(F.col(items_col)))
+
+
+def centroids(vectors: DataFrame, key: str = "customer_id", col: str = "embedding", out_col: str = "query_vec") -> DataFrame:
+    """Per-key unit-norm mean vector (a "what is this customer mostly about" query).
+
+    ``Summarizer.mean`` is a JVM aggregate over ``VectorUDT`` with map-side combine, so the
+    rows of a key are never gathered: each task folds its rows into one d-vector."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    v = vectors.select(key, array_to_vector(F.col(col)).alias("_v"))
+    m = v.groupBy(key).agg(Summarizer.mean(F.col("_v")).alias("_m"))
+    return m.select(key, V.l2_normalize(vector_to_array(F.col("_m"), "float64")).alias(out_col))
