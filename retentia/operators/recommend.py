@@ -170,19 +170,39 @@ def apply_judge(df: DataFrame, judge_fn: Callable | None = None, text_col: str =
 def guardrail_chain(
     df: DataFrame, text_col: str = "recommendation_text", context_col: str = "context_text", judge_fn: Callable | None = None
 ) -> DataFrame:
-    """Structural -> numeric -> judge, first failure wins.  The judge runs only on rows
-    still passing (an explicit ``where``), so a paid judge is never called for rows the
-    cheap checks already rejected."""
+    """Structural -> numeric -> judge, first failure wins.
+
+    With the built-in judge rule everything is one projection (one pass, codegen).  With
+    an external ``judge_fn`` the cheap checks are written to the shared folder first and
+    the judge runs only on the rows still passing (an explicit ``where``), so a paid judge
+    is never called for rows the cheap checks already rejected, and a retried task never
+    re-runs the cheap part's upstream."""
     x = df.withColumn("_s", structural_check(text_col)).withColumn("_n", numeric_check(text_col, context_col))
     cheap_ok = F.col("_s.passed") & F.col("_n.passed")
-    failed = x.where(~cheap_ok).withColumn(
-        "guardrail", F.when(~F.col("_s.passed"), F.col("_s")).otherwise(F.col("_n"))
-    ).withColumn("verdict", F.lit(None).cast("string"))
-    judged = apply_judge(x.where(cheap_ok), judge_fn, text_col, context_col).withColumn("_j", judge_check("verdict"))
-    judged = judged.withColumn(
-        "guardrail", F.when(F.col("_j.passed"), _result(F.lit(True), F.lit(S.ALL_PASSED_REASON))).otherwise(F.col("_j"))
-    ).drop("_j")
-    out = failed.unionByName(judged)
+    if judge_fn is None:
+        judged = x.withColumn("verdict", F.when(cheap_ok, default_verdict(text_col, context_col))).withColumn(
+            "_j", judge_check("verdict")
+        )
+        out = judged.withColumn(
+            "guardrail",
+            F.when(~F.col("_s.passed"), F.col("_s"))
+            .when(~F.col("_n.passed"), F.col("_n"))
+            .when(~F.col("_j.passed"), F.col("_j"))
+            .otherwise(_result(F.lit(True), F.lit(S.ALL_PASSED_REASON))),
+        ).drop("_j")
+    else:
+        spark = df.sparkSession
+        path = work_dir(spark, "guardrail-cheap")
+        x.write.parquet(path)
+        x = spark.read.parquet(path)
+        failed = x.where(~cheap_ok).withColumn(
+            "guardrail", F.when(~F.col("_s.passed"), F.col("_s")).otherwise(F.col("_n"))
+        ).withColumn("verdict", F.lit(None).cast("string"))
+        judged = apply_judge(x.where(cheap_ok), judge_fn, text_col, context_col).withColumn("_j", judge_check("verdict"))
+        judged = judged.withColumn(
+            "guardrail", F.when(F.col("_j.passed"), _result(F.lit(True), F.lit(S.ALL_PASSED_REASON))).otherwise(F.col("_j"))
+        ).drop("_j")
+        out = failed.unionByName(judged)
     return out.drop("_s", "_n").withColumn("passed_guardrails", F.col("guardrail.passed")).withColumn(
         "guardrail_reason", F.col("guardrail.reason")
     ).drop("guardrail")
