@@ -3,8 +3,8 @@ attempt selection, sorted head and array set difference (E1-E6, A6).
 
 The one piece of real design is ``running_totals``: an exact cumulative sum in a
 global order that never moves all rows into one task.  Rows are bucketed by value
-ranges (bucket edges from ``percentile_approx``, so the edge table is
-``n_buckets`` numbers however large the input is), each bucket is summed, the
+ranges (bucket edges from ``percentile_approx``: ``n_buckets`` numbers however large
+the input is; bucket ids by binary search), each bucket is summed, the
 bucket sums are prefix-summed (``n_buckets`` rows, broadcast), and a window
 *partitioned by bucket* finishes the job inside each bucket.  Bucket ids are a
 deterministic function of the value, so a lost executor recomputes the same
@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 65536
 
 
 def _n_buckets(df: DataFrame, n_buckets: int | None) -> int:
@@ -27,12 +27,27 @@ def _n_buckets(df: DataFrame, n_buckets: int | None) -> int:
     return max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_BUCKETS))
 
 
-def _bucket_edges(df: DataFrame, order_col: str, n_buckets: int, groups: Sequence[str]) -> DataFrame:
+def bucket_edges(df: DataFrame, order_col: str, n_buckets: int) -> list[float]:
+    """Approximate ``n_buckets``-quantiles of ``order_col`` over all rows (one aggregate;
+    at most ``n_buckets - 1`` numbers reach the driver, whatever the input size)."""
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    agg = F.percentile_approx(F.col(order_col).cast("double"), probs, 10000) if probs else F.array().cast("array<double>")
-    if groups:
-        return df.groupBy(*groups).agg(F.array_distinct(agg).alias("_edges"))
-    return df.agg(F.array_distinct(agg).alias("_edges"))
+    if not probs:
+        return []
+    accuracy = max(10000, 4 * n_buckets)  # rank error ~ n / accuracy: buckets stay balanced
+    row = df.agg(F.percentile_approx(F.col(order_col).cast("double"), probs, accuracy).alias("e")).first()
+    edges = row["e"] or []
+    return sorted({float(e) for e in edges if e is not None and e == e and abs(e) != float("inf")})
+
+
+def bucketize(df: DataFrame, order_col: str, edges: Sequence[float], out_col: str = "_bucket") -> DataFrame:
+    """Bucket id = position of the value among the edges, by binary search in the JVM
+    (MLlib ``Bucketizer``); monotone in the value, so every bucket is a value range."""
+    from pyspark.ml.feature import Bucketizer
+
+    splits = [float("-inf"), *edges, float("inf")]
+    x = df.withColumn("_ord", F.col(order_col).cast("double"))
+    b = Bucketizer(splits=splits, inputCol="_ord", outputCol=out_col, handleInvalid="keep")
+    return b.transform(x).withColumn(out_col, F.col(out_col).cast("int")).drop("_ord")
 
 
 def running_totals(
@@ -48,23 +63,14 @@ def running_totals(
     ``order_col`` (within ``groups``).  ``order_col`` must be unique per group (aggregate
     ties first): the totals then are independent of how ties would be broken.
 
-    ``groups`` must be low-cardinality (a label, a column name); for many groups a
-    plain ``Window.partitionBy(groups)`` is already parallel and should be used instead.
-    """
+    Buckets are value ranges of ``order_col`` over all rows (global quantiles), so each
+    bucket holds about ``n / n_buckets`` rows whatever the groups are; ``groups`` only
+    enter the partitioning of the final window and the offset table, which has at most
+    ``n_groups * n_buckets`` rows (``groups`` is meant for a few labels or columns)."""
     groups = list(groups)
     nb = _n_buckets(df, n_buckets)
-    edges = _bucket_edges(df, order_col, nb, groups)
-    # the edge table has one row per group and at most nb values: bounded, safe to broadcast
-    if groups:
-        x = df.join(F.broadcast(edges), groups, "inner")
-    else:
-        edge_arr = edges.first()["_edges"] or []
-        x = df.withColumn("_edges", F.array(*[F.lit(float(e)) for e in edge_arr]).cast("array<double>"))
-    v = F.col(order_col).cast("double")
-    # bucket = number of edges strictly below the value (ascending buckets)
-    b = F.aggregate("_edges", F.lit(0), lambda acc, e: acc + F.when(e < v, 1).otherwise(0))
-    x = x.withColumn("_bucket", b).drop("_edges")
-    # per-bucket sums -> prefix over buckets (n_buckets rows per group)
+    x = bucketize(df, order_col, bucket_edges(df, order_col, nb))
+    # per-(group, bucket) sums -> prefix over buckets: bounded table, broadcast
     sums = x.groupBy(*groups, "_bucket").agg(*[F.sum(c).alias(f"_bs_{c}") for c in sum_cols])
     bw = Window.partitionBy(*groups).orderBy(F.col("_bucket").desc() if descending else F.col("_bucket").asc())
     offsets = sums.select(

@@ -83,7 +83,7 @@ def bulk_load_counts(spark, sf_dir):
 )
 def interaction_metadata(spark, sf_dir):
     cols = ["interaction_id", "customer_id", "timestamp", "sentiment", "interaction_type", "text"]
-    path = IO.write_clustered(P.interactions_v(spark, sf_dir).select(*cols), work_dir(spark, "interaction-metadata"), "customer_id")
+    path = IO.write_clustered(P.interactions_v(spark, sf_dir).select(*cols), work_dir(spark, "interaction-metadata"), "customer_id", tiebreak="interaction_id")
     return spark.read.parquet(path)
 
 

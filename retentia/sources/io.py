@@ -64,11 +64,14 @@ def append_new(spark: SparkSession, df: DataFrame, path: str, key: str, fmt: str
     return n
 
 
-def write_clustered(df: DataFrame, path: str, key: str, n_files: int | None = None) -> str:
-    """Side table laid out by ``key`` (hash-partitioned, sorted inside files), so
-    row-group statistics prune per-key reads."""
+def write_clustered(df: DataFrame, path: str, key: str, n_files: int | None = None, tiebreak: str | None = None) -> str:
+    """Side table laid out by ``key`` (range-partitioned on ``key`` then ``tiebreak``,
+    sorted inside files), so row-group statistics prune per-key reads.  The second range
+    column splits a hot key over several files instead of one task writing a third of the
+    table."""
     parts = n_files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(parts, key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+    cols = [key] + ([tiebreak] if tiebreak else [])
+    df.repartitionByRange(parts, *cols).sortWithinPartitions(*cols).write.mode("overwrite").parquet(path)
     return path
 
 
