@@ -50,20 +50,37 @@ def append_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 def append_new(spark: SparkSession, df: DataFrame, path: str, key: str, fmt: str = "parquet") -> int:
     """A3 idempotent variant: append only rows whose key is not in the table yet
-    (``left_anti`` on the key); returns the number of new rows."""
+    (``left_anti`` on the key); returns the number of new rows.
+
+    The new rows are staged in the shared folder first, so the append copies stored rows:
+    a task retried during the append never re-evaluates the anti-join against a table
+    that is being written."""
+    from retentia.session import work_dir
+
     try:
         existing = spark.read.format(fmt).load(path).select(key)
         new = df.join(existing, key, "left_anti")
     except Exception:  # table folder does not exist yet
         new = df
-    new = new.cache()
-    n = new.count()
+    stage = work_dir(spark, "append-stage")
+    new.write.format(fmt).save(stage)
+    staged = spark.read.format(fmt).load(stage)
+    n = staged.count()
     if n:
-        new.write.mode("append").format(fmt).save(path)
-    new.unpersist()
+        staged.write.mode("append").format(fmt).save(path)
     return n
 
 
+def append_jdbc(df: DataFrame, url: str, table: str, properties: dict | None = None, batchsize: int = 5000) -> None:
+    """A3 into a database: multi-row inserts of ``batchsize`` rows (5,000 in the original)
+    from every partition in parallel.  Not exercised by the tests: there is no database
+    in the test environment."""
+    w = df.write.mode("append").format("jdbc").option("url", url).option("dbtable", table).option("batchsize", batchsize)
+    for k, v in (properties or {}).items():
+        w = w.option(k, v)
+    w.save()
+
+
 def write_clustered(df: DataFrame, path: str, key: str, n_files: int | None = None, tiebreak: str | None = None) -> str:
     """Side table laid out by ``key`` (range-partitioned on ``key`` then ``tiebreak``,
     sorted inside files), so row-group statistics prune per-key reads.  The second range
