@@ -92,16 +92,36 @@ def score_requests(requests: DataFrame, scored: DataFrame, model_version: str) -
     )
 
 
+def utc_instant(ntz: F.Column) -> F.Column:
+    """The instant of a zone-less timestamp read as UTC wall clock, whatever the session
+    time zone (a plain cast would use the session zone and shift in DST gaps)."""
+    return F.make_timestamp(
+        F.year(ntz), F.month(ntz), F.dayofmonth(ntz), F.hour(ntz), F.minute(ntz), F.extract(F.lit("SECOND"), ntz), F.lit("UTC")
+    )
+
+
 def requests_per_minute(events: DataFrame, ts: str = "ts", failed: F.Column | None = None) -> DataFrame:
     """S3 transformation: per one-minute tumbling window, requests, failures and failure
-    share; rows older than the watermark (10 minutes behind the newest seen) are dropped."""
+    share; rows older than the watermark (10 minutes behind the newest seen) are dropped.
+
+    ``ts`` may be zone-less (``timestamp_ntz``, as in the test tables): event time then is
+    its UTC reading, and ``minute`` is reported back as a zone-less timestamp."""
     failed = failed if failed is not None else F.lit(False)
-    x = events.select(F.col(ts).cast("timestamp").alias("_t"), failed.alias("_failed"))
+    col = F.col(ts)
+    is_ntz = dict(events.dtypes).get(ts) == "timestamp_ntz"
+    x = events.select(
+        (utc_instant(col) if is_ntz else col).alias("_t"),
+        # minute of a zone-less value, kept zone-less (date_trunc would go through the session zone)
+        (F.make_timestamp_ntz(F.year(col), F.month(col), F.dayofmonth(col), F.hour(col), F.minute(col), F.lit(0))
+         if is_ntz else F.lit(None)).alias("_m"),
+        failed.alias("_failed"),
+    )
     agg = x.withWatermark("_t", WATERMARK).groupBy(F.window("_t", WINDOW)).agg(
-        F.count(F.lit(1)).alias("requests"), F.count_if("_failed").alias("failures")
+        F.count(F.lit(1)).alias("requests"), F.count_if("_failed").alias("failures"), F.min("_m").alias("_m")
     )
+    minute = F.col("_m") if is_ntz else F.col("window.start")
     return agg.select(
-        F.col("window.start").cast("timestamp_ntz").alias("minute"),
+        minute.alias("minute"),
         "requests",
         "failures",
         (F.col("failures") / F.col("requests")).alias("failure_share"),

@@ -42,3 +42,21 @@ def test_watermark_drops_late_rows(spark):
     assert (t0 - dt.timedelta(hours=1)) not in out  # 1 hour late: dropped
     assert out[t0 + dt.timedelta(minutes=25)] == (2, 1)  # within the watermark: counted
     assert sum(v[0] for v in out.values()) == 33
+
+
+def test_minutes_do_not_depend_on_session_zone(spark):
+    folder = work_dir(spark, "dst")
+    # 02:30 on 2024-03-10 does not exist in America/Los_Angeles
+    rows = [(dt.datetime(2024, 3, 10, 2, 30, 15), "view"), (dt.datetime(2024, 3, 10, 2, 31), "error")]
+    spark.createDataFrame(rows, "ts timestamp_ntz, event_type string").write.parquet(folder)
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        ev = J.file_stream(spark, folder)
+        agg = J.requests_per_minute(ev, "ts", F.col("event_type") == "error")
+        sink = work_dir(spark, "dst-sink")
+        J.run_available_now(agg, J.batch_sink(sink), work_dir(spark, "dst-ckpt"), output_mode="update")
+        got = sorted((r["minute"], r["requests"]) for r in J.latest_per_window(J.read_sink(spark, sink)).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == [(dt.datetime(2024, 3, 10, 2, 30), 1), (dt.datetime(2024, 3, 10, 2, 31), 1)]
