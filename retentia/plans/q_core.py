@@ -340,7 +340,7 @@ def _describe_cat_sql() -> str:
     parts = [f"""SELECT '{c}' AS "column", {c} AS value, count(*) AS n FROM customers_v WHERE {c} IS NOT NULL GROUP BY {c}""" for c in S.CATEGORICAL_COLUMNS]
     return q(
         """
-SELECT "column", sum(n) AS count, count(*) AS "unique",
+SELECT "column", CAST(sum(n) AS BIGINT) AS count, count(*) AS "unique",
   arg_min(value, (-n, value)) AS top, max(n) AS freq
 FROM per_value GROUP BY "column" """,
         ("per_value", "\nUNION ALL\n".join(parts)),

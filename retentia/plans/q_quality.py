@@ -102,10 +102,10 @@ def surrogate_keys(spark, sf_dir):
     "A7",
     q(
         """
-SELECT table_name, sum(n) AS n_rows, coalesce(sum(n) FILTER (WHERE k IS NULL), 0) AS n_null_keys,
+SELECT table_name, CAST(sum(n) AS BIGINT) AS n_rows, CAST(coalesce(sum(n) FILTER (WHERE k IS NULL), 0) AS BIGINT) AS n_null_keys,
   count(*) FILTER (WHERE k IS NOT NULL) AS n_distinct_keys,
   count(*) FILTER (WHERE k IS NOT NULL AND n > 1) AS n_duplicate_keys,
-  coalesce(sum(n) FILTER (WHERE k IS NOT NULL AND n > 1), 0) AS n_rows_with_duplicate_key
+  CAST(coalesce(sum(n) FILTER (WHERE k IS NOT NULL AND n > 1), 0) AS BIGINT) AS n_rows_with_duplicate_key
 FROM (
   SELECT 'customers' AS table_name, customer_id AS k, count(*) AS n FROM customers_v GROUP BY customer_id
   UNION ALL SELECT 'interactions', interaction_id, count(*) FROM interactions_v GROUP BY interaction_id
