@@ -281,19 +281,70 @@ def model_metadata(spark, sf_dir):
     return meta.select(*[F.col(k).cast("string").alias(k) for k in keys])
 
 
-@query("table_schemas", "A5")
+TABLE_PREFIX = "retentia_"
+
+
+def _declared():
+    return {k: IO.column_ddl(v, S.VARCHAR_LIMITS.get(k)) for k, v in S.TABLES.items()}
+
+
+def _table_schemas_sql() -> str:
+    from retentia.plans.q_quality import PREDICTIONS_SQL
+    from retentia.plans.q_recommend import ATTEMPTS_SQL, JOB_CTES, JOB_SQL
+
+    source = {"customers": "customers_v", "interactions": "interactions_v", "predictions": "predictions", "recommendations": "job"}
+    parts = []
+    for t, cols in _declared().items():
+        for i, (c, typ, nullable) in enumerate(cols):
+            parts.append(
+                f"SELECT '{TABLE_PREFIX}{t}' AS table_name, {i} AS position, '{c}' AS column_name, '{typ}' AS data_type, "
+                f"{str(nullable).lower()} AS nullable, (SELECT count(*) FROM {source[t]}) AS n_rows, "
+                f'(SELECT count(*) FILTER (WHERE "{c}" IS NULL) FROM {source[t]}) AS n_nulls'
+            )
+    body = "SELECT table_name, CAST(position AS INTEGER) AS position, column_name, data_type, nullable, n_rows, n_nulls FROM (\n"
+    body += "\nUNION ALL\n".join(parts) + ")"
+    ctes = [c for c in JOB_CTES if c[0] != "predictions"]
+    return q(body, PREDICTIONS_SQL, *ctes, *ATTEMPTS_SQL, ("job", JOB_SQL))
+
+
+@query("table_schemas", "A5 A9 A10 A11", _table_schemas_sql())
 def table_schemas(spark, sf_dir):
-    """CREATE TABLE IF NOT EXISTS for the four declared tables, twice (safe to repeat), then
-    the catalog's view of their columns."""
+    """A5: CREATE TABLE IF NOT EXISTS for the four declared tables (twice: safe to repeat),
+    then INSERT OVERWRITE of the engine's own rows (customers, interactions, the prediction
+    log, the recommendation job's log) through the declared schemas, which enforces the
+    varchar limits; reported per column with the declared type, row count and nulls found
+    (NOT NULL is declared but not enforced by file-based tables, so it is counted here)."""
+    from retentia.plans.q_quality import predictions_log
+    from retentia.plans.q_recommend import recommend_job
+
     base = work_dir(spark, "tables")
-    tables = {f"retentia_{k}": v for k, v in S.TABLES.items()}
-    IO.create_tables(spark, base, tables)
-    IO.create_tables(spark, base, tables)
-    rows = []
-    for name in tables:
-        for i, f in enumerate(spark.table(name).schema.fields):
-            rows.append((name, i, f.name, f.dataType.simpleString(), bool(f.nullable)))
-    return spark.createDataFrame(rows, "table_name string, position int, column_name string, data_type string, nullable boolean")
+    names = {k: f"{TABLE_PREFIX}{k}" for k in S.TABLES}
+    tables = {names[k]: v for k, v in S.TABLES.items()}
+    limits = {names[k]: v for k, v in S.VARCHAR_LIMITS.items()}
+    IO.create_tables(spark, base, tables, limits)
+    IO.create_tables(spark, base, tables, limits)
+    data = {
+        "customers": P.customers_v(spark, sf_dir),
+        "interactions": P.interactions_v(spark, sf_dir),
+        "predictions": predictions_log(spark, sf_dir),
+        "recommendations": recommend_job(spark, sf_dir),
+    }
+    out = None
+    for k, cols in _declared().items():
+        names_k = [c for c, _, _ in cols]
+        data[k].select(*names_k).write.insertInto(names[k], overwrite=True)
+        t = spark.table(names[k])
+        stats = t.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in names_k])
+        cells = F.array(*[
+            F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"), F.lit(typ).alias("data_type"),
+                     F.lit(nullable).alias("nullable"), F.col(c).alias("n_nulls"))
+            for i, (c, typ, nullable) in enumerate(cols)
+        ])
+        rows = stats.select(F.lit(names[k]).alias("table_name"), F.col("_n").alias("n_rows"), F.explode(cells).alias("_c")).select(
+            "table_name", "_c.position", "_c.column_name", "_c.data_type", "_c.nullable", "n_rows", "_c.n_nulls"
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def metadata_json(t: dict) -> str:

@@ -92,12 +92,26 @@ def write_clustered(df: DataFrame, path: str, key: str, n_files: int | None = No
     return path
 
 
-def create_tables(spark: SparkSession, base: str, tables: dict[str, T.StructType]) -> list[str]:
-    """A5: ``CREATE TABLE IF NOT EXISTS ... USING parquet`` from the declared schemas;
+def column_ddl(schema: T.StructType, varchar_limits: dict[str, int] | None = None) -> list[tuple[str, str, bool]]:
+    """(name, declared SQL type, nullable) per column; strings with a limit become varchar(n)."""
+    limits = varchar_limits or {}
+    out = []
+    for f in schema.fields:
+        typ = f"varchar({limits[f.name]})" if f.name in limits else f.dataType.simpleString()
+        out.append((f.name, typ, bool(f.nullable)))
+    return out
+
+
+def create_tables(
+    spark: SparkSession, base: str, tables: dict[str, T.StructType], varchar_limits: dict[str, dict[str, int]] | None = None
+) -> list[str]:
+    """A5: ``CREATE TABLE IF NOT EXISTS ... USING parquet`` from the declared schemas, with
+    ``varchar(n)`` where a length is declared (Spark enforces it on insert) and ``NOT NULL``;
     safe to repeat."""
     made = []
     for name, schema in tables.items():
-        cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}{'' if f.nullable else ' NOT NULL'}" for f in schema.fields)
+        ddl = column_ddl(schema, (varchar_limits or {}).get(name))
+        cols = ", ".join(f"`{c}` {t}{'' if n else ' NOT NULL'}" for c, t, n in ddl)
         spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({cols}) USING parquet LOCATION '{base}/{name}'")
         made.append(name)
     return made
