@@ -108,3 +108,11 @@ def date_from_tenure(asof, months) -> Column:
 def tenure_from_date(asof, date_col) -> Column:
     asof_c = F.to_date(F.lit(asof)) if isinstance(asof, str) else asof
     return F.floor(F.datediff(asof_c, _c(date_col)) / F.lit(30.4)).cast("int")
+
+
+def created_at(at: str | None = None) -> Column:
+    """the log timestamp, zone-less in UTC: the given literal (tests, replays) or the
+    query's current time converted from the session zone to UTC."""
+    if at is not None:
+        return F.lit(at).cast("timestamp_ntz")
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.localtimestamp())

@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from retentia import schemas as S
+from retentia.functions import numeric as N
 from retentia.operators import model as ML
 from retentia.operators.ranking import dense_ids
 from retentia.plans.registry import query, r6
@@ -269,7 +270,7 @@ def score_customers(spark, sf_dir):
     return s.select(
         "prediction_id", "customer_id", r6("churn_probability").alias("churn_probability"), "predicted_label",
         "threshold_used", "model_version",
-        F.lit(P.FIXED_CREATED_AT).cast("timestamp_ntz").alias("created_at"),
+        N.created_at(P.FIXED_CREATED_AT).alias("created_at"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from retentia import schemas as S
+from retentia.functions import numeric as N
 from retentia.operators import quality as Q
 from retentia.operators.ranking import dense_ids
 from retentia.plans.registry import query, r6
@@ -32,7 +33,7 @@ def predictions_log(spark, sf_dir):
         "predicted_label",
         "threshold_used",
         F.lit(PROXY_MODEL_VERSION).alias("model_version"),
-        F.lit(P.FIXED_CREATED_AT).cast("timestamp_ntz").alias("created_at"),
+        N.created_at(P.FIXED_CREATED_AT).alias("created_at"),
     )
 
 

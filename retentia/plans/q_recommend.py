@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from retentia import schemas as S
+from retentia.functions import numeric as N
 from retentia.functions import text as X
 from retentia.operators import recommend as RC
 from retentia.operators.ranking import dense_ids
@@ -248,7 +249,7 @@ def recommend_job(spark, sf_dir):
         "passed_guardrails",
         "guardrail_reason",
         F.lit(RC.PROVIDER).alias("llm_provider"),
-        F.lit(P.FIXED_CREATED_AT).cast("timestamp_ntz").alias("created_at"),
+        N.created_at(P.FIXED_CREATED_AT).alias("created_at"),
         F.col("attempt").cast("int").alias("attempt"),
     )
 

@@ -114,7 +114,13 @@ FROM vectors_v GROUP BY customer_id"""
     ),
 )
 def vector_table_stats(spark, sf_dir):
-    s = R.vector_table_stats(P.vectors_v(spark, sf_dir))
+    """The vector table is written clustered by customer (range-partitioned, sorted in
+    files) to the shared folder, then profiled from the stored table."""
+    from retentia.session import work_dir
+    from retentia.sources import io as IO
+
+    path = IO.write_clustered(P.vectors_v(spark, sf_dir), work_dir(spark, "vector-table"), "customer_id", tiebreak="interaction_id")
+    s = R.vector_table_stats(spark.read.parquet(path))
     return s.select("customer_id", "n_vectors", "min_dim", "max_dim", r6("mean_norm").alias("mean_norm"))
 
 
