@@ -179,7 +179,7 @@ def param_search(
     draws: list[dict],
     label: str = S.LABEL_COLUMN,
     fold_col: str = "fold",
-    parallelism: int = 2,
+    parallelism: int = 4,
 ):
     """The drawn parameter maps x stratified folds, scored by average precision; the
     best map is refit on all training rows.  Returns (best PipelineModel, per-map table)."""
