@@ -86,6 +86,8 @@ def generate(df: DataFrame, attempt: int, generate_fn: Callable | None = None, o
     attempt: int) -> pandas.Series`` runs under ``mapInPandas``; default is the template."""
     if generate_fn is None:
         return df.withColumn(out_col, template_text(attempt))
+    if "user_prompt" not in df.columns:
+        df = build_prompts(df)
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType(), True)])
 
     def run(batches):

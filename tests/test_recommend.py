@@ -100,3 +100,22 @@ def test_generate_fn_hook_runs_in_arrow_batches(spark):
     df = RC.build_prompts(spark.createDataFrame([(1, "ctx")], "prediction_id int, context_text string"))
     out = RC.generate(df, 1, generate_fn=gen).first()
     assert out["recommendation_text"].startswith("Attempt 1")
+
+
+def test_retry_with_external_generator_and_judge(spark):
+    import pandas as pd
+
+    def gen(system, prompts, attempt):
+        text = "Offer a credit of $999 now." if attempt == 1 else "Have a manager call the customer back."
+        return pd.Series([text] * len(prompts))
+
+    def judge(prompts):
+        return pd.Series(["GROUNDED\nfine"] * len(prompts))
+
+    base = spark.createDataFrame([(1, 5, "1. [error, negative] error charge of $3")], "prediction_id bigint, customer_id bigint, context_text string")
+    attempts = RC.run_attempts(spark, base, generate_fn=gen, judge_fn=judge)
+    rows = {r["attempt"]: r for r in attempts.collect()}
+    assert not rows[1]["passed_guardrails"] and rows[1]["guardrail_reason"].startswith("Recommendation mentions amount")
+    assert rows[2]["passed_guardrails"]
+    final = RC.final_attempt(attempts).first()
+    assert final["attempt"] == 2 and final["guardrail_reason"] == f"(attempt 2/{S.MAX_ATTEMPTS}) {S.ALL_PASSED_REASON}"
