@@ -116,6 +116,22 @@ def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return basic.join(q, "column").select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
+def describe_dates(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """D7 (date part): count, min, max and the mean and quartiles (linear) as days since
+    1970-01-01; dates get no std, as in the original's describe."""
+    long = df.select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.unix_date(F.col(c)).cast("double").alias("value")) for c in cols])).alias("_kv")
+    ).select("_kv.column", "_kv.value")
+    basic = long.groupBy("column").agg(
+        F.count("value").alias("count"),
+        F.avg("value").alias("mean_days"),
+        F.date_from_unix_date(F.min("value").cast("int")).alias("min"),
+        F.date_from_unix_date(F.max("value").cast("int")).alias("max"),
+    )
+    q = exact_quantiles(long, "column", "value", {"q25_days": 0.25, "q50_days": 0.5, "q75_days": 0.75})
+    return basic.join(q, "column").select("column", "count", "mean_days", "min", "q25_days", "q50_days", "q75_days", "max")
+
+
 def describe_categorical(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """D7 (text part): count, unique, top (most frequent; smallest value on ties), freq."""
     long = _long(df, cols, "string").where(F.col("value").isNotNull())

@@ -336,6 +336,23 @@ def describe_numeric(spark, sf_dir):
     return d.select("column", "count", *[r6(c).alias(c) for c in ["mean", "std", "min", "q25", "q50", "q75", "max"]])
 
 
+@query(
+    "describe_dates",
+    "D7",
+    q(
+        """SELECT 'signup_date' AS "column", count(signup_date) AS count,
+  round(avg(CAST(date_diff('day', DATE '1970-01-01', signup_date) AS DOUBLE)), 6) AS mean_days, min(signup_date) AS min,
+  round(quantile_cont(CAST(date_diff('day', DATE '1970-01-01', signup_date) AS DOUBLE), 0.25), 6) AS q25_days,
+  round(quantile_cont(CAST(date_diff('day', DATE '1970-01-01', signup_date) AS DOUBLE), 0.5), 6) AS q50_days,
+  round(quantile_cont(CAST(date_diff('day', DATE '1970-01-01', signup_date) AS DOUBLE), 0.75), 6) AS q75_days,
+  max(signup_date) AS max FROM customers_v"""
+    ),
+)
+def describe_dates(spark, sf_dir):
+    d = PR.describe_dates(P.customers_v(spark, sf_dir), ["signup_date"])
+    return d.select("column", "count", r6("mean_days").alias("mean_days"), "min", *[r6(c).alias(c) for c in ["q25_days", "q50_days", "q75_days"]], "max")
+
+
 def _describe_cat_sql() -> str:
     parts = [f"""SELECT '{c}' AS "column", {c} AS value, count(*) AS n FROM customers_v WHERE {c} IS NOT NULL GROUP BY {c}""" for c in S.CATEGORICAL_COLUMNS]
     return q(
