@@ -35,3 +35,13 @@ def test_a_few_queries_on_smallest_scale(spark):
     qs = E.queries()
     for name in ["churn_rate", "pr_curve", "scoped_search", "guardrail_chain"]:
         assert qs[name](spark, SF001).count() > 0
+
+
+def test_stream_scoring_equals_batch_log(spark):
+    """SURVEY §5.3: a customer scored through the stream gets the same probability and label
+    as in the batch prediction log."""
+    qs = E.queries()
+    stream = qs["stream_score"](spark, SF001).where("status = 'scored'").select("customer_id", "churn_probability", "predicted_label").distinct()
+    batch = qs["prediction_log"](spark, SF001).select("customer_id", "churn_probability", "predicted_label")
+    assert stream.count() > 0
+    assert stream.exceptAll(batch).count() == 0
