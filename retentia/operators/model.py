@@ -164,10 +164,14 @@ class AveragePrecisionEvaluator(Evaluator):
 
     def _evaluate(self, dataset: DataFrame) -> float:
         lab = self.getOrDefault(self.labelCol)
-        scored = positive_proba(dataset, self.getOrDefault(self.probabilityCol)).select(
-            F.col(lab).cast("int").alias("y"), "y_proba"
+        # the curve reads the scores three times (totals, bucket edges, sums): score once
+        scored = persist(
+            positive_proba(dataset, self.getOrDefault(self.probabilityCol)).select(F.col(lab).cast("int").alias("y"), "y_proba")
         )
-        v = M.average_precision(M.pr_curve(scored)).first()[0]
+        try:
+            v = M.average_precision(M.pr_curve(scored)).first()[0]
+        finally:
+            scored.unpersist()
         return float(v or 0.0)
 
     def isLargerBetter(self) -> bool:

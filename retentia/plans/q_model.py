@@ -221,7 +221,9 @@ def train_gbt(spark, sf_dir):
     te = data.where(F.col("is_test"))
     model = ML.fit_pipeline(tr, LABEL, maxIter=CHECK_MAX_TREES, maxDepth=3)
     g = model.stages[-1]
-    m = ML.evaluation_rows(ML.positive_proba(model.transform(te)), S.DEFAULT_THRESHOLD, LABEL)
+    scored = ML.persist(ML.positive_proba(model.transform(te)))
+    m = ML.evaluation_rows(scored, S.DEFAULT_THRESHOLD, LABEL)
+    scored.unpersist()
     row = (int(g.getNumTrees), int(g.totalNumNodes), int(g.numFeatures), float(m["roc_auc"] or 0.0))
     return spark.createDataFrame([row], "n_trees int, total_nodes int, n_features int, test_roc_auc double")
 
