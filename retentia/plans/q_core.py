@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from retentia import schemas as S
-from retentia.functions import numeric as N
 from retentia.operators import derive as D
 from retentia.operators import profile as PR
 from retentia.operators import retrieve as R

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from retentia import schemas as S
 from retentia.functions import numeric as N
-from retentia.functions import text as X
 from retentia.operators import recommend as RC
 from retentia.operators.ranking import dense_ids
 from retentia.plans.q_quality import PREDICTIONS_SQL, predictions_log

@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from retentia import schemas as S
-from retentia.functions import text as X
 from retentia.functions import vectors as V
 from retentia.operators import quality as Q
 from retentia.operators import retrieve as R
