@@ -100,3 +100,21 @@ def test_context_items_ordered(spark):
     )
     out = R.with_context_text(R.context_items(hits, "customer_id")).first()["context_text"]
     assert out == "1. [billing_issue, neutral] a\n2. [complaint, negative] b"
+
+
+def test_batched_dot_matches_hof(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=16)], [float(x) for x in rng.normal(size=16)]) for i in range(300)]
+    rows.append((300, None, [1.0] * 16))
+    df = spark.createDataFrame(rows, "k int, a array<double>, b array<double>")
+    got = {r["k"]: (r["x"], r["y"]) for r in df.select("k", V.dot("a", "b").alias("x"), V.dot_batched("a", "b").alias("y")).collect()}
+    assert all(abs(x - y) < 1e-9 for k, (x, y) in got.items() if k != 300)
+    assert got[300][1] is None
+
+
+def test_search_one_batched_equals_default(spark):
+    cands, rows = _cands(spark)
+    q = [0.5] * 8
+    a = {(r["customer_id"], r["interaction_id"]) for r in R.search_one(cands, q, 3).collect()}
+    b = {(r["customer_id"], r["interaction_id"]) for r in R.search_one(cands, q, 3, batched=True).collect()}
+    assert a == b and len(a) == 3 + 3 + 1
