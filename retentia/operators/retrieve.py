@@ -35,12 +35,13 @@ def embed_text(
     method: str = "keyword",
     embed_fn: Callable | None = None,
     dim: int = 256,
+    batch_size: int = 256,
 ) -> DataFrame:
     """Text -> vector column.
 
     - ``embed_fn``: a model hook ``f(pandas.Series[str]) -> 2-D float array``, run under
-      ``mapInPandas`` so each Python worker loads the model once and sees Arrow batches
-      (``spark.sql.execution.arrow.maxRecordsPerBatch`` rows, 256 in the original).
+      ``mapInPandas`` so each Python worker loads the model once and sees Arrow batches;
+      the model itself gets ``batch_size`` texts per call (256 in the original).
     - ``method="keyword"``: whole-word counts over a fixed vocabulary (JVM built-ins;
       its cosine is reproducible in SQL).
     - ``method="hashing"``: tokenizer + feature hashing + L2 normaliser (MLlib, JVM).
@@ -52,8 +53,9 @@ def embed_text(
             import numpy as np
 
             for pdf in batches:
-                mat = np.asarray(embed_fn(pdf[text_col].fillna("")), dtype="float32")
-                pdf[out_col] = list(mat)
+                texts = pdf[text_col].fillna("")
+                parts = [np.asarray(embed_fn(texts.iloc[i : i + batch_size]), dtype="float32") for i in range(0, len(texts), batch_size)]
+                pdf[out_col] = list(np.concatenate(parts)) if parts else []
                 yield pdf
 
         return df.mapInPandas(run, schema)

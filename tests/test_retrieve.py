@@ -77,11 +77,17 @@ def test_embed_hooks(spark):
     hs = R.embed_text(df, method="hashing", dim=32).where("k = 1").first()["embedding"]
     assert abs(float(np.linalg.norm(hs)) - 1.0) < 1e-6
 
+    sizes = []
+
     def fn(texts):
+        sizes.append(len(texts))
         return np.stack([np.full(4, len(t), dtype="float32") for t in texts])
 
     out = {r["k"]: r["embedding"] for r in R.embed_text(df, embed_fn=fn).collect()}
     assert out[1] == [20.0] * 4 and out[2] == [0.0] * 4
+    many = spark.createDataFrame([(i, "x" * (i % 7)) for i in range(600)], "k int, text string").coalesce(1)
+    got = {r["k"]: r["embedding"][0] for r in R.embed_text(many, embed_fn=fn, batch_size=256).collect()}
+    assert all(got[i] == float(i % 7) for i in range(600))
 
 
 def test_keyword_cosine_matches_numpy(spark):
