@@ -119,10 +119,27 @@ def _py_list(arr: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(arr, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
 
 
-def numeric_check(text, context) -> Column:
+CONTEXT_AMOUNTS = "context_amounts"
+CONTEXT_PERCENTAGES = "context_percentages"
+
+
+def with_context_facts(df: DataFrame, context_col: str = "context_text") -> DataFrame:
+    """The dollar amounts and percentages of each context, extracted once per context row
+    (e.g. once per customer before the join that repeats a context for every one of the
+    customer's recommendations), for the numeric check and the built-in judge rule."""
+    ctx = F.coalesce(F.col(context_col), F.lit(""))
+    return df.withColumn(CONTEXT_AMOUNTS, X.dollar_amounts(ctx)).withColumn(CONTEXT_PERCENTAGES, X.percentages(ctx))
+
+
+def _facts(df: DataFrame, name: str) -> Column | None:
+    return F.col(name) if name in df.columns else None
+
+
+def numeric_check(text, context, context_amounts: Column | None = None) -> Column:
     """Every dollar amount claimed must occur in the context."""
     claimed = X.dollar_amounts(_c(text))
-    missing = F.array_sort(F.array_except(claimed, X.dollar_amounts(F.coalesce(_c(context), F.lit("")))))
+    ctx_amounts = context_amounts if context_amounts is not None else X.dollar_amounts(F.coalesce(_c(context), F.lit("")))
+    missing = F.array_sort(F.array_except(claimed, ctx_amounts))
     return (
         F.when(F.size(claimed) == 0, _result(F.lit(True), F.lit(S.NO_AMOUNTS_REASON)))
         .when(
@@ -133,10 +150,11 @@ def numeric_check(text, context) -> Column:
     )
 
 
-def default_verdict(text, context) -> Column:
+def default_verdict(text, context, context_percentages: Column | None = None) -> Column:
     """J9 offline judge: UNGROUNDED when the text offers a percentage concession the
     context does not contain (judge rule (b)); GROUNDED otherwise."""
-    extra = F.array_except(X.percentages(_c(text)), X.percentages(F.coalesce(_c(context), F.lit(""))))
+    ctx_pcts = context_percentages if context_percentages is not None else X.percentages(F.coalesce(_c(context), F.lit("")))
+    extra = F.array_except(X.percentages(_c(text)), ctx_pcts)
     return F.when(
         F.size(extra) > 0,
         F.concat(F.lit("UNGROUNDED\nProposes a concession not in the context: "), F.array_join(extra, ", "), F.lit(".")),
@@ -155,7 +173,7 @@ def apply_judge(df: DataFrame, judge_fn: Callable | None = None, text_col: str =
     """Add ``verdict``: the default rule, or ``judge_fn(user_prompts: pandas.Series) -> Series``
     under ``mapInPandas``."""
     if judge_fn is None:
-        return df.withColumn("verdict", default_verdict(text_col, context_col))
+        return df.withColumn("verdict", default_verdict(text_col, context_col, _facts(df, CONTEXT_PERCENTAGES)))
     with_prompt = df.withColumn(
         "_judge_prompt", F.concat(F.lit(JUDGE_USER_HEAD), F.col(context_col), F.lit(JUDGE_USER_MID), F.col(text_col))
     )
@@ -179,10 +197,13 @@ def guardrail_chain(
     the judge runs only on the rows still passing (an explicit ``where``), so a paid judge
     is never called for rows the cheap checks already rejected, and a retried task never
     re-runs the cheap part's upstream."""
-    x = df.withColumn("_s", structural_check(text_col)).withColumn("_n", numeric_check(text_col, context_col))
+    x = df.withColumn("_s", structural_check(text_col)).withColumn(
+        "_n", numeric_check(text_col, context_col, _facts(df, CONTEXT_AMOUNTS))
+    )
     cheap_ok = F.col("_s.passed") & F.col("_n.passed")
     if judge_fn is None:
-        judged = x.withColumn("verdict", F.when(cheap_ok, default_verdict(text_col, context_col))).withColumn(
+        verdict = default_verdict(text_col, context_col, _facts(df, CONTEXT_PERCENTAGES))
+        judged = x.withColumn("verdict", F.when(cheap_ok, verdict)).withColumn(
             "_j", judge_check("verdict")
         )
         out = judged.withColumn(

@@ -143,12 +143,14 @@ RECS_CTES = [EMB_SQL, HITS_SQL, CTX_SQL, RECS_CTX_SQL]
 def job_base(spark, sf_dir):
     """At-risk predictions with their retrieved context (C2 -> C3 -> J4 -> J5)."""
     preds = predictions_log(spark, sf_dir).where("predicted_label = 1").select("prediction_id", "customer_id")
-    ctx = customer_contexts(spark, sf_dir).select("customer_id", "context_items", "context_text")
+    ctx = RC.with_context_facts(customer_contexts(spark, sf_dir).select("customer_id", "context_items", "context_text"))
     return preds.join(ctx, "customer_id")
 
 
 def recs_with_context(spark, sf_dir):
-    ctx = customer_contexts(spark, sf_dir).select("customer_id", "context_text")
+    """Every recommendation with its customer's context; the context's amounts and
+    percentages are extracted once per customer, before the join repeats them."""
+    ctx = RC.with_context_facts(customer_contexts(spark, sf_dir).select("customer_id", "context_text"))
     return P.recs_v(spark, sf_dir).join(ctx, "customer_id")
 
 
@@ -191,7 +193,8 @@ _NP, _NR = numeric_sql("t", "context_text")
 
 @query("guardrail_numeric", "J8 F3 E6", q(f"SELECT prediction_id, {_NP} AS passed, {_NR} AS reason FROM rc", *RECS_CTES))
 def guardrail_numeric(spark, sf_dir):
-    r = recs_with_context(spark, sf_dir).select("prediction_id", RC.numeric_check("recommendation_text", "context_text").alias("r"))
+    rc = recs_with_context(spark, sf_dir)
+    r = rc.select("prediction_id", RC.numeric_check("recommendation_text", "context_text", F.col(RC.CONTEXT_AMOUNTS)).alias("r"))
     return r.select("prediction_id", F.col("r.passed").alias("passed"), F.col("r.reason").alias("reason"))
 
 
