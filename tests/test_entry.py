@@ -45,3 +45,12 @@ def test_stream_scoring_equals_batch_log(spark):
     batch = qs["prediction_log"](spark, SF001).select("customer_id", "churn_probability", "predicted_label")
     assert stream.count() > 0
     assert stream.exceptAll(batch).count() == 0
+
+
+def test_shares_sum_to_one(spark):
+    """SURVEY §5.3: shares per group sum to 1."""
+    qs = E.queries()
+    total = sum(r["share"] for r in qs["mix_vs_expected"](spark, SF001).collect())
+    assert abs(total - 1.0) < 1e-5
+    for r in qs["sentiment_by_churn"](spark, SF001).collect():
+        assert abs(sum(v or 0.0 for v in (r["negative"], r["neutral"], r["positive"])) - 1.0) < 1e-5
