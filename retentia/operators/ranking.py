@@ -27,16 +27,24 @@ def _n_buckets(df: DataFrame, n_buckets: int | None) -> int:
     return max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_BUCKETS))
 
 
-def bucket_edges(df: DataFrame, order_col: str, n_buckets: int) -> list[float]:
-    """Approximate ``n_buckets``-quantiles of ``order_col`` over all rows (one aggregate;
-    at most ``n_buckets - 1`` numbers reach the driver, whatever the input size)."""
+def edges_agg(order_col: str, n_buckets: int) -> Column:
+    """Aggregate expression of the approximate ``n_buckets``-quantiles of ``order_col``
+    (combine it with other one-row aggregates to save a pass)."""
     probs = [i / n_buckets for i in range(1, n_buckets)]
     if not probs:
-        return []
+        return F.array().cast("array<double>")
     accuracy = max(10000, 4 * n_buckets)  # rank error ~ n / accuracy: buckets stay balanced
-    row = df.agg(F.percentile_approx(F.col(order_col).cast("double"), probs, accuracy).alias("e")).first()
-    edges = row["e"] or []
-    return sorted({float(e) for e in edges if e is not None and e == e and abs(e) != float("inf")})
+    return F.percentile_approx(F.col(order_col).cast("double"), probs, accuracy)
+
+
+def clean_edges(edges) -> list[float]:
+    return sorted({float(e) for e in (edges or []) if e is not None and e == e and abs(e) != float("inf")})
+
+
+def bucket_edges(df: DataFrame, order_col: str, n_buckets: int) -> list[float]:
+    """Approximate ``n_buckets``-quantiles of ``order_col`` over all rows (one aggregate;
+    at most ``n_buckets - 1`` numbers reach the driver, whatever the input size)."""
+    return clean_edges(df.agg(edges_agg(order_col, n_buckets).alias("e")).first()["e"])
 
 
 def bucketize(df: DataFrame, order_col: str, edges: Sequence[float], out_col: str = "_bucket") -> DataFrame:
@@ -58,6 +66,7 @@ def running_totals(
     groups: Sequence[str] = (),
     n_buckets: int | None = None,
     prefix: str = "cum_",
+    edges: Sequence[float] | None = None,
 ) -> DataFrame:
     """Add ``cum_<c>`` = sum of ``c`` over all rows at or before each row in the order of
     ``order_col`` (within ``groups``).  ``order_col`` must be unique per group (aggregate
@@ -68,8 +77,9 @@ def running_totals(
     enter the partitioning of the final window and the offset table, which has at most
     ``n_groups * n_buckets`` rows (``groups`` is meant for a few labels or columns)."""
     groups = list(groups)
-    nb = _n_buckets(df, n_buckets)
-    x = bucketize(df, order_col, bucket_edges(df, order_col, nb))
+    if edges is None:
+        edges = bucket_edges(df, order_col, _n_buckets(df, n_buckets))
+    x = bucketize(df, order_col, edges)
     # per-(group, bucket) sums -> prefix over buckets: bounded table, broadcast
     sums = x.groupBy(*groups, "_bucket").agg(*[F.sum(c).alias(f"_bs_{c}") for c in sum_cols])
     bw = Window.partitionBy(*groups).orderBy(F.col("_bucket").desc() if descending else F.col("_bucket").asc())
