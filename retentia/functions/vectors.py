@@ -91,21 +91,6 @@ def keyword_cosine(counts, query_counts: Sequence[int]) -> Column:
     return F.when(c2 > 0, d.cast("double") / F.sqrt((c2 * F.lit(q2)).cast("double"))).otherwise(F.lit(0.0))
 
 
-def _dot_rows(a, b):
-    import numpy as np
-    import pandas as pd
-
-    if len(a) == 0:
-        return pd.Series([], dtype="float64")
-    try:
-        A = np.stack(a.to_numpy()).astype(np.float64)
-        B = np.stack(b.to_numpy()).astype(np.float64)
-        return pd.Series(np.einsum("ij,ij->i", A, B))
-    except (ValueError, TypeError):  # nulls or ragged rows: row by row inside the batch
-        out = [None if x is None or y is None else float(np.dot(np.asarray(x, np.float64), np.asarray(y, np.float64))) for x, y in zip(a, b)]
-        return pd.Series(out, dtype="float64")
-
-
 def dot_batched(a, b) -> Column:
     """Inner product on Arrow batches (numpy, one matrix product per batch).
 
@@ -114,5 +99,21 @@ def dot_batched(a, b) -> Column:
     Same values as ``dot`` up to float summation order (~1e-14)."""
     from pyspark.sql.functions import pandas_udf
 
-    f = pandas_udf(_dot_rows, "double")
-    return f(_c(a), _c(b))
+    def rows(a, b):  # nested: shipped to the Python workers by value, no package import there
+        import numpy as np
+        import pandas as pd
+
+        if len(a) == 0:
+            return pd.Series([], dtype="float64")
+        try:
+            A = np.stack(a.to_numpy()).astype(np.float64)
+            B = np.stack(b.to_numpy()).astype(np.float64)
+            return pd.Series(np.einsum("ij,ij->i", A, B))
+        except (ValueError, TypeError):  # nulls or ragged rows: row by row inside the batch
+            out = [
+                None if x is None or y is None else float(np.dot(np.asarray(x, np.float64), np.asarray(y, np.float64)))
+                for x, y in zip(a, b)
+            ]
+            return pd.Series(out, dtype="float64")
+
+    return pandas_udf(rows, "double")(_c(a), _c(b))
