@@ -59,3 +59,25 @@ def test_create_tables_twice(spark):
     IO.create_tables(spark, base, tables)
     IO.create_tables(spark, base, tables)
     assert spark.table("t_predictions_test").columns == [f.name for f in S.PREDICTIONS.fields]
+
+
+def test_reads_pandas_written_csv(spark, tmp_path):
+    """A1 on files as a pandas writer produces them: one header, no index, space-separated
+    microsecond timestamps, quoted text with commas."""
+    import datetime as dt
+
+    import pandas as pd
+
+    from retentia import schemas as S
+
+    path = tmp_path / "interactions.csv"
+    pd.DataFrame({
+        "interaction_id": [1, 2], "customer_id": [5, 6],
+        "timestamp": [dt.datetime(2024, 1, 3, 9, 0, 0, 123456), dt.datetime(2024, 1, 4, 10, 0)],
+        "channel": ["chat", "email"], "interaction_type": ["billing_issue", "complaint"],
+        "sentiment": ["negative", "None"], "text": ["I was charged $15, twice", "ok"],
+    }).to_csv(path, index=False)
+    rows = IO.read_csv(spark, str(path), S.INTERACTIONS, na_tokens=IO.PANDAS_NA_TOKENS).orderBy("interaction_id").collect()
+    assert rows[0]["timestamp"] == dt.datetime(2024, 1, 3, 9, 0, 0, 123456)
+    assert rows[0]["text"] == "I was charged $15, twice"
+    assert rows[1]["sentiment"] is None  # pandas reads the text None as missing
