@@ -1 +1 @@
-"""sources."""
+"""Readers, sinks and the proxy tables built from the driver's data."""
