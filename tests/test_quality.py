@@ -81,3 +81,21 @@ def test_reads_pandas_written_csv(spark, tmp_path):
     assert rows[0]["timestamp"] == dt.datetime(2024, 1, 3, 9, 0, 0, 123456)
     assert rows[0]["text"] == "I was charged $15, twice"
     assert rows[1]["sentiment"] is None  # pandas reads the text None as missing
+
+
+def test_bucketed_tables_join_without_shuffle(spark):
+    from retentia.session import work_dir
+
+    a = spark.createDataFrame([(i % 50, i) for i in range(500)], "customer_id bigint, interaction_id bigint")
+    b = spark.createDataFrame([(i, i * 2) for i in range(50)], "customer_id bigint, v bigint")
+    IO.write_bucketed(a, "t_bucket_a", "customer_id", 4, work_dir(spark, "ba"))
+    IO.write_bucketed(b, "t_bucket_b", "customer_id", 4, work_dir(spark, "bb"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        j = spark.table("t_bucket_a").join(spark.table("t_bucket_b"), "customer_id")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert j.count() == 500
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
