@@ -18,7 +18,8 @@ PERCENT_RE = r"(?U)\d+(?:\.\d+)?\s?%"
 WHITESPACE = "".join(
     chr(c) for c in [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 )
-LINE_BREAK_RE = r"\R"
+# the text before the first line break (\R: \n, \x0b, \f, \r, \x85, \u2028, \u2029)
+FIRST_LINE_RE = "^[^\\n\\x{0B}\\f\\r\\x{85}\\x{2028}\\x{2029}]*"
 
 
 def _c(x) -> Column:
@@ -55,7 +56,8 @@ def percentages(s) -> Column:
 def first_line(s) -> Column:
     """First line of the stripped text, itself stripped (empty when the text is empty)."""
     body = strip(s)
-    return strip(F.element_at(F.split(body, LINE_BREAK_RE), 1))
+    # anchored: reads only up to the first break, instead of splitting the whole text
+    return strip(F.regexp_extract(body, FIRST_LINE_RE, 0))
 
 
 def verdict_passed(verdict) -> Column:

@@ -44,3 +44,8 @@ def test_format_context_empty_and_numbered(spark):
     got = dict(df.select("k", X.format_context(F.col("items"))).collect())
     assert got[1] == "1. [billing_issue, negative] charged twice"
     assert got[2] == "(No interaction history available for this customer.)"
+
+
+def test_first_line_other_breaks(spark):
+    got = _one(spark, ["a b", "c\x0bd", "e\x85f", "g\fh", "  i  "], X.first_line)
+    assert got == ["a", "c", "e", "g", "i"]
