@@ -72,10 +72,17 @@ def constraint_report(
     return one.select(F.explode(F.array(*cells)).alias("_c")).select("_c.*")
 
 
-def latest_per_key(df: DataFrame, key: str, order_cols: Sequence[str]) -> DataFrame:
-    """The latest row per key (``row_number() = 1`` in descending order)."""
-    w = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order_cols])
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+def latest_per_key(df: DataFrame, key: str, order_col: str, count_col: str | None = None) -> DataFrame:
+    """The latest row per key (largest ``order_col``), optionally with the number of
+    rows the key has (``> 1`` = the one-to-one rule is broken).  One aggregate with
+    map-side combine (``max_by`` over a struct), so a hot key is reduced in every map task
+    instead of being sorted in one."""
+    others = [c for c in df.columns if c != key]
+    aggs = [F.max_by(F.struct(*others), F.col(order_col)).alias("_l")]
+    if count_col:
+        aggs.insert(0, F.count(F.lit(1)).alias(count_col))
+    out = df.groupBy(key).agg(*aggs)
+    return out.select(key, *([count_col] if count_col else []), *[F.col(f"_l.{c}").alias(c) for c in others])
 
 
 def scope_leaks(hits: DataFrame, owners: DataFrame, asked_col: str = "customer_id", id_col: str = "interaction_id") -> DataFrame:

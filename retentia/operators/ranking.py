@@ -110,6 +110,15 @@ def dense_ids(df: DataFrame, order_cols: Sequence[str], id_col: str, start: int
     return out.withColumn(id_col, (F.col("_cum_one") + F.lit(start - 1)).cast("bigint")).drop("_one", "_cum_one")
 
 
+def gap_ids(df: DataFrame, id_col: str, start: int = 0) -> DataFrame:
+    """A6, gap-tolerant variant: unique increasing ids with no extra pass or shuffle
+    (``monotonically_increasing_id``: partition index in the upper bits), when only
+    uniqueness is needed and gaps are acceptable.  Ids depend on the partitioning of the
+    input, so a recomputation after lost executors may renumber: write the rows out with
+    their ids before anything else refers to them."""
+    return df.withColumn(id_col, F.monotonically_increasing_id() + F.lit(start))
+
+
 def top_k_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[Column], k: int | Column, rank_col: str = "rank") -> DataFrame:
     """The first ``k`` rows per key in ``order``.  ``row_number() <= k`` lets Spark plan a
     ``WindowGroupLimit`` that trims each map partition to ``k`` rows per key before the

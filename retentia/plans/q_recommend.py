@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from retentia import schemas as S
 from retentia.functions import numeric as N
+from retentia.operators import quality as Q
 from retentia.operators import recommend as RC
 from retentia.operators.ranking import dense_ids
 from retentia.plans.q_quality import PREDICTIONS_SQL, predictions_log
@@ -324,12 +325,8 @@ def recommendation_log(spark, sf_dir):
 def recommendation_latest(spark, sf_dir):
     """Latest row per prediction plus its row count (n_rows > 1 = the 1-to-1 rule broken);
     one aggregate with map-side combine, no window sort."""
-    log = recommendation_log_table(spark, sf_dir)
-    latest = log.groupBy("prediction_id").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.max_by(F.struct("recommendation_id", "passed_guardrails"), F.col("recommendation_id")).alias("_l"),
-    )
-    return latest.select("prediction_id", "n_rows", F.col("_l.recommendation_id").alias("recommendation_id"), F.col("_l.passed_guardrails").alias("passed_guardrails"))
+    log = recommendation_log_table(spark, sf_dir).select("prediction_id", "recommendation_id", "passed_guardrails")
+    return Q.latest_per_key(log, "prediction_id", "recommendation_id", count_col="n_rows")
 
 
 @query(
@@ -347,11 +344,8 @@ def prediction_with_recommendation(spark, sf_dir):
     preds = predictions_log(spark, sf_dir).select("prediction_id", "customer_id", "predicted_label")
     path = work_dir(spark, "recommendations")
     IO.append_table(recommend_job(spark, sf_dir), path)
-    log = spark.read.parquet(path)
-    latest = log.groupBy("prediction_id").agg(
-        F.max_by(F.struct("recommendation_id", "passed_guardrails"), F.col("recommendation_id")).alias("_l")
-    )
+    log = spark.read.parquet(path).select("prediction_id", "recommendation_id", "passed_guardrails")
+    latest = Q.latest_per_key(log, "prediction_id", "recommendation_id")
     return preds.join(latest, "prediction_id", "left").select(
-        "prediction_id", "customer_id", "predicted_label", F.col("_l.recommendation_id").alias("recommendation_id"),
-        F.col("_l.passed_guardrails").alias("passed_guardrails"),
+        "prediction_id", "customer_id", "predicted_label", "recommendation_id", "passed_guardrails"
     )

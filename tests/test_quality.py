@@ -99,3 +99,18 @@ def test_bucketed_tables_join_without_shuffle(spark):
         assert j.count() == 500
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_latest_per_key_and_duplicates(spark):
+    log = spark.createDataFrame([(1, 10, True), (1, 12, False), (2, 11, True)], "prediction_id int, recommendation_id int, passed boolean")
+    got = {r["prediction_id"]: (r["n_rows"], r["recommendation_id"], r["passed"]) for r in Q.latest_per_key(log, "prediction_id", "recommendation_id", "n_rows").collect()}
+    assert got == {1: (2, 12, False), 2: (1, 11, True)}
+    assert [tuple(r) for r in Q.duplicate_keys(log, "prediction_id").collect()] == [(1, 2)]
+
+
+def test_gap_ids_unique(spark):
+    from retentia.operators.ranking import gap_ids
+
+    df = spark.range(1000).repartition(7)
+    ids = gap_ids(df, "rid", start=5)
+    assert ids.select("rid").distinct().count() == 1000 and ids.agg({"rid": "min"}).first()[0] >= 5
