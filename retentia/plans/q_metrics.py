@@ -303,3 +303,22 @@ def verdict_text(spark, sf_dir):
 def verdict_parse(spark, sf_dir):
     v = verdict_text(spark, sf_dir)
     return v.select("conv_id", "turn", X.verdict_passed("verdict").alias("passed"))
+
+
+@query(
+    "label_pair_confusion",
+    "D13 D14",
+    q(
+        """SELECT count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS tn, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS fp,
+  count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS fn, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS tp,
+  round(coalesce(count(*) FILTER (WHERE quality = 1 AND toxic = 1) / nullif(count(*) FILTER (WHERE toxic = 1), 0), 0), 6) AS precision,
+  round(coalesce(count(*) FILTER (WHERE quality = 1 AND toxic = 1) / nullif(count(*) FILTER (WHERE quality = 1), 0), 0), 6) AS recall
+FROM labels"""
+    ),
+)
+def label_pair_confusion(spark, sf_dir):
+    """D13/D14 on given label pairs (``labels``: quality as the true label, toxic as the
+    predicted one), the stand-in FIXTURES.md names for confusion-matrix input."""
+    pairs = P.table(spark, sf_dir, "labels").select(F.col("quality").alias("y"), F.col("toxic").cast("double").alias("y_proba"))
+    m = M.precision_recall_f1(pairs, 0.5)
+    return m.select("tn", "fp", "fn", "tp", r6("precision").alias("precision"), r6("recall").alias("recall"))
