@@ -213,7 +213,7 @@ _RP, _RR = chain_sql("t", "context_text")
 
 @query(
     "guardrail_chain",
-    "J10",
+    "J10 F5",
     q(f"SELECT prediction_id, {_RP} AS passed_guardrails, {_RR} AS guardrail_reason FROM rc", *RECS_CTES),
 )
 def guardrail_chain(spark, sf_dir):

@@ -186,7 +186,7 @@ def customer_contexts(spark, sf_dir):
     return R.with_context_text(cust.join(items, "customer_id", "left"))
 
 
-@query("customer_context", "J5 C5 E3", q(context_sql(), EMB_SQL, HITS_SQL))
+@query("customer_context", "J5 C5 E3 F5", q(context_sql(), EMB_SQL, HITS_SQL))
 def customer_context(spark, sf_dir):
     c = customer_contexts(spark, sf_dir)
     return c.select("customer_id", F.coalesce(F.size("context_items"), F.lit(0)).cast("int").alias("n_context"), "context_text")
