@@ -51,8 +51,10 @@ def precision_recall_f1(df: DataFrame, threshold: float, label: str = "y", proba
 
 
 def score_counts(df: DataFrame, label: str = "y", proba: str = "y_proba") -> DataFrame:
-    """Positives and negatives per distinct score."""
-    return df.groupBy(F.col(proba).alias("score")).agg(
+    """Positives and negatives per distinct score; rows without a score or a label cannot
+    be placed on the curve and are left out (of the totals too)."""
+    known = df.where(F.col(proba).isNotNull() & ~F.isnan(F.col(proba)) & F.col(label).isNotNull())
+    return known.groupBy(F.col(proba).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"),
         F.count_if(F.col(label) != 1).alias("neg"),
     )

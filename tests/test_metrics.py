@@ -138,3 +138,9 @@ def test_pr_curve_plan_has_no_single_partition_exchange(spark, data):
     single = [i for i, line in enumerate(plan) if "SinglePartition" in line]
     assert len(single) == 1
     assert "keys=[_bucket" in plan[single[0] + 1]
+
+
+def test_rows_without_score_are_left_out(spark):
+    df = spark.createDataFrame([(1, 0.9), (0, None), (1, 0.5), (0, 0.1), (None, 0.3)], "y int, y_proba double")
+    rows = sorted((r["score"], r["tp"], r["fp"], r["total_pos"], r["total_neg"]) for r in M.pr_curve(df).collect())
+    assert rows == [(0.1, 2, 1, 2, 1), (0.5, 2, 0, 2, 1), (0.9, 1, 0, 2, 1)]
