@@ -69,8 +69,9 @@ def running_totals(
     edges: Sequence[float] | None = None,
 ) -> DataFrame:
     """Add ``cum_<c>`` = sum of ``c`` over all rows at or before each row in the order of
-    ``order_col`` (within ``groups``).  ``order_col`` must be unique per group (aggregate
-    ties first): the totals then are independent of how ties would be broken.
+    ``order_col`` (within ``groups``).  ``order_col`` must be unique per group and not null (aggregate
+    ties and drop unknown values first): the totals then are independent of how ties
+    would be broken.
 
     Buckets are value ranges of ``order_col`` over all rows (global quantiles), so each
     bucket holds about ``n / n_buckets`` rows whatever the groups are; ``groups`` only
