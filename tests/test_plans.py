@@ -26,3 +26,14 @@ def test_no_python_udf_in_core_queries(spark):
     for name in ["at_risk_context", "guardrail_chain", "scoped_search", "pr_curve", "describe_numeric"]:
         plan = _plan(qs[name](spark, SF001))
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan and "MapInPandas" not in plan, name
+
+
+def test_dense_ids_single_partition_only_for_offsets(spark):
+    from pyspark.sql import functions as F
+
+    from retentia.operators.ranking import dense_ids
+
+    df = spark.range(5000).select((F.col("id") * 7 + 3).alias("k"))
+    plan = dense_ids(df, ["k"], "rid", n_buckets=8)._jdf.queryExecution().executedPlan().toString().splitlines()
+    single = [i for i, line in enumerate(plan) if "SinglePartition" in line]
+    assert len(single) == 1 and "keys=[_bucket" in plan[single[0] + 1]
