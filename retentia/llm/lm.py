@@ -11,8 +11,8 @@ Probabilities sum to one over the V training types and one unknown word.
 
 How the work is dealt (N tokens, chunks of about CHUNK bytes of text):
 
-1. Unigrams are counted with map-side aggregation and stored.  Words with at least N / 2**17
-   tokens, at most 2**17 of them, are broadcast with their counts ("hot").
+1. Unigrams are counted with map-side aggregation and stored.  Words with at least N / 2**20
+   tokens, at most 2**20 of them, are broadcast with their counts ("hot").
 2. Every chunk sends its bigrams once, in compact blocks, to the partition that can count
    them: hot pairs by pair, a rare context by context, a rare word by word (a pair rare on
    both sides goes to both).  A pair that fills a chunk sends one count instead of one entry
@@ -39,9 +39,10 @@ from pyspark.sql import functions as F
 from retentia.llm.common import fold, partitions, query, stored, sub_batches, table
 from retentia.llm.words import mix, word_hashes
 
-CHUNK = 8 << 20
-HOT = 1 << 17
-TOKENS_PER_PARTITION = 4_000_000
+CHUNK = 4 << 20
+HOT_BITS = 20
+HOT = 1 << HOT_BITS
+TOKENS_PER_PARTITION = 1_500_000
 #: A pair with this many occurrences in a chunk sends their number only.
 HEAVY = 64
 
@@ -144,14 +145,14 @@ def emit(part: pa.RecordBatch, chunk: int, counts: Counts, parts: int):
             yield int(p[order[a]]), at[order[a : a + k]]
 
     hot = np.flatnonzero((vi >= 0) & (wi >= 0))
-    code = (vi[hot] << 18 | wi[hot]).astype(np.uint64)
+    code = (vi[hot] << (HOT_BITS + 1) | wi[hot]).astype(np.uint64)
     uniq, inverse, n = np.unique(code, return_inverse=True, return_counts=True)
     heavy = n >= HEAVY
     on_heavy = heavy[inverse]
     train = np.bincount(inverse, weights=~held[doc[hot]], minlength=len(uniq)).astype(np.int64)
     hu, ht = uniq[heavy], train[heavy]
     order = np.argsort(inverse[on_heavy], kind="stable")
-    mine = (hu, n[heavy], doc[hot[on_heavy]][order])  # stays with the chunk
+    mine = (hu, small(n[heavy]), planes(doc[hot[on_heavy]][order]))  # stays with the chunk
     p = (mix(hu) % np.uint64(parts)).astype(np.int64)
     for k in np.unique(p).tolist():
         blocks.setdefault(k, []).append(("H", chunk, planes(hu[p == k]), planes(ht[p == k])))
@@ -166,20 +167,42 @@ def emit(part: pa.RecordBatch, chunk: int, counts: Counts, parts: int):
         at = np.flatnonzero(sel)
         for k, at in deal(key[at], key[at], at):
             s, length = runs(key[at])
-            blocks.setdefault(k, []).append((kind, chunk, key[at][s].tobytes(), planes(length), planes(other[at]), planes(tag[at])))
+            blocks.setdefault(k, []).append((kind, chunk, six(key[at][s]), planes(length), planes(other[at]), planes(tag[at])))
     at_both = np.flatnonzero((vi < 0) & (wi < 0))
     for kind, key in (("D", v), ("E", w)):
         for k, at in deal(key[at_both], key[at_both], at_both):
-            blocks.setdefault(k, []).append((kind, chunk, key[at].tobytes(), w[at].tobytes() if kind == "D" else b"", planes(at), planes(tag[at])))
+            blocks.setdefault(k, []).append((kind, chunk, six(key[at]), six(w[at]) if kind == "D" else b"", planes(at), planes(tag[at])))
     known = np.where(wi >= 0, counts.count[wi], 0)
     base = np.bincount(doc, weights=np.where(wi >= 0, counts.base(known), 0.0), minlength=len(held))
     meta = {"keys": part.column(0).to_pylist(), "held": held, "tokens": np.bincount(doc, minlength=len(held)), "base": base,
-            "known": np.bincount(doc, weights=known > 0, minlength=len(held)), "heavy": mine, "pairs": (at_both, doc[at_both])}
+            "known": np.bincount(doc, weights=known > 0, minlength=len(held)), "heavy": mine, "pairs": planes(doc[at_both])}
     blocks.setdefault(chunk % parts, []).append(("M", chunk, meta))
     for k, rows in blocks.items():
         yield k, pickle.dumps(rows, protocol=5)
 
 
+def hot_pair(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two hot words' indices in a pair's code."""
+    return (code >> np.uint64(HOT_BITS + 1)).astype(np.int64), (code & np.uint64((2 << HOT_BITS) - 1)).astype(np.int64)
+
+
+def six(x: np.ndarray) -> bytes:
+    """Low six bytes of each hash: with the partition they tell its words apart."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unsix(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def small(x: np.ndarray) -> np.ndarray:
+    """The integers in the narrowest type that holds them."""
+    top = int(x.max()) if len(x) else 0
+    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.int64)
+
+
 def bucket(c: np.ndarray) -> np.ndarray:
     """Context-frequency bucket: 0 for unseen, else 1 + floor(log2)."""
     return np.where(c > 0, np.frexp(np.maximum(c, 1).astype(float))[1], 0).astype(np.int64)
@@ -249,15 +272,15 @@ def count_pairs(rows, counts: Counts):
     uniq, inverse = np.unique(np.concatenate([code, cat(h_code, np.uint64)]), return_inverse=True)
     weight = np.concatenate([1 - (tag & 1), cat(h_n)])
     c_vw = np.bincount(inverse, weights=weight, minlength=len(uniq)).astype(np.int64)
-    vi, wi = (uniq >> np.uint64(18)).astype(np.int64), (uniq & np.uint64(0x3FFFF)).astype(np.int64)
+    vi, wi = hot_pair(uniq)
     yield "A", (c_vw, counts.count[vi], counts.count[wi], inverse[: len(code)], chunks("A", [int(n.sum()) for n in length]), tag)
     yield "H", (uniq, c_vw, inverse[len(code) :], chunks("H", [len(x) for x in h_n]))
     # rare contexts: B with hot words, D with rare ones
     b, d = got.get("B", []), got.get("D", [])
     length = [unplanes(r[3]).astype(np.int64) for r in b]
-    v = cat([np.repeat(np.frombuffer(r[2], np.uint64), n) for r, n in zip(b, length, strict=True)] + [np.frombuffer(r[2], np.uint64) for r in d], np.uint64)
+    v = cat([np.repeat(unsix(r[2]), n) for r, n in zip(b, length, strict=True)] + [unsix(r[2]) for r in d], np.uint64)
     hot = cat([unplanes(r[4]).astype(np.int64) for r in b])
-    rare = cat([np.frombuffer(r[3], np.uint64) for r in d], np.uint64)
+    rare = cat([unsix(r[3]) for r in d], np.uint64)
     tag = cat([unplanes(r[5]).astype(np.int64) for r in b + d])
     order = np.lexsort((np.concatenate([hot.astype(np.uint64), rare]), np.arange(len(v)) >= len(hot), v))
     other = np.concatenate([hot.astype(np.uint64), rare])[order]
@@ -280,7 +303,7 @@ def count_pairs(rows, counts: Counts):
     # rare words: C after hot contexts, E after rare ones
     c, e = got.get("C", []), got.get("E", [])
     length = [unplanes(r[3]).astype(np.int64) for r in c]
-    w = cat([np.repeat(np.frombuffer(r[2], np.uint64), n) for r, n in zip(c, length, strict=True)] + [np.frombuffer(r[2], np.uint64) for r in e], np.uint64)
+    w = cat([np.repeat(unsix(r[2]), n) for r, n in zip(c, length, strict=True)] + [unsix(r[2]) for r in e], np.uint64)
     ctx = cat([unplanes(r[4]).astype(np.int64) for r in c])
     tag = cat([unplanes(r[5]).astype(np.int64) for r in c + e])
     k = len(ctx)
@@ -308,13 +331,14 @@ def by_chunk(where: np.ndarray, *fields: np.ndarray):
     s, n = runs(where[order])
     for a, k in zip(s.tolist(), n.tolist(), strict=True):
         at = order[a : a + k]
-        yield int(where[at[0]]), [f[at] for f in fields]
+        yield int(where[at[0]]), [f[at] if f.dtype == bool or f.dtype == float else small(f[at]) for f in fields]
 
 
 def both_rare(parts: dict) -> tuple[np.ndarray, ...]:
     """A chunk's pairs of rare words: (spot, c_v, c_vw, head of its type, c_w), joined by spot."""
-    spot, c_v, c_p, head = (np.concatenate([p[i] for p in parts["D"]]) for i in range(4))
-    spot2, c_w = (np.concatenate([p[i] for p in parts["E"]]) for i in range(2))
+    spot, c_v, c_p = (np.concatenate([p[i] for p in parts["D"]]).astype(np.int64) for i in range(3))
+    head = np.concatenate([p[3] for p in parts["D"]])
+    spot2, c_w = (np.concatenate([p[i] for p in parts["E"]]).astype(np.int64) for i in range(2))
     o, o2 = np.argsort(spot), np.argsort(spot2)
     return spot[o], c_v[o], c_p[o], head[o], c_w[o2]
 
@@ -407,7 +431,7 @@ def lm_score(docs: DataFrame, key: str, text: str, held: F.Column) -> DataFrame:
                     yield c, ("S", d, sums)
             elif what == "H":
                 uniq, c_vw, inverse, where = f
-                for c, (u, m) in by_chunk(where, uniq[inverse], c_vw[inverse]):
+                for c, (u, m) in by_chunk(where, uniq[inverse].astype(np.int64), c_vw[inverse]):
                     yield c, ("H", u, m)
             elif what == "B":
                 c_p, c_v, c_w, _, where, tag, near = f
@@ -419,8 +443,8 @@ def lm_score(docs: DataFrame, key: str, text: str, held: F.Column) -> DataFrame:
                 c_p, c_v, c_w, _, where, tag, near = f
                 s = log_p(x, counts.v, counts.n, c_p[near], c_v[near], c_w[near])
                 for c, (s1, t1, cw) in by_chunk(where[near], s, tag[near], c_w[near]):
-                    d, sums, base, known = doc_sums(t1 >> 1, s1, counts.base(cw), cw > 0)
-                    yield c, ("R", d, sums, base, known)
+                    d, sums, base, known = doc_sums(t1 >> 1, s1, counts.base(cw.astype(np.int64)), cw > 0)
+                    yield c, ("R", d, sums, base, small(known.astype(np.int64)))
             elif what == "D":
                 yield from ((c, ("D", f)) for c, f in by_chunk(*f))
             elif what == "E":
@@ -430,8 +454,7 @@ def lm_score(docs: DataFrame, key: str, text: str, held: F.Column) -> DataFrame:
 
     def doc_sums(doc, *values):
         u, inverse = np.unique(doc, return_inverse=True)
-        small = np.uint16 if len(u) and u[-1] < 65536 else np.uint32
-        return u.astype(small), *(np.bincount(inverse, weights=x, minlength=len(u)) for x in values)
+        return small(u), *(np.bincount(inverse, weights=x, minlength=len(u)) for x in values)
 
     def finish(it):
         counts, x, chunks = shared.value, weights.value, {}
@@ -451,12 +474,12 @@ def lm_score(docs: DataFrame, key: str, text: str, held: F.Column) -> DataFrame:
             codes, times, docs_of = meta["heavy"]
             if len(codes):
                 u = np.concatenate([g[0] for g in got["H"]])
-                m = np.concatenate([g[1] for g in got["H"]])[np.argsort(u)]  # as codes are sorted
-                vi, wi = (codes >> np.uint64(18)).astype(np.int64), (codes & np.uint64(0x3FFFF)).astype(np.int64)
+                m = np.concatenate([g[1] for g in got["H"]]).astype(np.int64)[np.argsort(u)]  # as codes are sorted
+                vi, wi = hot_pair(codes)
                 each = log_p(x, counts.v, counts.n, m, counts.count[vi], counts.count[wi])
-                s += np.bincount(docs_of, weights=np.repeat(each, times), minlength=size)
-            spots, doc = meta["pairs"]
-            if len(spots):
+                s += np.bincount(unplanes(docs_of), weights=np.repeat(each, times), minlength=size)
+            doc = unplanes(meta["pairs"])  # in the order of the spots
+            if len(doc):
                 _, c_v, c_p, _, c_w = both_rare(got)
                 s += np.bincount(doc, weights=log_p(x, counts.v, counts.n, c_p, c_v, c_w), minlength=size)
                 base += np.bincount(doc, weights=counts.base(c_w), minlength=size)
