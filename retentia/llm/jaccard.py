@@ -290,7 +290,8 @@ def join_components(docs: DataFrame, key: str, text: str, n: int, num: int, den:
                 got = part.take(pa.array(keep, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*(got.column(c) for c in (2, 3, 4, 5)), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["f", "root", "nb", "i", "s"])
 
-    sets = src.join(chosen, "id").select("id", "t", "f", "root", "nb", "i").mapInArrow(again, "f long, root long, nb int, i int, s binary")
+    # both sides grow with the input: neither is broadcast at any size
+    sets = src.join(chosen.hint("merge"), "id").select("id", "t", "f", "root", "nb", "i").mapInArrow(again, "f long, root long, nb int, i int, s binary")
     pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least("i", j).alias("x"), F.greatest("i", j).alias("y")))
     sets = sets.withColumn("pair", F.explode(pairs)).select("f", "root", "i", "s", "pair.x", "pair.y")
 
@@ -322,7 +323,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     with a null key stay only where their whole component has none."""
     found = join_components(docs, key, text, n, num, den, count=False)
     gone = found.where(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, docs[key].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(gone.hint("merge"), docs[key].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
 
 
 @query("op6_jaccard_join")
