@@ -13,6 +13,10 @@ subparts, their elements), all three subsets enumerated, include one that linked
 is chosen with room: a set whose parts without elements in two subparts number less than
 n1 - floor(k / 2) signs no empty subset, and no link is lost, because a shared good part
 with elements is left over (equal projections are empty on both sides or on neither).
+Shingles that many different sets hold (shared lines and passages) are left out of the
+signatures, not of the sets: on the rest of the domain linked sets differ in no more than k
+elements either, so any such list loses nothing.  It is drawn from a bounded sample.  Sets with
+too little else sign a second time with all their elements, to meet each other.
 
 Steps: (1) sets are reduced to fingerprints; documents with one fingerprint are one class.
 (2) Every chunk sends its classes' signatures once, in compact blocks, to partitions by
@@ -47,6 +51,9 @@ CHUNK = 8 << 20
 SIGNATURES_PER_PARTITION = 4_000_000
 #: Sets compared against each other in one task: two blocks of about this many.
 BLOCK_SETS = 256
+#: Shared shingles are looked for in about so many documents; at most so many are listed.
+HOT_SAMPLE, HOT_LIST = 20_000, 1 << 18
+HOT_FROM = 4
 SKETCH_WORDS = 16  # 1,024 parity bits
 
 
@@ -99,7 +106,71 @@ def fingerprint(s: np.ndarray) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, ...]:
+class Shared:
+    """The listed shingles: a bitmap before an exact search."""
+
+    def __init__(self, hashes: list[int]):
+        self.hash = np.sort(np.array(hashes, dtype=np.int64).view(np.uint64))
+        self.bits = np.zeros(1 << 24, dtype=bool)
+        self.bits[(self.hash >> np.uint64(40)).astype(np.int64)] = True
+
+    def holds(self, x: np.ndarray) -> np.ndarray:
+        out = self.bits[(x >> np.uint64(40)).astype(np.int64)]
+        at = np.flatnonzero(out)
+        if len(at):
+            out[at] = self.hash[np.minimum(np.searchsorted(self.hash, x[at]), len(self.hash) - 1)] == x[at]
+        return out
+
+
+def find_shared(src: DataFrame, n: int, total: int) -> Shared:
+    """Shingles of at least HOT_FROM different sets of a hashed sample of the documents."""
+
+    def count_sets(batches):
+        for batch in batches:
+            for part in sub_batches(batch, "t", CHUNK):
+                sets = {fingerprint(s): s for s in shingle_sets(part.column(1), n)}
+                u, c = np.unique(np.concatenate([*sets.values(), np.zeros(0, np.uint64)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c)], names=["h", "c"])
+
+    share = min(1.0, HOT_SAMPLE / max(1, total))
+    sample = src.where(F.pmod(F.xxhash64(F.lit(61), "id"), F.lit(1_000_003)) < F.lit(share * 1_000_003))
+    rows = sample.mapInArrow(count_sets, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= HOT_FROM)
+    return Shared([r["h"] for r in rows.orderBy(F.col("c").desc(), "h").limit(HOT_LIST).select("h").collect()])
+
+
+def sign(elements: np.ndarray, owner: np.ndarray, n1: np.ndarray, k: np.ndarray, family: np.ndarray, empty: bool):
+    """([(signatures, set of each)], sparse sets): the subsets of subparts of each set's ``n1``
+    parts.  Sparse sets have no good part with elements for certain; ``empty`` has them
+    sign empty subsets."""
+    total, n_sets = int(n1.sum()), len(n1)
+    if not total:
+        return [], np.zeros(n_sets, dtype=bool)
+    cell0 = np.cumsum(n1) - n1
+    live = n1[owner] > 0
+    elements, owner = elements[live], owner[live]
+    inner = mix(elements ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+    sub = (inner % np.uint64(3)).astype(np.int64)
+    # a part is a range of the hash, so a set's parts lie one after another
+    cell = cell0[owner] + (((elements >> np.uint64(32)).astype(np.int64) * n1[owner]) >> 32)
+    s, _ = runs(cell)
+    sums, filled = np.zeros((3, total), dtype=np.uint64), np.zeros((3, total), dtype=bool)
+    for q in range(3) if len(s) else ():
+        chosen = sub == q
+        sums[q, cell[s]] = np.add.reduceat(np.where(chosen, inner, np.uint64(0)), s)
+        filled[q, cell[s]] = np.add.reduceat(chosen.astype(np.int64), s) > 0
+    of = np.repeat(np.arange(n_sets), n1)
+    lone = filled.sum(axis=0) <= 1  # two subparts empty: some subset is
+    sparse = (n1 > 0) & (np.bincount(of, weights=lone, minlength=n_sets) >= n1 - k // 2)
+    tag = mix(family[of].astype(np.uint64) << np.uint64(40) | (np.arange(total) - cell0[of]).astype(np.uint64))
+    out = []
+    for q in range(3):
+        a, b = (q + 1) % 3, (q + 2) % 3
+        go = filled[a] | filled[b] | (sparse[of] & empty)
+        out.append((mix(sums[a] + sums[b] * np.uint64(3) + tag + np.uint64(q))[go], of[go]))
+    return out, sparse
+
+
+def signatures(sets: list[np.ndarray], bands: Bands, shared: Shared | None = None) -> tuple[np.ndarray, ...]:
     """(signature, set index, whether the set is of the band itself) for every set."""
     size = np.array([len(s) for s in sets], dtype=np.int64)
     if not len(size) or not size.sum():
@@ -108,36 +179,19 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, ...]:
     band, ends = bands.of(size), bands.ends(int(size.max()))
     elements = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), size)
-    inner = mix(elements ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    sub = (inner % np.uint64(3)).astype(np.int64)
+    rare = ~shared.holds(elements) if shared is not None else np.ones(len(elements), dtype=bool)
     out = []
     for up in (0, 1):
         k = bands.budget(ends[band + up])
         n1 = np.where((k > 0) & (size > 0), bands.parts(k), 0)
-        cell0 = np.cumsum(n1) - n1
-        live = n1[owner] > 0
-        # a part is a range of the hash, so a set's parts lie one after another
-        part = ((elements[live] >> np.uint64(32)).astype(np.int64) * n1[owner[live]]) >> 32
-        cell = cell0[owner[live]] + part
-        total = int(n1.sum())
-        if not total:
-            continue
-        s, _ = runs(cell)
-        sums, filled = np.zeros((3, total), dtype=np.uint64), np.zeros((3, total), dtype=bool)
-        for q in range(3):
-            chosen = sub[live] == q
-            sums[q, cell[s]] = np.add.reduceat(np.where(chosen, inner[live], np.uint64(0)), s)
-            filled[q, cell[s]] = np.add.reduceat(chosen.astype(np.int64), s) > 0
-        of = np.repeat(np.arange(len(sets)), n1)
-        no = np.arange(total) - cell0[of]
-        lone = filled.sum(axis=0) <= 1  # two subparts empty: some subset is
-        sparse = np.bincount(of, weights=lone, minlength=len(sets)) >= n1 - k // 2
-        tag = mix((band[of] + up).astype(np.uint64) << np.uint64(40) | no.astype(np.uint64))
-        for q in range(3):
-            a, b = (q + 1) % 3, (q + 2) % 3
-            go = filled[a] | filled[b] | sparse[of]
-            sig = mix(sums[a] + sums[b] * np.uint64(3) + tag + np.uint64(q))
-            out.append((sig[go], of[go], np.full(int(go.sum()), up == 0)))
+        got, sparse = sign(elements[rare], owner[rare], n1, k, (band + up) * 2, shared is None)
+        out += [(sig, of, np.full(len(sig), up == 0)) for sig, of in got]
+        if shared is not None and sparse.any():
+            # little but shared shingles: two such sets meet by signatures of all their elements
+            n1 = np.where(sparse, n1, 0)
+            go = sparse[owner]
+            got, _ = sign(elements[go], owner[go], n1, k, (band + up) * 2 + 1, True)
+            out += [(sig, of, np.full(len(sig), up == 0)) for sig, of in got]
     if not out:
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), z, z.astype(bool)
@@ -248,8 +302,9 @@ def join_components(docs: DataFrame, key: str, text: str, n: int, num: int, den:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64())], names=["id", "n", "f"])
 
     rows = stored(src.mapInArrow(reduce_sets, "id long, n long, f long"), "jaccard-sets")
-    size = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    parts = partitions(spark, size // SIGNATURES_PER_PARTITION)
+    size = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("rows")).first()
+    parts = partitions(spark, size["n"] // SIGNATURES_PER_PARTITION)
+    hot = spark.sparkContext.broadcast(find_shared(src, n, size["rows"]))
 
     def send(batches):
         for batch in batches:
@@ -257,7 +312,7 @@ def join_components(docs: DataFrame, key: str, text: str, n: int, num: int, den:
                 sets = {fingerprint(s): s for s in shingle_sets(part.column(1), n)}
                 sets.pop(0, None)
                 classes = np.array(list(sets), dtype=np.int64)
-                sig, node, own = signatures(list(sets.values()), bands)
+                sig, node, own = signatures(list(sets.values()), bands, hot.value)
                 p = (sig >> np.uint64(40)).astype(np.int64) % (2 * parts)
                 order = np.argsort(p, kind="stable")
                 s, m = runs(p[order])
