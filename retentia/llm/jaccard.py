@@ -223,21 +223,56 @@ def tie(rows: list) -> tuple[np.ndarray, np.ndarray]:
     return pairs[:, 0], pairs[:, 1]
 
 
+def forest(edges: DataFrame) -> DataFrame:
+    """Fewer edges (a, b) with the same components: dealt by hash into groups of bounded size,
+    each keeps a spanning forest of its own edges."""
+    n = edges.count()
+    groups = max(16, -(-n // 200_000))
+
+    def span(t: pa.Table) -> pa.Table:
+        nodes, at = np.unique(np.concatenate([t["a"].to_numpy(), t["b"].to_numpy()]), return_inverse=True)
+        root = list(range(len(nodes)))
+        keep = []
+        half = len(at) // 2
+        for i, (x, y) in enumerate(zip(at[:half].tolist(), at[half:].tolist(), strict=True)):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            while root[y] != y:
+                root[y] = root[root[y]]
+                y = root[y]
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                keep.append(i)
+        return t.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    dealt = edges.select("a", "b", F.pmod(F.xxhash64("a", "b"), F.lit(groups)).cast("int").alias("g"))
+    return dealt.groupBy("g").applyInArrow(span, "a long, b long")
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """(node, root): the smallest node reachable over ``edges`` (a, b), for every node in them.
+    """(node, root): one root for all nodes that hang together over ``edges`` (a, b).
 
-    Labels spread over the edges and jump to their label's label; each round is stored."""
-    both = stored(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), f"{name}-edges")
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), f"{name}-labels")
+    Every round a node takes the smallest of itself and its neighbours, labels jump twice, and
+    the edges are contracted to their labels; what is left shrinks round by round."""
+    edges = stored(forest(stored(edges.where("a <> b"), f"{name}-edges")), f"{name}-edges")
+    labels = None
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", "root", F.least("root", "near").alias("new"))
-        jump = labels.select(F.col("node").alias("new"), F.col("root").alias("far"))
-        step = step.join(jump, "new").select("node", "root", F.least("new", "far").alias("new"))
-        step = stored(step, f"{name}-labels")
-        changed = step.where(F.col("new") != F.col("root")).limit(1).count()
-        labels = step.select("node", F.col("new").alias("root"))
-        if not changed:
+        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up"))
+        up = stored(up, f"{name}-labels")
+        for _ in range(2):
+            jump = up.select(F.col("node").alias("up"), F.col("up").alias("far"))
+            up = up.join(jump, "up").select("node", F.col("far").alias("up"))
+        up = stored(up, f"{name}-labels")
+        if labels is None:
+            labels = up.withColumnRenamed("up", "root")
+        else:
+            step = up.select(F.col("node").alias("root"), "up")
+            labels = stored(labels.join(step, "root", "left").select("node", F.coalesce("up", "root").alias("root")), f"{name}-labels")
+        ends = edges.join(up.select(F.col("node").alias("a"), F.col("up").alias("x")), "a").join(up.select(F.col("node").alias("b"), F.col("up").alias("y")), "b")
+        edges = stored(ends.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct(), f"{name}-edges")
+        if not edges.limit(1).count():
             return labels
 
 
