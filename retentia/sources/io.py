@@ -20,21 +20,26 @@ PANDAS_NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN"
                     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
+# RFC 4180 text: a quote inside a field is doubled, a field may hold line breaks
+CSV_TEXT = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """A2: header row, no index column; a folder of part files."""
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).options(header=True, quote='"', escape='"').csv(path)
     return path
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, na_tokens: Sequence[str] | None = None) -> DataFrame:
     """A1: CSV with header and an explicit schema (no inference), failing fast on bad rows.
+    Text may hold quotes and line breaks, so one file is read by one task: write many files.
 
     ``na_tokens``: text values to read as null (string columns), like pandas' NA list.
     String columns are read as text first so the tokens can be matched, then cast."""
     if not na_tokens:
-        return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+        return spark.read.schema(schema).options(**CSV_TEXT).option("mode", "FAILFAST").csv(path)
     as_text = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
-    raw = spark.read.schema(as_text).option("header", True).option("mode", "FAILFAST").csv(path)
+    raw = spark.read.schema(as_text).options(**CSV_TEXT).option("mode", "FAILFAST").csv(path)
     toks = list(na_tokens)
     cols = [
         F.when(F.col(f.name).isin(toks), F.lit(None)).otherwise(F.col(f.name)).cast(f.dataType).alias(f.name)
@@ -50,18 +55,26 @@ def append_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 def append_new(spark: SparkSession, df: DataFrame, path: str, key: str, fmt: str = "parquet") -> int:
     """A3 idempotent variant: append only rows whose key is not in the table yet
-    (``left_anti`` on the key); returns the number of new rows.
+    (``left_anti`` on the key); returns the number of new rows.  Null keys are an error, a key
+    that the batch repeats is appended once; any failure but a missing table is raised.
 
     The new rows are staged in the shared folder first, so the append copies stored rows:
     a task retried during the append never re-evaluates the anti-join against a table
     that is being written."""
+    from pyspark.errors import AnalysisException
+
     from retentia.session import work_dir
 
+    if df.where(F.col(key).isNull()).limit(1).count():
+        raise ValueError(f"append_new: null {key}")
+    new = df.dropDuplicates([key])
     try:
-        existing = spark.read.format(fmt).load(path).select(key)
-        new = df.join(existing, key, "left_anti")
-    except Exception:  # table folder does not exist yet
-        new = df
+        existing = spark.read.format(fmt).load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        new = new.join(existing.select(key).distinct(), key, "left_anti")
     stage = work_dir(spark, "append-stage")
     new.write.format(fmt).save(stage)
     staged = spark.read.format(fmt).load(stage)

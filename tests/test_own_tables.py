@@ -60,3 +60,30 @@ def test_retrieve_and_recommend(spark, tables):
     final = {r["prediction_id"]: r for r in RC.final_attempt(RC.run_attempts(spark, base)).collect()}
     assert set(final) == {101, 102, 103}
     assert all(r["guardrail_reason"].startswith("(attempt ") for r in final.values())
+
+
+def test_csv_holds_any_text(spark, tmp_path):
+    import pandas as pd
+
+    from retentia.sources import io
+
+    rows = [(1, 'say ""hi"", "ok"'), (2, "two\nlines, \"quoted\""), (3, "back\\slash")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    path = io.write_csv(df, str(tmp_path / "own"))
+    assert sorted(map(tuple, io.read_csv(spark, path, df.schema).collect())) == rows
+    pd.DataFrame(rows, columns=["id", "text"]).to_csv(tmp_path / "pandas.csv", index=False)
+    assert sorted(map(tuple, io.read_csv(spark, str(tmp_path / "pandas.csv"), df.schema).collect())) == rows
+
+
+def test_append_new_dedups_and_rejects_null_keys(spark, tmp_path):
+    import pytest
+
+    from retentia.sources import io
+
+    path = str(tmp_path / "t")
+    batch = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "k long, v string")
+    assert [io.append_new(spark, batch, path, "k") for _ in range(2)] == [2, 0]
+    with pytest.raises(ValueError):
+        io.append_new(spark, spark.createDataFrame([(None, "x")], "k long, v string"), path, "k")
+    with pytest.raises(Exception):
+        io.append_new(spark, batch.withColumnRenamed("k", "other"), path, "other")
