@@ -18,7 +18,7 @@ from retentia.streaming import jobs as J
 
 
 def _requests(spark, sf_dir):
-    ev = J.file_stream(spark, sf_dir, "events.parquet", max_files_per_trigger=1)
+    ev = J.file_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet")
     return ev.select(F.col("event_id").alias("request_id"), F.col("user_id").alias("customer_id"), "ts", "event_type")
 
 
@@ -40,9 +40,10 @@ def stream_score(spark, sf_dir):
         P.scored_customers(spark, sf_dir).select("customer_id", "churn_probability", "predicted_label", "threshold_used"),
         "scored-customers",
     )
-    out = J.score_requests(_requests(spark, sf_dir).drop("ts", "event_type"), scored, PROXY_MODEL_VERSION)
+    requests = _requests(spark, sf_dir).drop("ts", "event_type")
     sink = work_dir(spark, "stream-score")
-    J.run_available_now(out, J.batch_sink(sink), work_dir(spark, "stream-score-ckpt"))
+    score = J.batch_sink(sink, lambda df, _: J.score_requests(df, scored, PROXY_MODEL_VERSION))
+    J.run_available_now(requests, score, work_dir(spark, "stream-score-ckpt"))
     log = J.read_sink(spark, sink)
     return log.select(
         "request_id", "customer_id", "status", r6("churn_probability").alias("churn_probability"), "predicted_label",
@@ -92,11 +93,8 @@ FROM events GROUP BY 1"""
     ),
 )
 def requests_per_minute(spark, sf_dir):
-    ev = _requests(spark, sf_dir)
-    agg = J.requests_per_minute(ev, "ts", F.col("event_type") == "error")
     sink = work_dir(spark, "stream-rpm")
-    J.run_available_now(agg, J.batch_sink(sink), work_dir(spark, "stream-rpm-ckpt"), output_mode="update")
-    out = J.latest_per_window(J.read_sink(spark, sink))
+    count = J.batch_sink(sink, lambda df, _: J.requests_per_minute(df, "ts", F.col("event_type") == "error"))
+    J.run_available_now(_requests(spark, sf_dir), count, work_dir(spark, "stream-rpm-ckpt"))
+    out = J.total_per_minute(J.read_sink(spark, sink))
     return out.select("minute", "requests", "failures", r6("failure_share").alias("failure_share"))
-
-

@@ -1,9 +1,12 @@
 """Structured Streaming jobs (S1-S3): the request-at-a-time endpoints of the original,
 rebuilt as streams.
 
-- Sources are file streams over Parquet folders; ``trigger(availableNow=True)`` drains
-  what is there in bounded micro-batches and stops (a continuous deployment uses a
-  processing-time trigger instead; the code is the same).
+- Sources are file streams over a Parquet file or a folder of part files;
+  ``trigger(availableNow=True)`` drains what is there and stops (a continuous deployment
+  uses a processing-time trigger instead; the code is the same).
+- No result depends on the order in which files arrive: scoring is per row, and throughput
+  writes mergeable counts per micro-batch which the reader sums, so a row that comes late
+  is counted in its minute and no watermark can drop it.
 - Sinks are ``foreachBatch`` writers that overwrite the folder of *their own batch id*:
   a micro-batch replayed after a failure rewrites the same folder, so the log holds
   every request exactly once (idempotent by batch, and the checkpoint records which
@@ -11,7 +14,8 @@ rebuilt as streams.
 - Static sides (scored customers, retrieved contexts) are written to the shared folder
   once before the stream starts, so a micro-batch joins a stored table instead of
   re-running the whole customer pipeline every batch.
-- Checkpoints live under the shared checkpoint folder (``retentia.session.work_dir``).
+- The caller names sink and checkpoint folders (on the shared storage); starting again with
+  the same two resumes where the last run stopped.
 """
 
 from __future__ import annotations
@@ -23,22 +27,17 @@ from pyspark.sql import functions as F
 
 from retentia.session import work_dir
 
-WATERMARK = "10 minutes"
-WINDOW = "1 minute"
 
-
-def file_stream(spark: SparkSession, folder: str, file_glob: str | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
-    """A Parquet file stream over ``folder`` (schema taken from the files present)."""
-    reader = spark.read
-    if file_glob:
-        reader = reader.option("pathGlobFilter", file_glob)
-    schema = reader.parquet(folder).schema
-    s = spark.readStream.schema(schema)
-    if file_glob:
-        s = s.option("pathGlobFilter", file_glob)
+def file_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """A Parquet file stream over ``path``, one file or a folder of part files (schema taken
+    from what is there).  ``max_files_per_trigger`` sizes the micro-batches; unset, a
+    micro-batch takes every new file, which is what a drain of many files wants."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    s = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files_per_trigger:
         s = s.option("maxFilesPerTrigger", max_files_per_trigger)
-    return s.parquet(folder)
+    # a one-name glob: the stream source takes a plain path for a folder, even if it is a file
+    return s.parquet(f"{folder}/{{{name}}}")
 
 
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -58,11 +57,10 @@ def batch_sink(path: str, transform: Callable[[DataFrame, int], DataFrame] | Non
     return write
 
 
-def run_available_now(stream: DataFrame, sink_fn, checkpoint: str, output_mode: str = "append") -> None:
+def run_available_now(stream: DataFrame, sink_fn, checkpoint: str) -> None:
     """Drain the source and stop; raises if the query failed."""
     q = (
-        stream.writeStream.outputMode(output_mode)
-        .foreachBatch(sink_fn)
+        stream.writeStream.foreachBatch(sink_fn)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -92,45 +90,25 @@ def score_requests(requests: DataFrame, scored: DataFrame, model_version: str) -
     )
 
 
-def utc_instant(ntz: F.Column) -> F.Column:
-    """The instant of a zone-less timestamp read as UTC wall clock, whatever the session
-    time zone (a plain cast would use the session zone and shift in DST gaps)."""
-    return F.make_timestamp(
-        F.year(ntz), F.month(ntz), F.dayofmonth(ntz), F.hour(ntz), F.minute(ntz), F.extract(F.lit("SECOND"), ntz), F.lit("UTC")
-    )
-
-
 def requests_per_minute(events: DataFrame, ts: str = "ts", failed: F.Column | None = None) -> DataFrame:
-    """S3 transformation: per one-minute tumbling window, requests, failures and failure
-    share; rows older than the watermark (10 minutes behind the newest seen) are dropped.
+    """S3 transformation of one micro-batch: requests and failures per minute, as partial
+    counts that ``total_per_minute`` adds up over the batches.  A null time counts under a
+    null minute.
 
-    ``ts`` may be zone-less (``timestamp_ntz``, as in the test tables): event time then is
-    its UTC reading, and ``minute`` is reported back as a zone-less timestamp."""
+    ``ts`` may be zone-less (``timestamp_ntz``, as in the test tables): ``minute`` then is
+    zone-less too and does not go through the session time zone."""
     failed = failed if failed is not None else F.lit(False)
     col = F.col(ts)
-    is_ntz = dict(events.dtypes).get(ts) == "timestamp_ntz"
-    x = events.select(
-        (utc_instant(col) if is_ntz else col).alias("_t"),
-        # minute of a zone-less value, kept zone-less (date_trunc would go through the session zone)
-        (F.make_timestamp_ntz(F.year(col), F.month(col), F.dayofmonth(col), F.hour(col), F.minute(col), F.lit(0))
-         if is_ntz else F.lit(None)).alias("_m"),
-        failed.alias("_failed"),
-    )
-    agg = x.withWatermark("_t", WATERMARK).groupBy(F.window("_t", WINDOW)).agg(
-        F.count(F.lit(1)).alias("requests"), F.count_if("_failed").alias("failures"), F.min("_m").alias("_m")
-    )
-    minute = F.col("_m") if is_ntz else F.col("window.start")
-    return agg.select(
-        minute.alias("minute"),
-        "requests",
-        "failures",
-        (F.col("failures") / F.col("requests")).alias("failure_share"),
+    if dict(events.dtypes).get(ts) == "timestamp_ntz":
+        minute = F.make_timestamp_ntz(F.year(col), F.month(col), F.dayofmonth(col), F.hour(col), F.minute(col), F.lit(0))
+    else:
+        minute = F.date_trunc("minute", col)
+    return events.groupBy(minute.alias("minute")).agg(
+        F.count(F.lit(1)).alias("requests"), F.count_if(failed).alias("failures")
     )
 
 
-def latest_per_window(sink: DataFrame, key: str = "minute") -> DataFrame:
-    """Update-mode output holds a window once per batch that changed it; the latest
-    emission is its final value (one aggregate, map-side combined)."""
-    others = [c for c in sink.columns if c not in (key, "batch_id")]
-    agg = sink.groupBy(key).agg(F.max_by(F.struct(*others), F.col("batch_id")).alias("_v"))
-    return agg.select(key, "_v.*")
+def total_per_minute(parts: DataFrame) -> DataFrame:
+    """The partial counts of all micro-batches added up, with the share of failures."""
+    t = parts.groupBy("minute").agg(F.sum("requests").alias("requests"), F.sum("failures").alias("failures"))
+    return t.withColumn("failure_share", F.col("failures") / F.col("requests"))

@@ -1,7 +1,8 @@
-"""Streaming scoring equals batch scoring; late rows past the watermark are dropped."""
+"""Streaming scoring equals batch scoring; the throughput counts every row, whatever the file layout."""
 
 import datetime as dt
 
+from conftest import SF001
 from pyspark.sql import functions as F
 
 from retentia.session import work_dir
@@ -15,33 +16,44 @@ def test_stream_scoring_equals_batch(spark):
     scored = spark.createDataFrame([(c, c / 10.0, int(c > 3), 0.35) for c in range(1, 6)],
                                    "customer_id bigint, churn_probability double, predicted_label int, threshold_used double")
     sink = work_dir(spark, "sink")
-    stream = J.score_requests(J.file_stream(spark, folder), scored, "v1")
-    J.run_available_now(stream, J.batch_sink(sink), work_dir(spark, "ckpt"))
+    score = J.batch_sink(sink, lambda df, _: J.score_requests(df, scored, "v1"))
+    J.run_available_now(J.file_stream(spark, folder), score, work_dir(spark, "ckpt"))
     got = J.read_sink(spark, sink).drop("batch_id")
     want = J.score_requests(req, scored, "v1")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
     assert got.where("status = 'not_found'").count() == req.where("customer_id not between 1 and 5").count()
 
 
-def test_watermark_drops_late_rows(spark):
-    folder = work_dir(spark, "events")
+def per_minute(spark, path, name, sink=None, ckpt=None, **options):
+    sink = sink or work_dir(spark, name)
+    count = J.batch_sink(sink, lambda df, _: J.requests_per_minute(df, "ts", F.col("event_type") == "error"))
+    J.run_available_now(J.file_stream(spark, path, **options), count, ckpt or work_dir(spark, f"{name}-ckpt"))
+    return {r["minute"]: (r["requests"], r["failures"]) for r in J.total_per_minute(J.read_sink(spark, sink)).collect()}
+
+
+def test_layout_and_order_of_files_do_not_matter(spark):
+    events = spark.read.parquet(f"{SF001}/events.parquet").select("ts", "event_type")
+    parts = work_dir(spark, "events-parts")
+    events.orderBy(F.xxhash64("ts")).repartition(4).write.parquet(parts)
+    whole = per_minute(spark, f"{SF001}/events.parquet", "rpm-file")
+    assert sum(n for n, _ in whole.values()) == events.count()
+    assert per_minute(spark, parts, "rpm-parts") == whole
+    assert per_minute(spark, parts, "rpm-one-by-one", max_files_per_trigger=1) == whole
+
+
+def test_late_rows_count_and_a_restart_resumes(spark):
+    folder, sink, ckpt = (work_dir(spark, n) for n in ("late", "late-sink", "late-ckpt"))
     t0 = dt.datetime(2024, 1, 1, 12, 0)
-    first = [(t0 + dt.timedelta(minutes=m), "view") for m in range(0, 31)]
-    filler = [(t0 + dt.timedelta(minutes=31), "view")]
-    late = [(t0 - dt.timedelta(hours=1), "error"), (t0 + dt.timedelta(minutes=25), "error")]
-    # Spark drops late input by the watermark of the batch before (so that chained stateful
-    # operators agree); the late file therefore comes two batches after the first
-    for name, rows in [("a", first), ("b", filler), ("c", late)]:
-        spark.createDataFrame(rows, "ts timestamp_ntz, event_type string").coalesce(1).write.parquet(f"{folder}/{name}")
-    schema = spark.read.parquet(f"{folder}/a").schema
-    ev = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(folder)
-    agg = J.requests_per_minute(ev, "ts", F.col("event_type") == "error")
-    sink = work_dir(spark, "rpm")
-    J.run_available_now(agg, J.batch_sink(sink), work_dir(spark, "rpm-ckpt"), output_mode="update")
-    out = {r["minute"]: (r["requests"], r["failures"]) for r in J.latest_per_window(J.read_sink(spark, sink)).collect()}
-    assert (t0 - dt.timedelta(hours=1)) not in out  # 1 hour late: dropped
-    assert out[t0 + dt.timedelta(minutes=25)] == (2, 1)  # within the watermark: counted
-    assert sum(v[0] for v in out.values()) == 33
+
+    def add(rows):
+        spark.createDataFrame(rows, "ts timestamp_ntz, event_type string").coalesce(1).write.mode("append").parquet(folder)
+
+    add([(t0 + dt.timedelta(minutes=m), "view") for m in range(31)])
+    assert len(per_minute(spark, folder, "late", sink, ckpt)) == 31
+    add([(t0 - dt.timedelta(days=1), "error"), (t0, "error"), (None, "view")])
+    out = per_minute(spark, folder, "late", sink, ckpt)  # same folders: only the new file is read
+    assert out[t0 - dt.timedelta(days=1)] == (1, 1) and out[t0] == (2, 1) and out[None] == (1, 0)
+    assert sum(n for n, _ in out.values()) == 34
 
 
 def test_minutes_do_not_depend_on_session_zone(spark):
@@ -52,11 +64,7 @@ def test_minutes_do_not_depend_on_session_zone(spark):
     old = spark.conf.get("spark.sql.session.timeZone")
     try:
         spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
-        ev = J.file_stream(spark, folder)
-        agg = J.requests_per_minute(ev, "ts", F.col("event_type") == "error")
-        sink = work_dir(spark, "dst-sink")
-        J.run_available_now(agg, J.batch_sink(sink), work_dir(spark, "dst-ckpt"), output_mode="update")
-        got = sorted((r["minute"], r["requests"]) for r in J.latest_per_window(J.read_sink(spark, sink)).collect())
+        got = sorted((m, n) for m, (n, _) in per_minute(spark, folder, "dst").items())
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert got == [(dt.datetime(2024, 3, 10, 2, 30), 1), (dt.datetime(2024, 3, 10, 2, 31), 1)]
