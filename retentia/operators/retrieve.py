@@ -129,7 +129,8 @@ def scoped_search(
 ) -> DataFrame:
     """J4 for many requests: each request ``(request_id, customer_id, top_k, ...)`` gets the
     ``top_k`` most similar rows of *its own* customer.  ``similarity()`` builds the score
-    from the joined columns of a candidate row and its request.
+    from the joined columns of a candidate row and its request.  ``k_max`` bounds what a
+    request may ask for; one that asks for more is an error, never a shorter answer.
 
     Returns one row per hit: request columns, candidate columns, ``similarity``, ``rank``.
     """
@@ -138,19 +139,21 @@ def scoped_search(
         "_salt",
         F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(F.col(id_col)), F.col("_salts"))).cast("int"),
     ).drop("_salts")
-    r = requests.join(hot, key, "left").withColumn(
+    too_many = F.raise_error(F.format_string(f"a request asks for %d hits, the limit is {k_max}", F.col(k_col).cast("long")))
+    r = requests.withColumn(k_col, F.when(F.col(k_col) > k_max, too_many.cast("int")).otherwise(F.col(k_col)))
+    r = r.join(hot, key, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
     ).drop("_salts")
     joined = r.join(c, [key, "_salt"], "inner").drop("_salt")
     scored = joined.withColumn("similarity", similarity())
-    # a literal bound (top_k <= 20 after validation) lets Spark plan WindowGroupLimit
+    # the literal bound lets Spark plan WindowGroupLimit
     top = top_k_per_key(scored, request_key, [F.col("similarity").desc(), F.col(id_col).asc()], k_max)
     return top.where(F.col("rank") <= F.col(k_col))
 
 
-def context_items(hits: DataFrame, group: str, k_max: int = 20) -> DataFrame:
-    """J5 input: per request, its hits as an array in rank order (at most ``top_k`` <= 20
-    entries, so the array is bounded)."""
+def context_items(hits: DataFrame, group: str) -> DataFrame:
+    """J5 input: per request, its hits as an array in rank order (``scoped_search`` bounds
+    them by its ``k_max``)."""
     item = F.struct("rank", "interaction_id", "interaction_type", "sentiment", "text", "similarity")
     return hits.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("context_items"))
 
