@@ -23,16 +23,16 @@ def rate(df: DataFrame, label: str = "churned") -> DataFrame:
 
 def value_counts(df: DataFrame, col: str, normalize: bool = False, name: str = "n") -> DataFrame:
     """Counts per value (nulls dropped, like the grouped counts it replaces);
-    ``normalize`` adds ``share = n / total``.  The total is a window over the small
-    grouped result (one row per distinct value)."""
+    most frequent first.  ``normalize`` adds ``share = n / total``; the
+    total is a scalar subquery, so the distinct values stay spread."""
     g = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias(name))
     if normalize:
-        g = g.withColumn("share", F.col(name) / F.sum(name).over(Window.partitionBy()))
-    return g
+        g = g.withColumn("share", F.col(name) / df.agg(F.count(col)).scalar())
+    return g.orderBy(F.col(name).desc(), F.col(col))
 
 
 def rate_by(df: DataFrame, by: str | Column, label: str = "churned", name: str | None = None) -> DataFrame:
-    """Mean of the label per category (null category dropped)."""
+    """Mean of the label per category (null category dropped), highest first."""
     key = F.col(by) if isinstance(by, str) else by
     key_name = name or (by if isinstance(by, str) else "category")
     return (
@@ -40,6 +40,7 @@ def rate_by(df: DataFrame, by: str | Column, label: str = "churned", name: str |
         .where(F.col(key_name).isNotNull())
         .groupBy(key_name)
         .agg(F.avg(label).alias("churn_rate"), F.count(F.lit(1)).alias("n"))
+        .orderBy(F.col("churn_rate").desc_nulls_last(), key_name)
     )
 
 
@@ -103,7 +104,8 @@ def exact_quantiles(long_df: DataFrame, group: str, value: str, probs: Mapping[s
 
 
 def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """D7 (numeric part): count, mean, std, min, quartiles, max; one row per column."""
+    """D7 (numeric part): count, mean, std, min, quartiles, max; one row per column.  A column
+    without values has count 0 and nulls."""
     long = _long(df, cols, "double")
     basic = long.groupBy("column").agg(
         F.count("value").alias("count"),
@@ -113,7 +115,7 @@ def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         F.max("value").alias("max"),
     )
     q = exact_quantiles(long, "column", "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    return basic.join(q, "column").select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+    return basic.join(q, "column", "left").select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def describe_dates(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -129,18 +131,19 @@ def describe_dates(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         F.date_from_unix_date(F.max("value").cast("int")).alias("max"),
     )
     q = exact_quantiles(long, "column", "value", {"q25_days": 0.25, "q50_days": 0.5, "q75_days": 0.75})
-    return basic.join(q, "column").select("column", "count", "mean_days", "min", "q25_days", "q50_days", "q75_days", "max")
+    return basic.join(q, "column", "left").select("column", "count", "mean_days", "min", "q25_days", "q50_days", "q75_days", "max")
 
 
 def describe_categorical(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """D7 (text part): count, unique, top (most frequent; smallest value on ties), freq."""
-    long = _long(df, cols, "string").where(F.col("value").isNotNull())
-    per_value = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    """D7 (text part): count, unique, top (most frequent; smallest value on ties), freq.  A
+    column without values has count and unique 0 and nulls."""
+    per_value = _long(df, cols, "string").groupBy("column", "value").agg(F.count("value").alias("n"))
+    known = F.col("value").isNotNull()
     return per_value.groupBy("column").agg(
         F.sum("n").alias("count"),
-        F.count(F.lit(1)).alias("unique"),
-        F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("top"),
-        F.max("n").alias("freq"),
+        F.count("value").alias("unique"),
+        F.min_by("value", F.when(known, F.struct(-F.col("n"), F.col("value")))).alias("top"),
+        F.max(F.when(known, F.col("n"))).alias("freq"),
     )
 
 
@@ -167,25 +170,26 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return one.select(F.explode(F.array(*cells)).alias("_c")).select("_c.*")
 
 
-def share_pivot(df: DataFrame, group: str, category: str, values: Sequence[str]) -> DataFrame:
+def share_pivot(df: DataFrame, group: str, category: str, values: Sequence[str], weight: str | None = None) -> DataFrame:
     """Share of each category within each group, wide (one column per given value;
-    absent cells null).  Null groups/categories are dropped first."""
-    counts = df.where(F.col(group).isNotNull() & F.col(category).isNotNull()).groupBy(group, category).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    absent cells null).  Null groups/categories are dropped first.  ``weight`` is a column of
+    counts when the rows are counted already."""
+    known = df.where(F.col(group).isNotNull() & F.col(category).isNotNull())
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = known.groupBy(group, category).agg(n.alias("n"))
     shares = counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(group)))
     return shares.groupBy(group).pivot(category, list(values)).agg(F.first("share"))
 
 
 def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers (most extreme values inside the fences) and the
-    outlier count per group."""
-    long = df.select(F.col(group), F.col(value).cast("double").alias("value"))
+    outlier count per group (nulls where a group has no values; rows without a group are dropped)."""
+    long = df.where(F.col(group).isNotNull()).select(F.col(group), F.col(value).cast("double").alias("value"))
     q = exact_quantiles(long, group, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     lo_f = F.col("q1") - F.lit(1.5) * F.col("iqr")
     hi_f = F.col("q3") + F.lit(1.5) * F.col("iqr")
-    x = long.join(F.broadcast(q), group)  # one row per group
+    x = long.join(q, group, "left")
     inside = (F.col("value") >= lo_f) & (F.col("value") <= hi_f)
     return x.groupBy(group).agg(
         F.first("q1").alias("q1"),
@@ -211,7 +215,7 @@ def per_key_ids(df: DataFrame, key: str, id_col: str) -> DataFrame:
 
 def deviation_from_expected(observed: DataFrame, key: str, expected: DataFrame) -> DataFrame:
     """Observed share per key next to the declared share; absolute deviation.
-    ``observed`` has ``key, n, share``; ``expected`` has ``key, expected_share``."""
-    return observed.join(F.broadcast(expected), key, "left").withColumn(
-        "abs_deviation", F.abs(F.col("share") - F.col("expected_share"))
-    )
+    ``observed`` has ``key, n, share``; ``expected`` has ``key, expected_share``.  A declared
+    key that never occurs has n and share 0, an undeclared one no expected share."""
+    d = observed.join(expected, key, "full").fillna(0, ["n", "share"])
+    return d.withColumn("abs_deviation", F.abs(F.col("share") - F.col("expected_share")))

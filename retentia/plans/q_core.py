@@ -437,10 +437,11 @@ GROUP BY churned"""
     ),
 )
 def sentiment_by_churn(spark, sf_dir):
-    inter = P.interactions_v(spark, sf_dir)
+    # counted per customer before the join: a customer costs it a few rows, whatever its history
+    inter = P.interactions_v(spark, sf_dir).groupBy("customer_id", "sentiment").agg(F.count(F.lit(1)).alias("_n"))
     cust = P.customers_v(spark, sf_dir).select("customer_id", "churned")
     merged = inter.join(cust, "customer_id", "left")
-    wide = PR.share_pivot(merged, "churned", "sentiment", S.SENTIMENTS)
+    wide = PR.share_pivot(merged, "churned", "sentiment", S.SENTIMENTS, weight="_n")
     return wide.select("churned", *[r6(s).alias(s) for s in S.SENTIMENTS])
 
 
@@ -563,10 +564,12 @@ EXPECTED_TYPE_SHARE = {"click": 0.2, "error": 0.2, "purchase": 0.2, "signup": 0.
     "D3 D20",
     q(
         """
-SELECT o.interaction_type, o.n, round(o.share, 6) AS share, e.expected_share,
-  round(abs(o.share - e.expected_share), 6) AS abs_deviation
-FROM (SELECT interaction_type, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM interactions_v GROUP BY interaction_type) o
-LEFT JOIN (VALUES """
+SELECT coalesce(o.interaction_type, e.interaction_type) AS interaction_type, coalesce(o.n, 0) AS n,
+  round(coalesce(o.share, 0), 6) AS share, e.expected_share,
+  round(abs(coalesce(o.share, 0) - e.expected_share), 6) AS abs_deviation
+FROM (SELECT interaction_type, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM interactions_v
+      WHERE interaction_type IS NOT NULL GROUP BY interaction_type) o
+FULL JOIN (VALUES """
         + ", ".join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in EXPECTED_TYPE_SHARE.items())
         + """) e(interaction_type, expected_share) ON o.interaction_type = e.interaction_type"""
     ),

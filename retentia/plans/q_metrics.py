@@ -204,11 +204,11 @@ def attempt_selection(spark, sf_dir):
     "ungrounded_amounts",
     "E6 F3 J8",
     q(
-        """SELECT r.prediction_id, CAST(count(*) AS BIGINT) AS n_claimed,
-  CAST(count(*) FILTER (WHERE g.amount IS NULL) AS BIGINT) AS n_ungrounded,
-  coalesce(array_to_string(list_sort(list(c.amount) FILTER (WHERE g.amount IS NULL)), ','), '') AS ungrounded
+        """SELECT r.prediction_id, CAST(count(c.amount) AS BIGINT) AS n_claimed,
+  CAST(count(c.amount) FILTER (WHERE g.amount IS NULL) AS BIGINT) AS n_ungrounded,
+  coalesce(array_to_string(list_sort(list(c.amount) FILTER (WHERE c.amount IS NOT NULL AND g.amount IS NULL)), ','), '') AS ungrounded
 FROM recs_v r
-JOIN (SELECT DISTINCT prediction_id, customer_id, unnest(regexp_extract_all(recommendation_text, '\\$\\d+(?:\\.\\d{2})?')) AS amount FROM recs_v) c
+LEFT JOIN (SELECT DISTINCT prediction_id, customer_id, unnest(regexp_extract_all(recommendation_text, '\\$\\d+(?:\\.\\d{2})?')) AS amount FROM recs_v) c
   ON r.prediction_id = c.prediction_id
 LEFT JOIN (SELECT DISTINCT customer_id, unnest(regexp_extract_all(text, '\\$\\d+(?:\\.\\d{2})?')) AS amount FROM interactions_v) g
   ON c.customer_id = g.customer_id AND c.amount = g.amount
@@ -217,10 +217,10 @@ GROUP BY r.prediction_id"""
 )
 def ungrounded_amounts(spark, sf_dir):
     """Per recommendation, the claimed amounts not found in any of its customer's
-    interactions.  The history side is reduced to distinct (customer, amount) pairs and
+    interactions (a recommendation that names no amount has zero counts).  The history side is reduced to distinct (customer, amount) pairs and
     anti-joined, so a customer with a huge history never becomes one array in one task."""
     recs = P.recs_v(spark, sf_dir)
-    claimed = recs.select("prediction_id", "customer_id", F.explode(X.dollar_amounts("recommendation_text")).alias("amount"))
+    claimed = recs.select("prediction_id", "customer_id", F.explode_outer(X.dollar_amounts("recommendation_text")).alias("amount"))
     hist = (
         P.interactions_v(spark, sf_dir)
         .select("customer_id", F.explode(X.dollar_amounts("text")).alias("amount"))
@@ -228,12 +228,11 @@ def ungrounded_amounts(spark, sf_dir):
         .withColumn("_seen", F.lit(True))
     )
     j = claimed.join(hist, ["customer_id", "amount"], "left")
+    missing = F.when(F.col("_seen").isNull(), F.col("amount"))
     return j.groupBy("prediction_id").agg(
-        F.count(F.lit(1)).alias("n_claimed"),
-        F.count_if(F.col("_seen").isNull()).alias("n_ungrounded"),
-        F.array_join(ungrounded(F.collect_list(F.when(F.col("_seen").isNull(), F.col("amount"))), F.array().cast("array<string>")), ",").alias(
-            "ungrounded"
-        ),
+        F.count("amount").alias("n_claimed"),
+        F.count(missing).alias("n_ungrounded"),
+        F.array_join(ungrounded(F.collect_list(missing), F.array().cast("array<string>")), ",").alias("ungrounded"),
     )
 
 

@@ -262,4 +262,5 @@ def prediction_history(spark, sf_dir):
 )
 def customers_without_history(spark, sf_dir):
     c = P.customers_v(spark, sf_dir).select("customer_id", "tenure_months")
-    return c.join(P.interactions_v(spark, sf_dir).select("customer_id"), "customer_id", "left_anti")
+    # distinct first: the anti-join cannot split a hot key on its build side
+    return c.join(P.interactions_v(spark, sf_dir).select("customer_id").distinct(), "customer_id", "left_anti")
