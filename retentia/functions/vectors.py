@@ -42,9 +42,12 @@ def _c(x) -> Column:
 
 
 def dot(a, b) -> Column:
-    """Inner product in double precision (elements cast before multiplying)."""
+    """Inner product in double precision (elements cast before multiplying); vectors of unequal
+    length are an error."""
+    unequal = F.raise_error(F.lit("inner product of vectors of unequal length")).cast("double")
     prods = F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(prods, F.lit(0.0).cast("double"), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
+    total = F.aggregate(prods, F.lit(0.0).cast("double"), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
+    return F.when(F.size(_c(a)) != F.size(_c(b)), unequal).otherwise(total)
 
 
 def dot_literal(a, q: Sequence[float]) -> Column:

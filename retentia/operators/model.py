@@ -12,8 +12,10 @@ MLlib's evaluators do not compute (its ``areaUnderPR`` is a trapezoid area).
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
@@ -54,21 +56,22 @@ IGNORED_PARAMS = ["reg_lambda", "reg_alpha"]
 
 def hash_key(id_col: str, seed: int = SEED) -> F.Column:
     """Deterministic pseudo-random key per id: ``(id mod 2^31) * 2654435761 + seed`` mod 2^32.
-    Unique for ids below 2^31, computable in any SQL engine, independent of partitioning."""
+    Unique for ids below 2^31 (larger ones may tie: order by the id after it), computable in
+    any SQL engine, independent of partitioning."""
     return F.pmod(F.pmod(F.col(id_col), F.lit(TWO_31)) * F.lit(HASH_MULTIPLIER) + F.lit(seed), F.lit(TWO_32))
 
 
 def stratified_split(
     df: DataFrame, label: str, id_col: str, test_frac: float = 0.2, n_folds: int = SEARCH_FOLDS, seed: int = SEED
 ) -> DataFrame:
-    """Per label, the ``round(test_frac * n_label)`` rows with the smallest hash key are
-    the test split (exact stratification); the other rows get ``fold`` 0..n_folds-1 by their
+    """Per label, the ``round(test_frac * n_label)`` rows with the smallest (hash key, id)
+    are the test split (exact stratification); the other rows get ``fold`` 0..n_folds-1 by their
     rank, so the search folds are stratified too.
 
     The per-label rank is a distributed running count (``running_totals`` grouped by label:
     value-range buckets, bounded offset table), never a one-task window."""
     x = df.withColumn("_h", hash_key(id_col, seed)).withColumn("_one", F.lit(1))
-    ranked = running_totals(x, "_h", ["_one"], groups=[label], prefix="_rank")
+    ranked = running_totals(x, "_h", ["_one"], groups=[label], prefix="_rank", ties=[id_col])
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))  # one row per label
     n_test = F.floor(F.col("_n") * F.lit(float(test_frac)) + F.lit(0.5))
     out = ranked.join(F.broadcast(sizes), label).withColumn("is_test", F.col("_rank_one") <= n_test)
@@ -134,12 +137,15 @@ def map_params(p: dict) -> dict:
 
 
 def sample_params(n_draws: int = SEARCH_DRAWS, seed: int = SEED, max_trees: int | None = None) -> list[dict]:
-    """Seeded random draws from the original distributions (``max_trees`` caps the tree
-    count for a reduced compute budget)."""
+    """Seeded random draws, all different, from the original distributions (``max_trees`` caps
+    the tree count for a reduced compute budget)."""
     rng = random.Random(seed)
     draws = []
-    for _ in range(n_draws):
-        d = {k: rng.choice(v) for k, v in PARAM_DISTRIBUTIONS.items()}
+    for number in rng.sample(range(math.prod(map(len, PARAM_DISTRIBUTIONS.values()))), n_draws):
+        d = {}
+        for k, v in PARAM_DISTRIBUTIONS.items():
+            number, i = divmod(number, len(v))
+            d[k] = v[i]
         if max_trees:
             d["n_estimators"] = min(int(d["n_estimators"]), int(max_trees))
         draws.append(d)
@@ -213,6 +219,16 @@ def fit_pipeline(train: DataFrame, label: str = S.LABEL_COLUMN, **gbt_params) ->
     return Pipeline(stages=[*encoder_stages(), gbt(label, **gbt_params)]).fit(train)
 
 
+def out_of_fold_scores(train: DataFrame, label: str = S.LABEL_COLUMN, fold_col: str = "fold", **gbt_params) -> DataFrame:
+    """Every training row scored by a model that was fitted without its fold."""
+    n_folds = int(train.agg(F.max(fold_col)).first()[0]) + 1
+    parts = []
+    for i in range(n_folds):
+        model = fit_pipeline(train.where(F.col(fold_col) != i), label, **gbt_params)
+        parts.append(positive_proba(model.transform(train.where(F.col(fold_col) == i))).select(*train.columns, "y_proba"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def evaluation_rows(scored: DataFrame, threshold: float, label: str = S.LABEL_COLUMN) -> dict:
     """I8: precision/recall/F1/confusion at a threshold, plus ROC-AUC (one pass each)."""
     s = scored.select(F.col(label).cast("int").alias("y"), "y_proba")

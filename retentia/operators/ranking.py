@@ -22,8 +22,10 @@ MAX_BUCKETS = 65536
 
 
 def _n_buckets(df: DataFrame, n_buckets: int | None) -> int:
-    if n_buckets:
-        return max(1, min(int(n_buckets), MAX_BUCKETS))
+    if n_buckets is not None and not 1 <= int(n_buckets) <= MAX_BUCKETS:
+        raise ValueError(f"n_buckets must be between 1 and {MAX_BUCKETS}, got {n_buckets}")
+    if n_buckets is not None:
+        return int(n_buckets)
     return max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_BUCKETS))
 
 
@@ -49,7 +51,10 @@ def bucket_edges(df: DataFrame, order_col: str, n_buckets: int) -> list[float]:
 
 def bucketize(df: DataFrame, order_col: str, edges: Sequence[float], out_col: str = "_bucket") -> DataFrame:
     """Bucket id = position of the value among the edges, by binary search in the JVM
-    (MLlib ``Bucketizer``); monotone in the value, so every bucket is a value range."""
+    (MLlib ``Bucketizer``); monotone in the value, so every bucket is a value range.  Without
+    edges (no values at all, or one bucket) every row is in bucket 0."""
+    if not edges:
+        return df.withColumn(out_col, F.lit(0))
     from pyspark.ml.feature import Bucketizer
 
     splits = [float("-inf"), *edges, float("inf")]
@@ -67,11 +72,13 @@ def running_totals(
     n_buckets: int | None = None,
     prefix: str = "cum_",
     edges: Sequence[float] | None = None,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``cum_<c>`` = sum of ``c`` over all rows at or before each row in the order of
-    ``order_col`` (within ``groups``).  ``order_col`` must be unique per group and not null (aggregate
-    ties and drop unknown values first): the totals then are independent of how ties
-    would be broken.
+    ``order_col`` (within ``groups``).  ``order_col``, followed by the ``ties`` columns, must be unique per
+    group, and ``order_col`` not null (aggregate ties and drop unknown values first): the totals
+    then do not depend on the partitioning.  Rows equal in ``order_col`` share a bucket, so
+    ``ties`` only order rows inside one.
 
     Buckets are value ranges of ``order_col`` over all rows (global quantiles), so each
     bucket holds about ``n / n_buckets`` rows whatever the groups are; ``groups`` only
@@ -91,7 +98,7 @@ def running_totals(
     )
     x = x.join(F.broadcast(offsets), [*groups, "_bucket"], "left")
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    w = Window.partitionBy(*groups, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(*groups, "_bucket").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for c in sum_cols:
         x = x.withColumn(f"{prefix}{c}", F.coalesce(F.col(f"_off_{c}"), F.lit(0)) + F.sum(c).over(w))
     return x.drop("_bucket", *[f"_off_{c}" for c in sum_cols])
