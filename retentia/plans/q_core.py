@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from retentia import schemas as S
@@ -491,12 +492,12 @@ SELECT check_name, round(observed, 6) AS observed, observed > 0 AS passed FROM (
     - (SELECT max(r) FROM (SELECT avg(churned) AS r FROM customers_v WHERE contract_type <> '{m2m}' GROUP BY contract_type)) AS observed
   UNION ALL
   SELECT 'tenure_decreasing',
-    (SELECT arg_min(r, b) FROM (SELECT {ten} AS b, avg(churned) AS r FROM customers_v WHERE {ten} IS NOT NULL GROUP BY 1))
-    - (SELECT arg_max(r, b) FROM (SELECT {ten} AS b, avg(churned) AS r FROM customers_v WHERE {ten} IS NOT NULL GROUP BY 1))
+    (SELECT min(prev - r) FROM (SELECT r, lag(r) OVER (ORDER BY b) AS prev FROM
+      (SELECT {ten} AS b, avg(churned) AS r FROM customers_v WHERE {ten} IS NOT NULL GROUP BY 1)))
   UNION ALL
   SELECT 'tickets_increasing',
-    (SELECT arg_max(r, b) FROM (SELECT {tik} AS b, avg(churned) AS r FROM customers_v WHERE {tik} IS NOT NULL GROUP BY 1))
-    - (SELECT arg_min(r, b) FROM (SELECT {tik} AS b, avg(churned) AS r FROM customers_v WHERE {tik} IS NOT NULL GROUP BY 1))
+    (SELECT min(r - prev) FROM (SELECT r, lag(r) OVER (ORDER BY b) AS prev FROM
+      (SELECT {tik} AS b, avg(churned) AS r FROM customers_v WHERE {tik} IS NOT NULL GROUP BY 1)))
   UNION ALL
   SELECT 'electronic_check_highest',
     (SELECT avg(churned) FROM customers_v WHERE payment_method = '{ech}')
@@ -515,44 +516,40 @@ SELECT check_name, round(observed, 6) AS observed, observed > 0 AS passed FROM (
 
 @query("design_audit", "D19", _design_audit_sql())
 def design_audit(spark, sf_dir):
+    """Per declared property of the data, the observed difference and whether it has the declared sign.
+    Monotone checks give the smallest step between neighbouring bins."""
     c = D.add_bins(P.customers_v(spark, sf_dir))
-    m2m = P.SCORECARD_PROXY["month_to_month"]
-    ech = P.SCORECARD_PROXY["electronic_check"]
-    # every statistic comes from one grouped pass per dimension, then one row is assembled
-    by_contract = PR.rate_by(c, "contract_type").agg(
-        (F.max(F.when(F.col("contract_type") == m2m, F.col("churn_rate"))) - F.max(F.when(F.col("contract_type") != m2m, F.col("churn_rate")))).alias("v")
-    )
-    by_pay = PR.rate_by(c, "payment_method").agg(
-        (F.max(F.when(F.col("payment_method") == ech, F.col("churn_rate"))) - F.max(F.when(F.col("payment_method") != ech, F.col("churn_rate")))).alias("v")
-    )
-    ten = PR.rate_by_bin(c, "tenure_bucket", "tenure_bucket_idx").agg(
-        (F.min_by("churn_rate", "tenure_bucket_idx") - F.max_by("churn_rate", "tenure_bucket_idx")).alias("v")
+    dims = {
+        "month_to_month_highest": "contract_type",
+        "tenure_decreasing": "tenure_bucket_idx",
+        "tickets_increasing": "ticket_bucket_idx",
+        "electronic_check_highest": "payment_method",
+        "tech_support_reduces": "tech_support",
+        "online_security_reduces": "online_security",
+    }
+    # one scan counts the cells of all dimensions; every rate comes from those few rows
+    cells = c.groupBy(*dims.values()).agg(F.sum("churned").alias("s"), F.count("churned").alias("n"))
+    pairs = F.array(*[F.struct(F.lit(k).alias("check_name"), F.col(v).cast("string").alias("value")) for k, v in dims.items()])
+    long = cells.select(F.explode(pairs).alias("p"), "s", "n").select("p.*", "s", "n").where("value IS NOT NULL")
+    rate = long.groupBy("check_name", "value").agg((F.sum("s") / F.sum("n")).alias("r"))
+    step = F.col("r") - F.lag("r").over(Window.partitionBy("check_name").orderBy(F.expr("try_cast(value AS int)"), "value"))
+
+    def highest(value):
+        return F.max(F.when(F.col("value") == value, F.col("r"))) - F.max(F.when(F.col("value") != value, F.col("r")))
+
+    no_yes = F.max(F.when(F.col("value") == "No", F.col("r"))) - F.max(F.when(F.col("value") == "Yes", F.col("r")))
+    name = F.col("check_name")
+    v = (
+        F.when(name == "month_to_month_highest", highest(P.SCORECARD_PROXY["month_to_month"]))
+        .when(name == "electronic_check_highest", highest(P.SCORECARD_PROXY["electronic_check"]))
+        .when(name == "tenure_decreasing", -F.max("step"))
+        .when(name == "tickets_increasing", F.min("step"))
+        .otherwise(no_yes)
     )
-    tik = PR.rate_by_bin(c, "ticket_bucket", "ticket_bucket_idx").agg(
-        (F.max_by("churn_rate", "ticket_bucket_idx") - F.min_by("churn_rate", "ticket_bucket_idx")).alias("v")
-    )
-    flags = PR.rate_by_flags(c, ["tech_support", "online_security"])
-    ts = flags.where(F.col("flag") == "tech_support").agg(
-        (F.max(F.when(F.col("value") == "No", F.col("churn_rate"))) - F.max(F.when(F.col("value") == "Yes", F.col("churn_rate")))).alias("v")
-    )
-    osec = flags.where(F.col("flag") == "online_security").agg(
-        (F.max(F.when(F.col("value") == "No", F.col("churn_rate"))) - F.max(F.when(F.col("value") == "Yes", F.col("churn_rate")))).alias("v")
-    )
-    sat = c.agg((-F.corr("avg_satisfaction_score", "churned")).alias("v"))
-    named = [
-        ("month_to_month_highest", by_contract),
-        ("tenure_decreasing", ten),
-        ("tickets_increasing", tik),
-        ("electronic_check_highest", by_pay),
-        ("tech_support_reduces", ts),
-        ("online_security_reduces", osec),
-        ("satisfaction_inverse", sat),
-    ]
-    out = None
-    for name, df in named:
-        row = df.select(F.lit(name).alias("check_name"), r6("v").alias("observed"), (F.col("v") > 0).alias("passed"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    got = rate.withColumn("step", step).groupBy("check_name").agg(v.alias("v"))
+    got = got.unionByName(c.agg((-F.corr("avg_satisfaction_score", "churned")).alias("v")).withColumn("check_name", F.lit("satisfaction_inverse")))
+    checks = spark.createDataFrame([(k,) for k in [*dims, "satisfaction_inverse"]], "check_name string")
+    return checks.join(got, "check_name", "left").select("check_name", r6("v").alias("observed"), (F.col("v") > 0).alias("passed"))
 
 
 # Declared share of each event type in the proxy interaction table
