@@ -22,10 +22,10 @@ PROXY_MODEL_VERSION = "scorecard-proxy-v1"
 ORPHAN_KEY_FACTOR = 11
 
 
-def predictions_log(spark, sf_dir):
-    """A10 rows (not yet written): dense prediction ids over the scored customers."""
+def predictions_log(spark, sf_dir, start=1):
+    """A10 rows (not yet written): dense prediction ids from ``start`` over the scored customers."""
     scored = P.scored_customers(spark, sf_dir).select("customer_id", "churn_probability", "predicted_label", "threshold_used")
-    ids = dense_ids(scored, ["customer_id"], "prediction_id")
+    ids = dense_ids(scored, ["customer_id"], "prediction_id", start)
     return ids.select(
         "prediction_id",
         "customer_id",
@@ -199,7 +199,7 @@ def constraint_report(spark, sf_dir):
 )
 def prediction_log(spark, sf_dir):
     path = work_dir(spark, "predictions")
-    IO.append_table(predictions_log(spark, sf_dir), path)
+    IO.append_table(predictions_log(spark, sf_dir, IO.next_id(spark, path, "prediction_id")), path)
     log = spark.read.parquet(path)
     return log.select(
         "prediction_id", "customer_id", r6("churn_probability").alias("churn_probability"), "predicted_label", "threshold_used",

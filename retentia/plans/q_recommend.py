@@ -241,10 +241,11 @@ def recommend_with_retry(spark, sf_dir):
     return a.select("prediction_id", F.col("attempt").cast("int").alias("attempt"), "recommendation_text", "passed_guardrails", "guardrail_reason")
 
 
-def recommend_job(spark, sf_dir):
-    """Every at-risk prediction -> context -> text -> guardrails (with retry) -> log rows."""
+def recommend_job(spark, sf_dir, start=1):
+    """Every at-risk prediction -> context -> text -> guardrails (with retry) -> log rows,
+    with ids from ``start``."""
     final = RC.final_attempt(_attempts(spark, sf_dir))
-    with_ids = dense_ids(final, ["prediction_id"], "recommendation_id")
+    with_ids = dense_ids(final, ["prediction_id"], "recommendation_id", start)
     return with_ids.select(
         "recommendation_id",
         "prediction_id",
@@ -265,7 +266,7 @@ JOB_SQL = f"""SELECT row_number() OVER (ORDER BY prediction_id) AS recommendatio
 @query("recommend_job", "J12 A11 C2 C3", q(JOB_SQL, *JOB_CTES, *ATTEMPTS_SQL))
 def recommend_job_query(spark, sf_dir):
     path = work_dir(spark, "recommendations")
-    IO.append_table(recommend_job(spark, sf_dir), path)
+    IO.append_table(recommend_job(spark, sf_dir, IO.next_id(spark, path, "recommendation_id")), path)
     return spark.read.parquet(path)
 
 
@@ -274,25 +275,30 @@ def recommend_job_query(spark, sf_dir):
 # ---------------------------------------------------------------------------
 def recommendation_log_table(spark, sf_dir):
     """An append-only log with re-requests: run 1 logs every recommendation (whether or
-    not it passed), run 2 re-requests the ones that failed.  Ids are dense in
-    (prediction, run) order.  Written to the shared folder and read back."""
+    not it passed), run 2 re-requests the ones that failed.  Each run's ids go on from the
+    log's largest, in prediction order, and are stored with the row, so an append changes
+    no id.  Written to the shared folder and read back."""
     checked = RC.guardrail_chain(recs_with_context(spark, sf_dir)).select(
         "prediction_id", "recommendation_text", "passed_guardrails", "guardrail_reason"
     )
     path = work_dir(spark, "recommendation-log")
-    IO.append_table(checked.withColumn("run", F.lit(1)), path)
-    retry = spark.read.parquet(path).where(~F.col("passed_guardrails")).withColumn("run", F.lit(2))
+    _append_run(spark, checked, path, 1)
+    failed = spark.read.parquet(path).where(~F.col("passed_guardrails")).select(*checked.columns)
     # written out before the append below, so the log is never read while it grows
     retry_path = work_dir(spark, "recommendation-retry")
-    retry.write.parquet(retry_path)
-    IO.append_table(spark.read.parquet(retry_path), path)
-    log = spark.read.parquet(path).withColumn("_k", F.col("prediction_id") * 2 + F.col("run") - 1)
-    return dense_ids(log, ["_k"], "recommendation_id").drop("_k")
+    failed.write.parquet(retry_path)
+    _append_run(spark, spark.read.parquet(retry_path), path, 2)
+    return spark.read.parquet(path)
+
+
+def _append_run(spark, rows, path, run):
+    start = IO.next_id(spark, path, "recommendation_id")
+    IO.append_table(dense_ids(rows.withColumn("run", F.lit(run)), ["prediction_id"], "recommendation_id", start), path)
 
 
 LOG_SQL = (
     "rlog",
-    f"""SELECT row_number() OVER (ORDER BY prediction_id, run) AS recommendation_id, * FROM (
+    f"""SELECT row_number() OVER (ORDER BY run, prediction_id) AS recommendation_id, * FROM (
   SELECT prediction_id, {_RP} AS passed_guardrails, 1 AS run FROM rc
   UNION ALL SELECT prediction_id, {_RP}, 2 FROM rc WHERE NOT {_RP})""",
 )
@@ -343,7 +349,7 @@ FROM predictions p LEFT JOIN job j ON p.prediction_id = j.prediction_id""",
 def prediction_with_recommendation(spark, sf_dir):
     preds = predictions_log(spark, sf_dir).select("prediction_id", "customer_id", "predicted_label")
     path = work_dir(spark, "recommendations")
-    IO.append_table(recommend_job(spark, sf_dir), path)
+    IO.append_table(recommend_job(spark, sf_dir, IO.next_id(spark, path, "recommendation_id")), path)
     log = spark.read.parquet(path).select("prediction_id", "recommendation_id", "passed_guardrails")
     latest = Q.latest_per_key(log, "prediction_id", "recommendation_id")
     return preds.join(latest, "prediction_id", "left").select(

@@ -53,6 +53,20 @@ def append_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("append").format(fmt).save(path)
 
 
+def next_id(spark: SparkSession, path: str, id_col: str, fmt: str = "parquet") -> int:
+    """The id after the largest one in the log, 1 where there is no log yet.  Two
+    appends to one log must not run at the same time: they would draw the same ids."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        log = spark.read.format(fmt).load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 1
+    return (log.agg(F.max(id_col).alias("m")).first()["m"] or 0) + 1
+
+
 def append_new(spark: SparkSession, df: DataFrame, path: str, key: str, fmt: str = "parquet") -> int:
     """A3 idempotent variant: append only rows whose key is not in the table yet
     (``left_anti`` on the key); returns the number of new rows.  Null keys are an error, a key

@@ -1,5 +1,7 @@
 """CSV round trip with NA tokens, idempotent load, keys, references, constraints."""
 
+import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from retentia.operators import quality as Q
@@ -114,3 +116,24 @@ def test_gap_ids_unique(spark):
     df = spark.range(1000).repartition(7)
     ids = gap_ids(df, "rid", start=5)
     assert ids.select("rid").distinct().count() == 1000 and ids.agg({"rid": "min"}).first()[0] >= 5
+
+
+def test_ids_continue_from_the_log_and_stay(spark, tmp_path):
+    from retentia.operators.ranking import dense_ids
+
+    path = str(tmp_path / "log")
+    batch = spark.createDataFrame([(i * 7,) for i in range(10)], "k long")
+    assert IO.next_id(spark, path, "id") == 1
+    IO.append_table(dense_ids(batch, ["k"], "id", IO.next_id(spark, path, "id")).withColumn("run", F.lit(1)), path)
+    first = {(r["k"], r["id"]) for r in spark.read.parquet(path).collect()}
+    IO.append_table(dense_ids(batch, ["k"], "id", IO.next_id(spark, path, "id")).withColumn("run", F.lit(2)), path)
+    rows = spark.read.parquet(path).collect()
+    assert sorted(r["id"] for r in rows) == list(range(1, 21))
+    assert {(r["k"], r["id"]) for r in rows if r["run"] == 1} == first
+
+
+def test_next_id_raises_what_is_no_missing_log(spark, tmp_path):
+    path = str(tmp_path / "log")
+    spark.createDataFrame([(1,)], "other long").write.parquet(path)
+    with pytest.raises(Exception, match="id"):
+        IO.next_id(spark, path, "id")
