@@ -27,9 +27,9 @@ per class, and only those of a spanning forest are emitted, so a group of m near
 gives fewer than m of them a block pair.  (4) Components of the links.
 
 Cases: null texts and texts without words have the empty set and link with nothing.  Fewer than
-n words: the whole sequence is the one shingle.  Rows that share an id are rows of one document.
-A null id takes part, but a component's id is the smallest one that is not null.  Empty tables give
-empty results.
+n words: the whole sequence is the one shingle.  Every row counts by its own set, also where rows
+share an id.  A null id takes part like any other (a class is known by its fingerprint and one of its
+rows), but a component's id is the smallest one that is not null.  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentia.llm.common import partitions, query, stored, sub_batches, table
@@ -133,7 +133,8 @@ def find_shared(src: DataFrame, n: int, total: int) -> Shared:
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c)], names=["h", "c"])
 
     share = min(1.0, HOT_SAMPLE / max(1, total))
-    sample = src.where(F.pmod(F.xxhash64(F.lit(61), "id"), F.lit(1_000_003)) < F.lit(share * 1_000_003))
+    # by the row, not the id alone: rows that share an id or have none are sampled one by one
+    sample = src.where(F.pmod(F.xxhash64(F.lit(61), "k"), F.lit(1_000_003)) < F.lit(share * 1_000_003))
     rows = sample.mapInArrow(count_sets, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= HOT_FROM)
     return Shared([r["h"] for r in rows.orderBy(F.col("c").desc(), "h").limit(HOT_LIST).select("h").collect()])
 
@@ -323,20 +324,21 @@ def link_block(ids: np.ndarray, sets: list[np.ndarray], first_half: np.ndarray,
     return links, degree
 
 
-def join_components(docs: DataFrame, key: str, text: str, n: int, num: int, den: int, count: bool = True) -> DataFrame:
-    """Per row: key, n_shingles, component_id, class_id (smallest key with the same set), links
-    (the other classes its class links with; without ``count`` null)."""
+def find_components(docs: DataFrame, key: str, text: str, row: Column, n: int, num: int, den: int, count: bool) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): per row id, k (``row``, a hash that equal rows share), n and f (size and
+    fingerprint of its set); per class f, its first row (id, k), the first row (low_id, low_k) of its
+    component and links.  Rows are ordered by id, nulls last, and k."""
     spark = docs.sparkSession
     bands = Bands(num, den)
-    src = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
+    src = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"), row.alias("k"))
 
     def reduce_sets(batches):
         for batch in batches:
             for part in sub_batches(batch, "t", CHUNK):
                 sets = shingle_sets(part.column(1), n)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64())], names=["id", "n", "f"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64())], names=["id", "k", "n", "f"])
 
-    rows = stored(src.mapInArrow(reduce_sets, "id long, n long, f long"), "jaccard-sets")
+    rows = stored(src.mapInArrow(reduce_sets, "id long, k long, n long, f long"), "jaccard-sets")
     size = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("rows")).first()
     parts = partitions(spark, size["n"] // SIGNATURES_PER_PARTITION)
     hot = spark.sparkContext.broadcast(find_shared(src, n, size["rows"]))
@@ -363,25 +365,32 @@ def join_components(docs: DataFrame, key: str, text: str, n: int, num: int, den:
         a, b = tie([pickle.loads(x.as_py()) for x in t["b"]])
         return pa.table({"a": a, "b": b})
 
-    ties = src.mapInArrow(send, "p int, b binary").groupBy("p").applyInArrow(meet, "a long, b long").distinct()
+    ties = src.select("id", "t").mapInArrow(send, "p int, b binary").groupBy("p").applyInArrow(meet, "a long, b long").distinct()
     clusters = components(ties, "jaccard-ties")
     sizes = clusters.groupBy("root").agg(F.count("*").alias("m"))
     blocks = F.ceil(F.col("m") / BLOCK_SETS).cast("int")
     members = clusters.join(sizes, "root").select(F.col("node").alias("f"), "root", blocks.alias("nb"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("i"))
-    # one document stands for a class; its set is made again from its text
-    first = rows.where("id IS NOT NULL").groupBy("f").agg(F.min("id").alias("id"))
-    chosen = stored(members.join(first, "f"), "jaccard-members")
+    # one row stands for a class; its set is made again from its text
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k")).alias("own")
+    own = stored(rows.where("f <> 0").groupBy("f").agg(first), "jaccard-classes")
+    chosen = stored(members.join(own.select("f", "own.k"), "f"), "jaccard-members")
 
     def again(batches):
+        seen = set()  # rows equal to the chosen one: one of them a task
         for batch in batches:
             for part in sub_batches(batch, "t", CHUNK):
-                sets = shingle_sets(part.column(1), n)
-                keep = [i for i, (s, f) in enumerate(zip(sets, part.column(2).to_pylist(), strict=True)) if fingerprint(s) == f]
+                part = part.take(pa.array([i for i, f in enumerate(part.column(1).to_pylist()) if f not in seen], pa.int64()))
+                sets = shingle_sets(part.column(0), n)
+                keep = []
+                for i, (s, f) in enumerate(zip(sets, part.column(1).to_pylist(), strict=True)):
+                    if f not in seen and fingerprint(s) == f:
+                        seen.add(f)
+                        keep.append(i)
                 got = part.take(pa.array(keep, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(got.column(c) for c in (2, 3, 4, 5)), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["f", "root", "nb", "i", "s"])
+                yield pa.RecordBatch.from_arrays([*(got.column(c) for c in (1, 2, 3, 4)), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["f", "root", "nb", "i", "s"])
 
     # both sides grow with the input: neither is broadcast at any size
-    sets = src.join(chosen.hint("merge"), "id").select("id", "t", "f", "root", "nb", "i").mapInArrow(again, "f long, root long, nb int, i int, s binary")
+    sets = src.select("t", "k").join(chosen.hint("merge"), "k").select("t", "f", "root", "nb", "i").mapInArrow(again, "f long, root long, nb int, i int, s binary")
     pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least("i", j).alias("x"), F.greatest("i", j).alias("y")))
     sets = sets.withColumn("pair", F.explode(pairs)).select("f", "root", "i", "s", "pair.x", "pair.y")
 
@@ -399,12 +408,18 @@ def join_components(docs: DataFrame, key: str, text: str, n: int, num: int, den:
     degree = found.where("b IS NULL").groupBy(F.col("a").alias("f")).agg(F.sum("links").alias("links"))
     links = found.where("b IS NOT NULL").select("a", "b")
     comp = components(links, "jaccard-comp")
-    # every class: its smallest id, and its component's
-    classes = rows.where("f <> 0").groupBy("f").agg(F.min("id").alias("class_id"))
-    classes = classes.join(comp.withColumnRenamed("node", "f"), "f", "left").join(degree, "f", "left")
-    low = classes.where("root IS NOT NULL").groupBy("root").agg(F.min("class_id").alias("low"))
-    classes = classes.join(low, "root", "left").select("f", "class_id", F.coalesce("low", "class_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    out = rows.join(classes, "f", "left")
+    # every class: its first row, and its component's
+    classes = own.join(comp.withColumnRenamed("node", "f"), "f", "left").join(degree, "f", "left")
+    low = classes.where("root IS NOT NULL").groupBy("root").agg(F.min("own").alias("low"))
+    classes = classes.join(low, "root", "left").withColumn("low", F.coalesce("low", "own"))
+    return rows, classes.select("f", "own.id", "own.k", F.col("low.id").alias("low_id"), F.col("low.k").alias("low_k"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def join_components(docs: DataFrame, key: str, text: str, n: int, num: int, den: int, count: bool = True) -> DataFrame:
+    """Per row: key, n_shingles, component_id, class_id (smallest key with the same set), links
+    (the other classes its class links with; without ``count`` null)."""
+    rows, classes = find_components(docs, key, text, F.xxhash64(F.col(key).cast("long"), F.col(text)), n, num, den, count)
+    out = rows.join(classes.select("f", F.col("id").alias("class_id"), F.col("low_id").alias("component_id"), "links"), "f", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("class_id", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) if count else F.lit(None).cast("long")).alias("links"))
 
 

@@ -141,6 +141,47 @@ def test_jaccard_against_brute_force(spark, odd, nothing):
     assert {1, 2, 3, 4, 6} <= ids and not ids & {5, 7, 8, 9}
 
 
+def brute_rows(rows, n, num, den):
+    """(set, root) of each row, whatever its id: roots are row numbers."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset())
+    root = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and len(a & sets[j]) * den >= num * len(a | sets[j]):
+                x, y = root[i], root[j]
+                root = [y if r == x else r for r in root]
+    return sets, root
+
+
+def near_rows():
+    """Near copies that hang together only through a row without an id, copies that all lack
+    one, texts under one id, repeated rows, and rows without ids that copy nothing."""
+    w = [f"w{i}" for i in range(100)]
+    step = lambda k: " ".join([*(f"v{i}" for i in range(k)), *w[k:]])
+    lone = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdefgh"]
+    rows = [(1, step(0)), (None, step(4)), (2, step(8)), (None, lone[0]), (None, lone[0] + " end"), (None, lone[1]), (None, lone[2]), (3, lone[2] + " end"), (4, lone[3]), (5, lone[3]), (5, lone[4]), (5, lone[5])]
+    rows += [(6, lone[6]), (6, lone[6]), (None, lone[7]), (None, lone[7]), (None, ""), (None, ""), (7, None), (7, None), (8, lone[5]), (5, lone[5] + " end")]
+    return rows
+
+
+def test_jaccard_rows_without_ids(spark):
+    """Rows without an id link like others; only component_id passes over them."""
+    rows = near_rows()
+    for n, num in ((3, 90), (5, 80)):
+        got = jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", n, num, 100).collect()
+        sets, root = brute_rows(rows, n, num, 100)
+        least = lambda ids: min((x for x in ids if x is not None), default=None)
+        want = []
+        for i, (k, _) in enumerate(rows):
+            of = least(rows[j][0] for j in range(len(rows)) if root[j] == root[i]) if sets[i] else k
+            links = {s for s in sets if s != sets[i] and len(s & sets[i]) * 100 >= num * len(s | sets[i])} if sets[i] else ()
+            want.append((k, len(sets[i]), of, least(rows[j][0] for j in range(len(rows)) if sets[j] == sets[i]) if sets[i] else k, len(links)))
+        assert sorted([tuple(r) for r in got], key=key) == sorted(want, key=key)
+
+
 def test_near_copies_in_blocks(spark):
     """More sets than a block holds; links across blocks are found and counted."""
     base = [f"w{i}" for i in range(300)]
