@@ -424,11 +424,20 @@ def join_components(docs: DataFrame, key: str, text: str, n: int, num: int, den:
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` (all columns) whose document is the smallest of its component; rows
-    with a null key stay only where their whole component has none."""
-    found = join_components(docs, key, text, n, num, den, count=False)
-    gone = found.where(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone.hint("merge"), docs[key].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows of ``docs`` (all columns) without near copies: of each component exactly one row
+    stays, one with the smallest key (null only where all its keys are; among rows with that key
+    the one with the smallest hash of all columns).  Rows without words are copies of nothing and all stay."""
+    row = F.xxhash64(*[docs[c] for c in docs.columns])
+    rows, classes = find_components(docs, key, text, row, n, num, den, count=False)
+    first = F.col("id").eqNullSafe(F.col("low_id")) & (F.col("k") == F.col("low_k"))
+    found = rows.join(classes.select("f", "low_id", "low_k"), "f").groupBy("id", "k").agg(F.min(first).alias("first"), F.count("*").alias("m"))
+    marks = stored(found.where("NOT first OR m > 1").select(F.col("id").alias("_id"), F.col("k").alias("_k"), "first"), "jaccard-marks")
+    same = docs[key].cast("long").eqNullSafe(F.col("_id")) & (row == F.col("_k"))
+    out = docs.join(marks.hint("merge"), same, "left_anti")
+    twice = marks.where("first")  # kept rows that stand in the table more than once: equal in all columns
+    if twice.limit(1).count():
+        out = out.unionAll(docs.join(twice.hint("merge"), same, "left_semi").distinct())
+    return out
 
 
 @query("op6_jaccard_join")

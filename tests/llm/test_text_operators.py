@@ -182,6 +182,25 @@ def test_jaccard_rows_without_ids(spark):
         assert sorted([tuple(r) for r in got], key=key) == sorted(want, key=key)
 
 
+def test_one_row_of_each_component_stays(spark):
+    rows = near_rows()
+    docs = spark.createDataFrame([(*r, i // 2) for i, r in enumerate(rows)], "doc_id long, text string, k int")
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    sets, root = brute_rows(rows, 5, 80, 100)
+    want = [r for r, s in zip(rows, sets, strict=True) if not s]
+    for c in {c for c, s in zip(root, sets, strict=True) if s}:
+        group = [r for r, x in zip(rows, root, strict=True) if x == c]
+        ids = [k for k, _ in group if k is not None]
+        choice = [r for r in group if r[0] == min(ids, default=None)]
+        mine = [r for r in got if r in group]
+        assert len(mine) == 1 and mine[0] in choice
+        want += mine
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert {t for k, t in got if k is None} >= {rows[5][1], rows[14][1]}
+
+
 def test_near_copies_in_blocks(spark):
     """More sets than a block holds; links across blocks are found and counted."""
     base = [f"w{i}" for i in range(300)]
