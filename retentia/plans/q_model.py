@@ -23,10 +23,6 @@ from retentia.sources import proxies as P
 
 LABEL = S.LABEL_COLUMN
 TEST_FRAC = 0.2
-# Compute budget of the registered queries: the same procedure with 3 draws and at most 10 trees
-# a model.  ``train`` without arguments searches the 15 draws with the 200-400 trees drawn.
-CHECK_DRAWS = 3
-CHECK_MAX_TREES = 10
 MODEL_VERSION = "gbt-v1"
 
 _TRAINED: dict = {}
@@ -216,28 +212,24 @@ def class_weights(spark, sf_dir):
 # ---------------------------------------------------------------------------
 @query("train_gbt", "I6 I4 I5")
 def train_gbt(spark, sf_dir):
-    data = _split_table(spark, sf_dir)
-    tr, _ = ML.with_class_weight(data.where(~F.col("is_test")), LABEL)
-    te = data.where(F.col("is_test"))
-    model = ML.fit_pipeline(tr, LABEL, maxIter=CHECK_MAX_TREES, maxDepth=3)
-    g = model.stages[-1]
-    scored = ML.persist(ML.positive_proba(model.transform(te)))
-    m = ML.evaluation_rows(scored, S.DEFAULT_THRESHOLD, LABEL)
-    scored.unpersist()
+    """The model of the search, refitted on all training rows."""
+    t = train(spark, sf_dir)
+    g = IO.load_registry(t["path"], spark)[0].stages[-1]
+    m = dict(t["report"])["default"]
     row = (int(g.getNumTrees), int(g.totalNumNodes), int(g.numFeatures), float(m["roc_auc"] or 0.0))
     return spark.createDataFrame([row], "n_trees int, total_nodes int, n_features int, test_roc_auc double")
 
 
 @query("param_search", "I7 D17")
 def param_search(spark, sf_dir):
-    t = train(spark, sf_dir, draws=CHECK_DRAWS, max_trees=CHECK_MAX_TREES)
+    t = train(spark, sf_dir)
     cols = ", ".join(f"{k} double" for k in ML.PARAM_DISTRIBUTIONS)
     return spark.createDataFrame(t["search"], f"draw int, {cols}, avg_average_precision double")
 
 
 @query("evaluation_report", "I8 D13 D14 D15 D16")
 def evaluation_report(spark, sf_dir):
-    t = train(spark, sf_dir, draws=CHECK_DRAWS, max_trees=CHECK_MAX_TREES)
+    t = train(spark, sf_dir)
     rows = []
     for kind, m in t["report"]:
         rows.append((kind, float(m["threshold"]), float(m["precision"]), float(m["recall"]), float(m["f1"]),
@@ -252,7 +244,7 @@ def evaluation_report(spark, sf_dir):
 def score_all(spark, sf_dir, model_path: str | None = None):
     """Score every customer with the registered pipeline and its tuned threshold
     (model and threshold loaded once; the model travels to executors with the plan)."""
-    path = model_path or train(spark, sf_dir, draws=CHECK_DRAWS, max_trees=CHECK_MAX_TREES)["path"]
+    path = model_path or train(spark, sf_dir)["path"]
     model, meta = IO.load_registry(path, spark)
     thr = float(meta.select("decision_threshold").first()[0])
     scored = ML.positive_proba(model.transform(P.customers_v(spark, sf_dir)))
@@ -278,7 +270,7 @@ def score_customers(spark, sf_dir):
 
 @query("model_metadata", "A12")
 def model_metadata(spark, sf_dir):
-    t = train(spark, sf_dir, draws=CHECK_DRAWS, max_trees=CHECK_MAX_TREES)
+    t = train(spark, sf_dir)
     _, meta = IO.load_registry(t["path"], spark)
     keys = sorted(t["metadata"])
     return meta.select(*[F.col(k).cast("string").alias(k) for k in keys])

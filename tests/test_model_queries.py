@@ -2,6 +2,7 @@
 brute-force recomputation from the stored model and split."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from retentia import schemas as S
@@ -44,3 +45,20 @@ def test_train_report_and_scoring(spark):
     thr = meta["decision_threshold"]
     assert s.where((F.col("churn_probability") >= thr).cast("int") != F.col("predicted_label")).count() == 0
     assert s.select("prediction_id").distinct().count() == s.count()
+
+
+def test_registered_queries_search_the_whole_budget(spark, monkeypatch):
+    """All five queries of the model start from 15 draws with their 200-400 trees."""
+    seen = []
+
+    def stop(train, sampled, *a):
+        seen.append(sampled)
+        raise InterruptedError
+
+    monkeypatch.setattr(ML, "param_search", stop)
+    monkeypatch.setattr(ML, "fit_pipeline", lambda tr, *a, **k: stop(tr, [k]))
+    for query in (QM.train_gbt, QM.param_search, QM.evaluation_report, QM.score_customers, QM.model_metadata):
+        with pytest.raises(InterruptedError):
+            query(spark, SF001)
+    assert len(seen) == 5
+    assert all(len(x) == ML.SEARCH_DRAWS == 15 and all(200 <= d["n_estimators"] <= 400 for d in x) for x in seen)
