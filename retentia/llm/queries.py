@@ -6,7 +6,7 @@ import importlib
 
 from retentia.llm.common import QUERIES
 
-MODULES = ["langid", "quality", "lm", "topk", "mixing", "jaccard", "licenses", "chat", "decontaminate", "substring", "urlfilter", "lexical"]
+MODULES = ["langid", "quality", "lm", "topk", "mixing", "jaccard", "licenses", "chat", "decontaminate", "substring", "urlfilter", "lexical", "whitening"]
 
 
 def load():
