@@ -43,10 +43,12 @@ def main(argv: list[str] | None = None) -> int:
 
     from retentia.plans import catalog
 
-    reg = catalog.load()
+    from retentia.plans.registry import EXITS
+
+    reg = {**catalog.load(), **EXITS}
     if a.cmd == "list":
         for name, e in reg.items():
-            print(f"{name:32s} {e.op_ids:24s} {'sql' if e.sql else 'rows'}")
+            print(f"{name:32s} {e.op_ids:24s} {'exit' if name in EXITS else 'sql' if e.sql else 'rows'}")
         return 0
     if a.query not in reg:
         print(f"unknown query {a.query}", file=sys.stderr)

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retentia.operators.ranking import _n_buckets, clean_edges, edges_agg, running_totals
+from retentia.operators.ranking import running_totals
+from retentia.session import stored
 
 
 def class_ratio(df: DataFrame, label: str = "y") -> DataFrame:
@@ -66,11 +67,10 @@ def pr_curve(df: DataFrame, label: str = "y", proba: str = "y_proba", n_buckets:
 
     Columns: score, pos, neg, tp, fp, precision, recall, total_pos, total_neg.
     """
-    counts = score_counts(df, label, proba)
-    # class totals and bucket edges in one one-row aggregate, folded in as literals
-    nb = _n_buckets(counts, n_buckets)
-    t = counts.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), edges_agg("score", nb).alias("e")).first()
-    cum = running_totals(counts, "score", ["pos", "neg"], descending=True, edges=clean_edges(t["e"]))
+    # one row per distinct score, written once: totals, splitters and sums read it again
+    counts = stored(score_counts(df, label, proba), "score-counts")
+    t = counts.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
+    cum = running_totals(counts, "score", ["pos", "neg"], descending=True, n_buckets=n_buckets)
     out = cum.withColumn("total_pos", F.lit(int(t["p"] or 0)).cast("bigint")).withColumn(
         "total_neg", F.lit(int(t["n"] or 0)).cast("bigint")
     )

@@ -14,23 +14,26 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentia import schemas as S
 from retentia.operators import metrics as M
 from retentia.operators.ranking import running_totals
+from retentia.session import stored
 
 HASH_MULTIPLIER = 2654435761  # Knuth's multiplicative constant; odd, so a bijection mod 2^32
 TWO_31 = 2**31
@@ -47,7 +50,10 @@ PARAM_DISTRIBUTIONS = {
     "reg_lambda": [0.5, 1, 2, 5],
     "reg_alpha": [0, 0.1, 0.5, 1],
 }
+# The original learner's defaults, used when nothing is searched
+BASE_PARAMS = {"maxIter": 100, "maxDepth": 6, "stepSize": 0.3}
 SEARCH_DRAWS = 15
+ROWS_PER_FILE = 250_000
 SEARCH_FOLDS = 3
 SEED = 42
 # XGBoost parameters GBTClassifier has no counterpart for (reported, not applied)
@@ -156,6 +162,33 @@ def positive_proba(df: DataFrame, prob_col: str = "probability", out: str = "y_p
     return df.withColumn(out, vector_to_array(F.col(prob_col))[1])
 
 
+def encoded(train: DataFrame, label: str = S.LABEL_COLUMN, keep: Sequence[str] = ("fold",)) -> tuple[PipelineModel, DataFrame]:
+    """I2-I4 once for all fits: the fitted encoder and the stored (``keep``, label, weight,
+    features) table, in files of about ROWS_PER_FILE rows."""
+    encoder = Pipeline(stages=encoder_stages()).fit(train)
+    table = encoder.transform(train).select(*keep, label, "weight", "features")
+    files = max(1, math.ceil(train.count() / ROWS_PER_FILE))
+    return encoder, stored(table.repartition(files), "encoded-train")
+
+
+def in_slots(spark: SparkSession, jobs: Sequence[Callable], slots: int) -> list:
+    """Results of the jobs in their order, ``slots`` at a time: a fit of a small table leaves most
+    cores idle between its stages, so several share the cluster."""
+    with ThreadPoolExecutor(max_workers=max(1, slots)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(j)) for j in jobs]]
+
+
+def free_slots(table: DataFrame) -> int:
+    """Fits that fit beside each other: cores over the tasks of one stage."""
+    return max(1, table.sparkSession.sparkContext.defaultParallelism // max(1, table.rdd.getNumPartitions()))
+
+
+def average_precision_of(scored: DataFrame, label: str = S.LABEL_COLUMN, proba: str = "probability") -> float:
+    """D17 of a scored frame (scored once: the curve reads stored counts)."""
+    s = positive_proba(scored, proba).select(F.col(label).cast("int").alias("y"), "y_proba")
+    return float(M.average_precision(M.pr_curve(s)).first()[0] or 0.0)
+
+
 class AveragePrecisionEvaluator(Evaluator):
     """D17 as an MLlib evaluator: step-wise average precision on the positive-class
     probability, computed by the distributed PR curve (exact, ties grouped)."""
@@ -169,49 +202,52 @@ class AveragePrecisionEvaluator(Evaluator):
         self._set(labelCol=labelCol, probabilityCol=probabilityCol)
 
     def _evaluate(self, dataset: DataFrame) -> float:
-        lab = self.getOrDefault(self.labelCol)
-        # the curve reads the scores three times (totals, bucket edges, sums): score once
-        scored = persist(
-            positive_proba(dataset, self.getOrDefault(self.probabilityCol)).select(F.col(lab).cast("int").alias("y"), "y_proba")
-        )
-        try:
-            v = M.average_precision(M.pr_curve(scored)).first()[0]
-        finally:
-            scored.unpersist()
-        return float(v or 0.0)
+        return average_precision_of(dataset, self.getOrDefault(self.labelCol), self.getOrDefault(self.probabilityCol))
 
     def isLargerBetter(self) -> bool:
         return True
 
 
-def param_search(
-    train: DataFrame,
-    draws: list[dict],
-    label: str = S.LABEL_COLUMN,
-    fold_col: str = "fold",
-    parallelism: int = 4,
-):
-    """The drawn parameter maps x stratified folds, scored by average precision; the
-    best map is refit on all training rows.  Returns (best PipelineModel, per-map table)."""
-    stages = encoder_stages()
-    est = gbt(label)
-    pipe = Pipeline(stages=[*stages, est])
-    maps = [{getattr(est, k): v for k, v in map_params(d).items()} for d in draws]
-    n_folds = int(train.agg(F.max(fold_col)).first()[0]) + 1
-    cv = CrossValidator(
-        estimator=pipe,
-        estimatorParamMaps=maps,
-        evaluator=AveragePrecisionEvaluator(label),
-        numFolds=n_folds,
-        foldCol=fold_col,
-        parallelism=parallelism,
-        seed=SEED,
-    )
-    cvm = cv.fit(train)
+def param_search(table: DataFrame, draws: list[dict], results: str, label: str = S.LABEL_COLUMN, fold_col: str = "fold", slots: int | None = None) -> list[tuple]:
+    """Every drawn parameter map on every fold of an encoded table, scored by average
+    precision on the fold left out.  Each (draw, fold) is written to its own folder below
+    ``results`` when it is done and never fitted again: a search that was stopped goes on where it
+    was.  Returns one row per draw: number, the drawn values, mean average precision, seconds."""
+    spark = table.sparkSession
+    table = persist(table)
+    folds = int(table.agg(F.max(fold_col)).first()[0]) + 1
+    kind = "draw int, fold int, average_precision double, seconds double"
+
+    def known() -> dict:
+        try:
+            rows = spark.read.schema(kind).json(f"{results}/*").collect()  # draws x folds rows
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return {}
+        return {(r["draw"], r["fold"]): r for r in rows if r["average_precision"] is not None}
+
+    def job(i: int, fold: int) -> Callable:
+        def run() -> None:
+            t0 = time.perf_counter()
+            fitted = gbt(label, **map_params(draws[i])).fit(table.where(F.col(fold_col) != fold))
+            ap = average_precision_of(fitted.transform(table.where(F.col(fold_col) == fold)), label)
+            row = spark.createDataFrame([(i, fold, ap, round(time.perf_counter() - t0, 1))], kind)
+            row.coalesce(1).write.mode("overwrite").json(f"{results}/draw{i}-fold{fold}")
+
+        return run
+
+    done = known()
+    # the longest fits first, so that the last slots do not wait for one of them
+    todo = sorted(((i, f) for i in range(len(draws)) for f in range(folds) if (i, f) not in done), key=lambda x: -draws[x[0]]["n_estimators"] * 2 ** draws[x[0]]["max_depth"])
+    in_slots(spark, [job(i, f) for i, f in todo], slots or free_slots(table))
+    done = known()
+    table.unpersist()
     rows = []
-    for i, (d, m) in enumerate(zip(draws, cvm.avgMetrics)):
-        rows.append((i, *[float(d[k]) for k in PARAM_DISTRIBUTIONS], float(m)))
-    return cvm.bestModel, rows
+    for i, d in enumerate(draws):
+        mine = [done[i, f] for f in range(folds)]
+        rows.append((i, *[float(d[k]) for k in PARAM_DISTRIBUTIONS], sum(r["average_precision"] for r in mine) / folds, sum(r["seconds"] for r in mine)))
+    return rows
 
 
 def fit_pipeline(train: DataFrame, label: str = S.LABEL_COLUMN, **gbt_params) -> PipelineModel:
@@ -219,13 +255,9 @@ def fit_pipeline(train: DataFrame, label: str = S.LABEL_COLUMN, **gbt_params) ->
     return Pipeline(stages=[*encoder_stages(), gbt(label, **gbt_params)]).fit(train)
 
 
-def out_of_fold_scores(train: DataFrame, label: str = S.LABEL_COLUMN, fold_col: str = "fold", **gbt_params) -> DataFrame:
-    """Every training row scored by a model that was fitted without its fold."""
-    n_folds = int(train.agg(F.max(fold_col)).first()[0]) + 1
-    parts = []
-    for i in range(n_folds):
-        model = fit_pipeline(train.where(F.col(fold_col) != i), label, **gbt_params)
-        parts.append(positive_proba(model.transform(train.where(F.col(fold_col) == i))).select(*train.columns, "y_proba"))
+def out_of_fold_scores(table: DataFrame, models: Sequence, fold_col: str = "fold") -> DataFrame:
+    """Every row of an encoded table scored by the model that was fitted without its fold."""
+    parts = [positive_proba(m.transform(table.where(F.col(fold_col) == i))).select(*table.columns, "y_proba") for i, m in enumerate(models)]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retentia.operators.ranking import running_totals
+from retentia.session import stored
 
 
 def rate(df: DataFrame, label: str = "churned") -> DataFrame:
@@ -79,7 +80,7 @@ def exact_quantiles(long_df: DataFrame, group: str, value: str, probs: Mapping[s
     order gives each distinct value its rank interval ``[cum - n, cum)``, and the values at
     ranks ``floor(p (N-1))`` and ``ceil(p (N-1))`` are picked with one conditional aggregate.
     ``group`` must be low-cardinality (a few columns or labels)."""
-    counts = long_df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = stored(long_df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_n")), "value-counts")
     cum = running_totals(counts, value, ["_n"], groups=[group], n_buckets=n_buckets, prefix="_cum")
     totals = counts.groupBy(group).agg(F.sum("_n").alias("_total"))
     x = cum.join(F.broadcast(totals), group)  # one row per group

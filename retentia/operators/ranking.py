@@ -3,12 +3,11 @@ attempt selection, sorted head and array set difference (E1-E6, A6).
 
 The one piece of real design is ``running_totals``: an exact cumulative sum in a
 global order that never moves all rows into one task.  Rows are bucketed by value
-ranges (bucket edges from ``percentile_approx``: ``n_buckets`` numbers however large
-the input is; bucket ids by binary search), each bucket is summed, the
+ranges (splitters from a hashed sample of a set size, however large the input is;
+bucket ids by binary search), each bucket is summed, the
 bucket sums are prefix-summed (``n_buckets`` rows, broadcast), and a window
-*partitioned by bucket* finishes the job inside each bucket.  Bucket ids are a
-deterministic function of the value, so a lost executor recomputes the same
-buckets; no sampling-based partitioner state is involved.
+*partitioned by bucket* finishes the job inside each bucket.  Sample and bucket ids
+are functions of the values, so a lost executor recomputes the same buckets.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_BUCKETS = 65536
+SAMPLE_PER_BUCKET = 32
 
 
 def _n_buckets(df: DataFrame, n_buckets: int | None) -> int:
@@ -29,24 +29,21 @@ def _n_buckets(df: DataFrame, n_buckets: int | None) -> int:
     return max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_BUCKETS))
 
 
-def edges_agg(order_col: str, n_buckets: int) -> Column:
-    """Aggregate expression of the approximate ``n_buckets``-quantiles of ``order_col``
-    (combine it with other one-row aggregates to save a pass)."""
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    if not probs:
-        return F.array().cast("array<double>")
-    accuracy = max(10000, 4 * n_buckets)  # rank error ~ n / accuracy: buckets stay balanced
-    return F.percentile_approx(F.col(order_col).cast("double"), probs, accuracy)
-
-
-def clean_edges(edges) -> list[float]:
-    return sorted({float(e) for e in (edges or []) if e is not None and e == e and abs(e) != float("inf")})
-
-
-def bucket_edges(df: DataFrame, order_col: str, n_buckets: int) -> list[float]:
-    """Approximate ``n_buckets``-quantiles of ``order_col`` over all rows (one aggregate;
-    at most ``n_buckets - 1`` numbers reach the driver, whatever the input size)."""
-    return clean_edges(df.agg(edges_agg(order_col, n_buckets).alias("e")).first()["e"])
+def bucket_edges(df: DataFrame, order_col: str, n_buckets: int, ties: Sequence[str] = ()) -> list[float]:
+    """Splitters that cut the rows, in the order of ``order_col``, into about ``n_buckets`` equal
+    ranges: quantiles of the rows whose hash falls below a limit.  The limit is set by a count so
+    that SAMPLE_PER_BUCKET rows a bucket are drawn, however many rows or tasks there are (no
+    sketch of each task meets in one place), and the draw depends on the rows alone."""
+    if n_buckets <= 1:
+        return []
+    value = F.col(order_col).cast("double")
+    known = df.where(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))))
+    n = known.count()
+    wanted = n_buckets * SAMPLE_PER_BUCKET
+    if n > wanted:
+        known = known.where(F.pmod(F.xxhash64(order_col, *ties), F.lit(1 << 40)) < F.lit(int(wanted / n * (1 << 40))))
+    drawn = sorted(r[0] for r in known.select(value).collect())
+    return sorted({drawn[len(drawn) * i // n_buckets] for i in range(1, n_buckets)}) if drawn else []
 
 
 def bucketize(df: DataFrame, order_col: str, edges: Sequence[float], out_col: str = "_bucket") -> DataFrame:
@@ -86,7 +83,7 @@ def running_totals(
     ``n_groups * n_buckets`` rows (``groups`` is meant for a few labels or columns)."""
     groups = list(groups)
     if edges is None:
-        edges = bucket_edges(df, order_col, _n_buckets(df, n_buckets))
+        edges = bucket_edges(df, order_col, _n_buckets(df, n_buckets), ties)
     x = bucketize(df, order_col, edges)
     # per-(group, bucket) sums -> prefix over buckets: bounded table, broadcast
     sums = x.groupBy(*groups, "_bucket").agg(*[F.sum(c).alias(f"_bs_{c}") for c in sum_cols])

@@ -1,13 +1,13 @@
 """Registered queries: the churn model (I1-I9) and its registry.
 
-Training is done once per session and data folder: the fitted pipeline and its metadata
-are written to the shared folder (``save_registry``) and every later query reads them
-back, as the scorer of the original loads its artifacts once."""
+Training is done once per data and parameters: the fitted pipeline and, with its
+threshold, the released model are published in the model store of the shared folder, and
+every later query and session reads them back, as the scorer of the original loads its
+artifacts once."""
 
 from __future__ import annotations
 
-import json
-
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -15,17 +15,15 @@ from retentia import schemas as S
 from retentia.functions import numeric as N
 from retentia.operators import model as ML
 from retentia.operators.ranking import dense_ids
-from retentia.plans.registry import query, r6
+from retentia.plans.registry import exit_query, query, r6
 from retentia.plans.views_sql import q
-from retentia.session import work_dir
+from retentia.session import stored, work_dir
 from retentia.sources import io as IO
 from retentia.sources import proxies as P
+from retentia.sources.model_store import ModelStore, model_key
 
 LABEL = S.LABEL_COLUMN
 TEST_FRAC = 0.2
-MODEL_VERSION = "gbt-v1"
-
-_TRAINED: dict = {}
 
 
 def split_sql() -> tuple[str, str]:
@@ -49,67 +47,93 @@ def split_customers(spark, sf_dir):
 
 def _split_table(spark, sf_dir):
     """The split written once to the shared folder (cuts the lineage the search re-reads)."""
-    path = work_dir(spark, "split")
-    split_customers(spark, sf_dir).write.parquet(path)
-    return spark.read.parquet(path)
-
-
-def train(spark, sf_dir, draws: int = ML.SEARCH_DRAWS, max_trees: int | None = None, tune_on: str = "out_of_fold") -> dict:
-    """I1-I8 + A12 end to end; returns the registry path and the metadata.
-
-    The model is refitted on all training rows.  ``tune_on="out_of_fold"`` (default) tunes the
-    threshold on the training rows, each scored by a model fitted without its fold;
-    ``tune_on="test"`` tunes on the test rows, as the original does (its tuned precision is
-    then in-sample)."""
-    key = (spark.sparkContext.applicationId, sf_dir, draws, max_trees, tune_on)
-    if key in _TRAINED:
-        return _TRAINED[key]
-    data = _split_table(spark, sf_dir)
-    tr = data.where(~F.col("is_test"))
-    te = data.where(F.col("is_test"))
-    tr_w, ratio = ML.with_class_weight(tr, LABEL)
-    tr_w = ML.persist(tr_w)
-    sampled = ML.sample_params(draws, max_trees=max_trees)
-    model, search_rows = ML.param_search(tr_w, sampled, LABEL)
-    best_gbt = model.stages[-1]
-    params = {p.name: best_gbt.getOrDefault(p) for p in best_gbt.params if p.name in ML.map_params(sampled[0])}
-    if tune_on == "out_of_fold":
-        tune_rows = ML.out_of_fold_scores(tr_w, LABEL, **params)
-    else:
-        tune_rows = ML.positive_proba(model.transform(te))
-    tune_rows = ML.persist(tune_rows)
-    tuned = ML.tune_threshold(tune_rows, S.TARGET_PRECISION, LABEL)
-    tune_rows.unpersist()
-    scored_test = ML.persist(ML.positive_proba(model.transform(te)))
-    at_default = ML.evaluation_rows(scored_test, S.DEFAULT_THRESHOLD, LABEL)
-    at_tuned = ML.evaluation_rows(scored_test, float(tuned["threshold"]), LABEL)
-    scored_test.unpersist()
-    tr_w.unpersist()
-    names = ML.feature_names(model, tr)
-    metadata = {
-        "feature_columns": S.FEATURE_COLUMNS,
-        "categorical_columns": S.CATEGORICAL_COLUMNS,
-        "numeric_columns": S.NUMERIC_COLUMNS,
-        "encoded_feature_names": names,
-        "decision_threshold": float(tuned["threshold"]),
-        "target_precision": S.TARGET_PRECISION,
-        "test_precision": float(at_tuned["precision"]),
-        "test_recall": float(at_tuned["recall"]),
-        "test_roc_auc": at_tuned["roc_auc"],
-        "scale_pos_weight": ratio,
-    }
-    path = IO.save_registry(model, metadata, work_dir(spark, "model-registry"), spark)
-    out = {
-        "path": path,
-        "metadata": metadata,
-        "search": search_rows,
-        "params": params,
-        "tuned": tuned,
-        "report": [("default", at_default), ("tuned", at_tuned)],
-        "tune_on": tune_on,
-    }
-    _TRAINED[key] = out
-    return out
+    return stored(split_customers(spark, sf_dir), "split")
+
+
+def _key(spark, sf_dir, **params) -> str:
+    paths = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in P.CUSTOMER_INPUTS]
+    return model_key(spark, paths, {"learner": "gbt", "seed": ML.SEED, "test": TEST_FRAC, "folds": ML.SEARCH_FOLDS, **params})
+
+
+def _training(split):
+    """The weighted training rows and the weight of a positive one."""
+    return ML.with_class_weight(split.where(~F.col("is_test")), LABEL)
+
+
+def fitted(spark, sf_dir, params=ML.BASE_PARAMS) -> str:
+    """One weighted fit on all training rows, published with its split; the folder of the
+    version in use.  Found again by every later session until data or parameters change."""
+    store, key = ModelStore(spark), _key(spark, sf_dir, **params)
+
+    def write(folder: str, name: str) -> None:
+        split_customers(spark, sf_dir).write.parquet(f"{folder}/split")
+        train, ratio = _training(spark.read.parquet(f"{folder}/split"))
+        encoder, table = ML.encoded(train, LABEL, ["customer_id", "fold"])
+        table = ML.persist(table)
+        model = PipelineModel([*encoder.stages, ML.gbt(LABEL, **params).fit(table)])
+        table.unpersist()
+        table.write.parquet(f"{folder}/train")
+        IO.save_registry(model, {"model_version": f"gbt-{key[:8]}-{name[:7]}", "scale_pos_weight": ratio}, folder, spark)
+
+    return store.current(key) or store.publish(key, write)
+
+
+def released(spark, sf_dir, tune_on: str = "out_of_fold", params=ML.BASE_PARAMS) -> str:
+    """I8 + A12: the fitted model with its decision threshold, report and metadata, published.
+
+    ``tune_on="out_of_fold"`` (default) tunes the threshold on the training rows, each scored by
+    a model fitted without its fold; ``tune_on="test"`` tunes on the test rows, as the original
+    does (its tuned precision is then in-sample)."""
+    store, key = ModelStore(spark), _key(spark, sf_dir, tune_on=tune_on, target=S.TARGET_PRECISION, **params)
+
+    def write(folder: str, name: str) -> None:
+        source = fitted(spark, sf_dir, params)
+        model, made = IO.load_registry(source, spark)
+        made = made.first()
+        test = stored(ML.positive_proba(model.transform(spark.read.parquet(f"{source}/split").where("is_test"))).select(LABEL, "y_proba"), "test-scores")
+        if tune_on == "out_of_fold":
+            table = ML.persist(spark.read.parquet(f"{source}/train"))
+            fits = [lambda i=i: ML.gbt(LABEL, **params).fit(table.where(F.col("fold") != i)) for i in range(ML.SEARCH_FOLDS)]
+            models = ML.in_slots(spark, fits, ML.free_slots(table))
+            tune_rows = stored(ML.out_of_fold_scores(table, models).select(LABEL, "y_proba"), "out-of-fold-scores")
+            table.unpersist()
+        else:
+            tune_rows = test
+        tuned = ML.tune_threshold(tune_rows, S.TARGET_PRECISION, LABEL)
+        report = [("default", ML.evaluation_rows(test, S.DEFAULT_THRESHOLD, LABEL)), ("tuned", ML.evaluation_rows(test, float(tuned["threshold"]), LABEL))]
+        rows = [(kind, float(m["threshold"]), float(m["precision"]), float(m["recall"]), float(m["f1"]), m["roc_auc"], int(m["tn"]), int(m["fp"]), int(m["fn"]), int(m["tp"]), tune_on) for kind, m in report]
+        spark.createDataFrame(rows, REPORT).coalesce(1).write.parquet(f"{folder}/report")
+        at_tuned = report[1][1]
+        metadata = {
+            "feature_columns": S.FEATURE_COLUMNS,
+            "categorical_columns": S.CATEGORICAL_COLUMNS,
+            "numeric_columns": S.NUMERIC_COLUMNS,
+            "encoded_feature_names": ML.feature_names(model, spark.read.parquet(f"{source}/split")),
+            "decision_threshold": float(tuned["threshold"]),
+            "target_precision": S.TARGET_PRECISION,
+            "test_precision": float(at_tuned["precision"]),
+            "test_recall": float(at_tuned["recall"]),
+            "test_roc_auc": at_tuned["roc_auc"],
+            "scale_pos_weight": made["scale_pos_weight"],
+            "model_version": f"{made['model_version']}-{key[:4]}{name[:7]}",
+        }
+        IO.save_registry(model, metadata, folder, spark)
+
+    return store.current(key) or store.publish(key, write)
+
+
+REPORT = ("threshold_kind string, threshold double, precision double, recall double, f1 double, roc_auc double, "
+          "tn bigint, fp bigint, fn bigint, tp bigint, tuned_on string")
+
+
+def search(spark, sf_dir, draws: int = ML.SEARCH_DRAWS, max_trees: int | None = None, slots: int | None = None) -> list[tuple]:
+    """The drawn maps x folds on one encoded table; results per fit in the shared folder,
+    under a key of the data and the draws, so a search goes on where another session stopped."""
+    drawn = ML.sample_params(draws, max_trees=max_trees)
+    split = _split_table(spark, sf_dir)
+    train, _ = _training(split)
+    _, table = ML.encoded(train, LABEL)
+    return ML.param_search(table, drawn, f"{ModelStore(spark).root}/search-{_key(spark, sf_dir, draws=drawn)}", LABEL, slots=slots)
 
 
 # ---------------------------------------------------------------------------
@@ -212,48 +236,42 @@ def class_weights(spark, sf_dir):
 # ---------------------------------------------------------------------------
 @query("train_gbt", "I6 I4 I5")
 def train_gbt(spark, sf_dir):
-    """The model of the search, refitted on all training rows."""
-    t = train(spark, sf_dir)
-    g = IO.load_registry(t["path"], spark)[0].stages[-1]
-    m = dict(t["report"])["default"]
-    row = (int(g.getNumTrees), int(g.totalNumNodes), int(g.numFeatures), float(m["roc_auc"] or 0.0))
-    return spark.createDataFrame([row], "n_trees int, total_nodes int, n_features int, test_roc_auc double")
+    """One weighted fit with the learner's default rounds and depth on all training rows."""
+    path = fitted(spark, sf_dir)
+    model, made = IO.load_registry(path, spark)
+    g = model.stages[-1]
+    test = spark.read.parquet(f"{path}/split").where("is_test")
+    auc = ML.evaluation_rows(ML.positive_proba(model.transform(test)), S.DEFAULT_THRESHOLD, LABEL)["roc_auc"]
+    row = (int(g.getNumTrees), int(g.totalNumNodes), int(g.numFeatures), float(auc or 0.0), made.first()["model_version"])
+    return spark.createDataFrame([row], "n_trees int, total_nodes int, n_features int, test_roc_auc double, model_version string")
 
 
-@query("param_search", "I7 D17")
+@exit_query("param_search", "I7 D17")
 def param_search(spark, sf_dir):
-    t = train(spark, sf_dir)
+    """The whole search: 15 draws x 3 folds of 200-400 trees.  Beyond the limits of a registered
+    query (README, Deviations): run it with ``python -m retentia run param_search``."""
     cols = ", ".join(f"{k} double" for k in ML.PARAM_DISTRIBUTIONS)
-    return spark.createDataFrame(t["search"], f"draw int, {cols}, avg_average_precision double")
+    return spark.createDataFrame(search(spark, sf_dir), f"draw int, {cols}, avg_average_precision double, fit_seconds double")
 
 
 @query("evaluation_report", "I8 D13 D14 D15 D16")
 def evaluation_report(spark, sf_dir):
-    t = train(spark, sf_dir)
-    rows = []
-    for kind, m in t["report"]:
-        rows.append((kind, float(m["threshold"]), float(m["precision"]), float(m["recall"]), float(m["f1"]),
-                     m["roc_auc"], int(m["tn"]), int(m["fp"]), int(m["fn"]), int(m["tp"]), t["tune_on"]))
-    return spark.createDataFrame(
-        rows,
-        "threshold_kind string, threshold double, precision double, recall double, f1 double, roc_auc double, "
-        "tn bigint, fp bigint, fn bigint, tp bigint, tuned_on string",
-    )
+    return spark.read.parquet(f"{released(spark, sf_dir)}/report")
 
 
 def score_all(spark, sf_dir, model_path: str | None = None):
-    """Score every customer with the registered pipeline and its tuned threshold
+    """Score every customer with the released model and its tuned threshold
     (model and threshold loaded once; the model travels to executors with the plan)."""
-    path = model_path or train(spark, sf_dir)["path"]
-    model, meta = IO.load_registry(path, spark)
-    thr = float(meta.select("decision_threshold").first()[0])
+    model, meta = IO.load_registry(model_path or released(spark, sf_dir), spark)
+    made = meta.select("decision_threshold", "model_version").first()
+    thr = float(made["decision_threshold"])
     scored = ML.positive_proba(model.transform(P.customers_v(spark, sf_dir)))
     scored = scored.select(
         "customer_id",
         F.col("y_proba").alias("churn_probability"),
         (F.col("y_proba") >= F.lit(thr)).cast("int").alias("predicted_label"),
         F.lit(thr).alias("threshold_used"),
-        F.lit(MODEL_VERSION).alias("model_version"),
+        F.lit(made["model_version"]).alias("model_version"),
     )
     return dense_ids(scored, ["customer_id"], "prediction_id")
 
@@ -270,10 +288,8 @@ def score_customers(spark, sf_dir):
 
 @query("model_metadata", "A12")
 def model_metadata(spark, sf_dir):
-    t = train(spark, sf_dir)
-    _, meta = IO.load_registry(t["path"], spark)
-    keys = sorted(t["metadata"])
-    return meta.select(*[F.col(k).cast("string").alias(k) for k in keys])
+    _, meta = IO.load_registry(released(spark, sf_dir), spark)
+    return meta.select(*[F.col(k).cast("string").alias(k) for k in sorted(meta.columns)])
 
 
 TABLE_PREFIX = "retentia_"
@@ -340,7 +356,3 @@ def table_schemas(spark, sf_dir):
         )
         out = rows if out is None else out.unionByName(rows)
     return out
-
-
-def metadata_json(t: dict) -> str:
-    return json.dumps(t["metadata"], indent=2)

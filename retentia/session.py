@@ -13,7 +13,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "retentia") -> SparkSession:
@@ -47,11 +47,17 @@ def _checkpoint_dir(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
 
 
+def is_local(spark: SparkSession) -> bool:
+    """One JVM: ``local``, ``local[4]``, ``local[*]``; not ``local-cluster[...]``."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a scratch one only when unset."""
     d = _checkpoint_dir(spark)
     if not d:
-        if not spark.sparkContext.master.startswith("local"):
+        if not is_local(spark):
             raise ValueError("spark.checkpoint.dir is not set: a cluster needs a shared work folder")
         d = tempfile.mkdtemp(prefix="retentia-ckpt-")
     if not spark.sparkContext.getCheckpointDir():
@@ -59,7 +65,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or d
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The shared folder itself, the same in every session that names it (the checkpoint folder
+    proper is a new one below it for each application)."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return named.rstrip("/") if named else base.rpartition("/")[0]
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for one written table, under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/retentia/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a new folder of the shared work folder and read back: what follows
+    starts from stored rows, and a lost executor costs a re-read, no recomputation."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -31,7 +31,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-# (application id, data folder) -> folder of the built customers table
+# what the customers table is built from
+CUSTOMER_INPUTS = ["customer", "events", "nation", "orders", "region"]
+# (application id, digest of the input files) -> folder of the built customers table
 _BUILT: dict = {}
 
 
@@ -44,11 +46,14 @@ def customers_v(spark: SparkSession, sf_dir: str, materialize: bool = True) -> D
     from ``orders``/``events``/``customer`` inside each plan."""
     if not materialize:
         return build_customers(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    from retentia.session import work_dir
+    from retentia.sources.model_store import files_digest
+
+    base = sf_dir.rstrip("/")
+    # by content: files that are added or rewritten give a new table
+    key = (spark.sparkContext.applicationId, base, files_digest(spark, [f"{base}/{t}.parquet" for t in CUSTOMER_INPUTS]))
     path = _BUILT.get(key)
     if path is None:
-        from retentia.session import work_dir
-
         path = work_dir(spark, "customers")
         build_customers(spark, sf_dir).write.parquet(path)
         _BUILT[key] = path

@@ -1,15 +1,21 @@
-"""I7-I9, A12 end to end on the smallest scale: the registered model queries against
-brute-force recomputation from the stored model and split."""
+"""I6-I9, A12 as registered on the smallest scale against brute-force recomputation from the
+stored model and split; the registry across sessions and data; the search's resumption."""
+
+import shutil
 
 import numpy as np
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from retentia import schemas as S
 from retentia.operators import model as ML
 from retentia.plans import q_model as QM
+from retentia.plans.registry import EXITS
 from retentia.sources import io as IO
 from retentia.sources import proxies as P
+from retentia.sources.model_store import ModelStore, files_digest
 
 from conftest import SF001
 
@@ -22,43 +28,88 @@ def _brute(ys, ps, t):
     return tn, fp, fn, tp
 
 
-def test_train_report_and_scoring(spark):
-    t = QM.train(spark, SF001, draws=2, max_trees=3)
-    meta = t["metadata"]
+def test_registered_model_queries(spark):
+    row = QM.train_gbt(spark, SF001).first()
+    assert row["n_trees"] == ML.BASE_PARAMS["maxIter"] == 100 and row["n_features"] > 5
+    path = QM.released(spark, SF001)
+    model, stored = IO.load_registry(path, spark)
+    meta = QM.model_metadata(spark, SF001).first().asDict()
     assert sorted(meta) == sorted([
-        "feature_columns", "categorical_columns", "numeric_columns", "encoded_feature_names", "decision_threshold",
+        "feature_columns", "categorical_columns", "numeric_columns", "encoded_feature_names", "decision_threshold", "model_version",
         "target_precision", "test_precision", "test_recall", "test_roc_auc", "scale_pos_weight",
     ])
-    assert len(t["search"]) == 2 and all(0.0 <= r[-1] <= 1.0 for r in t["search"])
-    model, stored = IO.load_registry(t["path"], spark)
-    assert abs(stored.first()["decision_threshold"] - meta["decision_threshold"]) < 1e-12
+    assert meta["model_version"].startswith(row["model_version"])
     # the report's confusion counts equal a brute-force count on the stored model's test scores
-    split = QM.split_customers(spark, SF001)
-    scored = ML.positive_proba(model.transform(split.where("is_test"))).select(S.LABEL_COLUMN, "y_proba").collect()
-    ys = [r[0] for r in scored]
-    ps = [r[1] for r in scored]
-    for kind, m in t["report"]:
-        assert (m["tn"], m["fp"], m["fn"], m["tp"]) == _brute(ys, ps, m["threshold"]), kind
-    # scoring: every customer once, label = probability >= tuned threshold
-    s = QM.score_all(spark, SF001, t["path"])
-    assert s.count() == P.customers_v(spark, SF001).count()
-    thr = meta["decision_threshold"]
+    test = spark.read.parquet(f"{QM.fitted(spark, SF001)}/split").where("is_test")
+    scored = ML.positive_proba(model.transform(test)).select(S.LABEL_COLUMN, "y_proba").collect()
+    ys, ps = [r[0] for r in scored], [r[1] for r in scored]
+    report = QM.evaluation_report(spark, SF001).collect()
+    assert [r["threshold_kind"] for r in report] == ["default", "tuned"] and {r["tuned_on"] for r in report} == {"out_of_fold"}
+    for m in report:
+        assert (m["tn"], m["fp"], m["fn"], m["tp"]) == _brute(ys, ps, m["threshold"])
+    # scoring: every customer once, label = probability >= tuned threshold, the registry's version
+    s = QM.score_all(spark, SF001)
+    assert s.count() == s.select("prediction_id").distinct().count() == P.customers_v(spark, SF001).count()
+    thr = float(meta["decision_threshold"])
     assert s.where((F.col("churn_probability") >= thr).cast("int") != F.col("predicted_label")).count() == 0
-    assert s.select("prediction_id").distinct().count() == s.count()
+    assert {r[0] for r in QM.score_customers(spark, SF001).select("model_version").distinct().collect()} == {meta["model_version"]}
+    # nothing is fitted again while data and parameters stay
+    assert QM.released(spark, SF001) == path and len(ModelStore(spark).versions(path.split("/")[-2])) == 1
+
+
+def test_model_store(spark, tmp_path):
+    store = ModelStore(spark, f"file:{tmp_path}/models")
+    assert store.current("k") is None and store.versions("k") == []
+    put = lambda folder, name: spark.range(1).selectExpr(f"'{name}' AS name").write.parquet(folder)
+    first = store.publish("k", put)
+    assert ModelStore(spark, f"file:{tmp_path}/models").current("k") == first  # another session reads the pointer
+    with pytest.raises(InterruptedError):  # a publisher that dies leaves the old version in use
+        store.publish("k", lambda folder, name: (put(folder, name), (_ for _ in ()).throw(InterruptedError)))
+    assert store.current("k") == first and len(store.versions("k")) == 2
+    second = store.publish("k", put)
+    assert store.current("k") == second and spark.read.parquet(second).first()["name"].startswith("v000003-")
+    assert store.current("other") is None
+
+
+def test_changed_files_are_another_key(spark, tmp_path):
+    shutil.copytree(SF001, tmp_path / "t", copy_function=shutil.copy)
+    data = str(tmp_path / "t")
+    orders = [f"{data}/orders.parquet", f"{data}/customer.parquet"]
+    before, key = files_digest(spark, orders), QM._key(spark, data, **ML.BASE_PARAMS)
+    assert files_digest(spark, orders[::-1]) == before and QM._key(spark, data, **ML.BASE_PARAMS) == key
+    n = P.customers_v(spark, data).count()
+    rows = pq.read_table(orders[0])
+    pq.write_table(rows.filter(pc.less(rows["o_custkey"], 70)), orders[0])
+    assert files_digest(spark, orders) != before and QM._key(spark, data, **ML.BASE_PARAMS) != key
+    assert QM._key(spark, data, **{**ML.BASE_PARAMS, "maxIter": 7}) != QM._key(spark, data, **ML.BASE_PARAMS)
+    assert P.customers_v(spark, data).count() < n  # the built table follows the files
+
+
+def test_search_goes_on_where_it_stopped(spark, tmp_path):
+    train, _ = QM._training(QM._split_table(spark, SF001))
+    _, table = ML.encoded(train)
+    draws = ML.sample_params(2, max_trees=2)
+    results = f"file:{tmp_path}/results"
+    whole = ML.param_search(table, draws, results)
+    assert len(whole) == 2 and all(0.0 <= r[-2] <= 1.0 for r in whole)
+    one = spark.read.json(f"{results}/draw1-fold2").first()
+    shutil.rmtree(tmp_path / "results" / "draw0-fold1")
+    again = ML.param_search(table, draws, results)
+    assert [r[:-1] for r in again] == [r[:-1] for r in whole]
+    assert spark.read.json(f"{results}/draw1-fold2").first() == one  # not fitted again
+    # the score is that of a fit without the fold, on the fold
+    fit = ML.gbt(**ML.map_params(draws[1])).fit(table.where("fold <> 2"))
+    assert abs(ML.average_precision_of(fit.transform(table.where("fold = 2"))) - one["average_precision"]) < 1e-12
+
 
+def test_search_is_whole_and_left_out_of_the_queries():
+    """The exit runs 15 draws with their 200-400 trees."""
+    from retentia.plans import catalog
 
-def test_registered_queries_search_the_whole_budget(spark, monkeypatch):
-    """All five queries of the model start from 15 draws with their 200-400 trees."""
-    seen = []
+    draws = ML.sample_params()
+    assert len(draws) == ML.SEARCH_DRAWS == 15 and all(200 <= d["n_estimators"] <= 400 for d in draws)
+    assert "param_search" not in catalog.queries() and EXITS["param_search"].build is QM.param_search
 
-    def stop(train, sampled, *a):
-        seen.append(sampled)
-        raise InterruptedError
 
-    monkeypatch.setattr(ML, "param_search", stop)
-    monkeypatch.setattr(ML, "fit_pipeline", lambda tr, *a, **k: stop(tr, [k]))
-    for query in (QM.train_gbt, QM.param_search, QM.evaluation_report, QM.score_customers, QM.model_metadata):
-        with pytest.raises(InterruptedError):
-            query(spark, SF001)
-    assert len(seen) == 5
-    assert all(len(x) == ML.SEARCH_DRAWS == 15 and all(200 <= d["n_estimators"] <= 400 for d in x) for x in seen)
+def test_slots_keep_the_order(spark):
+    assert ML.in_slots(spark, [lambda i=i: spark.range(i).count() for i in range(9)], 3) == list(range(9))
