@@ -13,6 +13,9 @@ from retentia import schemas as S
 # Java regex equivalents of the original patterns. (?U) makes \d and \s Unicode-aware
 # like Python's re module.
 DOLLAR_RE = "(?U)" + S.DOLLAR_AMOUNT_PATTERN
+DATE_RE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
+PRIOR_ACTION_RE = r"already [a-z]+"
+QUOTATION_RE = r'"([^"]+)"'
 PERCENT_RE = r"(?U)\d+(?:\.\d+)?\s?%"
 # The Unicode White_Space code points (what Java's (?U)\s matches)
 WHITESPACE = "".join(
@@ -53,6 +56,21 @@ def percentages(s) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(_c(s), F.lit(PERCENT_RE), 0)))
 
 
+def dates(s) -> Column:
+    """Distinct ISO dates, sorted."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(_c(s), F.lit(DATE_RE), 0)))
+
+
+def prior_actions(s) -> Column:
+    """Distinct claims that something was done before ("already refunded"), lower case, sorted."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(_c(s)), F.lit(PRIOR_ACTION_RE), 0)))
+
+
+def quotations(s) -> Column:
+    """Distinct passages in double quotes (without them), sorted."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(_c(s), F.lit(QUOTATION_RE), 1)))
+
+
 def first_line(s) -> Column:
     """First line of the stripped text, itself stripped (empty when the text is empty)."""
     body = strip(s)

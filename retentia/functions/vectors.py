@@ -3,19 +3,24 @@
 Spark 4.1 has no built-in vector similarity in ``pyspark.sql.functions``, so inner
 products are higher-order functions evaluated in the JVM, in double precision.
 
-Also the default offline text embedder: a fixed keyword vocabulary whose per-term
-counts form the vector.  Its cosine is computed as ``dot / sqrt(|c|^2 |q|^2)`` over
-integers, which is bit-for-bit reproducible in any SQL engine.
+Also the default offline text embedder: a sparse vector of all words of a text, as sorted
+term hashes (60 bits of md5, which any SQL engine has) and their counts.  Its cosine is
+``dot / sqrt(|a|^2 |b|^2)`` over integers, bit-for-bit reproducible in any SQL engine.  A
+fixed keyword vocabulary with a dense count vector is there as an alternative.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import re
+import string
+from collections import Counter
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Keyword vocabulary of the offline embedder (own choice, covers the
+# Vocabulary of the keyword embedder (own choice, covers the
 # words of the interaction texts and of typical retention queries).
 KEYWORD_VOCABULARY = [
     "charge",
@@ -65,6 +70,101 @@ def l2_normalize(a) -> Column:
     return F.transform(_c(a), lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
 
 
+# A term: letters and digits (ASCII ones and everything beyond ASCII), A-Z read as a-z
+TERM_RE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+TERM_HASH_DIGITS = 15  # hexadecimal digits of the md5: 60 bits, fits a long
+TERM_VECTOR = "struct<terms: array<bigint>, weights: array<bigint>>"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often ``body`` uses it (a
+    plain repetition inside a lambda would be computed again for every element)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def terms(text) -> Column:
+    """All terms of the whole text in order; none for a null text."""
+    low = F.translate(_c(text), string.ascii_uppercase, string.ascii_lowercase)
+    return F.coalesce(F.regexp_extract_all(low, F.lit(TERM_RE), 0), F.array().cast("array<string>"))
+
+
+def term_hash(term: Column) -> Column:
+    return F.conv(F.substring(F.md5(term), 1, TERM_HASH_DIGITS), 16, 10).cast("bigint")
+
+
+def term_vector(text) -> Column:
+    """Sparse vector of a text in one pass: its terms' hashes, sorted, and how often each
+    occurs.  Sorting puts equal hashes together; the counts are the distances between the
+    places where a new one begins, so a text of n words costs n log n."""
+
+    def counted(h: Column) -> Column:
+        n = F.size(h)
+        new = lambda i: (i == 1) | (F.element_at(h, i) != F.element_at(h, F.greatest(i - 1, F.lit(1))))
+        heads = F.filter(F.sequence(F.lit(1), n), new)
+
+        def cells(at: Column) -> Column:
+            ends = F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(n + 1))
+            return F.struct(
+                F.transform(at, lambda i: F.element_at(h, i)).alias("terms"),
+                F.zip_with(at, ends, lambda a, b: (b - a).cast("bigint")).alias("weights"),
+            )
+
+        empty = F.struct(F.array().cast("array<bigint>").alias("terms"), F.array().cast("array<bigint>").alias("weights"))
+        return F.when(n == 0, empty).otherwise(let(heads, cells))
+
+    return let(F.array_sort(F.transform(terms(text), term_hash)), counted)
+
+
+def term_vector_py(text: str | None) -> tuple[list[int], list[int]]:
+    """Driver-side ``term_vector`` of a single query string (same rule)."""
+    low = (text or "").translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
+    counts = Counter(int(hashlib.md5(t.encode()).hexdigest()[:TERM_HASH_DIGITS], 16) for t in re.findall(TERM_RE, low))
+    found = sorted(counts)
+    return found, [counts[t] for t in found]
+
+
+def term_vector_literal(text: str | None) -> Column:
+    """The vector of one query string as a constant of the plan."""
+    found, weights = term_vector_py(text)
+    arrays = [F.array(*[F.lit(x) for x in xs]).cast("array<bigint>") for xs in (found, weights)]
+    return F.struct(arrays[0].alias("terms"), arrays[1].alias("weights"))
+
+
+def sparse_norm2(v: Column) -> Column:
+    """Squared length of a sparse vector."""
+    return F.aggregate(v["weights"], F.lit(0).cast("bigint"), lambda acc, x: acc + x * x)
+
+
+def sparse_dot(a, b) -> Column:
+    """Inner product of two sparse vectors: their sorted entries merged, neighbours with the same
+    term multiplied (a term occurs once per vector, so at most two meet)."""
+    a, b = _c(a), _c(b)
+    entries = lambda v: F.zip_with(v["terms"], v["weights"], lambda t, w: F.struct(t.alias("t"), w.alias("w")))
+
+    def total(m: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            x, y = F.element_at(m, i), F.element_at(m, i + 1)
+            return acc + F.when(x["t"] == y["t"], x["w"] * y["w"]).otherwise(F.lit(0))
+
+        pairs = F.aggregate(F.sequence(F.lit(1), F.size(m) - 1), F.lit(0).cast("bigint"), step)
+        return F.when(F.size(m) < 2, F.lit(0).cast("bigint")).otherwise(pairs)
+
+    return let(F.array_sort(F.concat(entries(a), entries(b))), total)
+
+
+def sparse_cosine(a, b) -> Column:
+    """Cosine of two sparse count vectors, 0 when either is empty."""
+    a, b = _c(a), _c(b)
+    n = sparse_norm2(a) * sparse_norm2(b)
+    return F.when(n > 0, sparse_dot(a, b).cast("double") / F.sqrt(n.cast("double"))).otherwise(F.lit(0.0))
+
+
+def sparse_normalize(v) -> Column:
+    """The weights of a sparse vector scaled to unit length (none stay none)."""
+    v = _c(v)
+    return let(F.sqrt(sparse_norm2(v).cast("double")), lambda n: F.transform(v["weights"], lambda x: x.cast("double") / n))
+
+
 def keyword_counts(text, vocabulary: Sequence[str] = KEYWORD_VOCABULARY) -> Column:
     """Vector of whole-word counts of each vocabulary term in the lower-cased text."""
     low = F.lower(_c(text))
@@ -73,8 +173,6 @@ def keyword_counts(text, vocabulary: Sequence[str] = KEYWORD_VOCABULARY) -> Colu
 
 def keyword_counts_py(text: str, vocabulary: Sequence[str] = KEYWORD_VOCABULARY) -> list[int]:
     """Driver-side counts for a single query string (same rule as ``keyword_counts``)."""
-    import re
-
     low = (text or "").lower()
     return [len(re.findall(rf"\b{t}\b", low, flags=re.ASCII)) for t in vocabulary]
 

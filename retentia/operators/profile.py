@@ -220,3 +220,17 @@ def deviation_from_expected(observed: DataFrame, key: str, expected: DataFrame)
     key that never occurs has n and share 0, an undeclared one no expected share."""
     d = observed.join(expected, key, "full").fillna(0, ["n", "share"])
     return d.withColumn("abs_deviation", F.abs(F.col("share") - F.col("expected_share")))
+
+
+def share_within(counts: DataFrame, group: str, key: str, expected: Mapping[object, Mapping[str, float]]) -> DataFrame:
+    """D20 per group: observed share of each key within its group next to the declared share.
+
+    ``counts`` has ``group, key, n`` (few rows a group: it is counted already).  A declared cell
+    that never occurs has n and share 0, an undeclared one no expected share; null groups and
+    keys are dropped."""
+    known = counts.where(F.col(group).isNotNull() & F.col(key).isNotNull()).groupBy(group, key).agg(F.sum("n").alias("n"))
+    observed = known.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(group)))
+    cells = [F.struct(F.lit(g).alias(group), F.lit(k).alias(key), F.lit(float(x)).alias("expected_share")) for g, keys in expected.items() for k, x in keys.items()]
+    declared = counts.sparkSession.range(1).select(F.inline(F.array(*cells)))
+    d = observed.join(declared, [group, key], "full").fillna(0, ["n", "share"])
+    return d.withColumn("abs_deviation", F.abs(F.col("share") - F.col("expected_share")))

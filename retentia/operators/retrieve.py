@@ -6,9 +6,13 @@ equi-join or filter on ``customer_id``.  Ranking is ``row_number() <= k`` per re
 which Spark plans as a partial ``WindowGroupLimit`` before the shuffle, so a customer
 with a huge history sends ``k`` rows per map task, not its history.
 
-Hot customers (more candidate rows than ``rows_per_task``) are split across several
-join tasks by salting: the few hot keys are found with a grouped count (bounded:
-at most ``total / rows_per_task`` keys, so the hot-key table is broadcast safely),
+Candidates are scored where they are read: with one query for everybody (``search_scan``)
+the query is a constant of the plan, and requests of their own queries are counted first
+and broadcast when they fit ``broadcast_bytes``.  In both cases the only shuffle of
+candidates comes after the top-k.  More requests than that meet the candidates in a
+shuffled join: hot customers (more candidate rows than ``rows_per_task``) are then split
+across several join tasks by salting: the few hot keys are found with a grouped count
+(bounded: at most ``total / rows_per_task`` keys, so the hot-key table is broadcast safely),
 their rows get a salt, and their requests are replicated once per salt.
 """
 
@@ -23,8 +27,10 @@ from pyspark.sql import types as T
 from retentia.functions import text as X
 from retentia.functions import vectors as V
 from retentia.operators.ranking import top_k_per_key
+from retentia.session import stored
 
 ROWS_PER_TASK = 2_000_000
+BROADCAST_BYTES = 64 << 20  # requests above this are shuffled
 MAX_SALTS = 1 << 17  # a key with 1e12 rows still gets ~8M rows per task
 
 
@@ -32,7 +38,7 @@ def embed_text(
     df: DataFrame,
     text_col: str = "text",
     out_col: str = "embedding",
-    method: str = "keyword",
+    method: str = "terms",
     embed_fn: Callable | None = None,
     dim: int = 256,
     batch_size: int = 256,
@@ -42,8 +48,9 @@ def embed_text(
     - ``embed_fn``: a model hook ``f(pandas.Series[str]) -> 2-D float array``, run under
       ``mapInPandas`` so each Python worker loads the model once and sees Arrow batches;
       the model itself gets ``batch_size`` texts per call (256 in the original).
-    - ``method="keyword"``: whole-word counts over a fixed vocabulary (JVM built-ins;
-      its cosine is reproducible in SQL).
+    - ``method="terms"`` (default): sparse vector of all words, as sorted term hashes and
+      counts (JVM built-ins; its cosine is reproducible in SQL).
+    - ``method="keyword"``: whole-word counts over a fixed vocabulary, dense.
     - ``method="hashing"``: tokenizer + feature hashing + L2 normaliser (MLlib, JVM).
     """
     if embed_fn is not None:
@@ -59,6 +66,8 @@ def embed_text(
                 yield pdf
 
         return df.mapInPandas(run, schema)
+    if method == "terms":
+        return df.withColumn(out_col, V.term_vector(F.col(text_col)))
     if method == "keyword":
         return df.withColumn(out_col, V.keyword_counts(F.col(text_col)))
     if method == "hashing":
@@ -109,6 +118,19 @@ def search_one(
     return top.drop("embedding")
 
 
+def search_scan(candidates: DataFrame, similarity: F.Column, k: int, key: str = "customer_id", id_col: str = "interaction_id") -> DataFrame:
+    """J4 with one constant query: every customer's ``k`` most similar rows, scored on the scan."""
+    scored = candidates.withColumn("similarity", similarity)
+    return top_k_per_key(scored, key, [F.col("similarity").desc(), F.col(id_col).asc()], k)
+
+
+def table_bytes(df: DataFrame) -> int:
+    """Upper bound of a stored table's size when broadcast: eight times the bytes of its rows as JSON
+    text, in which every value takes a byte at least."""
+    text = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    return 8 * int(df.agg(F.sum(F.octet_length(text).cast("bigint"))).first()[0] or 0)
+
+
 def _hot_keys(candidates: DataFrame, key: str, rows_per_task: int) -> DataFrame:
     counts = candidates.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     return counts.where(F.col("_n") > rows_per_task).select(
@@ -126,6 +148,7 @@ def scoped_search(
     id_col: str = "interaction_id",
     rows_per_task: int = ROWS_PER_TASK,
     k_max: int = 20,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """J4 for many requests: each request ``(request_id, customer_id, top_k, ...)`` gets the
     ``top_k`` most similar rows of *its own* customer.  ``similarity()`` builds the score
@@ -134,27 +157,33 @@ def scoped_search(
 
     Returns one row per hit: request columns, candidate columns, ``similarity``, ``rank``.
     """
+    too_many = F.raise_error(F.format_string(f"a request asks for %d hits, the limit is {k_max}", F.col(k_col).cast("long")))
+    requests = stored(requests.withColumn(k_col, F.when(F.col(k_col) > k_max, too_many.cast("int")).otherwise(F.col(k_col))), "search-requests")
+    order = [F.col("similarity").desc(), F.col(id_col).asc()]
+    if table_bytes(requests) <= broadcast_bytes:  # counted: candidates stay where they are read
+        joined = candidates.join(F.broadcast(requests), key)
+        top = top_k_per_key(joined.withColumn("similarity", similarity()), request_key, order, k_max)
+        return top.where(F.col("rank") <= F.col(k_col))
     hot = F.broadcast(_hot_keys(candidates, key, rows_per_task))
     c = candidates.join(hot, key, "left").withColumn(
         "_salt",
         F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(F.col(id_col)), F.col("_salts"))).cast("int"),
     ).drop("_salts")
-    too_many = F.raise_error(F.format_string(f"a request asks for %d hits, the limit is {k_max}", F.col(k_col).cast("long")))
-    r = requests.withColumn(k_col, F.when(F.col(k_col) > k_max, too_many.cast("int")).otherwise(F.col(k_col)))
-    r = r.join(hot, key, "left").withColumn(
+    r = requests.join(hot, key, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
     ).drop("_salts")
     joined = r.join(c, [key, "_salt"], "inner").drop("_salt")
     scored = joined.withColumn("similarity", similarity())
     # the literal bound lets Spark plan WindowGroupLimit
-    top = top_k_per_key(scored, request_key, [F.col("similarity").desc(), F.col(id_col).asc()], k_max)
+    top = top_k_per_key(scored, request_key, order, k_max)
     return top.where(F.col("rank") <= F.col(k_col))
 
 
 def context_items(hits: DataFrame, group: str) -> DataFrame:
     """J5 input: per request, its hits as an array in rank order (``scoped_search`` bounds
-    them by its ``k_max``)."""
-    item = F.struct("rank", "interaction_id", "interaction_type", "sentiment", "text", "similarity")
+    them by its ``k_max``), with their ``timestamp`` where the hits carry one."""
+    when = ["timestamp"] if "timestamp" in hits.columns else []
+    item = F.struct("rank", "interaction_id", "interaction_type", "sentiment", "text", "similarity", *when)
     return hits.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("context_items"))
 
 

@@ -578,6 +578,57 @@ def mix_vs_expected(spark, sf_dir):
     return d.select("interaction_type", "n", r6("share").alias("share"), "expected_share", r6("abs_deviation").alias("abs_deviation"))
 
 
+# Fixed values of the proxy: which of the original's types an event stands for
+TYPE_OF_EVENT = {"click": "complaint", "error": "technical_problem", "purchase": "billing_issue", "signup": "general_inquiry", "view": "positive_feedback"}
+_TYPE_SQL = "CASE interaction_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TYPE_OF_EVENT.items()) + " END"
+
+
+def _original_type():
+    return F.element_at(F.create_map(*[F.lit(x) for kv in TYPE_OF_EVENT.items() for x in kv]), F.col("interaction_type"))
+
+
+def _share_within_sql(group: str, key: str, observed: str, expected) -> str:
+    cells = ", ".join(f"({g!r}, '{k}', CAST({x} AS DOUBLE))" for g, keys in expected.items() for k, x in keys.items())
+    return f"""SELECT coalesce(o.g, e.g) AS {group}, coalesce(o.k, e.k) AS {key}, CAST(coalesce(o.n, 0) AS BIGINT) AS n, round(coalesce(o.share, 0), 6) AS share,
+  e.x AS expected_share, round(abs(coalesce(o.share, 0) - e.x), 6) AS abs_deviation
+FROM (SELECT g, k, n, n / sum(n) OVER (PARTITION BY g) AS share FROM ({observed})) o
+FULL JOIN (VALUES {cells}) e(g, k, x) ON o.g = e.g AND o.k = e.k"""
+
+
+def _rounded(d, group, key):
+    return d.select(group, key, F.col("n").cast("bigint").alias("n"), r6("share").alias("share"), "expected_share", r6("abs_deviation").alias("abs_deviation"))
+
+
+@query(
+    "sentiment_vs_expected",
+    "D3 D20",
+    q(_share_within_sql("interaction_type", "sentiment", f"SELECT {_TYPE_SQL} AS g, sentiment AS k, count(*) AS n FROM interactions_v GROUP BY ALL", S.SENTIMENT_BY_TYPE)),
+)
+def sentiment_vs_expected(spark, sf_dir):
+    """Sentiment within each type beside its declared share."""
+    n = P.interactions_v(spark, sf_dir).groupBy(_original_type().alias("interaction_type"), "sentiment").agg(F.count(F.lit(1)).alias("n"))
+    return _rounded(PR.share_within(n, "interaction_type", "sentiment", S.SENTIMENT_BY_TYPE), "interaction_type", "sentiment")
+
+
+@query(
+    "type_mix_by_churn",
+    "C1 D20",
+    q(
+        _share_within_sql(
+            "churned", "interaction_type",
+            f"SELECT c.churned AS g, {_TYPE_SQL} AS k, count(*) AS n FROM interactions_v i JOIN customers_v c ON i.customer_id = c.customer_id GROUP BY ALL",
+            S.TYPE_WEIGHTS_BY_CHURN,
+        )
+    ),
+)
+def type_mix_by_churn(spark, sf_dir):
+    """Types of churned and of retained customers beside their declared shares."""
+    # counted per customer before the join: a customer costs it a few rows, whatever its history
+    per_customer = P.interactions_v(spark, sf_dir).groupBy("customer_id", _original_type().alias("interaction_type")).agg(F.count(F.lit(1)).alias("n"))
+    n = per_customer.join(P.customers_v(spark, sf_dir).select("customer_id", "churned"), "customer_id")
+    return _rounded(PR.share_within(n, "churned", "interaction_type", S.TYPE_WEIGHTS_BY_CHURN), "churned", "interaction_type")
+
+
 @query(
     "top_contracts",
     "E5 D4",

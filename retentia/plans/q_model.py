@@ -322,11 +322,11 @@ def _table_schemas_sql() -> str:
 def table_schemas(spark, sf_dir):
     """A5: CREATE TABLE IF NOT EXISTS for the four declared tables (twice: safe to repeat),
     then INSERT OVERWRITE of the engine's own rows (customers, interactions, the prediction
-    log, the recommendation job's log) through the declared schemas, which enforces the
+    log, the at-risk job's log) through the declared schemas, which enforces the
     varchar limits; reported per column with the declared type, row count and nulls found
     (NOT NULL is declared but not enforced by file-based tables, so it is counted here)."""
     from retentia.plans.q_quality import predictions_log
-    from retentia.plans.q_recommend import recommend_job
+    from retentia.plans.q_recommend import at_risk_job
 
     base = work_dir(spark, "tables")
     names = {k: f"{TABLE_PREFIX}{k}" for k in S.TABLES}
@@ -338,7 +338,7 @@ def table_schemas(spark, sf_dir):
         "customers": P.customers_v(spark, sf_dir),
         "interactions": P.interactions_v(spark, sf_dir),
         "predictions": predictions_log(spark, sf_dir),
-        "recommendations": recommend_job(spark, sf_dir),
+        "recommendations": at_risk_job(spark, sf_dir),
     }
     out = None
     for k, cols in _declared().items():

@@ -77,6 +77,57 @@ def bulk_load_counts(spark, sf_dir):
     return spark.createDataFrame(out, "table_name string, loaded_first bigint, loaded_second bigint, rows_in_table bigint")
 
 
+# Fixed values of the proxy batch: every so manieth row breaks a rule
+BATCH_SQL = (
+    "batch",
+    f"""SELECT interaction_id AS source_id,
+  CASE WHEN interaction_id % 13 = 0 THEN NULL WHEN interaction_id % 17 = 0 THEN interaction_id - 1 ELSE interaction_id END AS interaction_id,
+  CASE WHEN interaction_id % 5 = 0 THEN customer_id * {ORPHAN_KEY_FACTOR} ELSE customer_id END AS customer_id, "timestamp",
+  CASE WHEN interaction_id % 7 = 0 THEN channel || ' at the front desk' ELSE channel END AS channel, interaction_type,
+  CASE WHEN interaction_id % 11 = 0 THEN 'angry' ELSE sentiment END AS sentiment,
+  CASE WHEN interaction_id % 19 = 0 THEN NULL ELSE text END AS text FROM interactions_v""",
+)
+
+
+@query(
+    "checked_append",
+    "A3 A7 A8 A9",
+    q(
+        f"""SELECT source_id, interaction_id, array_to_string(list_sort(list_filter([
+    CASE WHEN interaction_id IS NULL THEN 'key_null' END,
+    CASE WHEN interaction_id IN (SELECT interaction_id FROM batch WHERE interaction_id IS NOT NULL GROUP BY interaction_id HAVING count(*) > 1) THEN 'key_repeated' END,
+    CASE WHEN interaction_id % 3 = 0 AND interaction_id IN (SELECT interaction_id FROM interactions_v) THEN 'key_exists' END,
+    CASE WHEN customer_id NOT IN (SELECT customer_id FROM customers_v) THEN 'reference:customer_id' END,
+    CASE WHEN text IS NULL THEN 'not_null:text' END,
+    CASE WHEN length(channel) > {S.VARCHAR_LIMITS["interactions"]["channel"]} THEN 'length:channel' END,
+    CASE WHEN sentiment = 'angry' THEN 'domain:sentiment' END], lambda x: x IS NOT NULL)), ',') AS broken,
+  CAST((SELECT count(*) FROM interactions_v WHERE interaction_id % 3 = 0) AS BIGINT) AS rows_before FROM batch""",
+        BATCH_SQL,
+    ),
+)
+def checked_append(spark, sf_dir):
+    """A batch with broken rows goes to a table that holds every third interaction already: what
+    breaks no rule is appended, the rest stays behind with the rules it breaks."""
+    inter = P.interactions_v(spark, sf_dir)
+    path = work_dir(spark, "checked-interactions")
+    inter.where("interaction_id % 3 = 0").write.parquet(path)
+    before = spark.read.parquet(path).count()
+    every = lambda n: F.pmod(F.col("interaction_id"), F.lit(n)) == 0
+    batch = inter.withColumns({
+        "source_id": F.col("interaction_id"),
+        "interaction_id": F.when(every(13), None).when(every(17), F.col("interaction_id") - 1).otherwise(F.col("interaction_id")),
+        "customer_id": F.when(every(5), F.col("customer_id") * ORPHAN_KEY_FACTOR).otherwise(F.col("customer_id")),
+        "channel": F.when(every(7), F.concat("channel", F.lit(" at the front desk"))).otherwise(F.col("channel")),
+        "sentiment": F.when(every(11), "angry").otherwise(F.col("sentiment")),
+        "text": F.when(~every(19), F.col("text")),
+    })
+    judged = IO.checked_append(
+        spark, batch, path, "interaction_id", {"customer_id": (P.customers_v(spark, sf_dir), "customer_id")},
+        not_null=["text"], max_lengths={"channel": S.VARCHAR_LIMITS["interactions"]["channel"]}, domains={"sentiment": S.SENTIMENTS}, table_columns=inter.columns,
+    )
+    return judged.select("source_id", "interaction_id", F.array_join("broken", ",").alias("broken"), F.lit(before).cast("bigint").alias("rows_before"))
+
+
 @query(
     "interaction_metadata",
     "A4",

@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from retentia import schemas as S
 from retentia.functions import numeric as N
+from retentia.functions import text as X
 from retentia.operators import quality as Q
 from retentia.operators import recommend as RC
 from retentia.operators.ranking import dense_ids
 from retentia.plans.q_quality import PREDICTIONS_SQL, predictions_log
-from retentia.plans.q_retrieval import EMB_SQL, EMPTY_CTX_SQL, HITS_SQL, customer_contexts
+from retentia.plans.q_retrieval import EMB_SQL, EMPTY_CTX_SQL, HITS_SQL, cosine_sql, customer_contexts, embedded_interactions
 from retentia.plans.registry import query
 from retentia.plans.views_sql import q
-from retentia.session import work_dir
+from retentia.session import stored, work_dir
 from retentia.sources import io as IO
 from retentia.sources import proxies as P
 
@@ -80,11 +81,22 @@ def numeric_sql(t: str, c: str) -> tuple[str, str]:
     return passed, reason
 
 
+def _new_facts(t: str, c: str) -> str:
+    """Claims of rule (a) that the context does not hold."""
+    ctx = f"coalesce({c}, '')"
+    parts = []
+    for pattern, text, context in ((X.DATE_RE, t, ctx), (DOLLAR, t, ctx), (X.PRIOR_ACTION_RE, f"lower({t})", f"lower({ctx})")):
+        parts.append(f"list_filter(regexp_extract_all({text}, '{pattern}'), lambda x: NOT list_contains(regexp_extract_all({context}, '{pattern}'), x))")
+    parts.append(f"list_filter(regexp_extract_all({t}, '{X.QUOTATION_RE}', 1), lambda x: NOT contains({ctx}, x))")
+    return f"list_sort(list_distinct(flatten([{', '.join(parts)}])))"
+
+
 def judge_sql(t: str, c: str) -> tuple[str, str]:
-    extra = _extra_pct(t, c)
-    passed = f"(len({extra}) = 0)"
+    facts, extra = _new_facts(t, c), _extra_pct(t, c)
+    passed = f"(len({facts}) = 0 AND len({extra}) = 0)"
     reason = (
-        f"CASE WHEN len({extra}) > 0 THEN 'UNGROUNDED' || chr(10) || 'Proposes a concession not in the context: ' "
+        f"CASE WHEN len({facts}) > 0 THEN 'UNGROUNDED' || chr(10) || 'States facts not in the context: ' || array_to_string({facts}, ', ') || '.' "
+        f"WHEN len({extra}) > 0 THEN 'UNGROUNDED' || chr(10) || 'Proposes a concession not in the context: ' "
         f"|| array_to_string({extra}, ', ') || '.' ELSE 'GROUNDED' || chr(10) || 'Every stated fact and amount appears in the context.' END"
     )
     return passed, reason
@@ -124,17 +136,25 @@ TEXT2_SQL = (
     "|| first_type || ' history, and call them back.'"
 )
 _CP, _CR = chain_sql("t", "context_text")
-ATTEMPTS_SQL = [
-    ("g1", f"SELECT *, 1 AS attempt, {_CP} AS passed, {_CR} AS reason FROM (SELECT *, {TEXT1_SQL} AS t FROM base)"),
-    (
-        "g2",
-        f"""SELECT *, 2 AS attempt, {_CP} AS passed, {_CR} AS reason FROM (
-  SELECT prediction_id, customer_id, n_context, context_text, first_type, {TEXT2_SQL} AS t FROM g1 WHERE NOT passed)""",
-    ),
-    ("final", "SELECT * FROM g1 WHERE passed UNION ALL SELECT * FROM g2"),
-]
+
+
+def attempts_sql(base: str, key: str, prefix: str = "") -> list[tuple[str, str]]:
+    """Both rounds over the rows of ``base`` and the chosen attempt, as CTEs g1, g2, final."""
+    keys = "prediction_id" if key == "prediction_id" else f"{key}, prediction_id"
+    return [
+        (f"{prefix}g1", f"SELECT *, 1 AS attempt, {_CP} AS passed, {_CR} AS reason FROM (SELECT *, {TEXT1_SQL} AS t FROM {base})"),
+        (
+            f"{prefix}g2",
+            f"""SELECT *, 2 AS attempt, {_CP} AS passed, {_CR} AS reason FROM (
+  SELECT {keys}, customer_id, n_context, context_text, first_type, {TEXT2_SQL} AS t FROM {prefix}g1 WHERE NOT passed)""",
+        ),
+        (f"{prefix}final", f"SELECT * FROM (SELECT {keys}, customer_id, t, attempt, passed, reason FROM {prefix}g1 WHERE passed UNION ALL SELECT {keys}, customer_id, t, attempt, passed, reason FROM {prefix}g2)"),
+    ]
+
+
+ATTEMPTS_SQL = attempts_sql("base", "prediction_id")
 JOB_CTES = [PREDICTIONS_SQL, EMB_SQL, HITS_SQL, CTX_SQL, BASE_SQL]
-RECS_CTX_SQL = ("rc", "SELECT r.prediction_id, r.recommendation_text AS t, ctx.context_text FROM recs_v r JOIN ctx ON r.customer_id = ctx.customer_id")
+RECS_CTX_SQL = ("rc", "SELECT r.prediction_id, r.customer_id, r.recommendation_text AS t, ctx.context_text, ctx.n_context, ctx.first_type FROM recs_v r JOIN ctx ON r.customer_id = ctx.customer_id")
 RECS_CTES = [EMB_SQL, HITS_SQL, CTX_SQL, RECS_CTX_SQL]
 
 
@@ -142,17 +162,21 @@ RECS_CTES = [EMB_SQL, HITS_SQL, CTX_SQL, RECS_CTX_SQL]
 # Spark side
 # ---------------------------------------------------------------------------
 def job_base(spark, sf_dir):
-    """At-risk predictions with their retrieved context (C2 -> C3 -> J4 -> J5)."""
-    preds = predictions_log(spark, sf_dir).where("predicted_label = 1").select("prediction_id", "customer_id")
-    ctx = RC.with_context_facts(customer_contexts(spark, sf_dir).select("customer_id", "context_items", "context_text"))
-    return preds.join(ctx, "customer_id")
+    """At-risk predictions with the retrieved context of their customers (C2 -> C3 -> J4 -> J5)."""
+    preds = stored(predictions_log(spark, sf_dir).where("predicted_label = 1").select("prediction_id", "customer_id"), "at-risk")
+    ctx = customer_contexts(spark, sf_dir, preds.select("customer_id").distinct())
+    return preds.join(RC.with_context_facts(ctx.select("customer_id", "context_items", "context_text")), "customer_id")
 
 
-def recs_with_context(spark, sf_dir):
-    """Every recommendation with its customer's context; the context's amounts and
-    percentages are extracted once per customer, before the join repeats them."""
-    ctx = RC.with_context_facts(customer_contexts(spark, sf_dir).select("customer_id", "context_text"))
-    return P.recs_v(spark, sf_dir).join(ctx, "customer_id")
+def recs_with_context(spark, sf_dir, items: bool = False):
+    """Every recommendation with its customer's context (a customer who is not known: the fixed
+    sentence); the context's facts are extracted once per customer, before the join repeats
+    them.  The join keeps the recommendations' side, which AQE may split where a customer is hot."""
+    cols = ["customer_id", "context_text"] + (["context_items"] if items else [])
+    ctx = RC.with_context_facts(customer_contexts(spark, sf_dir).select(*cols))
+    known = P.recs_v(spark, sf_dir).join(ctx, "customer_id", "left")
+    facts = {c: F.coalesce(c, F.array().cast("array<string>")) for c in RC.FACTS}
+    return known.withColumns({"context_text": F.coalesce("context_text", F.lit(S.EMPTY_CONTEXT_TEXT)), **facts})
 
 
 @query(
@@ -241,10 +265,10 @@ def recommend_with_retry(spark, sf_dir):
     return a.select("prediction_id", F.col("attempt").cast("int").alias("attempt"), "recommendation_text", "passed_guardrails", "guardrail_reason")
 
 
-def recommend_job(spark, sf_dir, start=1):
-    """Every at-risk prediction -> context -> text -> guardrails (with retry) -> log rows,
-    with ids from ``start``."""
-    final = RC.final_attempt(_attempts(spark, sf_dir))
+def at_risk_job(spark, sf_dir, start=1):
+    """Every at-risk prediction -> context -> text -> guardrails (with retry) -> log rows, with
+    ids from ``start``."""
+    final = stored(RC.final_attempt(_attempts(spark, sf_dir)), "final-attempts")
     with_ids = dense_ids(final, ["prediction_id"], "recommendation_id", start)
     return with_ids.select(
         "recommendation_id",
@@ -262,12 +286,85 @@ JOB_SQL = f"""SELECT row_number() OVER (ORDER BY prediction_id) AS recommendatio
   passed AS passed_guardrails, '(attempt ' || CAST(attempt AS VARCHAR) || '/{S.MAX_ATTEMPTS}) ' || reason AS guardrail_reason,
   '{RC.PROVIDER}' AS llm_provider, TIMESTAMP '{P.FIXED_CREATED_AT}' AS created_at, CAST(attempt AS INTEGER) AS attempt FROM final"""
 
+# Fixed values of the proxy requests: one per prediction, with its own query (the first is left
+# out: the default), number of hits (0, 21 and 22 are out of range, some are left out) and
+# now and then an unknown prediction
+REQUEST_QUERIES = [None, "An error with a charge of $42", "purchase or signup trouble", "clicks, views and a complaint about the charge"]
+UNKNOWN_OFFSET = 1_000_000_000
+
+
+def requests_v(spark, sf_dir, predictions):
+    """request_id, prediction_id, query, top_k."""
+    p = F.col("prediction_id")
+    query_of = F.element_at(F.array(*[F.lit(x) for x in REQUEST_QUERIES]), (F.pmod(p, F.lit(len(REQUEST_QUERIES))) + 1).cast("int"))
+    k = F.pmod(p, F.lit(23)).cast("int")
+    return predictions.select(
+        p.alias("request_id"),
+        F.when(F.pmod(p, F.lit(7)) == 0, p + UNKNOWN_OFFSET).otherwise(p).alias("prediction_id"),
+        query_of.alias("query"),
+        F.when(k != 5, k).alias("top_k"),
+    )
+
+
+def _request_sims() -> str:
+    cases = " ".join(f"WHEN {i} THEN {cosine_sql('tokens', text or S.DEFAULT_QUERY)}" for i, text in enumerate(REQUEST_QUERIES))
+    return f"CASE request_id % {len(REQUEST_QUERIES)} {cases} END"
 
-@query("recommend_job", "J12 A11 C2 C3", q(JOB_SQL, *JOB_CTES, *ATTEMPTS_SQL))
-def recommend_job_query(spark, sf_dir):
+
+REQUEST_CTES = [
+    PREDICTIONS_SQL,
+    EMB_SQL,
+    (
+        "req",
+        f"""SELECT r.*, p.customer_id, CASE WHEN top_k NOT BETWEEN {S.TOP_K_MIN} AND {S.TOP_K_MAX} THEN 'rejected'
+  WHEN p.customer_id IS NULL THEN 'not_found' ELSE 'answered' END AS status FROM (
+  SELECT prediction_id AS request_id, CASE WHEN prediction_id % 7 = 0 THEN prediction_id + {UNKNOWN_OFFSET} ELSE prediction_id END AS prediction_id,
+         CAST(prediction_id % 23 AS INTEGER) AS top_k FROM predictions) r LEFT JOIN predictions p USING (prediction_id)""",
+    ),
+    (
+        "rhits",
+        f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY sim DESC, interaction_id) AS rank FROM (
+  SELECT r.request_id, r.top_k, e.*, {_request_sims()} AS sim FROM req r JOIN emb e ON r.customer_id = e.customer_id WHERE r.status = 'answered'))
+WHERE rank <= top_k""",
+    ),
+    (
+        "rbase",
+        f"""SELECT r.request_id, r.prediction_id, r.customer_id, CAST(coalesce(x.n, 0) AS INTEGER) AS n_context,
+  coalesce(x.context_text, '{EMPTY_CTX_SQL}') AS context_text, coalesce(x.first_type, 'general') AS first_type
+FROM req r LEFT JOIN (
+  SELECT request_id, count(*) AS n,
+    string_agg(CAST(rank AS VARCHAR) || '. [' || interaction_type || ', ' || sentiment || '] ' || text, chr(10) ORDER BY rank) AS context_text,
+    max(interaction_type) FILTER (WHERE rank = 1) AS first_type
+  FROM rhits GROUP BY request_id) x USING (request_id) WHERE r.status = 'answered'""",
+    ),
+    *attempts_sql("rbase", "request_id", "r"),
+]
+REQUEST_JOB_SQL = f"""SELECT f.recommendation_id, r.request_id, r.prediction_id, CASE WHEN r.status = 'answered' THEN r.customer_id END AS customer_id,
+  r.top_k, r.status, f.t AS recommendation_text, f.passed AS passed_guardrails,
+  '(attempt ' || CAST(f.attempt AS VARCHAR) || '/{S.MAX_ATTEMPTS}) ' || f.reason AS guardrail_reason, CAST(f.attempt AS INTEGER) AS attempt,
+  CASE WHEN r.status = 'answered' THEN '{RC.PROVIDER}' END AS llm_provider,
+  CASE WHEN r.status = 'answered' THEN TIMESTAMP '{P.FIXED_CREATED_AT}' END AS created_at
+FROM req r LEFT JOIN (SELECT *, row_number() OVER (ORDER BY request_id) AS recommendation_id FROM rfinal) f USING (request_id)"""
+
+
+def logged(answers, start: int, created_at):
+    """Ids (dense from ``start``, by request), provider and time of the answered rows; the others
+    keep nulls there, they are no recommendations."""
+    done = dense_ids(answers.where("status = 'answered'"), ["request_id"], "recommendation_id", start)
+    done = done.withColumns({"llm_provider": F.lit(RC.PROVIDER), "created_at": created_at})
+    return done.unionByName(answers.where("status <> 'answered'"), allowMissingColumns=True)
+
+
+@query("recommend_job", "J12 A11 B15 C2 C3", q(REQUEST_JOB_SQL, *REQUEST_CTES))
+def recommend_job(spark, sf_dir):
+    """J12 over requests with queries and numbers of hits of their own; the answered ones go on
+    the recommendation log."""
+    predictions = stored(predictions_log(spark, sf_dir).select("prediction_id", "customer_id"), "predictions")
+    answers = stored(RC.answer_requests(spark, requests_v(spark, sf_dir, predictions), predictions, embedded_interactions(spark, sf_dir)), "answers")
     path = work_dir(spark, "recommendations")
-    IO.append_table(recommend_job(spark, sf_dir, IO.next_id(spark, path, "recommendation_id")), path)
-    return spark.read.parquet(path)
+    rows = stored(logged(answers, IO.next_id(spark, path, "recommendation_id"), N.created_at(P.FIXED_CREATED_AT)), "answered")
+    IO.append_table(rows.where("status = 'answered'").select("recommendation_id", "prediction_id", "recommendation_text", "passed_guardrails", "guardrail_reason", "llm_provider", "created_at"), path)
+    return rows
 
 
 # ---------------------------------------------------------------------------
@@ -275,19 +372,16 @@ def recommend_job_query(spark, sf_dir):
 # ---------------------------------------------------------------------------
 def recommendation_log_table(spark, sf_dir):
     """An append-only log with re-requests: run 1 logs every recommendation (whether or
-    not it passed), run 2 re-requests the ones that failed.  Each run's ids go on from the
-    log's largest, in prediction order, and are stored with the row, so an append changes
-    no id.  Written to the shared folder and read back."""
-    checked = RC.guardrail_chain(recs_with_context(spark, sf_dir)).select(
-        "prediction_id", "recommendation_text", "passed_guardrails", "guardrail_reason"
-    )
+    not it passed), run 2 generates the next attempt for those whose latest row failed.  Each
+    run's ids go on from the log's largest, in prediction order, and are stored with the
+    row, so an append changes no id.  Written to the shared folder and read back."""
+    base = stored(recs_with_context(spark, sf_dir, items=True), "recs-with-context")
+    cols = ["prediction_id", "recommendation_text", "passed_guardrails", "guardrail_reason", "attempt"]
     path = work_dir(spark, "recommendation-log")
-    _append_run(spark, checked, path, 1)
-    failed = spark.read.parquet(path).where(~F.col("passed_guardrails")).select(*checked.columns)
-    # written out before the append below, so the log is never read while it grows
-    retry_path = work_dir(spark, "recommendation-retry")
-    failed.write.parquet(retry_path)
-    _append_run(spark, spark.read.parquet(retry_path), path, 2)
+    first = RC.guardrail_chain(base).withColumn("attempt", F.lit(1))
+    _append_run(spark, stored(first.select(*cols), "first-run"), path, 1)
+    again = RC.regenerate(spark, spark.read.parquet(path), base.drop("recommendation_text"))
+    _append_run(spark, again.select(*cols), path, 2)
     return spark.read.parquet(path)
 
 
@@ -296,26 +390,28 @@ def _append_run(spark, rows, path, run):
     IO.append_table(dense_ids(rows.withColumn("run", F.lit(run)), ["prediction_id"], "recommendation_id", start), path)
 
 
-LOG_SQL = (
-    "rlog",
-    f"""SELECT row_number() OVER (ORDER BY run, prediction_id) AS recommendation_id, * FROM (
-  SELECT prediction_id, {_RP} AS passed_guardrails, 1 AS run FROM rc
-  UNION ALL SELECT prediction_id, {_RP}, 2 FROM rc WHERE NOT {_RP})""",
-)
+LOG_SQL = [
+    ("run1", f"SELECT prediction_id, customer_id, t, context_text, n_context, first_type, {_RP} AS passed_guardrails, 1 AS run FROM rc"),
+    ("run2", f"SELECT prediction_id, t, {_RP} AS passed_guardrails, 2 AS run FROM (SELECT prediction_id, context_text, {TEXT2_SQL} AS t FROM run1 WHERE NOT passed_guardrails)"),
+    (
+        "rlog",
+        """SELECT row_number() OVER (ORDER BY run, prediction_id) AS recommendation_id, * FROM (
+  SELECT prediction_id, t AS recommendation_text, passed_guardrails, run FROM run1 UNION ALL SELECT prediction_id, t, passed_guardrails, run FROM run2)""",
+    ),
+]
 
 
 @query(
     "recommendation_log",
     "A11",
     q(
-        "SELECT recommendation_id, prediction_id, passed_guardrails, CAST(run AS INTEGER) AS run FROM rlog",
+        "SELECT recommendation_id, prediction_id, recommendation_text, passed_guardrails, CAST(run AS INTEGER) AS run, CAST(run AS INTEGER) AS attempt FROM rlog",
         *RECS_CTES,
-        LOG_SQL,
+        *LOG_SQL,
     ),
 )
 def recommendation_log(spark, sf_dir):
-    log = recommendation_log_table(spark, sf_dir)
-    return log.select("recommendation_id", "prediction_id", "passed_guardrails", F.col("run").cast("int").alias("run"))
+    return recommendation_log_table(spark, sf_dir).select("recommendation_id", "prediction_id", "recommendation_text", "passed_guardrails", "run", "attempt")
 
 
 @query(
@@ -325,7 +421,7 @@ def recommendation_log(spark, sf_dir):
         """SELECT prediction_id, count(*) AS n_rows, max(recommendation_id) AS recommendation_id,
   arg_max(passed_guardrails, recommendation_id) AS passed_guardrails FROM rlog GROUP BY prediction_id""",
         *RECS_CTES,
-        LOG_SQL,
+        *LOG_SQL,
     ),
 )
 def recommendation_latest(spark, sf_dir):
@@ -349,7 +445,7 @@ FROM predictions p LEFT JOIN job j ON p.prediction_id = j.prediction_id""",
 def prediction_with_recommendation(spark, sf_dir):
     preds = predictions_log(spark, sf_dir).select("prediction_id", "customer_id", "predicted_label")
     path = work_dir(spark, "recommendations")
-    IO.append_table(recommend_job(spark, sf_dir, IO.next_id(spark, path, "recommendation_id")), path)
+    IO.append_table(at_risk_job(spark, sf_dir, IO.next_id(spark, path, "recommendation_id")), path)
     log = spark.read.parquet(path).select("prediction_id", "recommendation_id", "passed_guardrails")
     latest = Q.latest_per_key(log, "prediction_id", "recommendation_id")
     return preds.join(latest, "prediction_id", "left").select(

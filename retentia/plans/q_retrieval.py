@@ -3,6 +3,10 @@ formatting and the scope-leak audit (J1-J5, J13, C4)."""
 
 from __future__ import annotations
 
+import re
+import string
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from retentia import schemas as S
@@ -20,62 +24,67 @@ SEARCH_K = 5
 EMPTY_CTX_SQL = S.EMPTY_CONTEXT_TEXT.replace("'", "''")
 
 
-def _counts_sql(text: str) -> str:
-    terms = ", ".join(f"len(regexp_extract_all(lower({text}), '\\b{t}\\b'))" for t in V.KEYWORD_VOCABULARY)
-    return f"[{terms}]"
-
+TERMS_SQL = f"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{V.TERM_RE}')"
+HASH_SQL = f"CAST('0x' || substr(md5(t), 1, {V.TERM_HASH_DIGITS}) AS BIGINT)"
 
-def _keyword_cos_sql(counts: str, qc) -> str:
-    q2 = sum(int(v) * int(v) for v in qc)
-    dot = " + ".join(f"{counts}[{i + 1}] * {int(w)}" for i, w in enumerate(qc) if w) or "0"
-    c2 = f"list_sum(list_transform({counts}, lambda x: x * x))"
-    return f"CASE WHEN {c2} > 0 THEN CAST({dot} AS DOUBLE) / sqrt(CAST({c2} * {q2} AS DOUBLE)) ELSE 0.0 END"
 
+def cosine_sql(tokens: str, query_text: str) -> str:
+    """The cosine of a token list and a constant query over integer counts."""
+    low = query_text.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
+    asked = Counter(re.findall(V.TERM_RE, low))
+    dot = " + ".join(f"{n} * len(list_filter({tokens}, lambda x: x = '{t}'))" for t, n in sorted(asked.items())) or "0"
+    norms = f"list_sum(list_transform({tokens}, lambda x: len(list_filter({tokens}, lambda y: y = x)))) * {sum(n * n for n in asked.values())}"
+    return f"CASE WHEN len({tokens}) > 0 THEN CAST({dot} AS DOUBLE) / sqrt(CAST({norms} AS DOUBLE)) ELSE 0.0 END"
 
-QUERY_COUNTS = V.keyword_counts_py(SEARCH_QUERY)
 
-EMB_SQL = ("emb", f"SELECT *, {_counts_sql('text')} AS counts FROM interactions_v")
+EMB_SQL = ("emb", f"SELECT *, {TERMS_SQL} AS tokens FROM interactions_v")
+VEC_SQL = (
+    "vec",
+    f"""SELECT i.interaction_id, coalesce(v.hs, []) AS hs, coalesce(v.ws, []) AS ws FROM interactions_v i LEFT JOIN (
+  SELECT interaction_id, list(h ORDER BY h) AS hs, list(n ORDER BY h) AS ws FROM (
+    SELECT interaction_id, {HASH_SQL} AS h, count(*) AS n FROM (SELECT interaction_id, unnest(tokens) AS t FROM emb) GROUP BY ALL)
+  GROUP BY interaction_id) v USING (interaction_id)""",
+)
 HITS_SQL = (
     "hits",
     f"""SELECT * FROM (
-  SELECT e.customer_id, e.interaction_id, e.interaction_type, e.sentiment, e.text, e.sim AS similarity,
+  SELECT e.customer_id, e.interaction_id, e.interaction_type, e.sentiment, e.text, e."timestamp", e.sim AS similarity,
          row_number() OVER (PARTITION BY e.customer_id ORDER BY e.sim DESC, e.interaction_id) AS rank
-  FROM (SELECT *, {_keyword_cos_sql('counts', QUERY_COUNTS)} AS sim FROM emb) e
+  FROM (SELECT *, {cosine_sql('tokens', SEARCH_QUERY)} AS sim FROM emb) e
   JOIN customers_v c ON e.customer_id = c.customer_id) WHERE rank <= {SEARCH_K}""",
 )
 
 
 def embedded_interactions(spark, sf_dir):
-    """J1 (offline embedder): keyword-count vectors of the interaction texts, in the JVM."""
-    return R.embed_text(P.interactions_v(spark, sf_dir), "text", "counts", method="keyword")
+    """J1 (offline embedder): sparse vectors of all words of the interaction texts, in the JVM."""
+    return R.embed_text(P.interactions_v(spark, sf_dir), "text", "vector")
 
 
 def search_hits(spark, sf_dir, k: int = SEARCH_K):
-    """J4 over every customer: the SEARCH_QUERY against each customer's own history.
-
-    Requests are the customers; candidates reach a request only through the
-    ``customer_id`` equi-join (scoping happens before ranking)."""
+    """J4 over every customer: the SEARCH_QUERY against each customer's own history, scored on
+    the scan of the interactions; only k rows a customer and task leave it."""
     cand = embedded_interactions(spark, sf_dir)
-    req = P.customers_v(spark, sf_dir).select(
-        "customer_id", F.col("customer_id").alias("request_id"), F.lit(k).alias("top_k")
-    )
-    return R.scoped_search(cand, req, lambda: V.keyword_cosine(F.col("counts"), QUERY_COUNTS), k_max=k)
+    top = R.search_scan(cand, V.sparse_cosine("vector", V.term_vector_literal(SEARCH_QUERY)), k).drop("vector")
+    return top.join(P.customers_v(spark, sf_dir).select("customer_id"), "customer_id", "left_semi")
 
 
 @query(
     "embed_text",
     "J1",
     q(
-        f"SELECT interaction_id, array_to_string(counts, ',') AS counts, CAST(list_sum(counts) AS BIGINT) AS n_terms FROM emb",
+        """SELECT interaction_id, array_to_string(list_transform(list_zip(hs, ws), lambda x: x[1] || ':' || x[2]), ',') AS vector,
+  CAST(coalesce(list_sum(ws), 0) AS BIGINT) AS n_terms FROM vec""",
         EMB_SQL,
+        VEC_SQL,
     ),
 )
 def embed_text(spark, sf_dir):
     e = embedded_interactions(spark, sf_dir)
+    cells = F.zip_with(F.col("vector.terms"), F.col("vector.weights"), lambda t, w: F.concat(t.cast("string"), F.lit(":"), w.cast("string")))
     return e.select(
         "interaction_id",
-        F.array_join(F.col("counts").cast("array<string>"), ",").alias("counts"),
-        F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_terms"),
+        F.array_join(cells, ",").alias("vector"),
+        F.aggregate("vector.weights", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_terms"),
     )
 
 
@@ -83,20 +92,19 @@ def embed_text(spark, sf_dir):
     "normalize_vectors",
     "J2",
     q(
-        """SELECT interaction_id, round(sqrt(list_sum(list_transform(counts, lambda x: x * x))), 6) AS norm_before,
-  round(sqrt(list_sum(list_transform(nv, lambda x: x * x))), 6) AS norm_after, round(list_max(nv), 6) AS max_component
-FROM (SELECT interaction_id, counts,
-        CASE WHEN list_sum(list_transform(counts, lambda x: x * x)) > 0
-             THEN list_transform(counts, lambda x: CAST(x AS DOUBLE) / sqrt(CAST(list_sum(list_transform(counts, lambda y: y * y)) AS DOUBLE)))
-             ELSE list_transform(counts, lambda x: 0.0) END AS nv FROM emb)""",
+        """SELECT interaction_id, round(norm, 6) AS norm_before,
+  round(coalesce(sqrt(list_sum(list_transform(ws, lambda x: (x / norm) * (x / norm)))), 0.0), 6) AS norm_after,
+  round(list_max(list_transform(ws, lambda x: x / norm)), 6) AS max_component
+FROM (SELECT *, sqrt(CAST(coalesce(list_sum(list_transform(ws, lambda x: x * x)), 0) AS DOUBLE)) AS norm FROM vec)""",
         EMB_SQL,
+        VEC_SQL,
     ),
 )
 def normalize_vectors(spark, sf_dir):
-    e = R.normalize(embedded_interactions(spark, sf_dir), "counts", "nv")
+    e = embedded_interactions(spark, sf_dir).withColumn("nv", V.sparse_normalize("vector"))
     return e.select(
         "interaction_id",
-        r6(V.l2_norm(F.col("counts"))).alias("norm_before"),
+        r6(F.sqrt(V.sparse_norm2(F.col("vector")).cast("double"))).alias("norm_before"),
         r6(V.l2_norm(F.col("nv"))).alias("norm_after"),
         r6(F.array_max("nv")).alias("max_component"),
     )
@@ -179,11 +187,13 @@ FROM customers_v c LEFT JOIN (
 ON c.customer_id = x.customer_id"""
 
 
-def customer_contexts(spark, sf_dir):
-    """J5 for every customer: numbered hit lines, or the fixed sentence without history."""
-    items = R.context_items(search_hits(spark, sf_dir), "customer_id")
-    cust = P.customers_v(spark, sf_dir).select("customer_id")
-    return R.with_context_text(cust.join(items, "customer_id", "left"))
+def customer_contexts(spark, sf_dir, asked=None):
+    """J5 for every customer (or the ``asked`` ones): numbered hit lines, or the fixed sentence
+    without history."""
+    cust = asked if asked is not None else P.customers_v(spark, sf_dir).select("customer_id")
+    # only k hits a customer leave the search: those of customers nobody asked for go here
+    hits = search_hits(spark, sf_dir).join(cust.select("customer_id").distinct(), "customer_id", "left_semi")
+    return R.with_context_text(cust.join(R.context_items(hits, "customer_id"), "customer_id", "left"))
 
 
 @query("customer_context", "J5 C5 E3 F5", q(context_sql(), EMB_SQL, HITS_SQL))

@@ -95,9 +95,11 @@ scored_v AS (
 RECS_V = """
 recs_v AS (
   SELECT o_orderkey AS prediction_id, o_custkey AS customer_id,
-         'Review the $' || CAST(CAST(trunc(o_totalprice) AS BIGINT) % 500 AS VARCHAR) || ' charge with the customer'
+         CASE WHEN o_orderkey % 3 = 0 THEN 'Review the last' ELSE 'Review the $' || CAST(CAST(trunc(o_totalprice) AS BIGINT) % 500 AS VARCHAR) END || ' charge with the customer'
          || CASE WHEN o_orderkey % 4 = 0 THEN ' and offer a 10% discount' ELSE '' END
-         || ', then have a manager call them.' AS recommendation_text
+         || ', then have a manager call them.'
+         || CASE o_orderkey % 7 WHEN 3 THEN ' We already refunded them on 2001-03-05.'
+                                WHEN 5 THEN ' The customer said "I will leave".' ELSE '' END AS recommendation_text
   FROM orders)"""
 
 BASE = [CUSTOMERS_V, INTERACTIONS_V, VECTORS_V, SCORES_V, SCORED_V, RECS_V]

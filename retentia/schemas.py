@@ -194,3 +194,18 @@ PRIMARY_KEYS = {
     "predictions": "prediction_id",
     "recommendations": "recommendation_id",
 }
+
+# Declared mixes of the original's interactions.  Sentiment within each type,
+# and types by whether the customer churned
+SENTIMENT_BY_TYPE = {
+    "billing_issue": {"negative": 0.7, "neutral": 0.25, "positive": 0.05},
+    "technical_problem": {"negative": 0.65, "neutral": 0.3, "positive": 0.05},
+    "complaint": {"negative": 0.85, "neutral": 0.13, "positive": 0.02},
+    "cancellation_request": {"negative": 0.9, "neutral": 0.08, "positive": 0.02},
+    "positive_feedback": {"negative": 0.02, "neutral": 0.08, "positive": 0.9},
+    "general_inquiry": {"negative": 0.1, "neutral": 0.8, "positive": 0.1},
+}
+TYPE_WEIGHTS_BY_CHURN = {
+    1: {"complaint": 0.25, "cancellation_request": 0.20, "billing_issue": 0.20, "technical_problem": 0.20, "general_inquiry": 0.10, "positive_feedback": 0.05},
+    0: {"complaint": 0.10, "cancellation_request": 0.02, "billing_issue": 0.15, "technical_problem": 0.15, "general_inquiry": 0.35, "positive_feedback": 0.23},
+}

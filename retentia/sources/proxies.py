@@ -164,18 +164,21 @@ def scored_customers(spark: SparkSession, sf_dir: str, threshold: float = PROXY_
 def recs_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One recommendation per order (``prediction_id = o_orderkey``).
 
-    The text names a dollar amount built from the order price; every fourth order
-    also offers a percentage concession, so each guardrail has rows to reject.
+    The text names a dollar amount built from the order price (every third one none); every
+    fourth order also offers a percentage concession, others claim a past action on a date or quote the
+    customer, so each guardrail rule has rows to reject.
     """
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     amount = F.pmod(F.col("o_totalprice").cast("bigint"), F.lit(500))
     concession = F.when(F.pmod(F.col("o_orderkey"), F.lit(4)) == 0, F.lit(" and offer a 10% discount")).otherwise(F.lit(""))
     text = F.concat(
-        F.lit("Review the $"),
-        amount.cast("string"),
+        F.when(F.pmod(F.col("o_orderkey"), F.lit(3)) == 0, F.lit("Review the last")).otherwise(F.concat(F.lit("Review the $"), amount.cast("string"))),
         F.lit(" charge with the customer"),
         concession,
         F.lit(", then have a manager call them."),
+        F.when(F.pmod(F.col("o_orderkey"), F.lit(7)) == 3, F.lit(" We already refunded them on 2001-03-05."))
+        .when(F.pmod(F.col("o_orderkey"), F.lit(7)) == 5, F.lit(' The customer said "I will leave".'))
+        .otherwise(F.lit("")),
     )
     return o.select(
         F.col("o_orderkey").alias("prediction_id"),

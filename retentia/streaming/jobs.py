@@ -11,6 +11,8 @@ rebuilt as streams.
   a micro-batch replayed after a failure rewrites the same folder, so the log holds
   every request exactly once (idempotent by batch, and the checkpoint records which
   batches committed).
+- Log ids are ranges reserved per micro-batch and stored with the batch id, and the time is taken
+  once a batch, so a replay writes the same ids and times.
 - Static sides (scored customers, retrieved contexts) are written to the shared folder
   once before the stream starts, so a micro-batch joins a stored table instead of
   re-running the whole customer pipeline every batch.
@@ -21,11 +23,16 @@ rebuilt as streams.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentia.session import work_dir
+from retentia.operators.ranking import dense_ids
+from retentia.session import stored, work_dir
+
+LEDGER = "batch bigint, first bigint, n bigint, at string"
 
 
 def file_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -57,6 +64,39 @@ def batch_sink(path: str, transform: Callable[[DataFrame, int], DataFrame] | Non
     return write
 
 
+def reserve_ids(spark: SparkSession, ledger: str, batch_id: int, n: int, now: str | None = None) -> tuple[int, str]:
+    """(first id, time) of a micro-batch: the range of ``n`` ids after the largest one reserved so
+    far, stored with the batch id before the batch is written.  A replay of the batch finds its
+    entry and takes the same ids and the same time; a batch that failed after its reservation
+    leaves no gap, as its replay comes first.  One stream writes to a ledger at a time."""
+    try:
+        entries = spark.read.schema(LEDGER).json(f"{ledger}/*")
+        mine = entries.where(F.col("batch") == batch_id).first()
+        if mine:
+            if mine["n"] != n:
+                raise RuntimeError(f"batch {batch_id} had {mine['n']} rows when its ids were reserved, now {n}")
+            return mine["first"], mine["at"]
+        first = (entries.agg(F.max(F.col("first") + F.col("n")).alias("m")).first()["m"] or 1)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        first = 1
+    at = now or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")
+    entry = spark.createDataFrame([(batch_id, first, n, at)], LEDGER)
+    entry.coalesce(1).write.mode("overwrite").json(f"{ledger}/batch{batch_id}")
+    return first, at
+
+
+def with_batch_ids(rows: DataFrame, ledger: str, batch_id: int, order: str, id_col: str, logged: Column, now: str | None = None) -> DataFrame:
+    """The log identity of a micro-batch: dense ids (in the order of the unique ``order``) from the
+    batch's reserved range and the batch's time on the rows that are ``logged``; nulls on others."""
+    rows = stored(rows.withColumn("_logged", logged), "batch")
+    mine = rows.where("_logged")
+    first, at = reserve_ids(rows.sparkSession, ledger, batch_id, mine.count(), now)
+    done = dense_ids(mine, [order], id_col, first).withColumn("created_at", F.to_timestamp_ntz(F.lit(at)))
+    return done.unionByName(rows.where("NOT _logged"), allowMissingColumns=True).drop("_logged")
+
+
 def run_available_now(stream: DataFrame, sink_fn, checkpoint: str) -> None:
     """Drain the source and stop; raises if the query failed."""
     q = (

@@ -144,3 +144,18 @@ def test_rows_without_score_are_left_out(spark):
     df = spark.createDataFrame([(1, 0.9), (0, None), (1, 0.5), (0, 0.1), (None, 0.3)], "y int, y_proba double")
     rows = sorted((r["score"], r["tp"], r["fp"], r["total_pos"], r["total_neg"]) for r in M.pr_curve(df).collect())
     assert rows == [(0.1, 2, 1, 2, 1), (0.5, 2, 0, 2, 1), (0.9, 1, 0, 2, 1)]
+
+
+def test_splitters_come_from_a_bounded_sample(spark):
+    """Ranges of about equal size from a draw that depends on the rows alone, no sketch of each task."""
+    from retentia.operators import ranking as RK
+
+    df = spark.range(60000).selectExpr("id", "exp(id % 977 / 100.0) * id AS v")
+    edges = RK.bucket_edges(df, "v", 16)
+    assert edges == RK.bucket_edges(df.repartition(7, "id"), "v", 16)
+    sizes = [r["count"] for r in RK.bucketize(df, "v", edges).groupBy("_bucket").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2.5 * 60000 / 16
+    odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),), (1.0,), (1.0,)], "v double")
+    assert RK.bucket_edges(odd, "v", 4) == [1.0] and RK.bucket_edges(odd.limit(0), "v", 4) == [] == RK.bucket_edges(df, "v", 1)
+    ops = open(RK.__file__).read() + open(M.__file__).read()
+    assert "percentile_approx" not in ops

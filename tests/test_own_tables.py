@@ -46,10 +46,10 @@ def test_profile_and_scorecard(tables):
 
 def test_retrieve_and_recommend(spark, tables):
     customers, interactions = tables
-    qc = V.keyword_counts_py("billing charge cancel")
-    cand = R.embed_text(interactions, "text", "counts")
+    query = V.term_vector_literal("billing charge cancel")
+    cand = R.embed_text(interactions, "text", "vector")
     req = customers.select("customer_id", F.col("customer_id").alias("request_id"), F.lit(5).alias("top_k"))
-    hits = R.scoped_search(cand, req, lambda: V.keyword_cosine(F.col("counts"), qc))
+    hits = R.scoped_search(cand, req, lambda: V.sparse_cosine("vector", query))
     ctx = R.with_context_text(customers.select("customer_id").join(R.context_items(hits, "customer_id"), "customer_id", "left"))
     texts = {r["customer_id"]: r["context_text"] for r in ctx.collect()}
     # "charged" is not the whole word "charge"; the cancellation shares "cancel" and ranks first

@@ -137,3 +137,23 @@ def test_next_id_raises_what_is_no_missing_log(spark, tmp_path):
     spark.createDataFrame([(1,)], "other long").write.parquet(path)
     with pytest.raises(Exception, match="id"):
         IO.next_id(spark, path, "id")
+
+
+def test_checked_append_refuses_orphans_and_keeps_the_rest(spark):
+    from retentia.session import work_dir
+    from retentia.sources import io as IO
+
+    path = work_dir(spark, "checked")
+    parent = spark.createDataFrame([(1,), (2,), (2,), (None,)], "id int")
+    rules = dict(references={"c": (parent, "id")}, not_null=["t"], max_lengths={"t": 3}, domains={"d": ["x", "y"]})
+    cols = "k int, c int, t string, d string"
+
+    def append(rows):
+        return {r["k"]: r["broken"] for r in IO.checked_append(spark, spark.createDataFrame(rows, cols), path, "k", **rules).collect()}
+
+    got = append([(1, 1, "abc", "x"), (2, 9, "abc", "x"), (3, None, "é漢字", None), (4, 1, "abcd", "z"), (5, 2, None, "y"), (None, 7, None, "q"), (6, 1, "a", "x"), (6, 2, "b", "y")])
+    assert got == {1: [], 2: ["reference:c"], 3: [], 4: ["domain:d", "length:t"], 5: ["not_null:t"], None: ["domain:d", "key_null", "not_null:t", "reference:c"], 6: ["key_repeated"]}
+    assert sorted(r["k"] for r in spark.read.parquet(path).collect()) == [1, 3]
+    assert append([(1, 1, "abc", "x"), (2, 2, "abc", "x")]) == {1: ["key_exists"], 2: []}
+    assert append([]) == {}
+    assert sorted(tuple(r) for r in spark.read.parquet(path).select("k", "c").collect()) == [(1, 1), (2, 2), (3, None)]

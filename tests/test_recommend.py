@@ -47,9 +47,10 @@ def test_judge_parse_and_empty(spark):
 def test_chain_first_failure_wins_and_judge_only_on_survivors(spark):
     calls = []
 
-    def judge(prompts):
+    def judge(rules, prompts):
         import pandas as pd
 
+        assert "(a)" in rules and "(b)" in rules
         return pd.Series(["GROUNDED\nok"] * len(prompts))
 
     rows = [(1, "short", "ctx"), (2, "Offer a credit of $99 to this customer now.", "ctx"), (3, "Have a manager call this customer back.", "ctx")]
@@ -109,7 +110,7 @@ def test_retry_with_external_generator_and_judge(spark):
         text = "Offer a credit of $999 now." if attempt == 1 else "Have a manager call the customer back."
         return pd.Series([text] * len(prompts))
 
-    def judge(prompts):
+    def judge(rules, prompts):
         return pd.Series(["GROUNDED\nfine"] * len(prompts))
 
     base = spark.createDataFrame([(1, 5, "1. [error, negative] error charge of $3")], "prediction_id bigint, customer_id bigint, context_text string")
@@ -119,3 +120,64 @@ def test_retry_with_external_generator_and_judge(spark):
     assert rows[2]["passed_guardrails"]
     final = RC.final_attempt(attempts).first()
     assert final["attempt"] == 2 and final["guardrail_reason"] == f"(attempt 2/{S.MAX_ATTEMPTS}) {S.ALL_PASSED_REASON}"
+
+
+def test_judge_holds_every_kind_of_claim_against_the_context(spark):
+    ctx = 'charged $15 on 2024-02-01, already refunded $15; the customer said "enough" and got 10% off'
+    rows = [
+        ("Call about the $15 of 2024-02-01, already refunded; \"enough\" is \"enough\", 10% off.", "GROUNDED"),
+        ("Call about 2024-02-02.", "2024-02-02"),
+        ("Call about $16.", "$16"),
+        ("We Already Escalated it.", "already escalated"),
+        ('They said "never again".', "never again"),
+        ("Offer 20% off.", "20%"),
+        ("Call on 2024-02-03, $3, \"x\", 30% off.", "$3, 2024-02-03, x"),
+        ("", "GROUNDED"),
+        (None, "GROUNDED"),
+    ]
+    df = spark.createDataFrame([(i, t, ctx) for i, (t, _) in enumerate(rows)], "k int, recommendation_text string, context_text string")
+    for frame in (df, RC.with_context_facts(df)):
+        got = {r["k"]: r["verdict"] for r in RC.apply_judge(frame).collect()}
+        for i, (_, want) in enumerate(rows):
+            assert got[i].startswith("GROUNDED") if want == "GROUNDED" else got[i].endswith(f": {want}."), (i, got[i])
+    empty = spark.createDataFrame([("Offer 5% off since 2024-01-01.", None)], "recommendation_text string, context_text string")
+    assert RC.apply_judge(empty).first()["verdict"] == "UNGROUNDED\nStates facts not in the context: 2024-01-01."
+
+
+def test_regenerate_takes_only_the_latest_failures_and_counts_on(spark):
+    import pandas as pd
+
+    log = spark.createDataFrame(
+        [(1, 1, False, 1), (2, 2, True, 1), (3, 3, False, 1), (4, 3, False, 2), (5, 4, False, 1), (6, 4, True, 2)],
+        "recommendation_id bigint, prediction_id bigint, passed_guardrails boolean, attempt int",
+    )
+    base = spark.createDataFrame([(i, 7, "1. [error, negative] error charge of $3") for i in range(1, 6)], "prediction_id bigint, customer_id bigint, context_text string")
+    base = base.withColumn("context_items", F.array(F.struct(F.lit("error").alias("interaction_type"))))
+    assert {(r["prediction_id"], r["attempt"]) for r in RC.retry_queue(log).collect()} == {(1, 2), (3, 3)}
+    asked = []
+
+    def gen(system, prompts, attempt):
+        return pd.Series([f"Attempt {attempt}: have a manager call them."] * len(prompts))
+
+    for fn in (None, gen):
+        got = {r["prediction_id"]: r for r in RC.regenerate(spark, log, base, generate_fn=fn).collect()}
+        assert {k: r["attempt"] for k, r in got.items()} == {1: 2, 3: 3} and all(r["passed_guardrails"] for r in got.values())
+        asked.append(got[3]["recommendation_text"])
+    assert asked[1].startswith("Attempt 3") and "specialist" in asked[0]
+
+
+def test_requests_get_their_own_query_number_and_status(spark):
+    from retentia.operators import retrieve as R
+
+    history = [(i, 1 + i % 2, f"{w} charge of ${i}", w) for i, w in enumerate(["error", "view", "outage", "click"] * 8)]
+    cand = R.embed_text(spark.createDataFrame(history, "interaction_id bigint, customer_id bigint, text string, interaction_type string").withColumn("sentiment", F.lit("negative")), "text", "vector")
+    preds = spark.createDataFrame([(10, 1), (11, 2), (12, 3)], "prediction_id bigint, customer_id bigint")
+    reqs = [(1, 10, "an outage!", 1), (2, 10, "ERROR", 3), (3, 11, None, None), (4, 11, "click", 21), (5, 11, "click", 0), (6, 99, "view", 5), (7, None, "view", 5), (8, 12, "view", 20), (9, 10, "...", 20)]
+    got = {r["request_id"]: r for r in RC.answer_requests(spark, spark.createDataFrame(reqs, "request_id bigint, prediction_id bigint, query string, top_k int"), preds, cand).collect()}
+    assert {k: r["status"] for k, r in got.items()} == {1: "answered", 2: "answered", 3: "answered", 4: "rejected", 5: "rejected", 6: "not_found", 7: "not_found", 8: "answered", 9: "answered"}
+    assert {k: r["customer_id"] for k, r in got.items()} == {1: 1, 2: 1, 3: 2, 4: None, 5: None, 6: None, 7: None, 8: 3, 9: 1}
+    # attempt 2 names the type of the first hit, so the query decides the text
+    assert "starting with the outage" in got[1]["recommendation_text"] and "starting with the error" in got[2]["recommendation_text"]
+    assert "starting with the general" in got[8]["recommendation_text"]  # no history
+    assert got[6]["recommendation_text"] is None and got[6]["passed_guardrails"] is None
+    assert RC.answer_requests(spark, spark.createDataFrame([], "request_id bigint, prediction_id bigint, query string, top_k int"), preds, cand).count() == 0

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from retentia.functions import vectors as V
 from retentia.operators import quality as Q
 from retentia.operators import retrieve as R
+from retentia.session import work_dir
 
 
 def _cands(spark):
@@ -36,8 +37,9 @@ def test_scoped_search_matches_brute_force_and_salting(spark):
     req = spark.createDataFrame([(10, 1, 5), (11, 2, 5), (12, 3, 5), (13, 4, 5)], "request_id int, customer_id bigint, top_k int")
     want = _brute(rows, q, 5)
     sim = lambda: V.dot_literal(F.col("embedding"), q)
-    for rows_per_task in (10**6, 7):  # the second splits customer 1 into salted pieces
-        hits = R.scoped_search(cands, req, sim, rows_per_task=rows_per_task)
+    # scored on the scan, then the shuffled join, whole and with customer 1 in salted pieces
+    for size, rows_per_task in ((R.BROADCAST_BYTES, 10**6), (0, 10**6), (0, 7)):
+        hits = R.scoped_search(cands, req, sim, rows_per_task=rows_per_task, broadcast_bytes=size)
         got = {}
         for r in hits.orderBy("request_id", "rank").collect():
             got.setdefault(r["customer_id"], []).append(r["interaction_id"])
@@ -54,12 +56,51 @@ def test_per_request_k(spark):
     assert counts == {1: 2, 2: 7}
 
 
-def test_search_plan_limits_before_shuffle(spark):
-    cands, _ = _cands(spark)
-    req = spark.createDataFrame([(1, 1, 3)], "request_id int, customer_id bigint, top_k int")
-    hits = R.scoped_search(cands, req, lambda: V.dot(F.col("embedding"), F.col("embedding")))
-    plan = hits._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan or "Window" in plan
+def below_first_exchange(df) -> str:
+    """The part of the plan under its lowest hash exchange."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan[plan.rindex("Exchange hashpartitioning"):]
+
+
+def test_candidates_are_scored_and_limited_before_their_first_shuffle(spark):
+    path = work_dir(spark, "cands")
+    _cands(spark)[0].write.parquet(path)
+    cands = spark.read.parquet(path)
+    req = spark.createDataFrame([(1, 1, 3, [1.0] * 8)], "request_id int, customer_id bigint, top_k int, qv array<double>")
+    for hits in (R.scoped_search(cands, req, lambda: V.dot("embedding", "qv")), R.search_scan(cands, V.dot_literal("embedding", [1.0] * 8), 3)):
+        part = below_first_exchange(hits)
+        assert "WindowGroupLimit" in part and "FileScan" in part and "SortMergeJoin" not in part
+
+
+def test_request_sizes_are_counted(spark):
+    df = spark.createDataFrame([(1, "é" * 100, [1.5] * 10), (2, None, None)], "k int, t string, v array<double>")
+    assert 8 * 250 < R.table_bytes(df) < 8 * 320 and R.table_bytes(df.limit(0)) == 0
+
+
+WORDS = [None, "", " .,!", "error", "Error ERROR error", "a b a_b É é 漢字 漢字", "charge of $17, charge of $18", "x " * 3000 + "y", "1 2 3 " + " ".join(f"w{i % 700}" for i in range(4000))]
+
+
+def test_term_vectors_hold_every_word(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(WORDS)], "k int, text string").withColumn("v", V.term_vector("text"))
+    got = {r["k"]: (r["v"]["terms"], r["v"]["weights"]) for r in df.collect()}
+    assert got == {i: V.term_vector_py(t) for i, t in enumerate(WORDS)}
+    assert got[4] == got[3][:1] + ([3],) and sum(got[8][1]) == 4003 and len(got[5][0]) == 5
+
+
+def test_sparse_products_match_python(spark):
+    def dot(a, b):
+        x, y = (dict(zip(*V.term_vector_py(t), strict=True)) for t in (a, b))
+        return sum(n * y.get(t, 0) for t, n in x.items())
+
+    df = spark.createDataFrame([(a, b) for a in WORDS for b in WORDS], "a string, b string")
+    df = df.withColumns({"va": V.term_vector("a"), "vb": V.term_vector("b")})
+    for r in df.select("a", "b", V.sparse_dot("va", "vb").alias("d"), V.sparse_cosine("va", "vb").alias("c"), V.sparse_normalize("va").alias("n")).collect():
+        assert r["d"] == dot(r["a"], r["b"])
+        size = dot(r["a"], r["a"]) * dot(r["b"], r["b"])
+        assert r["c"] == (r["d"] / size**0.5 if size else 0.0)
+        assert not r["n"] or abs(sum(x * x for x in r["n"]) - 1) < 1e-12
+    literal = df.select("a", V.sparse_dot("va", V.term_vector_literal("Error of charge charge")).alias("d")).distinct().collect()
+    assert all(r["d"] == dot(r["a"], "Error of charge charge") for r in literal)
 
 
 def test_normalize_and_centroids(spark):
@@ -72,7 +113,7 @@ def test_normalize_and_centroids(spark):
 
 def test_embed_hooks(spark):
     df = spark.createDataFrame([(1, "billing charge error"), (2, "")], "k int, text string")
-    kw = {r["k"]: r["embedding"] for r in R.embed_text(df).collect()}
+    kw = {r["k"]: r["embedding"] for r in R.embed_text(df, method="keyword").collect()}
     assert sum(kw[1]) == 3 and sum(kw[2]) == 0
     hs = R.embed_text(df, method="hashing", dim=32).where("k = 1").first()["embedding"]
     assert abs(float(np.linalg.norm(hs)) - 1.0) < 1e-6
@@ -124,3 +165,8 @@ def test_search_one_batched_equals_default(spark):
     a = {(r["customer_id"], r["interaction_id"]) for r in R.search_one(cands, q, 3).collect()}
     b = {(r["customer_id"], r["interaction_id"]) for r in R.search_one(cands, q, 3, batched=True).collect()}
     assert a == b and len(a) == 3 + 3 + 1
+
+
+def test_context_items_carry_the_time_of_the_hit(spark):
+    hits = spark.sql("SELECT 1 AS customer_id, 1 AS rank, 7 AS interaction_id, 'a' AS interaction_type, 'b' AS sentiment, 'c' AS text, 0.5D AS similarity, timestamp_ntz'2024-01-02 03:04:05' AS timestamp")
+    assert str(R.context_items(hits, "customer_id").first()["context_items"][0]["timestamp"]) == "2024-01-02 03:04:05"

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from conftest import SF001
 from pyspark.sql import functions as F
 
@@ -68,3 +69,34 @@ def test_minutes_do_not_depend_on_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert got == [(dt.datetime(2024, 3, 10, 2, 30), 1), (dt.datetime(2024, 3, 10, 2, 31), 1)]
+
+
+def test_a_replayed_batch_keeps_its_ids_and_times(spark):
+    """Ids go on from batch to batch; a replay, also of an earlier batch, writes the same rows."""
+    sink, ledger = work_dir(spark, "ids-sink"), work_dir(spark, "ids-ledger")
+    frame = lambda rows: spark.createDataFrame(rows, "request_id bigint, status string")
+    write = J.batch_sink(sink, lambda df, b: J.with_batch_ids(df, ledger, b, "request_id", "prediction_id", F.col("status") == "scored"))
+    rows = lambda: sorted((r["request_id"], r["prediction_id"], r["created_at"], r["batch_id"]) for r in J.read_sink(spark, sink).collect())
+    a, b = frame([(5, "scored"), (3, "scored"), (4, "not_found")]), frame([(9, "scored"), (1, "scored")])
+    write(a, 0)
+    write(b, 1)
+    first = rows()
+    assert [(r[0], r[1]) for r in first] == [(1, 3), (3, 1), (4, None), (5, 2), (9, 4)]
+    assert first[2][2] is None and first[1][2] == first[3][2] <= first[0][2]
+    write(a.repartition(5), 0)
+    write(b, 1)
+    assert rows() == first
+    write(frame([(7, "not_found")]), 2)  # nothing to number
+    write(frame([(8, "scored")]), 3)
+    assert [r[1] for r in rows() if r[0] == 8] == [5]
+    with pytest.raises(RuntimeError, match="ids were reserved"):
+        write(frame([(8, "scored")]), 0)
+
+
+def test_batches_that_died_after_the_reservation_are_replayed(spark):
+    ledger = work_dir(spark, "ids-ledger")
+    assert J.reserve_ids(spark, ledger, 0, 10, "t0") == (1, "t0")
+    assert J.reserve_ids(spark, ledger, 0, 10, "t9") == (1, "t0")
+    assert J.reserve_ids(spark, ledger, 1, 5, "t1") == (11, "t1")
+    assert J.reserve_ids(spark, ledger, 2, 0, "t2") == (16, "t2")
+    assert J.reserve_ids(spark, ledger, 3, 1, "t3") == (16, "t3")
