@@ -1,6 +1,6 @@
 """Operator 4, exact top-k inner-product search with block-at-a-time pruning.
 
-Vectors are dealt into shards of at most about SHARD rows by a hash of their id; within a
+Vectors are dealt into shards of about SHARD rows by a hash of id and components; within a
 shard they are ordered by their strongest dimensions, so that neighbours resemble each other, and
 cut into document-range blocks of BLOCK rows.  A block keeps per dimension ("term") its largest
 and smallest component.  A query's bound for a block is the sum over its dimensions of the best
@@ -8,14 +8,18 @@ product the block can offer; its blocks are visited by falling bound, and each v
 scored in full through its rows (forward index), until the next bound is below the query's
 k-th score.  A bound equal to it is still visited, as ties go to the smaller id.
 
+Rows equal in id and components are counted first, on the map side, and of each such group as
+many rows go on as can be in a result (k): a hot id is spread by its vectors, a hot row is k rows.
+
 Queries travel to the shards in groups of at most QUERY_GROUP rows, so a task holds one shard
 and one group whatever the size of either side; each returns at most k rows per query and the
 best k of those are the result.
 
 Cases: vectors that are null, empty or hold a null or non-finite component take no part.  A
 query meets vectors of its own length only.  Rows with the query's own id count as its own
-row.  Repeated rows of another id are candidates of their own.  A query row whose id occurs
-several times is one query per distinct vector.  Scores beyond a long are clipped to it.
+row.  Repeated rows of another id are candidates of their own, and so are rows without an id,
+which come after all others of their score; without an id no row is a query.  A query row whose id
+occurs several times is one query per distinct vector.  Scores beyond a long are clipped to it.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from retentia.llm.common import query, table
+from retentia.llm.common import query, stored, table
 
 SHARD = 8_192
 BLOCK = 64
@@ -103,29 +107,35 @@ def top_k(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
 
     def usable(df):
         x = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where(
-            F.col("id").isNotNull() & (F.size("v") > 0)
-            & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))))
+            (F.size("v") > 0) & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))))
         return x.select("id", F.transform("v", lambda c: F.floor(F.lit(float(scale)) * c.cast("double"))).alias("x"))
 
-    v, q = usable(vectors), usable(queries).distinct()
-    sizes = v.agg(F.count("*").alias("n")).first()["n"], q.agg(F.count("*").alias("n")).first()["n"]
+    v, q = usable(vectors).groupBy("id", "x").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n")), usable(queries).where("id IS NOT NULL").distinct()
+    v = stored(v.select("id", "x", F.explode(F.sequence(F.lit(1), "n")).alias("copy")).drop("copy"), "topk-rows")
+    sizes = v.count(), q.count()
     shards, groups = max(1, -(-sizes[0] // SHARD)), max(1, -(-sizes[1] // QUERY_GROUP))
     slot = lambda n: F.pmod(F.xxhash64("id", "x"), F.lit(n)).cast("int")
-    v = v.select("id", "x", F.size("x").alias("d"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+    v = v.select("id", "x", F.size("x").alias("d"), slot(shards).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
     q = q.select("id", "x", F.size("x").alias("d"), slot(groups).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"))
 
     def run(_, left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": pa.array([], pa.int64()), "query_no": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         if not left.num_rows or not right.num_rows:
             return empty
-        ids, q_ids = left["id"].to_numpy(), right["id"].to_numpy()
-        row, found, score = search_shard(ids, _matrix(left["x"]), q_ids, _matrix(right["x"]), k)
-        return pa.table({"query_id": q_ids[row], "query_no": right["no"].to_numpy()[row], "id": found, "score": score})
+        # ids as their places in id order, rows without one last
+        known, q_ids = np.unique(left["id"].drop_null().to_numpy()), right["id"].to_numpy()
+        has = left["id"].is_valid().to_numpy()
+        place = np.where(has, np.searchsorted(known, left["id"].fill_null(0).to_numpy()), len(known))
+        own = np.searchsorted(known, q_ids)
+        own = np.where(np.append(known, 0)[own] == q_ids, np.where(own < len(known), own, -1), -1)
+        row, found, score = search_shard(place, _matrix(left["x"]), own, _matrix(right["x"]), k)
+        ids = pa.array(known).take(pa.array(np.where(found < len(known), found, 0), mask=found >= len(known))) if len(known) else pa.nulls(len(found), pa.int64())
+        return pa.table({"query_id": q_ids[row], "query_no": right["no"].to_numpy()[row], "id": ids, "score": score})
 
     q = q.withColumn("no", F.xxhash64("x"))  # tells queries that share an id apart
     keys = ["d", "s", "g"]
     part = v.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(run, "query_id long, query_no long, id long, score long")
-    w = Window.partitionBy("query_id", "query_no").orderBy(F.col("score").desc(), F.col("id"))
+    w = Window.partitionBy("query_id", "query_no").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last())
     return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
 
 
@@ -134,12 +144,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
     """
     WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
                FROM embeddings
-               WHERE vec_id IS NOT NULL AND len(embedding) > 0
+               WHERE len(embedding) > 0
                  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
     q AS (SELECT vec_id AS query_id, generate_subscripts(v, 1) AS d, unnest(v) AS a FROM e WHERE vec_id % 50 = 0),
     c AS (SELECT vec_id, generate_subscripts(v, 1) AS d, unnest(v) AS b FROM e),
     s AS (SELECT query_id, vec_id, CAST(sum(a * b) AS BIGINT) AS score FROM q JOIN c USING (d)
-          WHERE query_id <> vec_id GROUP BY query_id, vec_id),
+          WHERE query_id IS DISTINCT FROM vec_id GROUP BY query_id, vec_id),
     r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
     SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,

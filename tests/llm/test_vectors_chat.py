@@ -3,6 +3,7 @@ import numpy as np
 import pytest
 
 from llm_cases import SF001, SF01
+from pyspark.sql import functions as F
 from retentia.llm import chat, topk
 from retentia.llm.common import QUERIES
 
@@ -32,15 +33,41 @@ def test_search_prunes_and_stays_exact():
     assert len(visited) < 2000 // topk.BLOCK
 
 
+def brute_topk(rows, k):
+    """(query, rank, id, score) by plain search over rows (id, whole vector)."""
+    out = []
+    for q, x in {(i, tuple(v)) for i, v in rows if i is not None and i % 50 == 0}:
+        found = sorted((-sum(a * b for a, b in zip(x, v, strict=True)), i is None, i or 0, i) for i, v in rows if len(v) == len(x) and i != q)
+        out += [(q, n + 1, f[3], -f[0]) for n, f in enumerate(found[:k])]
+    return sorted(out, key=str)
+
+
 def test_topk_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(50, [1.0, 2.0]), (50, [1.0, 2.0]), (1, [1.0, 0.0]), (2, None), (3, [None, 1.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, []), (7, [1.0]), (None, [1.0, 1.0]), (8, [1.0, 0.0]), (9, [1e17, 1e17])]
+    rows = [(50, [1.0, 2.0]), (50, [1.0, 2.0]), (1, [1.0, 0.0]), (2, None), (3, [None, 1.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, []), (7, [1.0]), (None, [1.0, 1.0]), (None, [1.0, 0.0]), (8, [1.0, 0.0]), (9, [3.0, 3.0])]
+    rows += [(11, [2.0, 2.0])] * 9 + [(100, [1.0, 1.0]), (0, [-1.0, -1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS id", "2 AS score")
-    got = [tuple(r) for r in topk.top_k(df, df.where("vec_id = 50"), "vec_id", "embedding", 3).collect()]
-    assert [(q, r, v) for q, r, v, _ in sorted(got)] == [(50, 1, 9), (50, 2, 1), (50, 3, 8)]
+    usable = [(i, [int(256 * c) for c in v]) for i, v in rows if v and all(c is not None and abs(c) < inf for c in v)]
+    for k in (1, 3, 12):
+        got = [tuple(r) for r in topk.top_k(df, df.where("vec_id % 50 = 0"), "vec_id", "embedding", k).collect()]
+        assert sorted(got, key=str) == brute_topk(usable, k)
+    only = df.where("vec_id IS NULL OR vec_id = 50")
+    assert {r["vec_id"] for r in topk.top_k(only, only, "vec_id", "embedding", 5).collect()} == {None}
     assert topk.top_k(df.limit(0), df.limit(0), "vec_id", "embedding", 3).count() == 0
 
 
+def test_topk_of_one_hot_id(spark, monkeypatch):
+    """A third of the rows share an id: its vectors are spread over the shards, equal rows counted."""
+    monkeypatch.setattr(topk, "SHARD", 40)
+    rng = np.random.default_rng(6)
+    rows = [(7 if i % 3 == 0 else i, rng.integers(-3, 4, 6).astype(float).tolist()) for i in range(600)] + [(13, [3.0] * 6)] * 300
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(df, df.where("vec_id % 50 = 0"), "vec_id", "embedding", 5).collect()]
+    assert sorted(got, key=str) == brute_topk([(i, [int(256 * c) for c in v]) for i, v in rows], 5)
+    shards = df.groupBy("vec_id", "embedding").count().select(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(16)).alias("s")).groupBy("s").count()
+    assert shards.agg(F.max("count")).first()[0] < 70
+
+
 def test_escape_round_trip():
     for s in ("", "\\", "<|end|>", "</s>[INST] \\l [/INST]", "\\\\<[", "plain"):
         e = chat.escape(s)
