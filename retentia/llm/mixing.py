@@ -7,7 +7,7 @@ dual of the convex problem.  Its maximum is found by safeguarded Newton steps, e
 aggregate over the (source, size) histogram.  The rates are rounded into copies: per source the
 sizes in falling order carry the rounding error on, and what is left of a source's target is
 then settled in whole copies, larger sizes first.  Within one size the documents that get
-the additional copy are those first in the order of a hash of their key.
+the additional copy are those first in the order of a hash of their key and text.
 
 Targets: sources in code-point order, null last, weigh 5, 2, 1, repeating, and share
 ``budget`` times all words; none gets more than ``cap`` times its words, the excess is shared
@@ -16,7 +16,11 @@ again by weight.
 Scale: the text is read once, for its word count; the stored (key, source, size) rows are
 grouped by size before any iteration.  A source has at most sqrt(2 * words) different
 sizes, and only those meet in one task, never its documents.  Documents are ranked within
-(source, size, slice) with slices by hash, so a hot source or a hot size is spread out.
+(source, size, slice) with slices by hash, so a hot source or a hot size is spread out; rows equal
+in key and text are counted on the map side and ranked as one entry, so a hot row is too.
+
+Ends: the Newton steps go on until every target is met to GAP or its bracket holds no further
+double; targets still missed then raise an error.  Settling goes on until nothing moves.
 
 Cases: null text has size 0; size 0 takes 0 words.  A source whose target is its whole cap takes
 every document ``cap`` times.  Repeated rows are documents of their own.  Null keys are allowed.
@@ -37,8 +41,7 @@ from retentia.llm.words import WORD_PATTERN
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 CAP = 2
-NEWTON_STEPS = 60
-SETTLE_PASSES = 24
+GAP = 1e-10  # of a target, at which its multiplier is found
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], budget: float, cap: int) -> DataFrame:
@@ -71,9 +74,11 @@ def balance(hist: DataFrame, cap: int) -> DataFrame:
     ``hist``: sk, size, n, words, docs, target; sizes above 0 only."""
     z = F.col("size") * F.col("docs") / F.col("words")
     hist = hist.where(F.col("target") < F.col("words") * cap * (1 - 1e-12)).select("sk", "size", "n", z.alias("z"), "target")
-    state = hist.select("sk").distinct().select("sk", F.lit(0.0).alias("lam"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(1.0).alias("gap"))
+    state = hist.select("sk").distinct().select("sk", F.lit(0.0).alias("lam"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(1.0).alias("gap"), F.lit(False).alias("closed"))
     state = stored(state, "mix-dual")
-    for _ in range(NEWTON_STEPS):
+    turn = 0
+    while True:
+        turn += 1
         e = F.exp(F.least(F.col("lam") * F.col("z"), F.lit(50.0)))
         words = F.col("size") * F.col("n")
         g = F.sum(words * F.least(e, F.lit(float(cap)))) - F.first("target")
@@ -82,14 +87,23 @@ def balance(hist: DataFrame, cap: int) -> DataFrame:
         lo = F.when(F.col("g") <= 0, F.col("lam")).otherwise(F.col("lo"))
         hi = F.when(F.col("g") >= 0, F.col("lam")).otherwise(F.col("hi"))
         step = step.select("sk", "lam", lo.alias("lo"), hi.alias("hi"), "g", "slope", (F.abs("g") / F.greatest(F.col("target"), F.lit(1.0))).alias("gap"))
+        both = F.col("lo").isNotNull() & F.col("hi").isNotNull()
         newton = F.when(F.col("slope") > 0, F.col("lam") - F.col("g") / F.col("slope"))
         reach = F.greatest(F.lit(1.0), 2 * F.abs("lam"))
-        fallback = F.when(F.col("lo").isNotNull() & F.col("hi").isNotNull(), (F.col("lo") + F.col("hi")) / 2).otherwise(F.col("lam") - F.signum("g") * reach)
+        fallback = F.when(both, (F.col("lo") + F.col("hi")) / 2).otherwise(F.col("lam") - F.signum("g") * reach)
         inside = (newton > F.coalesce("lo", F.col("lam") - reach)) & (newton < F.coalesce("hi", F.col("lam") + reach))
-        new = F.when(F.col("gap") < 1e-10, F.col("lam")).when(inside, newton).otherwise(fallback)
-        state = stored(step.select("sk", new.alias("lam"), "lo", "hi", "gap"), "mix-dual")
-        if (state.agg(F.max("gap").alias("m")).first()["m"] or 0.0) < 1e-10:
+        # every fourth step halves the bracket whatever Newton offers, so the loop ends: at the
+        # latest when no double lies between the ends
+        halve = both & F.lit(turn % 4 == 0)
+        closed = F.coalesce(both & (F.col("hi") - F.col("lo") <= 1e-15 * F.greatest(F.abs("lo"), F.abs("hi"))), F.lit(False))
+        new = F.when((F.col("gap") < GAP) | closed, F.col("lam")).when(inside & ~halve, newton).otherwise(fallback)
+        state = stored(step.select("sk", new.alias("lam"), "lo", "hi", "gap", closed.alias("closed")), "mix-dual")
+        left = state.where((F.col("gap") >= GAP) & ~F.col("closed")).count()
+        if not left:
             break
+    worst = state.agg(F.max("gap").alias("m")).first()["m"] or 0.0
+    if worst > 1e-6:
+        raise RuntimeError(f"no multiplier meets a target: off by {worst} of it")
     return state.select("sk", "lam")
 
 
@@ -101,7 +115,7 @@ def allot(hist: DataFrame, cap: int) -> DataFrame:
     hist = hist.withColumn("upto", carried.cast("long"))
     hist = hist.withColumn("copies", F.col("upto") - F.coalesce(F.lag("upto").over(down), F.lit(0))).drop("upto")
     hist = stored(hist, "mix-copies")
-    for _ in range(SETTLE_PASSES):
+    while True:  # what is due halves with each pass at least, in whole words
         due = F.col("target") - F.sum(F.col("copies") * F.col("size")).over(Window.partitionBy("sk"))
         x = hist.withColumn("due", due)
         room = F.when(F.col("due") > 0, cap * F.col("n") - F.col("copies")).otherwise(F.col("copies"))
@@ -126,7 +140,8 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", te
     # the source as a sorting key: null after every name
     sk = F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source).cast("string")))
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    sizes = stored(docs.select(F.col(key).alias("key"), sk.alias("sk"), size.alias("size")), "mix-sizes")
+    sizes = docs.select(F.col(key).alias("key"), sk.alias("sk"), size.alias("size"), F.xxhash64(F.lit(41), F.col(key), F.col(text)).alias("h"))
+    sizes = stored(sizes.withColumn("part", F.spark_partition_id()), "mix-sizes")
     src = source_targets(sizes, weights, budget, cap)
     hist = sizes.groupBy("sk", "size").agg(F.count("*").alias("n"))
     hist = stored(hist.join(src, "sk"), "mix-hist")
@@ -134,19 +149,35 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", te
     z = F.col("size") * F.col("docs") / F.col("words")
     rate = F.when(F.col("size") == 0, 0.0).when(F.col("lam").isNull(), float(cap)).otherwise(F.least(F.exp(F.least(F.col("lam") * z, F.lit(50.0))), F.lit(float(cap))))
     hist = allot(hist.join(dual, "sk", "left").select("sk", "size", "n", "words", "target", rate.alias("rate")), cap)
-    # within a size: the additional copies go by hash order, counted per slice of the hash
+    # within a size the additional copies go by hash order; rows equal in key and text (h) are one
+    # entry of m rows, however many there are, and entries are counted per slice of the hash
     total = sizes.count()
     slices = max(64, math.ceil(total / 50_000))
-    rows = sizes.withColumn("h", F.xxhash64(F.lit(41), "key")).withColumn("slice", F.pmod("h", F.lit(slices)))
-    n = rows.groupBy("sk", "size", "slice").agg(F.count("*").alias("m"))
+    entry = ["sk", "size", "key", "h"]
+    same = sizes.groupBy(*entry).agg(F.count("*").alias("m")).withColumn("slice", F.pmod("h", F.lit(slices)))
+    n = same.groupBy("sk", "size", "slice").agg(F.sum("m").alias("m"))
     ahead = F.coalesce(F.sum("m").over(Window.partitionBy("sk", "size").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     n = n.withColumn("ahead", ahead).join(hist, ["sk", "size"])
     each = F.floor(F.col("copies") / F.col("n"))
     more = F.col("copies") - each * F.col("n") - F.col("ahead")
     n = n.select("sk", "size", "slice", "words", "target", each.alias("each"), more.alias("more"))
-    place = F.row_number().over(Window.partitionBy("sk", "size", "slice").orderBy("h", "key"))
-    rows = rows.withColumn("place", place).join(n, ["sk", "size", "slice"])
-    copies = (F.col("each") + F.when(F.col("place") <= F.col("more"), 1).otherwise(0)).cast("long")
+    before = F.coalesce(F.sum("m").over(Window.partitionBy("sk", "size", "slice").orderBy("h", "key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    same = same.withColumn("before", before).join(n, ["sk", "size", "slice"])
+    extra = F.greatest(F.lit(0), F.least(F.col("m"), F.col("more") - F.col("before")))
+    same = same.select(*entry, "words", "target", "each", "m", extra.alias("extra"))
+    match = [F.col("r.sk") == F.col("s.sk"), F.col("r.size") == F.col("s.size"), F.col("r.key").eqNullSafe(F.col("s.key")), F.col("r.h") == F.col("s.h")]
+    rows = sizes.alias("r").join(same.alias("s"), match).select("r.*", "s.words", "s.target", "s.each", "s.m", "s.extra")
+    # equal rows of which only some get the copy (one entry a size at most): numbered per stored part
+    some = (F.col("extra") > 0) & (F.col("extra") < F.col("m"))
+    parts = rows.where(some).groupBy(*entry, "part").agg(F.count("*").alias("here"))
+    earlier = F.coalesce(F.sum("here").over(Window.partitionBy(*entry).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*entry, "part", earlier.alias("earlier"))
+    match = [F.col("r.sk") == F.col("p.sk"), F.col("r.size") == F.col("p.size"), F.col("r.key").eqNullSafe(F.col("p.key")), F.col("r.h") == F.col("p.h"), F.col("r.part") == F.col("p.part")]
+    split = rows.where(some).alias("r").join(parts.alias("p"), match).select("r.*", "p.earlier")
+    place = F.row_number().over(Window.partitionBy(*entry, "part").orderBy("each")) + F.col("earlier")
+    plus = split.select(*rows.columns, F.when(place <= F.col("extra"), 1).otherwise(0).alias("plus"))
+    rows = rows.where(~some).withColumn("plus", F.when(F.col("extra") > 0, 1).otherwise(0)).unionByName(plus)
+    copies = (F.col("each") + F.col("plus")).cast("long")
     return rows.select(F.col("key").alias(key), "size", F.col("words").alias("source_size"), "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
 
 
