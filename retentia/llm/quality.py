@@ -3,8 +3,8 @@
 Heuristic labellers look at a whole text and vote bad, good or abstain; they overlap, and none
 is trusted.  The counts of all vote patterns over all documents (one aggregate, at most
 3**labellers rows) feed an expectation-maximisation that estimates each labeller's vote
-probabilities under good and bad documents without any gold label.  The posteriors then label
-a bounded sample of documents, on which a logistic scorer over hashed word-shape features is
+probabilities under good and bad documents without any gold label.  The share of bad documents is estimated with them, between 0.0001 and
+0.9999: a corpus may be mostly junk.  The posteriors then label a bounded sample of documents, on which a logistic scorer over hashed word-shape features is
 trained; the scorer, not the labellers, decides about every document.
 
 A word's shape has its letters as one class, capitals, digits and each other character as
@@ -161,7 +161,7 @@ def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> L
     bad, good = (v == 1).sum(axis=1), (v == 2).sum(axis=1)
     resp = (bad + 0.1) / (bad + 0.25 * good + 1.0)
     for _ in range(rounds):
-        prior = float(np.clip((resp @ counts) / max(counts.sum(), 1), 1e-4, 0.5))
+        prior = float(np.clip((resp @ counts) / max(counts.sum(), 1), 1e-4, 1 - 1e-4))
         tables = np.empty((2, v.shape[1], 3))
         for c, r in ((0, 1 - resp), (1, resp)):
             w = r * counts
@@ -219,12 +219,10 @@ def fit(docs: DataFrame, key: str, text: str, sample_docs: int = SAMPLE_DOCS):
                 cell, count = np.unique(doc * BUCKETS + bucket, return_counts=True)
                 owner = cell // BUCKETS
                 size = np.maximum(np.bincount(owner, weights=count, minlength=len(n)), 2 * SHORT)
-                keys, pattern = part.column(0).to_pylist(), votes(stats)
-                edges = np.searchsorted(owner, np.arange(len(n) + 1))
-                for i in np.flatnonzero(n):
-                    a, b = edges[i], edges[i + 1]
-                    row = [[keys[i]], [int(pattern[i])], [(cell[a:b] % BUCKETS).tolist()], [(count[a:b] / size[i]).tolist()]]
-                    yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), pa.array(row[1], pa.int64()), pa.array(row[2], pa.list_(pa.int64())), pa.array(row[3], pa.list_(pa.float64()))], names=["h", "p", "b", "x"])
+                some = pa.array(n > 0)  # a text without words has no cells
+                edges = pa.array(np.searchsorted(owner, np.append(np.flatnonzero(n > 0), len(n))), pa.int32())
+                cells = (pa.ListArray.from_arrays(edges, pa.array(v)) for v in (cell % BUCKETS, count / size[owner]))
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(some), pa.array(votes(stats)).filter(some), *cells], names=["h", "p", "b", "x"])
 
     share = min(1.0, sample_docs / total)
     h = F.xxhash64(F.lit(29), "k", F.length("t"))

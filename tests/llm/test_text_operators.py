@@ -324,10 +324,51 @@ def test_mix_meets_targets(spark, odd, nothing):
     assert mixing.mix_sources(nothing).count() == 0
 
 
+def test_mix_of_hot_rows(spark):
+    """A third of the rows are equal (null key, one text), another third share a size: targets are
+    met, equal rows get whole copies each, and reruns over other partitions agree."""
+    rows = [(None, "a b c", None)] * 70 + [(i, f"w{i} x y", "s1") for i in range(70)] + [(500 + i, "t " * (i % 9), ["s2", "s3"][i % 2]) for i in range(70)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(df).collect()
+    assert len(got) == 210 and all(0 <= r["copies"] <= 2 and r["taken"] == r["copies"] * r["size"] for r in got)
+    of = lambda k: "none" if k is None else "s1" if k < 500 else k % 2
+    taken, target = collections.Counter(), {of(r["doc_id"]): r["target"] for r in got}
+    for r in got:
+        taken[of(r["doc_id"])] += r["taken"]
+    assert len(target) == 4 and all(abs(t - taken[s]) <= 9 for s, t in target.items())
+    hot = [r["copies"] for r in got if r["doc_id"] is None]
+    assert len(hot) == 70 and max(hot) - min(hot) <= 1
+    assert sorted(map(tuple, got), key=key) == sorted(map(tuple, mixing.mix_sources(df.repartition(5)).collect()), key=key)
+
+
+def test_balance_converges_on_hard_targets(spark):
+    """Sizes from 1 to a million, targets from nearly nothing to nearly the whole cap."""
+    rows = [(f"s{j}", s, n, w) for j, w in enumerate((1e-9, 0.01, 0.5, 1.0, 1.999, 1.9999999)) for s, n in ((1, 1000), (7, 50), (1000, 3), (10**6, 1))]
+    words = sum(s * n for _, s, n, w in rows if w == 0.5)
+    hist = spark.createDataFrame([(k, s, n, words, 1054, w * words) for k, s, n, w in rows], "sk string, size long, n long, words long, docs long, target double")
+    lam = {r["sk"]: r["lam"] for r in mixing.balance(hist, 2).collect()}
+    for j, w in enumerate((1e-9, 0.01, 0.5, 1.0, 1.999, 1.9999999)):
+        got = sum(s * n * min(2.0, math.exp(min(50.0, lam[f"s{j}"] * s * 1054 / words))) for k, s, n, _ in rows if k == f"s{j}")
+        assert abs(got - w * words) <= 1e-6 * max(1.0, w * words)
+
+
+def test_label_model_finds_the_share_of_bad_documents():
+    """Votes drawn from a known model: mostly good, even, and mostly junk corpora."""
+    rng = np.random.default_rng(2)
+    k = len(quality.LABELLERS)
+    for share in (0.1, 0.5, 0.85):
+        bad = rng.random(20000) < share
+        vote = np.where(bad[:, None], rng.choice(3, (20000, k), p=[0.4, 0.5, 0.1]), rng.choice(3, (20000, k), p=[0.4, 0.05, 0.55]))
+        codes, counts = np.unique(vote @ 3 ** np.arange(k - 1, -1, -1), return_counts=True)
+        model = quality.fit_labels(codes, counts)
+        assert abs(model.prior - share) < 0.03
+        assert np.abs(model.votes[1][:, 1] - 0.5).max() < 0.05 and np.abs(model.votes[0][:, 2] - 0.55).max() < 0.06
+
+
 def test_every_operator_is_registered():
     from retentia.llm.queries import queries
 
-    assert {int(k[2:].split("_")[0]) for k in queries()} == set(range(1, 11)) and set(QUERIES) == set(queries())
+    assert {int(k[2:].split("_")[0]) for k in queries()} == set(range(1, 14)) and set(QUERIES) == set(queries())
 
 
 def test_pipeline(spark):
