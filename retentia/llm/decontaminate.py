@@ -8,14 +8,19 @@ table); a hit fixes where the item would begin, and Myers' bit-parallel algorith
 words, decides whether the item occurs there within the budget.
 
 Words are lower-case letters and digits (and all other letters) between any ASCII marks or
-blanks, so case and punctuation do not hide a leak.
-
-The benchmark is small by nature but not by proof: it is taken in groups of at most
-GROUP_WORDS words, each broadcast and held against all documents; one group is one pass.
-
-Cases: items with fewer than ``min_words`` words cannot be told from chance and are matched
-nowhere; null or empty texts match nothing; repeated items are reported under each id;
-repeated documents are rows of their own.  An empty benchmark leaves everything clean.
+blanks, so case and punctuation do not hide a leak.  In scripts written without blanks
+(UNSPACED) every character is a word.
+
+The benchmark is small by nature but not by proof: it is taken in groups of about GROUP_CHARS
+characters.  One group is broadcast in one pass over the documents; of several, each has a
+stored pass of its own, which returns only the documents with hits, and is released before the
+next one is read, so the driver and the tasks hold one group at a time.
+
+Cases: an item of fewer than ``min_words`` words is matched word for word (its budget is 0) if
+it has at least ``min_bytes`` bytes of letters and digits in UTF-8; a shorter one, "two words",
+cannot be told from chance and is matched nowhere.  Null or empty texts match nothing; repeated
+items are reported under each id; repeated documents are rows of their own.  An empty benchmark
+leaves everything clean.
 """
 
 from __future__ import annotations
@@ -24,13 +29,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from retentia.llm.common import query, sub_batches, table
+from retentia.llm.common import query, stored, sub_batches, table
 from retentia.llm.words import sequence_hashes, span_hashes, text_bytes, word_spans
 
 RATE = 0.1
 MIN_WORDS = 6
-GROUP_WORDS = 1_000_000
+MIN_BYTES = 20  # of items with fewer words than MIN_WORDS
+GROUP_CHARS = 6_000_000
+
+# Code points of scripts that put no blanks between words (Thai and Lao, Myanmar,
+# Khmer, kana, ideographs)
+UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FFFF)]
 
 # every ASCII byte that is no letter or digit reads as a blank
 _BLANK = np.arange(256, dtype=np.uint8)
@@ -39,12 +50,27 @@ _BLANK[[b for b in range(128) if not chr(b).isalnum()]] = 32
 
 def normal_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every normalised word, first word of each text); the text is lower case already."""
-    data, offsets = text_bytes(col)
+    data, offsets = apart(*text_bytes(col))
     data = _BLANK[data]
     starts, ends, first = word_spans(data, offsets)
     return span_hashes(data, starts, ends), first
 
 
+def apart(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with a blank on both sides of every character of an unspaced script."""
+    lead = np.flatnonzero(data >= 0xE0)  # three or four bytes: everything from U+0800 on
+    if not len(lead):
+        return data, offsets
+    four = data[lead] >= 0xF0
+    b = [data[np.minimum(lead + i, len(data) - 1)].astype(np.int64) & 0x3F for i in (1, 2, 3)]
+    point = np.where(four, (data[lead] & 7).astype(np.int64) << 18 | b[0] << 12 | b[1] << 6 | b[2], (data[lead] & 15).astype(np.int64) << 12 | b[0] << 6 | b[1])
+    alone = np.zeros(len(lead), dtype=bool)
+    for low, high in UNSPACED:
+        alone |= (point >= low) & (point <= high)
+    at, size = lead[alone], np.where(four, 4, 3)[alone]
+    return np.insert(data, np.concatenate([at, at + size]), 32), offsets + 2 * np.searchsorted(at, offsets)
+
+
 def within_budget(pattern: np.ndarray, text: np.ndarray, budget: int) -> bool:
     """Whether ``pattern`` occurs in ``text`` with at most ``budget`` edits: Myers' algorithm,
     the pattern's words as bits of one integer, any start and end in the text."""
@@ -76,12 +102,10 @@ def within_budget(pattern: np.ndarray, text: np.ndarray, budget: int) -> bool:
 class Items:
     """A group of test items, indexed by the seeds of their pieces."""
 
-    def __init__(self, rows: list[tuple[object, np.ndarray]], rate: float, min_words: int):
+    def __init__(self, rows: list[tuple[object, np.ndarray]], rate: float):
         self.ids, self.words, self.budget = [], [], []
         seeds: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for item, w in rows:
-            if len(w) < max(min_words, 1):
-                continue
             e = int(rate * len(w) + 1e-9)
             k = len(self.ids)
             self.ids.append(item)
@@ -126,64 +150,82 @@ class Items:
         return found
 
 
-def item_groups(benchmark: DataFrame, key: str, text: str, rate: float, min_words: int):
-    """Broadcastable groups of items, each of at most about GROUP_WORDS words."""
-    spark = benchmark.sparkSession
+def item_groups(benchmark: DataFrame, key: str, text: str, rate: float, min_words: int, min_bytes: int, group_chars: int):
+    """Broadcastable groups of items of about ``group_chars`` characters; the next one is read when
+    the one before is done with."""
     src = benchmark.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.lower(F.col(text)).alias("t"))
-    src = src.withColumn("n", F.size(F.split("t", r"[^\p{L}\p{N}]+")))
-    total = src.agg(F.sum("n").alias("n")).first()["n"] or 0
-    groups = max(1, -(-total // GROUP_WORDS))
+    total = src.agg(F.sum(F.length("t")).alias("n")).first()["n"] or 0
+    groups = max(1, -(-total // group_chars))
     for g in range(groups):
         rows = src.where(F.pmod(F.xxhash64("k", "t"), F.lit(groups)) == g).orderBy("k", "t").collect()
-        if rows:
-            w, first = normal_words(pa.array([r["t"] for r in rows], pa.string()))
-            items = [(r["k"], w[first[i] : first[i + 1]]) for i, r in enumerate(rows)]
-            yield spark.sparkContext.broadcast(Items(items, rate, min_words))
+        col = pa.array([r["t"] for r in rows], pa.string())
+        w, first = normal_words(col)
+        items = []
+        for i, r in enumerate(rows):
+            words = w[first[i] : first[i + 1]]
+            if len(words) >= min_words or len(words) and letters(r["t"]) >= min_bytes:
+                items.append((r["k"], words))
+        yield groups, Items(items, rate)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
-               rate: float = RATE, min_words: int = MIN_WORDS) -> DataFrame:
-    """Per row: key, item_ids (sorted, of all items it holds), contaminated."""
-    kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType.simpleString()
-    groups = list(item_groups(benchmark, item_key, item_text, rate, min_words))
-
-    def run(batches):
-        for batch in batches:
-            for part in sub_batches(batch, "t"):
-                w, first = normal_words(part.column(1))
-                ids: list[set] = [set() for _ in range(part.num_rows)]
-                for g in groups:
-                    items = g.value
-                    for d, ks in items.search(w, first).items():
-                        ids[d].update(items.ids[k] for k in ks)
-                lists = [sorted(x, key=lambda v: (v is None, v)) for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lists, item_type), pa.array([bool(x) for x in ids], pa.bool_())], names=["k", "item_ids", "contaminated"])
+def letters(text: str) -> int:
+    """Bytes of a lower-case text that are no blanks to ``normal_words``."""
+    return int((_BLANK[np.frombuffer(text.encode(), dtype=np.uint8)] != 32).sum())
+
 
+def search_rows(docs: DataFrame, benchmark: DataFrame, text: str, item_key: str, item_text: str, rate: float, min_words: int, min_bytes: int, group_chars: int, name: str) -> DataFrame:
+    """``docs`` with an array column ``name`` of the items each row holds."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    item_type = pa.list_(to_arrow_type(benchmark.schema[item_key].dataType))
-    out = docs.select(F.col(key).alias("k"), F.lower(F.col(text)).alias("t")).mapInArrow(run, f"k {kind}, item_ids array<{item_kind}>, contaminated boolean")
-    return out.withColumnRenamed("k", key)
+    spark, item = docs.sparkSession, benchmark.schema[item_key].dataType
+    item_type = pa.list_(to_arrow_type(item))
+    low, rid = (free_name(docs, x) for x in ("_low", "_row"))
+    src, found = docs.withColumn(low, F.lower(F.col(text))), None
+    for groups, items in item_groups(benchmark, item_key, item_text, rate, min_words, min_bytes, group_chars):
+        shared = spark.sparkContext.broadcast(items)
+
+        def run(batches, shared=shared, sparse=groups > 1):
+            for batch in batches:
+                n = batch.num_columns - 1  # the last one is the lower-case text
+                for part in sub_batches(batch, low):
+                    hits = shared.value.search(*normal_words(part.column(n)))
+                    ids = [sorted({shared.value.ids[k] for k in hits.get(i, ())}, key=lambda v: (v is None, v)) for i in range(part.num_rows)]
+                    out = pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(ids, item_type)], names=[*part.schema.names[:n], name])
+                    yield out.filter(pa.array([bool(x) for x in ids])) if sparse else out
+
+        if groups == 1:
+            return src.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(item))]))
+        if found is None:
+            src = stored(src.withColumn(rid, F.monotonically_increasing_id()), "leak-rows")
+        kind = T.StructType([T.StructField(rid, T.LongType()), T.StructField(name, T.ArrayType(item))])
+        part = stored(src.select(rid, low).mapInArrow(run, kind), "leak-hits")
+        shared.unpersist()
+        found = part if found is None else found.unionByName(part)
+    merged = found.groupBy(rid).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(name)))).alias(name))
+    out = src.join(merged, rid, "left").withColumn(name, F.coalesce(F.col(name), F.array().cast(T.ArrayType(item))))
+    return out.select(*docs.columns, name)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
+               rate: float = RATE, min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTES, group_chars: int = GROUP_CHARS) -> DataFrame:
+    """Per row: key, item_ids (sorted, of all items it holds), contaminated."""
+    src = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    out = search_rows(src, benchmark, "t", item_key, item_text, rate, min_words, min_bytes, group_chars, "item_ids")
+    return out.select(F.col("k").alias(key), "item_ids", (F.size("item_ids") > 0).alias("contaminated"))
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", rate: float = RATE, min_words: int = MIN_WORDS) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", rate: float = RATE,
+               min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTES, group_chars: int = GROUP_CHARS) -> DataFrame:
     """The rows of ``docs`` (all columns) that hold no item."""
-    groups = list(item_groups(benchmark, item_key, item_text, rate, min_words))
-    names = docs.columns
-    low = "_low"
-    while low in names:
-        low += "_"
-
-    def run(batches):
-        for batch in batches:
-            for part in sub_batches(batch, low):
-                w, first = normal_words(part.column(len(names)))
-                clean = np.ones(part.num_rows, dtype=bool)
-                for g in groups:
-                    clean[list(g.value.search(w, first))] = False
-                yield part.select(list(range(len(names)))).filter(pa.array(clean))
-
-    return docs.withColumn(low, F.lower(F.col(text))).mapInArrow(run, docs.schema)
+    name = free_name(docs, "_items")
+    out = search_rows(docs, benchmark, text, item_key, item_text, rate, min_words, min_bytes, group_chars, name)
+    return out.where(F.size(name) == 0).drop(name)
 
 
 @query("op9_decontaminate")

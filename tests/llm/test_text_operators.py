@@ -275,7 +275,7 @@ def test_leaks_with_edits(spark, odd, nothing):
     edited = [*item[:4], "changed", *item[5:12], "new", *item[12:]]
     rows = [(1, "x " + " ".join(item).upper() + ", y"), (2, "x, " + "; ".join(edited)), (3, " ".join(item[:10])), (4, None), (4, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    bench = spark.createDataFrame([(7, " ".join(item)), (7, None), (8, "two words"), (9, " ".join(item))], "item_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item)), (7, None), (8, "two words"), (8, " ,"), (9, " ".join(item))], "item_id long, text string")
     got = decontaminate.find_leaks(docs, bench).collect()
     assert sorted((r[0], r[1], r[2]) for r in got) == [(1, [7, 9], True), (2, [7, 9], True), (3, [], False), (4, [], False), (4, [], False)]
     assert sorted(r[0] for r in decontaminate.drop_leaks(docs, bench).collect()) == [3, 4, 4]
@@ -284,6 +284,75 @@ def test_leaks_with_edits(spark, odd, nothing):
     assert decontaminate.find_leaks(nothing, bench).count() == 0
 
 
+def plain_words(text):
+    """Words of a lower-case text by plain rules, characters of unspaced scripts one by one."""
+    out, word = [], ""
+    for c in (text or "").lower() + " ":
+        lone = any(a <= ord(c) <= b for a, b in decontaminate.UNSPACED)
+        if lone or (ord(c) < 128 and not c.isalnum()):
+            out += [word] if word else []
+            word = ""
+        if lone:
+            out.append(c)
+        elif ord(c) >= 128 or c.isalnum():
+            word += c
+    return out
+
+
+def brute_leaks(docs, items):
+    """Item ids per document: the least edit distance of the item to any stretch of its words."""
+    out = []
+    for k, text in docs:
+        words, ids = plain_words(text), set()
+        for item, t in items:
+            p = plain_words(t)
+            if not p or (len(p) < 6 and len("".join(p).encode()) < 20):
+                continue
+            row = [0] * (len(words) + 1)
+            for i, a in enumerate(p):
+                new = [i + 1]
+                for j, b in enumerate(words):
+                    new.append(min(row[j] + (a != b), row[j + 1] + 1, new[-1] + 1))
+                row = new
+            if min(row) <= len(p) // 10:
+                ids.add(item)
+        out.append((k, sorted(ids), bool(ids)))
+    return sorted(out, key=key)
+
+
+def leak_rows():
+    """Random documents with planted items: whole, edited within and beyond the budget, short ones,
+    items in scripts without blanks, at either end of a text and split over two."""
+    rng = np.random.default_rng(8)
+    pick = lambda n: [f"w{i}" for i in rng.integers(0, 300, n)]
+    items = [(i, " ".join(pick(int(n)))) for i, n in enumerate([60, 35, 20, 12, 10, 9, 7, 6])]
+    items += [(20, "five whole words standing here"), (21, "seventeenletters ab cd"), (22, "two words"), (23, "w1 w2 w3 w4 w5"), (24, "水是由氢和氧组成的一种化合物请问它的沸点是多少度呢"), (25, "ตอบคำถาม"), (26, "氢和氧化合"), (27, None), (28, ""), (29, "née Größe, ÀÉÎ; ça va bien là-bas")]
+    docs = []
+    for n in range(160):
+        item = plain_words(items[int(rng.integers(0, len(items)))][1])
+        for _ in range(int(rng.integers(0, 1 + len(item) // 6))):
+            at = int(rng.integers(0, len(item)))
+            item[at : at + int(rng.integers(0, 2))] = ["new"] * int(rng.integers(0, 2))
+        words = [*pick(int(rng.integers(0, 40))), *item, *pick(int(rng.integers(0, 40)))]
+        joined = "".join(w if any(ord(c) > 0xE00 for c in w) else f" {w}" for w in words)
+        docs.append((n, joined.upper() if n % 3 else joined.replace(" ", ", ")))
+    docs += [(900, None), (900, ""), (901, items[0][1][:100]), (902, items[0][1][100:]), (None, items[8][1] + "!"), (903, "x" * 30000), (904, "界" * 3000)]
+    return docs, items
+
+
+def test_leaks_against_brute_force(spark):
+    docs, items = leak_rows()
+    d = spark.createDataFrame([(*r, 1, "x", "y") for r in docs], "doc_id long, text string, _low int, item_ids string, _row string")
+    b = spark.createDataFrame([(*r, "x") for r in items], "item_id long, text string, _low string")
+    want = brute_leaks(docs, items)
+    assert sum(r[2] for r in want) > 60 and sum(not r[2] for r in want) > 20 and any(24 in r[1] for r in want) and any(20 in r[1] for r in want)
+    for chars in (decontaminate.GROUP_CHARS, 500):  # one pass, and a stored pass for each of several groups
+        assert sorted([tuple(r) for r in decontaminate.find_leaks(d, b, group_chars=chars).collect()], key=key) == want
+        clean = decontaminate.drop_leaks(d, b, group_chars=chars)
+        assert clean.columns == d.columns
+        assert sorted([r["doc_id"] for r in clean.collect()], key=str) == sorted([r[0] for r in want if not r[2]], key=str)
+
+
 def test_licences(spark, odd, nothing):
     mit = " ".join(f"{licenses.SENTENCES[x].capitalize()}." for x in ("mit-grant", "mit-notice", "mit-as-is", "mit-liability"))
     rows = [(1, "Copyright 2020 X\n" + mit.replace(" of this ", "\nof this ")), (2, "Foo bar\nReleased under the MIT License.\nLicensed under CC BY-NC 4.0."),
