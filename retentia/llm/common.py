@@ -6,6 +6,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from retentia.plans.registry import Entry
 from retentia.session import work_dir
@@ -41,6 +42,13 @@ def fold(key: Column, n: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % F.lit(n)
 
 
+def order_key(df: DataFrame, key: str, last: int, name: str | None = None) -> Column:
+    """The key column, which must hold whole numbers, as a long; nulls as ``last``."""
+    if not isinstance(df.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} must be a column of whole numbers, not {df.schema[key].dataType.simpleString()}")
+    return F.coalesce(F.col(name or key).cast("long"), F.lit(last))
+
+
 def partitions(spark: SparkSession, at_least: int = 1) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(at_least), 1)
 

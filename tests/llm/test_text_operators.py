@@ -3,9 +3,11 @@
 import collections
 import hashlib
 import math
+import pickle
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from llm_cases import SF001, SF01, nothing, odd, odd_rows  # noqa: F401
@@ -257,6 +259,113 @@ def test_substrings_against_brute_force(spark, odd, nothing, tmp_path):
     assert left[7] == "" and left[6] == odd_rows()[5][1] and left[1] is None
 
 
+def brute_parse(docs, span):
+    """Greedy factors of each (key, words): the longest stretch from the first word of a window that
+    a smaller document holds, then on from the next window; as covered words per document."""
+    out = []
+    for k, w in docs:
+        smaller, covered, i = [v for q, v in docs if q < k], set(), 0
+        while i + span <= len(w):
+            best = 0
+            for v in smaller:
+                for j in range(len(v) - span + 1):
+                    n = 0
+                    while i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                        n += 1
+                    best = max(best, n)
+            if best >= span:
+                covered.update(range(i, i + best))
+                i += best - span + 1
+            else:
+                i += 1
+        out.append(covered)
+    return out
+
+
+def test_greedy_factors_and_the_windows_across_their_ends():
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        span, docs = 4, []
+        for k in rng.permutation(6).tolist():
+            words = rng.integers(0, 30, int(rng.integers(0, 40))).tolist()
+            for _, v in docs[:3]:
+                at, n = int(rng.integers(0, max(1, len(v)))), int(rng.integers(3, 15))
+                words += v[at : at + n]
+            docs.append((k, words))
+        ident, start, size, key = [], [], [], []
+        for k, w in docs:
+            n = max(0, len(w) - span + 1)
+            if n:
+                start.append(len(ident))
+                size.append(n)
+                ident += [hash(tuple(w[i : i + span])) % 2**62 for i in range(n)]
+                key += [k] * n
+        ident, key, start, size = np.array(ident, dtype=np.uint64), np.array(key), np.array(start), np.array(size)
+        owner = [i for i, (_, w) in enumerate(docs) if len(w) >= span]
+        s, e, r = substring.parse(ident, substring.references(ident, key), start, size)
+        got = [set() for _ in docs]
+        for a, b, c in zip(s.tolist(), e.tolist(), r.tolist(), strict=True):
+            run, of = (int(np.searchsorted(start, x, side="right")) - 1 for x in (a, c))
+            assert key[c] < key[a] and b <= start[run] + size[run] and c + b - a <= start[of] + size[of]
+            assert (ident[a:b] == ident[c : c + b - a]).all()  # a factor is a stretch of its reference
+            assert b == start[run] + size[run] or c + b - a == start[of] + size[of] or ident[b] != ident[c + b - a]  # and cannot go on in it
+            got[owner[run]].update(range(a - start[run], b - start[run] + span - 1))
+        assert got == brute_parse(docs, span)
+
+
+def test_factors_name_their_reference(spark):
+    w = [f"w{i}" for i in range(200)]
+    docs = [(1, " ".join(w)), (5, " ".join(["x", *w[20:90], "y", *w[100:170]])), (9, " ".join(w[20:90]))]
+    got = substring.find_factors(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text").collect()
+    words = {k: t.split() for k, t in docs}
+    for r in got:
+        n = r["stop"] - r["start"] + 49
+        assert r["ref_o"] < r["o"] and words[r["o"]][r["start"] : r["start"] + n] == words[r["ref_o"]][r["ref_start"] : r["ref_start"] + n]
+    assert {r["o"] for r in got} == {5, 9} and {r["ref_o"] for r in got} == {1}
+
+
+def common_line_rows():
+    """A line of 30 words in a third of the texts, texts that copy others, equal rows."""
+    rng = np.random.default_rng(9)
+    pick = lambda n: [f"w{i}" for i in rng.integers(0, 5000, n)]
+    line, rows = pick(30), []
+    for i in range(300):
+        words = [*pick(60), *(line if i % 3 == 0 else []), *pick(60)]
+        if i % 10 == 9:
+            words = words[:40] + rows[i - 5][1].split()[20:100] + words[40:]
+        rows.append((i, " ".join(words)))
+    return rows + [rows[39]] * 40
+
+
+def test_substrings_with_a_common_line(spark, tmp_path, monkeypatch):
+    rows = common_line_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = substring.op10_substring_dedup(spark, str(tmp_path))
+    assert sorted([tuple(r) for r in got.collect()], key=key) == brute_spans(rows)
+    shuffled = substring.with_stretches(df, "doc_id", "text", 50, "s", broadcast_bytes=0).collect()
+    assert {len(r["s"] or ()) for r in shuffled if r["doc_id"] == 39} == {len({(x["start"], x["stop"]) for x in r["s"]}) for r in shuffled if r["doc_id"] == 39 and r["s"]}
+    # the common line's windows do not fill one block
+    src = df.select(F.col("doc_id").alias("o"), F.xxhash64("text").alias("th"), F.col("text").alias("t"))
+    blocks = 60
+    hot = substring.hot_anchors(src, 10**6, blocks, 50, 16)
+    assert 0 < len(hot) <= 8 * blocks
+    part = src.toArrow().to_batches()
+    for few, anchors in ((False, np.zeros(0, np.uint64)), (True, hot)):
+        sizes = collections.Counter()
+        for p in part:
+            for i in range(0, p.num_rows, 4):  # chunks of four documents
+                for block, raw in substring.emit(p.slice(i, 4), blocks, 50, 16, anchors):
+                    sizes[block] += sum(len(r[7]) // 5 for r in pickle.loads(raw) if r[0] == "W")
+        assert (max(sizes.values()) < 3 * sum(sizes.values()) / blocks) == few
+
+
+def test_text_keys_are_refused(spark):
+    df = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    with pytest.raises(TypeError, match="whole numbers"):
+        substring.remove_spans(df)
+
+
 def test_myers_against_dynamic_programming():
     rng = np.random.default_rng(1)
     for _ in range(400):
