@@ -11,8 +11,8 @@ Probabilities sum to one over the V training types and one unknown word.
 
 How the work is dealt (N tokens, chunks of about CHUNK bytes of text):
 
-1. Unigrams are counted with map-side aggregation and stored.  Words with at least N / 2**20
-   tokens, at most 2**20 of them, are broadcast with their counts ("hot").
+1. Unigrams are counted with map-side aggregation and stored.  Words with at least a 2**20th of
+   all tokens, held out or not, at most 2**20 of them, are broadcast with their counts ("hot").
 2. Every chunk sends its bigrams once, in compact blocks, to the partition that can count
    them: hot pairs by pair, a rare context by context, a rare word by word (a pair rare on
    both sides goes to both).  A pair that fills a chunk sends one count instead of one entry
@@ -58,15 +58,18 @@ def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(h, c): hash and count of every token type of the rows with ``held`` false."""
+    """(h, c, n): hash of every token type, its count in the rows with ``held`` false and in all."""
 
     def run(batches):
         for batch in batches:
-            for part in sub_batches(batch.filter(pa.compute.invert(batch.column(1))), "t", CHUNK):
-                u, c = np.unique(tokens(part.column(2))[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c)], names=["h", "c"])
+            for part in sub_batches(batch, "t", CHUNK):
+                w, doc = tokens(part.column(2))
+                trains = ~part.column(1).to_numpy(zero_copy_only=False)
+                u, inverse, n = np.unique(w, return_inverse=True, return_counts=True)
+                c = np.bincount(inverse, weights=trains[doc], minlength=len(u)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c), pa.array(n)], names=["h", "c", "n"])
 
-    return docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return docs.mapInArrow(run, "h long, c long, n long").groupBy("h").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
 class Counts:
@@ -176,11 +179,17 @@ def emit(part: pa.RecordBatch, chunk: int, counts: Counts, parts: int):
     base = np.bincount(doc, weights=np.where(wi >= 0, counts.base(known), 0.0), minlength=len(held))
     meta = {"keys": part.column(0).to_pylist(), "held": held, "tokens": np.bincount(doc, minlength=len(held)), "base": base,
             "known": np.bincount(doc, weights=known > 0, minlength=len(held)), "heavy": mine, "pairs": planes(doc[at_both])}
-    blocks.setdefault(chunk % parts, []).append(("M", chunk, meta))
+    blocks.setdefault(chunk_part(chunk) % parts, []).append(("M", chunk, meta))
     for k, rows in blocks.items():
         yield k, pickle.dumps(rows, protocol=5)
 
 
+def chunk_part(c: int) -> int:
+    """Where a chunk (partition << 32 | number) is dealt: chunks of one number spread evenly over any
+    number of partitions."""
+    return int(mix(np.array([c], dtype=np.uint64))[0] >> np.uint64(1))
+
+
 def hot_pair(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The two hot words' indices in a pair's code."""
     return (code >> np.uint64(HOT_BITS + 1)).astype(np.int64), (code & np.uint64((2 << HOT_BITS) - 1)).astype(np.int64)
@@ -259,24 +268,25 @@ def count_pairs(rows, counts: Counts):
         got.setdefault(row[0], []).append(row)
     cat = lambda xs, kind=None: np.concatenate(xs) if xs else np.zeros(0, dtype=kind or np.int64)
 
-    def chunks(name, lengths):
-        return np.repeat(np.array([r[1] for r in got.get(name, [])], dtype=np.int64), lengths)
+    def chunks(rows, lengths):
+        return np.repeat(np.array([r[1] for r in rows], dtype=np.int64), lengths)
 
-    # pairs of hot words
-    a = got.get("A", [])
+    # pairs of hot words; each kind's blocks are dropped once they are counted
+    a, h = got.pop("A", []), got.pop("H", [])
     length = [unplanes(r[3]).astype(np.int64) for r in a]
     code = cat([np.repeat(np.cumsum(unplanes(r[2]).astype(np.uint64), dtype=np.uint64), n) for r, n in zip(a, length, strict=True)], np.uint64)
     tag = cat([unplanes(r[4]).astype(np.int64) for r in a])
-    h_code = [unplanes(r[2]).astype(np.uint64) for r in got.get("H", [])]
-    h_n = [unplanes(r[3]).astype(np.int64) for r in got.get("H", [])]
+    h_code = [unplanes(r[2]).astype(np.uint64) for r in h]
+    h_n = [unplanes(r[3]).astype(np.int64) for r in h]
     uniq, inverse = np.unique(np.concatenate([code, cat(h_code, np.uint64)]), return_inverse=True)
     weight = np.concatenate([1 - (tag & 1), cat(h_n)])
     c_vw = np.bincount(inverse, weights=weight, minlength=len(uniq)).astype(np.int64)
     vi, wi = hot_pair(uniq)
-    yield "A", (c_vw, counts.count[vi], counts.count[wi], inverse[: len(code)], chunks("A", [int(n.sum()) for n in length]), tag)
-    yield "H", (uniq, c_vw, inverse[len(code) :], chunks("H", [len(x) for x in h_n]))
+    yield "A", (c_vw, counts.count[vi], counts.count[wi], inverse[: len(code)], chunks(a, [int(n.sum()) for n in length]), tag)
+    yield "H", (uniq, c_vw, inverse[len(code) :], chunks(h, [len(x) for x in h_n]))
+    del a, h, length, code, tag, h_code, h_n, uniq, inverse, weight, c_vw, vi, wi
     # rare contexts: B with hot words, D with rare ones
-    b, d = got.get("B", []), got.get("D", [])
+    b, d = got.pop("B", []), got.pop("D", [])
     length = [unplanes(r[3]).astype(np.int64) for r in b]
     v = cat([np.repeat(unsix(r[2]), n) for r, n in zip(b, length, strict=True)] + [unsix(r[2]) for r in d], np.uint64)
     hot = cat([unplanes(r[4]).astype(np.int64) for r in b])
@@ -292,7 +302,7 @@ def count_pairs(rows, counts: Counts):
     train = 1 - (tag[order] & 1)
     c_v = np.bincount(in_v, weights=train).astype(np.int64)[in_v] if len(v) else np.zeros(0, np.int64)
     c_p = np.bincount(in_p, weights=train).astype(np.int64)[in_p] if len(v) else np.zeros(0, np.int64)
-    where = np.concatenate([chunks("B", [int(n.sum()) for n in length]), chunks("D", [r[5][1] for r in d])])[order]
+    where = np.concatenate([chunks(b, [int(n.sum()) for n in length]), chunks(d, [r[5][1] for r in d])])[order]
     near = ~far
     heads = np.flatnonzero(near & new_p)  # one of each pair type
     c_w = np.zeros(len(order), dtype=np.int64)
@@ -300,8 +310,9 @@ def count_pairs(rows, counts: Counts):
     yield "B", (c_p, c_v, c_w, heads, where, tag[order], near)
     spot = cat([unplanes(r[4]).astype(np.int64) for r in d])
     yield "D", (where[far], spot[order[far] - len(hot)], c_v[far], c_p[far], new_p[far])
+    del b, d, length, v, hot, rare, tag, order, other, far, new_v, new_p, in_v, in_p, train, c_v, c_p, where, near, heads, c_w, spot
     # rare words: C after hot contexts, E after rare ones
-    c, e = got.get("C", []), got.get("E", [])
+    c, e = got.pop("C", []), got.pop("E", [])
     length = [unplanes(r[3]).astype(np.int64) for r in c]
     w = cat([np.repeat(unsix(r[2]), n) for r, n in zip(c, length, strict=True)] + [unsix(r[2]) for r in e], np.uint64)
     ctx = cat([unplanes(r[4]).astype(np.int64) for r in c])
@@ -316,7 +327,7 @@ def count_pairs(rows, counts: Counts):
     in_w, in_p = np.cumsum(new_w) - 1, np.cumsum(new_p) - 1
     c_w = np.bincount(in_w, weights=train).astype(np.int64)[in_w] if len(w) else np.zeros(0, np.int64)
     c_p = np.bincount(in_p, weights=train).astype(np.int64)[in_p] if len(w) else np.zeros(0, np.int64)
-    where = np.concatenate([chunks("C", [int(n.sum()) for n in length]), chunks("E", [r[5][1] for r in e])])[order]
+    where = np.concatenate([chunks(c, [int(n.sum()) for n in length]), chunks(e, [r[5][1] for r in e])])[order]
     near = ctx[order] >= 0
     yield "C", (c_p, counts.count[np.maximum(ctx[order], 0)], c_w, np.flatnonzero(near & new_p), where, tag[order], near)
     far = ~near
@@ -355,16 +366,17 @@ def lm_score(docs: DataFrame, key: str, text: str, held: F.Column) -> DataFrame:
     kind = docs.schema[key].dataType
     src = docs.select(F.col(key).alias("k"), F.coalesce(held, F.lit(False)).alias("held"), F.col(text).alias("t"))
     uni = stored(count_words(src), "lm-words")
-    total = uni.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n, v = int(total["n"]), int(total["v"])
-    # at most HOT rows by the threshold: their counts add up to no more than N
-    hot = uni.where(F.col("c") >= max(2, math.ceil(n / HOT))).collect()
+    total = uni.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("all")).first()
+    n, v, all_tokens = int(total["n"]), int(total["v"]), int(total["all"])
+    # frequent in all rows, trained on or not: at most HOT by the threshold, as their counts add up
+    # to no more than all tokens
+    hot = uni.where(F.col("n") >= max(2, math.ceil(all_tokens / HOT))).collect()
     ends = next((r["c"] for r in hot if r["h"] == int(END)), None)
     if ends is None:
         row = uni.where(F.col("h") == int(END)).first()
         ends = row["c"] if row else 0
     shared = sc.broadcast(Counts(n, v, ends, [(r["h"], r["c"]) for r in hot]))
-    parts = partitions(spark, n // TOKENS_PER_PARTITION)
+    parts = partitions(spark, all_tokens // TOKENS_PER_PARTITION)
 
     def send(batches):
         from pyspark import TaskContext
@@ -382,8 +394,9 @@ def lm_score(docs: DataFrame, key: str, text: str, held: F.Column) -> DataFrame:
         for _, b in it:
             yield from pickle.loads(b)
 
-    def gather(it):
-        """Held-out statistics of a partition; pairs of rare words go on to their chunk."""
+    def gather(index, it):
+        """Held-out statistics of a partition, under a key of its own; pairs of rare words go on to
+        their chunk."""
         counts, found = shared.value, {}
         for what, x in count_pairs(load(it), counts):
             if what == "A":
@@ -398,7 +411,7 @@ def lm_score(docs: DataFrame, key: str, text: str, held: F.Column) -> DataFrame:
                 continue
             for cell, m in new.items():
                 found[cell] = found.get(cell, 0) + m
-        yield 0, ("stats", found)
+        yield 1 << 62 | index, ("stats", found)
 
     def gather_rare(it):
         counts, chunks, found = shared.value, {}, {}
@@ -414,10 +427,7 @@ def lm_score(docs: DataFrame, key: str, text: str, held: F.Column) -> DataFrame:
                 found[cell] = found.get(cell, 0) + m
         return iter(found.items())
 
-    def chunk_part(c: int) -> int:
-        return int(mix(np.array([c], dtype=np.uint64))[0] >> np.uint64(1))
-
-    stats = dict(sent.mapPartitions(gather).partitionBy(parts, chunk_part).mapPartitions(gather_rare).reduceByKey(add, max(1, parts // 8)).collect())
+    stats = dict(sent.mapPartitionsWithIndex(gather).partitionBy(parts, chunk_part).mapPartitions(gather_rare).reduceByKey(add, max(1, parts // 8)).collect())
     weights = sc.broadcast(learn_weights(stats, v))
 
     def score(it):

@@ -107,6 +107,24 @@ def test_lm_heavy_pairs(spark):
     assert sorted([(r[0], r[2], r[3], r[4], round(r[5], 6), round(r[6], 6)) for r in got], key=key) == brute_lm([(r[0], r[1]) for r in df.collect()])
 
 
+def test_lm_words_frequent_only_in_held_out_rows(spark):
+    """A hot id that does not train: its words are hot all the same, with count 0."""
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    df = spark.createDataFrame([(held, "new words only here " * 20 + "the of")] * 40 + [(i, "the of and") for i in range(200, 215)], "doc_id long, text string")
+    got = lm.lm_score(df, "doc_id", "text", fold(F.col("doc_id"), 7) == 2).collect()
+    assert sorted([(r[0], r[2], r[3], r[4], round(r[5], 6), round(r[6], 6)) for r in got], key=key) == brute_lm([(r[0], r[1]) for r in df.collect()])
+    src = df.select(F.col("doc_id").alias("k"), (F.col("doc_id") == held).alias("held"), F.col("text").alias("t"))
+    counts = lm.count_words(src).collect()
+    assert {(r["c"], r["n"]) for r in counts} >= {(0, 800), (15, 55)}
+
+
+def test_lm_chunks_are_spread():
+    for parts in (8, 16, 64, 200, 211, 256):
+        for chunks in ([p << 32 for p in range(40 * parts)], [(p << 32) + 3 for p in range(40 * parts)]):
+            sizes = collections.Counter(lm.chunk_part(c) % parts for c in chunks)
+            assert len(sizes) == parts and max(sizes.values()) < 40 * 2.5
+
+
 def brute_components(rows, n, num, den):
     sets = {}
     for k, t in rows:
