@@ -23,30 +23,39 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from retentia.llm.common import fold, query, sub_batches, table
+from retentia.llm.common import fold, query, stored, sub_batches, table
 
 #: Bound of the fit: characters of labelled text per language, in pieces from many rows.
 SAMPLE_CHARS = 24_000
 PIECE_CHARS = 1_500
-#: Distinct letters kept per language (the most frequent of its sample).
-MAX_LETTERS = 500
+#: Bound of all languages' samples together: with more languages each gets less.
+TOTAL_CHARS = 4_000_000
+#: Letters with a column of the dense table (the most frequent); the others are looked up by search.
+DENSE_LETTERS = 120
 BLOCK = 512
 
 
 @dataclass
 class Parser:
-    """A language's automaton as a dense table.  State 0 is 'no phrase open', where every
-    character begins a phrase; entries are states times the row length."""
+    """A language's automaton.  State 0 is 'no phrase open', where every character begins a
+    phrase.  Frequent letters have columns of a dense table, whose entries are states times its
+    row length; transitions by the other letters are a sorted list of (state, letter)."""
 
     lang: str
-    letters: dict[int, int]  # code point -> column; column 0: not in the sample
-    table: np.ndarray  # int32, states x columns, flat
-    first: np.ndarray  # int32, columns: the state after a phrase's first character
+    letters: np.ndarray  # code points of the sample; the first DENSE_LETTERS have columns 1..
+    table: np.ndarray  # int32, states x columns, flat; column 0: not in the sample
+    first: np.ndarray  # int32, per letter + 1: the state after a phrase's first character
+    sparse: np.ndarray  # int64, state << 32 | letter, sorted
+    to: np.ndarray  # int32, the state that each leads to
     n: int  # characters of the sample
 
+    @property
+    def width(self) -> int:
+        return min(len(self.letters), DENSE_LETTERS) + 1
+
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     """Transitions of the suffix automaton of a sequence; state 0 is the start."""
@@ -82,21 +91,29 @@ def build_parser(lang: str, pieces: list[str]) -> Parser:
     points = [p for p in (normalised(x)[0] for x in pieces) if len(p)]
     joined = np.concatenate(points) if points else np.zeros(0, np.uint32)
     values, counts = np.unique(joined, return_counts=True)
-    keep = values[np.argsort(-counts, kind="stable")][:MAX_LETTERS]
-    letters = {int(v): i + 1 for i, v in enumerate(sorted(keep))}
+    letters = values[np.argsort(-counts, kind="stable")]
+    number = {int(v): i + 1 for i, v in enumerate(letters.tolist())}
     codes: list[int] = []
     for k, p in enumerate(points):
         # a code of its own between two pieces: no match runs across them
-        codes += [-k - 1] + [letters.get(int(v), 0) or -1_000_000 - i for i, v in enumerate(p.tolist())]
+        codes += [-k - 1] + [number[v] for v in p.tolist()]
     trans = suffix_automaton(codes)
-    width = len(letters) + 1
+    width = min(len(letters), DENSE_LETTERS) + 1
     flat = np.zeros((len(trans) + 1) * width, dtype=np.int32)
+    first = np.zeros(len(letters) + 1, dtype=np.int32)
+    rare: list[tuple[int, int]] = []
     for s, t in enumerate(trans):
         for c, to in t.items():
             if c > 0:
-                flat[(s + 1) * width + c] = (to + 1) * width
-    first = flat[width : 2 * width].copy()
-    return Parser(lang, letters, flat, first, max(2, len(joined)))
+                if c < width:
+                    flat[(s + 1) * width + c] = (to + 1) * width
+                else:
+                    rare.append((s + 1 << 32 | c, (to + 1) * width))
+                if s == 0:
+                    first[c] = (to + 1) * width
+    rare.sort()
+    sparse, to = (np.array([x[i] for x in rare], dtype=kind) for i, kind in ((0, np.int64), (1, np.int32)))
+    return Parser(lang, letters, flat, first, sparse, to, max(2, len(joined)))
 
 
 _fold: np.ndarray | None = None
@@ -134,10 +151,10 @@ def normalised(text: str) -> tuple[np.ndarray, bool]:
 
 def count_phrases(parser: Parser, lanes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Phrases of each lane.  ``lanes``: BLOCK x lanes code points, lanes by falling length."""
-    lut = np.zeros(0x10000, dtype=np.int32)
-    for v, i in parser.letters.items():
-        if v < 0x10000:
-            lut[v] = i
+    lut = np.zeros(max(0x10000, int(lanes.max(initial=0)) + 1), dtype=np.int32)
+    known = parser.letters < len(lut)
+    lut[parser.letters[known]] = np.flatnonzero(known) + 1
+    width = parser.width
     state = np.zeros(lanes.shape[1], dtype=np.int32)
     count = np.zeros(lanes.shape[1], dtype=np.int32)
     active = np.searchsorted(-lengths, -np.arange(len(lanes)), side="left")
@@ -146,7 +163,15 @@ def count_phrases(parser: Parser, lanes: np.ndarray, lengths: np.ndarray) -> np.
         if not k:
             break
         c = lut[lanes[j, :k]]
-        nxt = parser.table[state[:k] + c]
+        if len(parser.sparse):
+            nxt = parser.table[state[:k] + np.where(c < width, c, 0)]
+            rare = np.flatnonzero(c >= width)
+            if len(rare):
+                ask = (state[rare] // width).astype(np.int64) << 32 | c[rare]
+                at = np.minimum(np.searchsorted(parser.sparse, ask), len(parser.sparse) - 1)
+                nxt[rare] = np.where(parser.sparse[at] == ask, parser.to[at], 0)
+        else:
+            nxt = parser.table[state[:k] + c]
         new = nxt == 0
         count[:k] += new
         state[:k] = np.where(new, parser.first[c], nxt)
@@ -168,9 +193,10 @@ def identify(texts: list[str | None], parsers: list[Parser]) -> tuple[list[str],
     cuts = [(d, a, min(a + BLOCK, n)) for d, n in enumerate(sizes) for a in range(0, n, BLOCK)]
     cuts.sort(key=lambda x: x[1] - x[2])
     lengths = np.array([b - a for _, a, b in cuts])
-    lanes = np.zeros((int(lengths[0]), len(cuts)), dtype=np.uint16)
+    wide = any(int(p.max()) > 0xFFFF for p in points)
+    lanes = np.zeros((int(lengths[0]), len(cuts)), dtype=np.uint32 if wide else np.uint16)
     for k, (d, a, b) in enumerate(cuts):
-        lanes[: b - a, k] = np.minimum(points[d][a:b], 0xFFFF)
+        lanes[: b - a, k] = points[d][a:b]
     docs = np.array([d for d, _, _ in cuts])
     bits = np.empty((len(parsers), len(points)))
     for r, p in enumerate(parsers):
@@ -185,37 +211,43 @@ def identify(texts: list[str | None], parsers: list[Parser]) -> tuple[list[str],
     return lang, score
 
 
-def fit(train: DataFrame, key: str, text: str, label: str, sample_chars: int = SAMPLE_CHARS) -> list[Parser]:
-    """One parser per label from a sample of at most ``sample_chars`` characters each.
+def fit(train: DataFrame, key: str, text: str, label: str, sample_chars: int = SAMPLE_CHARS, total_chars: int = TOTAL_CHARS) -> list[Parser]:
+    """One parser per label from a sample of at most ``sample_chars`` characters each, and at most
+    ``total_chars`` of all labels together.
 
-    Two passes: rows per label are counted, then a share of them, chosen by a hash of the
-    key, is read; of each chosen row one piece of ``PIECE_CHARS`` characters from a hashed
-    offset goes to the driver."""
+    Two passes, however many labels there are: rows per label are counted, then a share of each
+    label's, chosen by a hash of the key, is read; of each chosen row one piece of ``PIECE_CHARS``
+    characters from a hashed offset goes to the driver, at most 12 times what is used."""
     rows = train.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).alias("l"))
+        F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).cast("string").alias("l"))
     rows = rows.withColumn("h", F.xxhash64(F.lit(17), "k", F.length("t")))
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    counts = stored(rows.groupBy("l").agg(F.count("*").alias("n")), "languages")  # one row a label
+    sample_chars = min(sample_chars, total_chars // max(1, counts.count()))
     want = 3 * max(1, sample_chars // PIECE_CHARS)
+    drawn = rows.join(F.broadcast(counts), "l").where(F.pmod("h", F.lit(1_000_003)) < F.lit(want * 1_000_003) / F.col("n"))
+    at = F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("t") - PIECE_CHARS + 1)).cast("int") + 1
+    pieces_of = drawn.select("l", "h", F.col("t").substr(at, F.lit(PIECE_CHARS)).alias("p"))
+    first = F.row_number().over(Window.partitionBy("l").orderBy("h", "p"))
+    got: dict[str, list[str]] = {}
+    for r in pieces_of.withColumn("i", first).where(F.col("i") <= 4 * want).orderBy("l", "i").toLocalIterator():
+        got.setdefault(r["l"], []).append(r["p"])
     parsers = []
-    for lang in sorted(counts):
-        share = min(1.0, want / counts[lang])
-        chosen = rows.where((F.col("l") == lang) & (F.pmod("h", F.lit(1_000_003)) < F.lit(share * 1_000_003)))
-        at = F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("t") - PIECE_CHARS + 1)).cast("int") + 1
-        got = chosen.select("h", F.col("t").substr(at, F.lit(PIECE_CHARS)).alias("p")).orderBy("h", "p").limit(4 * want).collect()
+    for lang in sorted(got):
         pieces, total = [], 0
-        for p in dict.fromkeys(r["p"] for r in got):
+        for p in dict.fromkeys(got[lang]):
             if total >= sample_chars:
                 break
             pieces.append(p[: sample_chars - total])
             total += len(pieces[-1])
         if any(normalised(p)[1] for p in pieces):
-            parsers.append(build_parser(str(lang), pieces))
+            parsers.append(build_parser(lang, pieces))
     return parsers
 
 
 def predict(spark: SparkSession, docs: DataFrame, key: str, text: str, parsers: list[Parser]) -> DataFrame:
-    """(key, lang_pred, score) for every row, in one pass; the parsers are broadcast (their
-    size is bounded by SAMPLE_CHARS and MAX_LETTERS per language)."""
+    """(key, lang_pred, score) for every row, in one pass; the parsers are broadcast (a sample of n
+    characters has at most 2 n states of DENSE_LETTERS + 1 columns and 3 n transitions; the samples
+    together are at most TOTAL_CHARS)."""
     shared = spark.sparkContext.broadcast(parsers)
 
     def run(batches):

@@ -35,18 +35,71 @@ def test_language_odd_rows(odd, nothing):
     assert {r["lang_pred"] for r in langid.predict(odd.sparkSession, odd, "doc_id", "text", []).collect()} == {"und"}
 
 
-def test_phrases_against_plain_search():
-    text, sample = "abcabxyzabcq", "abcabyz"
-    p = langid.build_parser("x", [sample])
-    phrases, i = 0, 0
+def plain_phrases(text, sample):
+    """Greedy phrases of a text: each the longest match in the sample, one character at least."""
+    phrases = i = 0
     while i < len(text):
         n = 1
-        while i + n < len(text) + 1 and text[i : i + n] in sample:
+        while i + n <= len(text) and text[i : i + n] in sample:
             n += 1
         i += max(1, n - 1)
         phrases += 1
-    lanes = np.array([[ord(c)] for c in text], dtype=np.uint16)
-    assert langid.count_phrases(p, lanes, np.array([len(text)])).tolist() == [phrases]
+    return phrases
+
+
+def test_phrases_against_plain_search():
+    rng = np.random.default_rng(4)
+    few, many, far = "abc", "".join(chr(0x4E00 + i) for i in range(700)), "".join(chr(0x10400 + i) for i in range(40)) + "ab"
+    for letters in (few, many, far):
+        for _ in range(12):
+            sample = "".join(rng.choice(list(letters), 400))
+            at = int(rng.integers(0, 300))
+            texts = ["".join(rng.choice(list(letters), 60)), sample[at : at + 90] + "zz" + sample[:40], "q"]
+            p = langid.build_parser("x", [sample])
+            assert len(p.letters) == len(set(langid.normalised(sample)[0].tolist()))  # none is left out
+            folded = ["".join(map(chr, langid.normalised(t)[0])) for t in [sample, *texts]]
+            lengths = np.array(sorted((len(t) for t in folded[1:]), reverse=True))
+            lanes = np.zeros((lengths[0], 3), dtype=np.uint32)
+            for k, t in enumerate(sorted(folded[1:], key=len, reverse=True)):
+                lanes[: len(t), k] = [ord(c) for c in t]
+            assert langid.count_phrases(p, lanes, lengths).tolist() == [plain_phrases(t, folded[0]) for t in sorted(folded[1:], key=len, reverse=True)]
+
+
+def test_languages_of_many_and_of_far_letters(spark):
+    """Ideographs by the thousand, letters beyond U+FFFF, forty labels, and equal estimates."""
+    rng = np.random.default_rng(5)
+    han, far = [chr(0x4E00 + i) for i in range(3000)], [chr(0x10400 + i) for i in range(40)]
+    words = {f"l{j:02d}": ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(30)] for j in range(40)}
+    words |= {"han": ["".join(rng.choice(han, 3)) for _ in range(800)], "far": ["".join(rng.choice(far, 4)) for _ in range(50)]}
+    rows = [(i, " ".join(rng.choice(words[lang], 80)), lang) for i, lang in enumerate(sorted(words) * 8)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    parsers = langid.fit(train, "doc_id", "text", "lang")
+    assert [p.lang for p in parsers] == sorted(words) and max(len(p.letters) for p in parsers) > 500
+    assert sum(p.n for p in langid.fit(train, "doc_id", "text", "lang", total_chars=42_000)) <= 42_000 + 2 * 42
+    asked = spark.createDataFrame([(i, " ".join(rng.choice(words[lang], 40)), lang) for i, lang in enumerate(sorted(words) * 3)], train.schema)
+    got = langid.predict(spark, asked, "doc_id", "text", parsers).join(asked.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) > 0.97 * len(got)
+    same = [langid.build_parser(n, ["abc abc"]) for n in ("a", "b")]
+    assert langid.identify(["abc", "abc abd"], same) == (["a", "a"], [0.5, 0.5])
+
+
+def test_language_prediction_against_plain_search(spark, odd):
+    """The whole query on rows and samples small enough for plain search: fewest phrases times
+    log2(sample), ties to the smaller name."""
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in odd.collect() if r["text"] and len(r["text"]) < 500]
+    parsers = langid.fit(odd.where(F.length("text") < 500), "doc_id", "text", "lang")
+    got = {r[0]: r for r in langid.predict(spark, odd.where(F.length("text") < 500), "doc_id", "text", parsers).collect()}
+    pieces = collections.defaultdict(list)
+    for k, t, lang in rows:
+        if lang:
+            pieces[lang].append("".join(map(chr, langid.normalised(t)[0])))
+    whole = {lang: "\x00".join(dict.fromkeys(p)) for lang, p in pieces.items()}
+    assert all(p.n >= sum(map(len, dict.fromkeys(pieces[p.lang]))) for p in parsers)  # nothing was left out
+    for k, t, _ in rows:
+        folded = "".join(map(chr, langid.normalised(t)[0]))
+        if any(c.isalpha() for c in folded):
+            cost = {p.lang: plain_phrases(folded, whole[p.lang]) * math.log2(p.n) for p in parsers}
+            assert got[k]["lang_pred"] == min(cost, key=lambda x: (cost[x], x))
 
 
 def test_quality_on_labels(spark):
