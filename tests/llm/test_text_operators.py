@@ -536,12 +536,58 @@ def test_leaks_against_brute_force(spark):
 def test_licences(spark, odd, nothing):
     mit = " ".join(f"{licenses.SENTENCES[x].capitalize()}." for x in ("mit-grant", "mit-notice", "mit-as-is", "mit-liability"))
     rows = [(1, "Copyright 2020 X\n" + mit.replace(" of this ", "\nof this ")), (2, "Foo bar\nReleased under the MIT License.\nLicensed under CC BY-NC 4.0."),
-            (3, "It is not released under the MIT license here."), (4, None), (5, licenses.SENTENCES["bsd-grant"])]
-    got = {r[0]: (r[1], r[3]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: (["MIT"], 0), 2: (["MIT", "CC-BY-NC-4.0"], 0), 3: ([], 0), 4: ([], 0), 5: ([], 1)}
+            (3, "It is not released under the MIT license here."), (4, None), (5, licenses.SENTENCES["bsd-grant"]),
+            (6, "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 X\n"),
+            (7, "                 Apache License\n           Version 2.0, January 2004\n        http://www.apache.org/licenses/\n"),
+            (8, "// SPDX-License-Identifier: Apache-2.0 OR mit\n/* spdx-license-identifier: (GPL-2.0+ AND Frob-1) */\n# SPDX-License-Identifier:\n"),
+            (9, "see SPDX-License-Identifier: MIT"), (1, "MIT License")]
+    got = sorted((r[0], r[1], r[3]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, ["MIT"], 0), (1, ["MIT"], 0), (2, ["MIT", "CC-BY-NC-4.0"], 0), (3, [], 0), (4, [], 0), (5, [], 1), (6, ["GPL-3.0"], 0), (7, ["Apache-2.0"], 0),
+                   (8, ["Apache-2.0", "MIT", "GPL-2.0"], 0), (9, [], 0)]
     assert licenses.scan(odd).where("size(licenses) > 0").count() == 0 and licenses.scan(nothing).count() == 0
-    assert all(any(k in s for k in licenses.KEY_WORDS) for s in licenses.SENTENCES.values())
-    assert {p for _, parts in licenses.RULES for p in parts} <= set(licenses.SENTENCES)
+    assert licenses.with_texts([]).filtered  # every built-in sentence passes the filter of key words
+    assert {p for _, parts in licenses.RULES for p in parts} == set(licenses.SENTENCES)
+    assert {name for name, parts in licenses.RULES} - set(licenses.SPDX) == {"All-Rights-Reserved"}
+
+
+def test_licence_rules_against_plain_matching():
+    """At each place the longest rule that fits, ties to the first in the table; brute force over all."""
+    rng = np.random.default_rng(3)
+    names = list("abcde")
+    table = licenses.Rules({n: f"licence {n}" for n in names}, [(f"L{i}", tuple(rng.choice(names, int(rng.integers(1, 5))))) for i in range(12)] + [("tie1", ("a", "e")), ("tie2", ("a", "e"))])
+    for _ in range(300):
+        ids = rng.choice([*names, "copyright", "rights-reserved"], int(rng.integers(0, 12))).tolist()
+        used, want = set(), []
+        for i in range(len(ids)):
+            fits = []
+            for order, (name, parts) in enumerate(table.rules):
+                j, at = i, []
+                for p in parts:
+                    while at and j < len(ids) and ids[j] in licenses.FILLERS:
+                        j += 1
+                    if j == len(ids) or ids[j] != p or j in used:
+                        break
+                    at.append(j)
+                    j += 1
+                if len(at) == len(parts):
+                    fits.append((-len(parts), order, name, at))
+            if fits and i not in used:
+                _, _, name, at = min(fits)
+                used |= set(at)
+                want.append(name)
+        assert table.match(ids) == (want, sum(x != "copyright" and i not in used for i, x in enumerate(ids)))
+
+
+def test_whole_licence_texts(spark):
+    a = "Frob Public License\nVersion 7\n\nYou may frob this work and\nshare it. You must not unfrob it!\n\n  1. Frobbing means to frob; see below.\n"
+    b = "Grob License\n\nYou must not unfrob it! Grobbing is free."
+    texts = spark.createDataFrame([("Frob-7", a), ("Grob", b), ("Grob", None), ("None", " ,")], "licence string, text string")
+    docs = [(1, "int x;\n" + a + "\nint y;"), (2, b.upper()), (3, a.replace("You must not unfrob it!", "")), (4, a + b), (5, "Released under the MIT license.\n" + b), (6, "you may frob this work")]
+    got = {r[0]: (r[1], r[3]) for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string"), texts=texts).collect()}
+    assert got[1] == (["Frob-7"], 0) and got[2] == (["Grob"], 0) and got[4] == (["Frob-7", "Grob"], 0) and got[5] == (["MIT", "Grob"], 0)
+    assert got[3][0] == [] and got[3][1] > 2 and got[6] == ([], 0)
+    table = licenses.with_texts([tuple(r) for r in texts.collect()])
+    assert len([s for s in table.sentences.values() if s == "you must not unfrob it"]) == 1 and not table.filtered
 
 
 def test_mix_meets_targets(spark, odd, nothing):
