@@ -7,13 +7,17 @@ the usual other templates, can appear there, and reading back is exact.
 Conversations that share initial turns are merged into a tree whose nodes are turns.  Each
 tree is laid out depth first, so a shared turn is emitted once; a token's position id is its
 place in its own conversation (that of the node's parent's end, and on), and a node attends to itself
-and to the intervals of its ancestors.  Tokens are code points (ids from ``ord``), so offsets are
+and to the intervals of its ancestors.  Ancestors that lie side by side are one interval, so a
+long conversation that shares nothing has one interval a node, and their number grows with the
+branchings on the path, not with its turns; the turns themselves are the chain of parents.  Tokens are code points (ids from ``ord``), so offsets are
 characters; the loss mask covers the escaped texts of the trained role.
 
 Conversations are range-dealt by the hashes of their turns with the id as tie-break, so a
 first turn, or a whole conversation, that a third of all rows share is spread over as many
-tasks as its size needs.  Within a task neighbours are packed into trees of at most about
-PACK_CHARS characters, one row each: memory is bounded by a pack and the longest conversation.
+tasks as its size needs; the number of ranges grows with the characters (RANGE_CHARS each).
+Within a task neighbours are packed into trees of at most about PACK_CHARS characters, one row
+each: memory is bounded by a pack and the longest conversation, which is one row and must fit a
+task.  A turn that more conversations share than a pack holds is emitted once in each pack.
 
 Cases: rows are ordered by turn (null turns last), then role and text; null roles and texts
 are empty; a null conversation id is a conversation like any other; repeated rows are turns
@@ -33,6 +37,7 @@ from retentia.llm.common import partitions, query, table
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 PACK_CHARS = 1 << 18
+RANGE_CHARS = 1 << 26
 
 NODE = "struct<start:int,stop:int,parent:int,position:int,loss_start:int,loss_stop:int,attends:array<struct<start:int,stop:int>>>"
 PACK = f"pack long, text string, tokens array<int>, positions array<int>, nodes array<{NODE}>, ends array<struct<conv:bigint,node:int>>"
@@ -79,7 +84,7 @@ class Pack:
             self.nodes.append({
                 "start": self.size, "stop": self.size + len(s), "parent": parent, "position": position,
                 "loss_start": self.size + a if trained else 0, "loss_stop": self.size + b if trained else 0,
-                "attends": [{"start": self.nodes[p]["start"], "stop": self.nodes[p]["stop"]} for p in self.path],
+                "attends": self.intervals(),
             })
             self.path.append(len(self.nodes) - 1)
             self.turns.append((role, text))
@@ -87,6 +92,17 @@ class Pack:
             self.size += len(s)
         self.ends.append({"conv": conv, "node": self.path[-1] if self.path else -1})
 
+    def intervals(self) -> list[dict]:
+        """What the open path covers: its last node's intervals and the node itself, joined where they
+        touch."""
+        if not self.path:
+            return []
+        last = self.nodes[self.path[-1]]
+        before = last["attends"]
+        if before and before[-1]["stop"] == last["start"]:
+            return [*before[:-1], {"start": before[-1]["start"], "stop": last["stop"]}]
+        return [*before, {"start": last["start"], "stop": last["stop"]}]
+
     def row(self, pack: int) -> dict:
         text = "".join(self.parts)
         tokens = np.frombuffer(text.encode("utf-32-le"), dtype=np.int32)
@@ -102,7 +118,8 @@ def format_trees(conversations: DataFrame, train_role: str = "assistant", pack_c
     step = lambda acc, t: F.concat(acc, F.array(F.xxhash64(F.element_at(acc, -1), t["r"], t["t"])))
     convs = convs.withColumn("path", F.aggregate("turns", F.array(F.lit(0).cast("long")), step))
     keys = [F.get("path", F.lit(i)) for i in (1, 2, 3)]
-    n = partitions(conversations.sparkSession)
+    chars = conversations.agg(F.sum(F.length("text").cast("long")).alias("n")).first()["n"] or 0
+    n = partitions(conversations.sparkSession, chars // RANGE_CHARS)
     convs = convs.repartitionByRange(n, *keys, "conv").sortWithinPartitions("path", "conv")
     kinds = pa.schema([("pack", pa.int64()), ("text", pa.string()), ("tokens", pa.list_(pa.int32())), ("positions", pa.list_(pa.int32())),
                        ("nodes", pa.list_(pa.struct([(k, pa.int32()) for k in ("start", "stop", "parent", "position", "loss_start", "loss_stop")] + [("attends", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))]))),
@@ -130,18 +147,18 @@ def read_back(text: str, nodes: list[dict], node: int) -> tuple[list[tuple[str,
     at ``node``, from the emitted text alone."""
     if node < 0:
         return [], [], 0
-    last = nodes[node]
-    spans = [(a["start"], a["stop"]) for a in last["attends"]] + [(last["start"], last["stop"])]
-    at = {n["start"]: n for n in nodes}
+    chain = []
+    while node >= 0:
+        chain.append(nodes[node])
+        node = nodes[node]["parent"]
     turns, loss = [], []
-    for a, b in spans:
-        s = text[a + len(TURN) : b - len(END)]
+    for n in reversed(chain):
+        s = text[n["start"] + len(TURN) : n["stop"] - len(END)]
         role, body = s.split(TEXT, 1)
         turns.append((unescape(role), unescape(body)))
-        n = at[a]
         if n["loss_start"] > 0:
             loss.append(unescape(text[n["loss_start"] : n["loss_stop"]]))
-    return turns, loss, sum(b - a for a, b in spans)
+    return turns, loss, sum(n["stop"] - n["start"] for n in chain)
 
 
 def digests(packs: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import hashlib
+
 import duckdb
 import numpy as np
 import pytest
@@ -94,7 +96,23 @@ def test_trees_share_turns_and_read_back(spark):
             last = nodes[e["node"]]
             spans = [(a["start"], a["stop"]) for a in last["attends"]] + [(last["start"], last["stop"])]
             assert [p["positions"][i] for a, b in spans for i in range(a, b)] == list(range(chars))
+            assert all(a[1] < b[0] for a, b in zip(spans[:-1], spans[1:-1]))  # joined where they touch
             assert loss == [t for r, t in turns if r == "assistant"]
     assert seen == {c: [(r, x) for _, _, r, x in sorted(v)] for c, v in want.items()}
     assert chat.digests(chat.format_trees(df.limit(0))).count() == 0
     assert chat.op8_chat(spark, SF001).where("conv_id = -7").first()["n_turns"] == 2
+
+
+def test_long_conversations_cost_their_length(spark):
+    """Thousands of turns, in one that shares nothing and in two that share all but the last turn, and
+    columns whose names clash."""
+    turns = [(i, ["user", "assistant"][i % 2], f"turn {i} <|end|>") for i in range(3000)]
+    rows = [(1, *t) for t in turns] + [(2, *t) for t in turns[:-1]] + [(2, 2999, "assistant", "other")] + [(3, 0, "user", "x" * 400_000)]
+    df = spark.createDataFrame([(*r, "a", 1) for r in rows], "conv_id long, turn long, role string, text string, turns string, path int")
+    packs = chat.format_trees(df).collect()
+    nodes = [n for p in packs for n in p["nodes"]]
+    assert len(nodes) <= 3000 + 1 + 1 + 3000 and sum(len(n["attends"]) for n in nodes) <= 2 * len(nodes)
+    got = {r["conv_id"]: r for r in chat.digests(chat.format_trees(df)).collect()}
+    assert [got[k]["n_turns"] for k in (1, 2, 3)] == [3000, 3000, 1]
+    text = "".join(f"{r}\n{t}\n" for _, r, t in turns)
+    assert got[1]["turns_sha256"] == hashlib.sha256(text.encode()).hexdigest()
