@@ -20,11 +20,18 @@ too little else sign a second time with all their elements, to meet each other.
 
 Steps: (1) sets are reduced to fingerprints; documents with one fingerprint are one class.
 (2) Every chunk sends its classes' signatures once, in compact blocks, to partitions by
-signature; classes that share one are tied to the smallest of them.  (3) Tied classes form
-clusters, whose sets are compared pairwise in blocks of bounded size: sizes, then a parity
-sketch (a lower bound of the difference) and the exact intersection decide; links are counted
-per class, and only those of a spanning forest are emitted, so a group of m near copies
-gives fewer than m of them a block pair.  (4) Components of the links.
+signature.  Classes that share one are candidate pairs: all pairs of a signature with at most
+PAIRS_UP_TO classes, and of a more frequent ("hot") one each class with the smallest.
+(3) Candidate pairs are verified, exactly: the sets of classes in pairs are made again from one
+row each, dealt into blocks bounded in sets and in shingles, and only to block pairs that
+hold a candidate.  Their links give components.  (4) A hot signature whose classes ended in one
+component is done, which m near copies reach with m - 1 pairs a signature.  Of the others, the classes of
+different components are compared blockwise, pairs that are connected by then are passed over.
+(5) Components of all links.  With ``count`` all pairs of every signature are candidates and the
+links of each class are counted; that is as much work as there are links.
+
+Rows of equal sets never meet: a class is represented by one row, found by its hash, and while
+those rows are few (counted) they are broadcast and no text is shuffled.
 
 Cases: null texts and texts without words have the empty set and link with nothing.  Fewer than
 n words: the whole sequence is the one shingle.  Every row counts by its own set, also where rows
@@ -42,19 +49,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentia.llm.common import partitions, query, stored, sub_batches, table
+from retentia.llm.common import order_key, partitions, query, stored, sub_batches, table
 from retentia.llm.lm import planes, runs, unplanes
 from retentia.llm.substring import five, unfive
 from retentia.llm.words import mix, sequence_hashes, spread, word_hashes
 
 CHUNK = 8 << 20
 SIGNATURES_PER_PARTITION = 4_000_000
-#: Sets compared against each other in one task: two blocks of about this many.
-BLOCK_SETS = 256
+#: Signatures shared by more classes than this pair each class with the smallest only.
+PAIRS_UP_TO = 8
+#: Sets compared against each other in one task: two blocks of about so many sets and shingles.
+BLOCK_SETS, BLOCK_SHINGLES = 256, 2_000_000
+#: Rows that stand for classes in pairs: above this they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Shared shingles are looked for in about so many documents; at most so many are listed.
 HOT_SAMPLE, HOT_LIST = 20_000, 1 << 18
 HOT_FROM = 4
 SKETCH_WORDS = 16  # 1,024 parity bits
+TIES = "a long, b long, s long"
 
 
 class Bands:
@@ -199,29 +211,41 @@ def signatures(sets: list[np.ndarray], bands: Bands, shared: Shared | None = Non
     return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
 
 
-def tie(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (class, smallest class with the same signature), distinct, from a partition's blocks."""
+def tie(rows: list, most: int | None = PAIRS_UP_TO) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, s) from a partition's blocks: candidate pairs a > b of classes that share a signature
+    (s = 0), and of a signature with more than ``most`` classes (None: no limit) each class a with
+    the smallest b, under the signature's own number s."""
     base = np.cumsum([0] + [len(r[0]) for r in rows])
     classes = np.concatenate([r[0] for r in rows])
     node = np.concatenate([unplanes(r[1]).astype(np.int64) + b for r, b in zip(rows, base, strict=False)])
     own = np.concatenate([np.unpackbits(np.frombuffer(r[2], np.uint8), count=r[1][1]) for r in rows]).astype(bool)
     sig = np.concatenate([unfive(r[3]) for r in rows])
-    order = np.argsort(sig, kind="stable")
+    cls = classes[node]
+    order = np.lexsort((~own, cls, sig))
+    new = np.ones(len(order), dtype=bool)  # one entry of each class and signature, its own band's first
+    new[1:] = (sig[order][1:] != sig[order][:-1]) | (cls[order][1:] != cls[order][:-1])
+    order = order[new]
     s, n = runs(sig[order])
-    many = n > 1
-    at = order[spread(s[many], n[many])]
-    group = np.repeat(np.arange(int(many.sum())), n[many])
-    cls = classes[node[at]]
-    # sets that all sign for the band above theirs meet in their own band as well
-    any_own = np.bincount(group, weights=own[at], minlength=int(many.sum())) > 0
-    low = np.full(int(many.sum()), np.iinfo(np.int64).max)
-    np.minimum.at(low, group, cls)
-    go = any_own[group] & (cls != low[group])
-    if not go.any():
-        z = np.zeros(0, np.int64)
-        return z, z
-    pairs = np.unique(np.stack([cls[go], low[group[go]]], axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
+    found = []
+    hot = n > len(order) if most is None else n > most
+    # all pairs of the small groups, by distance of their members; two sets that both sign for the
+    # band above theirs meet in their own band as well
+    for step in range(1, int(n[~hot].max(initial=1))):
+        wide = ~hot & (n > step)
+        y = spread(s[wide], n[wide] - step)
+        x, y = order[y + step], order[y]
+        go = own[x] | own[y]
+        found.append((cls[x[go]], cls[y[go]], np.zeros(int(go.sum()), np.int64)))
+    at = order[spread(s[hot], n[hot])]
+    group = np.repeat(np.arange(int(hot.sum())), n[hot])
+    any_own = np.bincount(group, weights=own[at], minlength=int(hot.sum())) > 0
+    first = cls[order[s[hot]]]  # members lie by class
+    go = any_own[group] & (cls[at] != first[group])
+    number = (mix(sig[order[s[hot]]]) >> np.uint64(1)).astype(np.int64) | 1
+    found.append((cls[at[go]], first[group[go]], number[group[go]]))
+    a, b, c = (np.concatenate([f[i] for f in found]) for i in range(3))
+    keep = np.unique(np.stack([a, b, c], axis=1), axis=0) if len(a) else np.zeros((0, 3), np.int64)
+    return keep[:, 0], keep[:, 1], keep[:, 2]
 
 
 def forest(edges: DataFrame) -> DataFrame:
@@ -286,17 +310,39 @@ def common(a: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat((a[at] == joined).astype(np.int64), np.cumsum(sizes) - sizes)
 
 
-def link_block(ids: np.ndarray, sets: list[np.ndarray], first_half: np.ndarray, within: bool, bands: Bands, count: bool) -> tuple[list, np.ndarray]:
-    """(links of a spanning forest, links of each set) among the sets: between the halves, or
-    all if ``within``.  Without ``count`` pairs that are connected already are passed over."""
+def linked(x: np.ndarray, others: list[np.ndarray], bands: Bands) -> np.ndarray:
+    """Which of the other sets link with ``x``."""
+    size = np.array([len(o) for o in others])
+    inter = common(x, others)
+    return inter * bands.den >= (len(x) + size - inter) * bands.num
+
+
+def link_pairs(f: np.ndarray, sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, bands: Bands) -> np.ndarray:
+    """Which of the pairs (a, b) of classes link; ``f``: the classes of the sets, rising."""
+    out = np.zeros(len(a), dtype=bool)
+    i, j = np.searchsorted(f, a), np.searchsorted(f, b)
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    close = np.minimum(size[i], size[j]) * bands.den >= np.maximum(size[i], size[j]) * bands.num
+    at = np.flatnonzero(close)
+    at = at[np.argsort(i[at], kind="stable")]
+    for start, n in zip(*(r.tolist() for r in runs(i[at])), strict=True):
+        p = at[start : start + n]
+        for q in range(0, n, 64):  # the others of one set, some at a time
+            out[p[q : q + 64]] = linked(sets[i[p[0]]], [sets[x] for x in j[p[q : q + 64]]], bands)
+    return out
+
+
+def link_block(f: np.ndarray, sets: list[np.ndarray], label: np.ndarray, first_half: np.ndarray, within: bool, bands: Bands) -> list[tuple[int, int]]:
+    """Links that connect sets of different labels: between the halves, or all if ``within``.  Pairs
+    that are connected already are passed over; sizes, a parity sketch (a lower bound of the
+    difference) and the exact intersection decide about the others."""
     size = np.array([len(s) for s in sets], dtype=np.int64)
     sketch = np.zeros((len(sets), SKETCH_WORDS), dtype=np.uint64)
     bits = SKETCH_WORDS * 64
     for i, s in enumerate(sets):
         odd = np.bincount((mix(s) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
         sketch[i] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
-    root = np.arange(len(sets))
-    degree = np.zeros(len(sets), dtype=np.int64)
+    root = np.unique(label, return_inverse=True)[1]
     links = []
     for i in range(len(sets)):
         if within:
@@ -305,23 +351,62 @@ def link_block(ids: np.ndarray, sets: list[np.ndarray], first_half: np.ndarray,
             j = np.flatnonzero(~first_half)
         else:
             continue
-        if not count:
-            j = j[root[j] != root[i]]
+        j = j[root[j] != root[i]]
         j = j[np.minimum(size[i], size[j]) * bands.den >= np.maximum(size[i], size[j]) * bands.num]
         # |A & B| >= t/(1+t) (a+b), so the difference is at most (1-t)/(1+t) (a+b)
         least = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1)
         j = j[least <= (size[i] + size[j]) * (bands.den - bands.num) // (bands.den + bands.num)]
         if not len(j):
             continue
-        inter = common(sets[i], [sets[x] for x in j])
-        j = j[inter * bands.den >= (size[i] + size[j] - inter) * bands.num]
-        degree[i] += len(j)
-        degree[j] += 1
+        j = j[linked(sets[i], [sets[x] for x in j], bands)]
         for r, x in zip(*np.unique(root[j], return_index=True), strict=True):
             if r != root[i]:
-                links.append((int(ids[i]), int(ids[j[x]])))
+                links.append((int(f[i]), int(f[j[x]])))
                 root[root == r] = root[i]
-    return links, degree
+    return links
+
+
+def in_blocks(nodes: DataFrame, clusters: DataFrame, own: DataFrame) -> DataFrame:
+    """(f, root, nb, i): the block of each of the classes ``nodes`` (f) in its cluster."""
+    x = nodes.join(clusters.withColumnRenamed("node", "f"), "f").join(own.select("f", "n"), "f")
+    size = x.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
+    return stored(x.join(size, "root").select("f", "root", "nb", F.pmod(F.xxhash64("f"), F.col("nb")).cast("int").alias("i")), "jaccard-blocks")
+
+
+def verify_pairs(pairs: DataFrame, blocks: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
+    """The pairs (a, b) that link; sets travel to the block pairs that hold one of their pairs."""
+    place = lambda c: blocks.select(F.col("f").alias(c), F.col("root").alias(f"root_{c}"), F.col("i").alias(f"i_{c}"))
+    p = pairs.join(place("a"), "a").join(place("b"), "b")
+    p = stored(p.select("a", "b", F.col("root_a").alias("root"), F.least("i_a", "i_b").alias("x"), F.greatest("i_a", "i_b").alias("y")), "jaccard-pairs")
+    cell = ["root", "x", "y"]
+    needed = p.select(F.col("a").alias("f"), *cell).unionAll(p.select(F.col("b").alias("f"), *cell)).distinct()
+
+    def run(_, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not right.num_rows:
+            return right.select(["a", "b"])
+        f, at = np.unique(left["f"].to_numpy(), return_index=True)  # rows of one class, once
+        got = [np.frombuffer(left["s"][int(k)].as_py(), np.uint64) for k in at]
+        go = link_pairs(f, got, right["a"].to_numpy(), right["b"].to_numpy(), bands)
+        return right.select(["a", "b"]).filter(pa.array(go))
+
+    there = needed.join(sets, "f").toDF("f", *cell, "s")  # columns of its own, apart from those of p
+    return there.groupBy(*cell).cogroup(p.groupBy(*cell)).applyInArrow(run, "a long, b long")
+
+
+def verify_blocks(blocks: DataFrame, labels: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
+    """Links (a, b) that connect classes of different labels in one cluster, all blocks against all."""
+    pair = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least("i", j).alias("x"), F.greatest("i", j).alias("y")))
+    spread_out = blocks.join(labels, "f").withColumn("pair", F.explode(pair)).select("f", "root", "i", "label", "pair.x", "pair.y")
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        f, at = np.unique(t["f"].to_numpy(), return_index=True)
+        got = [np.frombuffer(t["s"][int(k)].as_py(), np.uint64) for k in at]
+        x, y = t["x"][0].as_py(), t["y"][0].as_py()
+        links = link_block(f, got, t["label"].to_numpy()[at], t["i"].to_numpy()[at] == x, x == y, bands)
+        return pa.table({"a": pa.array([p[0] for p in links], pa.int64()), "b": pa.array([p[1] for p in links], pa.int64())})
+
+    return spread_out.join(sets, "f").groupBy("root", "x", "y").applyInArrow(run, "a long, b long")
 
 
 def find_components(docs: DataFrame, key: str, text: str, row: Column, n: int, num: int, den: int, count: bool) -> tuple[DataFrame, DataFrame]:
@@ -330,6 +415,7 @@ def find_components(docs: DataFrame, key: str, text: str, row: Column, n: int, n
     component and links.  Rows are ordered by id, nulls last, and k."""
     spark = docs.sparkSession
     bands = Bands(num, den)
+    order_key(docs, key, 0)  # whole numbers only
     src = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"), row.alias("k"))
 
     def reduce_sets(batches):
@@ -361,19 +447,18 @@ def find_components(docs: DataFrame, key: str, text: str, row: Column, n: int, n
                     out.append((int(p[at[0]]), pickle.dumps((classes[here], planes(local), np.packbits(own[at]).tobytes(), five(sig[at])), protocol=5)))
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["p", "b"])
 
+    most = None if count else PAIRS_UP_TO
+
     def meet(t: pa.Table) -> pa.Table:
-        a, b = tie([pickle.loads(x.as_py()) for x in t["b"]])
-        return pa.table({"a": a, "b": b})
-
-    ties = src.select("id", "t").mapInArrow(send, "p int, b binary").groupBy("p").applyInArrow(meet, "a long, b long").distinct()
-    clusters = components(ties, "jaccard-ties")
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("m"))
-    blocks = F.ceil(F.col("m") / BLOCK_SETS).cast("int")
-    members = clusters.join(sizes, "root").select(F.col("node").alias("f"), "root", blocks.alias("nb"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("i"))
+        return pa.table(dict(zip("abs", tie([pickle.loads(x.as_py()) for x in t["b"]], most), strict=True)))
+
+    ties = stored(src.select("id", "t").mapInArrow(send, "p int, b binary").groupBy("p").applyInArrow(meet, TIES).distinct(), "jaccard-candidates")
+    pairs = ties.select("a", "b").distinct()
+    clusters = components(pairs, "jaccard-ties")
     # one row stands for a class; its set is made again from its text
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k")).alias("own")
-    own = stored(rows.where("f <> 0").groupBy("f").agg(first), "jaccard-classes")
-    chosen = stored(members.join(own.select("f", "own.k"), "f"), "jaccard-members")
+    own = stored(rows.where("f <> 0").groupBy("f").agg(first, F.first("n").alias("n")), "jaccard-classes")
+    chosen = stored(own.join(clusters.select(F.col("node").alias("f")), "f").select("f", "own.k"), "jaccard-members")
 
     def again(batches):
         seen = set()  # rows equal to the chosen one: one of them a task
@@ -386,30 +471,27 @@ def find_components(docs: DataFrame, key: str, text: str, row: Column, n: int, n
                     if f not in seen and fingerprint(s) == f:
                         seen.add(f)
                         keep.append(i)
-                got = part.take(pa.array(keep, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(got.column(c) for c in (1, 2, 3, 4)), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["f", "root", "nb", "i", "s"])
+                yield pa.RecordBatch.from_arrays([part.take(pa.array(keep, pa.int64())).column(1), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["f", "s"])
 
-    # both sides grow with the input: neither is broadcast at any size
-    sets = src.select("t", "k").join(chosen.hint("merge"), "k").select("t", "f", "root", "nb", "i").mapInArrow(again, "f long, root long, nb int, i int, s binary")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least("i", j).alias("x"), F.greatest("i", j).alias("y")))
-    sets = sets.withColumn("pair", F.explode(pairs)).select("f", "root", "i", "s", "pair.x", "pair.y")
-
-    def compare(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        f, at = np.unique(t["f"].to_numpy(), return_index=True)  # rows of one class, once
-        got = [np.frombuffer(t["s"][int(k)].as_py(), np.uint64) for k in at]
-        x, y, i = t["x"][0].as_py(), t["y"][0].as_py(), t["i"].to_numpy()[at]
-        links, degree = link_block(f, got, i == x, x == y, bands, count)
-        own = np.flatnonzero(degree) if count else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array([p[0] for p in links] + f[own].tolist(), pa.int64()), "b": pa.array([p[1] for p in links] + [None] * len(own), pa.int64()),
-                         "links": pa.array([None] * len(links) + degree[own].tolist(), pa.int64())})
-
-    found = stored(sets.groupBy("root", "x", "y").applyInArrow(compare, "a long, b long, links long"), "jaccard-links")
-    degree = found.where("b IS NULL").groupBy(F.col("a").alias("f")).agg(F.sum("links").alias("links"))
-    links = found.where("b IS NOT NULL").select("a", "b")
+    few = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen.hint("merge")
+    sets = stored(src.select("t", "k").join(few, "k").select("t", "f").mapInArrow(again, "f long, s binary"), "jaccard-shingles")
+    blocks = in_blocks(chosen.select("f"), clusters, own)
+    links = stored(verify_pairs(pairs, blocks, sets, bands), "jaccard-links")
     comp = components(links, "jaccard-comp")
+    degree = links.select(F.explode(F.array("a", "b")).alias("f")).groupBy("f").agg(F.count("*").alias("links")) if count else None
+    # hot signatures whose classes are still apart
+    label = F.coalesce("root", "f").alias("label")
+    in_hot = ties.where("s <> 0").select("s", F.col("a").alias("f")).unionAll(ties.where("s <> 0").select("s", F.col("b").alias("f"))).distinct()
+    known = comp.withColumnRenamed("node", "f")
+    labelled = stored(in_hot.join(known, "f", "left").select("s", "f", label), "jaccard-hot")
+    apart = labelled.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("s")
+    open_ = stored(labelled.join(apart, "s", "left_semi").select("f", "label").distinct(), "jaccard-open")
+    if open_.limit(1).count():
+        more = verify_blocks(in_blocks(open_.select("f"), clusters, own), open_, sets, bands)
+        comp = components(links.unionAll(stored(more, "jaccard-links")), "jaccard-comp")
     # every class: its first row, and its component's
-    classes = own.join(comp.withColumnRenamed("node", "f"), "f", "left").join(degree, "f", "left")
+    classes = own.join(comp.withColumnRenamed("node", "f"), "f", "left")
+    classes = classes.join(degree, "f", "left") if count else classes.withColumn("links", F.lit(None).cast("long"))
     low = classes.where("root IS NOT NULL").groupBy("root").agg(F.min("own").alias("low"))
     classes = classes.join(low, "root", "left").withColumn("low", F.coalesce("low", "own"))
     return rows, classes.select("f", "own.id", "own.k", F.col("low.id").alias("low_id"), F.col("low.k").alias("low_k"), F.coalesce("links", F.lit(0)).alias("links"))
@@ -443,4 +525,4 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int =
 @query("op6_jaccard_join")
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets reach a Jaccard similarity of 0.9."""
-    return join_components(table(spark, sf_dir, "documents"), "doc_id", "text", 3, 90, 100)
+    return join_components(table(spark, sf_dir, "documents"), "doc_id", "text", 3, 90, 100, count=False).drop("links")

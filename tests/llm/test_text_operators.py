@@ -282,6 +282,79 @@ def test_near_copies_in_blocks(spark):
     assert {r["component_id"] for r in got} == {0} and {r["links"] for r in got} == {599}
 
 
+def compared(monkeypatch):
+    """Records how many candidate pairs are verified, and how many classes blockwise."""
+    seen = {"pairs": 0, "open": 0}
+    pairs, blocks = jaccard.verify_pairs, jaccard.verify_blocks
+    monkeypatch.setattr(jaccard, "verify_pairs", lambda p, *a: (seen.update(pairs=p.count()), pairs(p, *a))[1])
+    monkeypatch.setattr(jaccard, "verify_blocks", lambda b, *a: (seen.update(open=b.count()), blocks(b, *a))[1])
+    return seen
+
+
+def test_near_copies_cost_their_number(spark, monkeypatch):
+    """Components of m near copies take candidate pairs in proportion to m, and no blocks."""
+    seen, sizes = compared(monkeypatch), {}
+    base = [f"w{i}" for i in range(200)]
+    for m in (100, 400):
+        rows = [(i, " ".join([*base[:-3], f"a{i}", f"b{i}"])) for i in range(m)]
+        got = jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 3, 90, 100, count=False).collect()
+        assert {r["component_id"] for r in got} == {0} and len(got) == m
+        sizes[m] = seen["pairs"]
+    assert seen["open"] == 0 and sizes[400] < 6 * sizes[100] and sizes[400] < 40 * 400
+
+
+def chained_rows(rng):
+    """Families of near copies that drift: neighbours link, distant members do not."""
+    rows = []
+    for f in range(4):
+        words = [f"f{f}w{i}" for i in range(150)]
+        for i in range(30):
+            words = list(words)
+            for at in rng.integers(0, 150, 2):
+                words[at] = f"n{rng.integers(0, 10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    order = rng.permutation(len(rows))
+    return [(int(k), rows[i][1]) for k, i in enumerate(order)]
+
+
+@pytest.mark.parametrize("stars", [True, False])
+def test_hot_signatures_lose_no_link(spark, monkeypatch, stars):
+    """Every shared signature taken for a hot one, and small blocks: what the smallest class does not
+    connect the blocks do, also when it connects nothing at all."""
+    monkeypatch.setattr(jaccard, "PAIRS_UP_TO", 1)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 7)
+    if not stars:
+        monkeypatch.setattr(jaccard, "verify_pairs", lambda p, *a: p.limit(0))
+    seen = compared(monkeypatch)
+    rows = chained_rows(np.random.default_rng(21))
+    got = jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 3, 90, 100, count=False).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == brute_components(rows, 3, 90, 100)
+    assert stars or seen["open"] > 100
+
+
+def test_candidates_of_a_partition_against_plain_pairs():
+    rng = np.random.default_rng(5)
+    for most in (None, 1, 3):
+        rows, members = [], collections.defaultdict(dict)
+        for _ in range(4):
+            classes = rng.choice(1000, 12, replace=False).astype(np.int64)
+            node, sig, own = rng.integers(0, 12, 60), rng.integers(0, 25, 60).astype(np.uint64), rng.random(60) < 0.6
+            rows.append((classes, jaccard.planes(node), np.packbits(own).tobytes(), jaccard.five(sig)))
+            for x, s, o in zip(classes[node].tolist(), sig.tolist(), own.tolist(), strict=True):
+                members[s][x] = members[s].get(x, False) or o
+        want_pairs, want_stars = set(), set()
+        for s, of in members.items():
+            if most is None or len(of) <= most:
+                want_pairs |= {(a, b) for a in of for b in of if a > b and (of[a] or of[b])}
+            elif any(of.values()):
+                want_stars |= {(a, min(of), s) for a in of if a != min(of)}
+        a, b, c = (x.tolist() for x in jaccard.tie(rows, most))
+        assert {(x, y) for x, y, z in zip(a, b, c, strict=True) if z == 0} == want_pairs
+        stars = [(x, y, z) for x, y, z in zip(a, b, c, strict=True) if z != 0]
+        number = {s: int(jaccard.mix(np.array([s], dtype=np.uint64))[0] >> np.uint64(1)) | 1 for s in members}
+        assert sorted(stars) == sorted((x, y, number[s]) for x, y, s in want_stars)
+
+
 def test_partenum_loses_no_link():
     rng = np.random.default_rng(3)
     for num in (80, 90):
