@@ -522,7 +522,24 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     return out
 
 
-@query("op6_jaccard_join")
+@query(
+    "op6_jaccard_join",
+    r"""
+    WITH RECURSIVE d AS (
+      SELECT row_number() OVER () AS r, doc_id,
+             coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+'), []) AS w FROM documents),
+    g AS (SELECT r, doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                 WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM d),
+    f AS (SELECT r, doc_id, len(s) AS n, s, CASE WHEN len(s) > 0 THEN md5(array_to_string(s, chr(10))) END AS c FROM g),
+    c AS (SELECT c, min(doc_id) AS class_id, any_value(n) AS n, any_value(s) AS s FROM f WHERE c IS NOT NULL GROUP BY c),
+    e AS (SELECT c, n, unnest(s) AS x FROM c),
+    l AS (SELECT a.c AS a, b.c AS b FROM e a JOIN e b ON a.x = b.x AND a.c <> b.c GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+    t(a, b) AS (SELECT c, c FROM c UNION SELECT t.a, l.b FROM t JOIN l ON t.b = l.a),
+    m AS (SELECT a AS c, min(class_id) AS component_id FROM t JOIN c ON t.b = c.c GROUP BY a)
+    SELECT doc_id, CAST(f.n AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(class_id, doc_id) AS class_id
+    FROM f LEFT JOIN m USING (c) LEFT JOIN c USING (c)
+    """,
+)
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets reach a Jaccard similarity of 0.9."""
     return join_components(table(spark, sf_dir, "documents"), "doc_id", "text", 3, 90, 100, count=False).drop("links")
