@@ -265,6 +265,55 @@ def recommend_with_retry(spark, sf_dir):
     return a.select("prediction_id", F.col("attempt").cast("int").alias("attempt"), "recommendation_text", "passed_guardrails", "guardrail_reason")
 
 
+# ---------------------------------------------------------------------------
+# J6, J9, J11 through the model hooks: a generator and a judge in Python, one call per Arrow batch
+# ---------------------------------------------------------------------------
+def model_generate(system, prompts, attempt):
+    """Stands in for a hosted generator: it sees the prompts of a batch, nothing else."""
+    first = prompts.str.removeprefix(RC.USER_PROMPT_HEAD).str.split("\n", n=1).str[0]
+    if attempt == 1:
+        return "Offer a credit of $" + (prompts.str.len() % 50).astype(str) + " and call them about: " + first
+    return "Have a manager review this with them: " + first
+
+
+def model_judge(rules, prompts):
+    """Stands in for a hosted judge: a recommendation about a complaint has to be looked at again."""
+    said = prompts.str.split(RC.JUDGE_USER_MID, n=1).str[1]
+    return said.str.contains("call them about: 1. [complaint", regex=False).map({True: "UNGROUNDED\nA complaint needs a review first.", False: "GROUNDED\nFine."})
+
+
+def _model_rounds_sql() -> list[tuple[str, str]]:
+    first = "split_part(context_text, chr(10), 1)"
+    prompt_chars = f"({len(RC.USER_PROMPT_HEAD) + len(RC.USER_PROMPT_TAIL)} + length(context_text))"
+    sp, sr = structural_sql("t")
+    np_, nr = numeric_sql("t", "context_text")
+    bad = "contains(t, 'call them about: 1. [complaint')"
+    passed = f"(({sp}) AND ({np_}) AND NOT {bad})"
+    reason = f"CASE WHEN NOT ({sp}) THEN {sr} WHEN NOT ({np_}) THEN {nr} WHEN {bad} THEN 'UNGROUNDED' || chr(10) || 'A complaint needs a review first.' ELSE {_lit(S.ALL_PASSED_REASON)} END"
+    text1 = f"'Offer a credit of $' || CAST({prompt_chars} % 50 AS VARCHAR) || ' and call them about: ' || {first}"
+    text2 = f"'Have a manager review this with them: ' || {first}"
+    return [
+        ("m1", f"SELECT *, 1 AS attempt, {passed} AS passed, {reason} AS reason FROM (SELECT *, {text1} AS t FROM base)"),
+        ("m2", f"SELECT *, 2 AS attempt, {passed} AS passed, {reason} AS reason FROM (SELECT prediction_id, customer_id, context_text, {text2} AS t FROM m1 WHERE NOT passed)"),
+    ]
+
+
+@query(
+    "recommend_with_model",
+    "J6 J9 J10 J11",
+    q(
+        "SELECT prediction_id, CAST(attempt AS INTEGER) AS attempt, t AS recommendation_text, passed AS passed_guardrails, "
+        "reason AS guardrail_reason FROM m1 UNION ALL SELECT prediction_id, CAST(attempt AS INTEGER), t, passed, reason FROM m2",
+        *JOB_CTES,
+        *_model_rounds_sql(),
+    ),
+)
+def recommend_with_model(spark, sf_dir):
+    """The retry rounds with a generator and a judge plugged in as Python functions."""
+    a = RC.run_attempts(spark, job_base(spark, sf_dir), generate_fn=model_generate, judge_fn=model_judge)
+    return a.select("prediction_id", F.col("attempt").cast("int").alias("attempt"), "recommendation_text", "passed_guardrails", "guardrail_reason")
+
+
 def at_risk_job(spark, sf_dir, start=1):
     """Every at-risk prediction -> context -> text -> guardrails (with retry) -> log rows, with
     ids from ``start``."""

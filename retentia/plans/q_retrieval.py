@@ -110,6 +110,43 @@ def normalize_vectors(spark, sf_dir):
     )
 
 
+EMBED_DIM = 64
+
+
+def model_embed(texts):
+    """Stands in for an embedding model: the words of each text hashed into EMBED_DIM counts."""
+    import numpy as np
+
+    out = np.zeros((len(texts), EMBED_DIM), dtype="float32")
+    for i, t in enumerate(texts):
+        found, counts = V.term_vector_py(t)
+        np.add.at(out[i], [h % EMBED_DIM for h in found], counts)
+    return out
+
+
+@query(
+    "embed_text_model",
+    "J1 J2",
+    q(
+        f"""SELECT i.interaction_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_terms, count(n) AS n_filled, round(coalesce(sqrt(CAST(sum(n * n) AS DOUBLE)), 0.0), 4) AS norm
+FROM interactions_v i LEFT JOIN (
+  SELECT interaction_id, h % {EMBED_DIM} AS slot, sum(w) AS n FROM (SELECT interaction_id, unnest(hs) AS h, unnest(ws) AS w FROM vec) GROUP BY ALL) s
+ON i.interaction_id = s.interaction_id GROUP BY i.interaction_id""",
+        EMB_SQL,
+        VEC_SQL,
+    ),
+)
+def embed_text_model(spark, sf_dir):
+    """J1 through the model hook: Arrow batches of texts to dense vectors."""
+    e = R.embed_text(P.interactions_v(spark, sf_dir).select("interaction_id", "text"), "text", "vector", embed_fn=model_embed)
+    return e.select(
+        "interaction_id",
+        F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double")).cast("bigint").alias("n_terms"),
+        F.size(F.filter("vector", lambda x: x > 0)).cast("bigint").alias("n_filled"),
+        F.round(V.l2_norm(F.col("vector")), 4).alias("norm"),
+    )
+
+
 @query(
     "vector_table_stats",
     "J3 A4",
