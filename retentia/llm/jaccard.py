@@ -515,10 +515,13 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     found = rows.join(classes.select("f", "low_id", "low_k"), "f").groupBy("id", "k").agg(F.min(first).alias("first"), F.count("*").alias("m"))
     marks = stored(found.where("NOT first OR m > 1").select(F.col("id").alias("_id"), F.col("k").alias("_k"), "first"), "jaccard-marks")
     same = docs[key].cast("long").eqNullSafe(F.col("_id")) & (row == F.col("_k"))
-    out = docs.join(marks.hint("merge"), same, "left_anti")
+    # the marks of copies are few beside the rows; whole rows are shuffled only above that
+    small = marks.count() <= BROADCAST_ROWS
+    near = (lambda df: F.broadcast(df)) if small else (lambda df: df.hint("merge"))
+    out = docs.join(near(marks), same, "left_anti")
     twice = marks.where("first")  # kept rows that stand in the table more than once: equal in all columns
     if twice.limit(1).count():
-        out = out.unionAll(docs.join(twice.hint("merge"), same, "left_semi").distinct())
+        out = out.unionAll(docs.join(near(twice), same, "left_semi").distinct())
     return out
 
 
@@ -527,7 +530,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     r"""
     WITH RECURSIVE d AS (
       SELECT row_number() OVER () AS r, doc_id,
-             coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+'), []) AS w FROM documents),
+             coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+'), []) AS w FROM documents),
     g AS (SELECT r, doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
                  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM d),
     f AS (SELECT r, doc_id, len(s) AS n, s, CASE WHEN len(s) > 0 THEN md5(array_to_string(s, chr(10))) END AS c FROM g),
