@@ -29,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from retentia.llm.common import query, stored, table
+from retentia.llm.common import partitions, query, stored, table
 
-SHARD = 8_192
+SHARD = 32_768
+LEAST_SHARD = 2_048  # smaller tables are dealt to the partitions there are, down to this size
 BLOCK = 64
-QUERY_GROUP = 2_048
+QUERY_GROUP = 8_192
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -113,7 +114,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
     v, q = usable(vectors).groupBy("id", "x").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n")), usable(queries).where("id IS NOT NULL").distinct()
     v = stored(v.select("id", "x", F.explode(F.sequence(F.lit(1), "n")).alias("copy")).drop("copy"), "topk-rows")
     sizes = v.count(), q.count()
-    shards, groups = max(1, -(-sizes[0] // SHARD)), max(1, -(-sizes[1] // QUERY_GROUP))
+    # a task holds one shard, one group and their bounds (SHARD / BLOCK by QUERY_GROUP numbers); every
+    # vector travels once a group and every query once a shard, so both are as large as fits
+    shards = max(1, -(-sizes[0] // SHARD), min(partitions(spark), sizes[0] // LEAST_SHARD))
+    groups = max(1, -(-sizes[1] // QUERY_GROUP))
     slot = lambda n: F.pmod(F.xxhash64("id", "x"), F.lit(n)).cast("int")
     v = v.select("id", "x", F.size("x").alias("d"), slot(shards).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
     q = q.select("id", "x", F.size("x").alias("d"), slot(groups).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"))

@@ -61,6 +61,7 @@ def test_topk_odd_rows(spark):
 def test_topk_of_one_hot_id(spark, monkeypatch):
     """A third of the rows share an id: its vectors are spread over the shards, equal rows counted."""
     monkeypatch.setattr(topk, "SHARD", 40)
+    monkeypatch.setattr(topk, "QUERY_GROUP", 3)
     rng = np.random.default_rng(6)
     rows = [(7 if i % 3 == 0 else i, rng.integers(-3, 4, 6).astype(float).tolist()) for i in range(600)] + [(13, [3.0] * 6)] * 300
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
