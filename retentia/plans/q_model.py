@@ -60,10 +60,10 @@ def _training(split):
     return ML.with_class_weight(split.where(~F.col("is_test")), LABEL)
 
 
-def fitted(spark, sf_dir, params=ML.BASE_PARAMS) -> str:
+def fitted(spark, sf_dir, params=ML.BASE_PARAMS, store: ModelStore | None = None) -> str:
     """One weighted fit on all training rows, published with its split; the folder of the
     version in use.  Found again by every later session until data or parameters change."""
-    store, key = ModelStore(spark), _key(spark, sf_dir, **params)
+    store, key = store or ModelStore(spark), _key(spark, sf_dir, **params)
 
     def write(folder: str, name: str) -> None:
         split_customers(spark, sf_dir).write.parquet(f"{folder}/split")
@@ -235,9 +235,10 @@ def class_weights(spark, sf_dir):
 # Model training and scoring (rows-checked; model parity is not a goal)
 # ---------------------------------------------------------------------------
 @query("train_gbt", "I6 I4 I5")
-def train_gbt(spark, sf_dir):
-    """One weighted fit with the learner's default rounds and depth on all training rows."""
-    path = fitted(spark, sf_dir)
+def train_gbt(spark, sf_dir, store=None):
+    """One weighted fit with the learner's default rounds and depth on all training rows, published
+    in ``store`` (default: the shared registry, where a model of these data may be already)."""
+    path = fitted(spark, sf_dir, store=store)
     model, made = IO.load_registry(path, spark)
     g = model.stages[-1]
     test = spark.read.parquet(f"{path}/split").where("is_test")

@@ -50,7 +50,7 @@ class ModelStore:
         return self._path().getFileSystem(self.conf)
 
     def current(self, key: str) -> str | None:
-        """Folder of the version in use, or None."""
+        """Folder of the version in use, or None (also when a clean-up took the version away)."""
         pointer = self._path(key, "CURRENT")
         if not self._fs().exists(pointer):
             return None
@@ -59,7 +59,7 @@ class ModelStore:
             name = bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
         finally:
             stream.close()
-        return f"{self.root}/{key}/{name}"
+        return f"{self.root}/{key}/{name}" if self._fs().exists(self._path(key, name)) else None
 
     def versions(self, key: str) -> list[str]:
         """Names of all versions written, complete or not, oldest first."""

@@ -69,6 +69,8 @@ def test_model_store(spark, tmp_path):
     second = store.publish("k", put)
     assert store.current("k") == second and spark.read.parquet(second).first()["name"].startswith("v000003-")
     assert store.current("other") is None
+    shutil.rmtree(second.removeprefix("file:"))
+    assert store.current("k") is None  # a pointer to nothing is no model
 
 
 def test_changed_files_are_another_key(spark, tmp_path):
