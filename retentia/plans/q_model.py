@@ -274,7 +274,8 @@ def score_all(spark, sf_dir, model_path: str | None = None):
         F.lit(thr).alias("threshold_used"),
         F.lit(made["model_version"]).alias("model_version"),
     )
-    return dense_ids(scored, ["customer_id"], "prediction_id")
+    # scored once: the ids read the rows several times
+    return dense_ids(stored(scored, "scored"), ["customer_id"], "prediction_id")
 
 
 @query("score_customers", "I9 A10")
