@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +55,16 @@ def partitions(spark: SparkSession, at_least: int = 1) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(at_least), 1)
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: a Python worker lives on between tasks and stages, and
+    what its allocators keep counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def sub_batches(batch: pa.RecordBatch, text: str, most: int = 4 << 20):
     """The batch in slices of at most about ``most`` bytes of text (one row at least)."""
     col = batch.column(batch.schema.get_field_index(text))
@@ -65,3 +77,4 @@ def sub_batches(batch: pa.RecordBatch, text: str, most: int = 4 << 20):
         total += int(s)
     if start < len(sizes):
         yield batch.slice(start)
+    give_back()

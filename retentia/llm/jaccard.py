@@ -54,7 +54,7 @@ from retentia.llm.lm import planes, runs, unplanes
 from retentia.llm.substring import five, unfive
 from retentia.llm.words import mix, sequence_hashes, spread, word_hashes
 
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 SIGNATURES_PER_PARTITION = 4_000_000
 #: Signatures shared by more classes than this pair each class with the smallest only.
 PAIRS_UP_TO = 8

@@ -46,7 +46,7 @@ from retentia.llm.words import mix, sequence_hashes, spread, text_bytes, word_ha
 
 SPAN = 50
 SEED = 16
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 WINDOWS_PER_BLOCK = 3_000_000
 SAMPLE_CHARS = 1 << 25  # of documents in which anchors are counted
 BROADCAST_BYTES = 1 << 25  # factors above this are joined by a shuffle
