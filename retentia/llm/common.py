@@ -44,6 +44,26 @@ def fold(key: Column, n: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % F.lit(n)
 
 
+HOT_KEYS, HOT_ROWS = 1_000, 1_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``left`` joined (inner or left) to ``right``, which has one row a key, on ``key``.  The rows of
+    ``left`` under its most frequent keys (at most HOT_KEYS, of more than HOT_ROWS rows each) stay
+    where they are and meet a broadcast of those keys' rows, rows without a key meet nothing and
+    stay as well; the others are shuffled."""
+    known = left.where(F.col(key).isNotNull())
+    top = known.groupBy(key).count().orderBy(F.col("count").desc(), key).limit(HOT_KEYS).where(F.col("count") > HOT_ROWS)
+    hot = [r[0] for r in top.select(key).collect()]
+    if hot:
+        is_hot = F.col(key).isin(hot)
+        out = known.where(~is_hot).join(right.where(~is_hot), key, how)
+        out = out.unionByName(known.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how))
+    else:
+        out = known.join(right, key, how)
+    return out.unionByName(left.where(F.col(key).isNull()), allowMissingColumns=True) if how == "left" else out
+
+
 def order_key(df: DataFrame, key: str, last: int, name: str | None = None) -> Column:
     """The key column, which must hold whole numbers, as a long; nulls as ``last``."""
     if not isinstance(df.schema[key].dataType, T.IntegralType):

@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentia.llm.common import order_key, partitions, query, stored, sub_batches, table
+from retentia.llm.common import join_hot, order_key, partitions, query, stored, sub_batches, table
 from retentia.llm.lm import planes, runs, unplanes
 from retentia.llm.substring import five, unfive
 from retentia.llm.words import mix, sequence_hashes, spread, word_hashes
@@ -288,14 +288,14 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         up = stored(up, f"{name}-labels")
         for _ in range(2):
             jump = up.select(F.col("node").alias("up"), F.col("up").alias("far"))
-            up = up.join(jump, "up").select("node", F.col("far").alias("up"))
+            up = join_hot(up, jump, "up").select("node", F.col("far").alias("up"))
         up = stored(up, f"{name}-labels")
         if labels is None:
             labels = up.withColumnRenamed("up", "root")
         else:
             step = up.select(F.col("node").alias("root"), "up")
-            labels = stored(labels.join(step, "root", "left").select("node", F.coalesce("up", "root").alias("root")), f"{name}-labels")
-        ends = edges.join(up.select(F.col("node").alias("a"), F.col("up").alias("x")), "a").join(up.select(F.col("node").alias("b"), F.col("up").alias("y")), "b")
+            labels = stored(join_hot(labels, step, "root", "left").select("node", F.coalesce("up", "root").alias("root")), f"{name}-labels")
+        ends = join_hot(edges, up.select(F.col("node").alias("b"), F.col("up").alias("y")), "b").join(up.select(F.col("node").alias("a"), F.col("up").alias("x")), "a")
         edges = stored(ends.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct(), f"{name}-edges")
         if not edges.limit(1).count():
             return labels
@@ -368,15 +368,15 @@ def link_block(f: np.ndarray, sets: list[np.ndarray], label: np.ndarray, first_h
 
 def in_blocks(nodes: DataFrame, clusters: DataFrame, own: DataFrame) -> DataFrame:
     """(f, root, nb, i): the block of each of the classes ``nodes`` (f) in its cluster."""
-    x = nodes.join(clusters.withColumnRenamed("node", "f"), "f").join(own.select("f", "n"), "f")
+    x = stored(nodes.join(clusters.withColumnRenamed("node", "f"), "f").join(own.select("f", "n"), "f"), "jaccard-nodes")
     size = x.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
-    return stored(x.join(size, "root").select("f", "root", "nb", F.pmod(F.xxhash64("f"), F.col("nb")).cast("int").alias("i")), "jaccard-blocks")
+    return stored(join_hot(x, size, "root").select("f", "root", "nb", F.pmod(F.xxhash64("f"), F.col("nb")).cast("int").alias("i")), "jaccard-blocks")
 
 
 def verify_pairs(pairs: DataFrame, blocks: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     """The pairs (a, b) that link; sets travel to the block pairs that hold one of their pairs."""
     place = lambda c: blocks.select(F.col("f").alias(c), F.col("root").alias(f"root_{c}"), F.col("i").alias(f"i_{c}"))
-    p = pairs.join(place("a"), "a").join(place("b"), "b")
+    p = join_hot(pairs, place("b"), "b").join(place("a"), "a")  # b: the smallest class of a hot signature
     p = stored(p.select("a", "b", F.col("root_a").alias("root"), F.least("i_a", "i_b").alias("x"), F.greatest("i_a", "i_b").alias("y")), "jaccard-pairs")
     cell = ["root", "x", "y"]
     needed = p.select(F.col("a").alias("f"), *cell).unionAll(p.select(F.col("b").alias("f"), *cell)).distinct()
@@ -485,15 +485,15 @@ def find_components(docs: DataFrame, key: str, text: str, row: Column, n: int, n
     known = comp.withColumnRenamed("node", "f")
     labelled = stored(in_hot.join(known, "f", "left").select("s", "f", label), "jaccard-hot")
     apart = labelled.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("s")
-    open_ = stored(labelled.join(apart, "s", "left_semi").select("f", "label").distinct(), "jaccard-open")
+    open_ = stored(join_hot(labelled, apart, "s").select("f", "label").distinct(), "jaccard-open")
     if open_.limit(1).count():
         more = verify_blocks(in_blocks(open_.select("f"), clusters, own), open_, sets, bands)
         comp = components(links.unionAll(stored(more, "jaccard-links")), "jaccard-comp")
     # every class: its first row, and its component's
-    classes = own.join(comp.withColumnRenamed("node", "f"), "f", "left")
+    classes = stored(own.join(comp.withColumnRenamed("node", "f"), "f", "left"), "jaccard-classes")
     classes = classes.join(degree, "f", "left") if count else classes.withColumn("links", F.lit(None).cast("long"))
     low = classes.where("root IS NOT NULL").groupBy("root").agg(F.min("own").alias("low"))
-    classes = classes.join(low, "root", "left").withColumn("low", F.coalesce("low", "own"))
+    classes = join_hot(classes, low, "root", "left").withColumn("low", F.coalesce("low", "own"))
     return rows, classes.select("f", "own.id", "own.k", F.col("low.id").alias("low_id"), F.col("low.k").alias("low_k"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
@@ -501,7 +501,7 @@ def join_components(docs: DataFrame, key: str, text: str, n: int, num: int, den:
     """Per row: key, n_shingles, component_id, class_id (smallest key with the same set), links
     (the other classes its class links with; without ``count`` null)."""
     rows, classes = find_components(docs, key, text, F.xxhash64(F.col(key).cast("long"), F.col(text)), n, num, den, count)
-    out = rows.join(classes.select("f", F.col("id").alias("class_id"), F.col("low_id").alias("component_id"), "links"), "f", "left")
+    out = join_hot(rows, classes.select("f", F.col("id").alias("class_id"), F.col("low_id").alias("component_id"), "links"), "f", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("class_id", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) if count else F.lit(None).cast("long")).alias("links"))
 
 
@@ -512,7 +512,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     row = F.xxhash64(*[docs[c] for c in docs.columns])
     rows, classes = find_components(docs, key, text, row, n, num, den, count=False)
     first = F.col("id").eqNullSafe(F.col("low_id")) & (F.col("k") == F.col("low_k"))
-    found = rows.join(classes.select("f", "low_id", "low_k"), "f").groupBy("id", "k").agg(F.min(first).alias("first"), F.count("*").alias("m"))
+    found = join_hot(rows, classes.select("f", "low_id", "low_k"), "f").groupBy("id", "k").agg(F.min(first).alias("first"), F.count("*").alias("m"))
     marks = stored(found.where("NOT first OR m > 1").select(F.col("id").alias("_id"), F.col("k").alias("_k"), "first"), "jaccard-marks")
     same = docs[key].cast("long").eqNullSafe(F.col("_id")) & (row == F.col("_k"))
     # the marks of copies are few beside the rows; whole rows are shuffled only above that
