@@ -54,6 +54,10 @@ PARAM_DISTRIBUTIONS = {
 BASE_PARAMS = {"maxIter": 100, "maxDepth": 6, "stepSize": 0.3}
 SEARCH_DRAWS = 15
 ROWS_PER_FILE = 250_000
+# rows of a training task: fewer cost more to schedule at every tree level than to count, more
+# make one kept block too large
+ROWS_PER_TASK = 20_000
+MAX_ROWS_PER_TASK = 500_000
 SEARCH_FOLDS = 3
 SEED = 42
 # XGBoost parameters GBTClassifier has no counterpart for (reported, not applied)
@@ -171,6 +175,20 @@ def encoded(train: DataFrame, label: str = S.LABEL_COLUMN, keep: Sequence[str] =
     return encoder, stored(table.repartition(files), "encoded-train")
 
 
+def training_parts(rows: int, cores: int) -> int:
+    """Partitions of a table that one fit reads hundreds of times: every core has a share, none
+    under ROWS_PER_TASK rows; above MAX_ROWS_PER_TASK rows a share, whole rounds of the cores."""
+    rounds = max(1, math.ceil(rows / (cores * MAX_ROWS_PER_TASK)))
+    return max(1, min(rounds * cores, rows // ROWS_PER_TASK))
+
+
+def training_table(table: DataFrame, key: str = "customer_id") -> DataFrame:
+    """An encoded table kept for its fits, in even shares over the cores (a scan deals whole files,
+    few for few rows) and in the order of its key, so that a fit does not hang on arrival."""
+    parts = training_parts(table.count(), table.sparkSession.sparkContext.defaultParallelism)
+    return persist(table.repartition(parts, key).sortWithinPartitions(key))
+
+
 def in_slots(spark: SparkSession, jobs: Sequence[Callable], slots: int) -> list:
     """Results of the jobs in their order, ``slots`` at a time: a fit of a small table leaves most
     cores idle between its stages, so several share the cluster."""

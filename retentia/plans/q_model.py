@@ -69,7 +69,7 @@ def fitted(spark, sf_dir, params=ML.BASE_PARAMS, store: ModelStore | None = None
         split_customers(spark, sf_dir).write.parquet(f"{folder}/split")
         train, ratio = _training(spark.read.parquet(f"{folder}/split"))
         encoder, table = ML.encoded(train, LABEL, ["customer_id", "fold"])
-        table = ML.persist(table)
+        table = ML.training_table(table)
         model = PipelineModel([*encoder.stages, ML.gbt(LABEL, **params).fit(table)])
         table.unpersist()
         table.write.parquet(f"{folder}/train")
@@ -242,7 +242,9 @@ def train_gbt(spark, sf_dir, store=None):
     model, made = IO.load_registry(path, spark)
     g = model.stages[-1]
     test = spark.read.parquet(f"{path}/split").where("is_test")
-    auc = ML.evaluation_rows(ML.positive_proba(model.transform(test)), S.DEFAULT_THRESHOLD, LABEL)["roc_auc"]
+    # scored once: the curve reads the rows several times
+    scored = stored(ML.positive_proba(model.transform(test)).select(LABEL, "y_proba"), "test-scores")
+    auc = ML.evaluation_rows(scored, S.DEFAULT_THRESHOLD, LABEL)["roc_auc"]
     row = (int(g.getNumTrees), int(g.totalNumNodes), int(g.numFeatures), float(auc or 0.0), made.first()["model_version"])
     return spark.createDataFrame([row], "n_trees int, total_nodes int, n_features int, test_roc_auc double, model_version string")
 

@@ -115,3 +115,36 @@ def test_search_is_whole_and_left_out_of_the_queries():
 
 def test_slots_keep_the_order(spark):
     assert ML.in_slots(spark, [lambda i=i: spark.range(i).count() for i in range(9)], 3) == list(range(9))
+
+
+class _SmallFit:
+    """The learner with two small trees; ``before(table)`` is called as each fit starts."""
+
+    params = {"maxIter": 2, "maxDepth": 2, "stepSize": 0.3}
+
+    def __init__(self, monkeypatch, before):
+        real = ML.gbt
+
+        class Learner:
+            def __init__(self, *a, **k):
+                self.learner = real(*a, **k)
+
+            def fit(self, table):
+                before(table)
+                return self.learner.fit(table)
+
+        monkeypatch.setattr(ML, "gbt", Learner)
+
+
+def test_fit_uses_every_core_in_even_shares(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ML, "ROWS_PER_TASK", 10, raising=False)
+    seen = []
+    small = _SmallFit(monkeypatch, lambda t: seen.append([r[1] for r in t.groupBy(F.spark_partition_id()).count().collect()]))
+    path = QM.fitted(spark, SF001, small.params, ModelStore(spark, f"file:{tmp_path}/models"))
+    n = spark.read.parquet(f"{path}/split").where("not is_test").count()
+    assert sum(seen[0]) == n == spark.read.parquet(f"{path}/train").count()
+    assert len(seen[0]) == min(spark.sparkContext.defaultParallelism, n // 10) > 1 and max(seen[0]) < 3 * n / len(seen[0])
+
+
+def test_training_parts():
+    assert [ML.training_parts(n, 12) for n in (0, 1, 19_999, 60_000, 240_000, 6_000_000, 6_000_001, 60_000_000)] == [1, 1, 1, 3, 12, 12, 24, 120]
