@@ -60,22 +60,44 @@ def _training(split):
     return ML.with_class_weight(split.where(~F.col("is_test")), LABEL)
 
 
-def fitted(spark, sf_dir, params=ML.BASE_PARAMS, store: ModelStore | None = None) -> str:
-    """One weighted fit on all training rows, published with its split; the folder of the
-    version in use.  Found again by every later session until data or parameters change."""
+def _fits(spark, sf_dir, params, store: ModelStore | None, without_folds: bool) -> tuple[str, list]:
+    """The folder of the fit in use (``fitted``) and, ``without_folds``, the models fitted without
+    each fold.  All fits that are missing run beside each other on one kept table: each is some
+    hundred short stages after one another, and the others fill the cores between them."""
     store, key = store or ModelStore(spark), _key(spark, sf_dir, **params)
+    path, models = store.current(key), []
+
+    def run(table, whole: bool) -> list:
+        parts = [table] if whole else []
+        if without_folds:
+            parts += [table.where(F.col("fold") != i) for i in range(ML.SEARCH_FOLDS)]
+        return ML.in_slots(spark, [lambda t=t: ML.gbt(LABEL, **params).fit(t) for t in parts], len(parts))
 
     def write(folder: str, name: str) -> None:
         split_customers(spark, sf_dir).write.parquet(f"{folder}/split")
         train, ratio = _training(spark.read.parquet(f"{folder}/split"))
         encoder, table = ML.encoded(train, LABEL, ["customer_id", "fold"])
         table = ML.training_table(table)
-        model = PipelineModel([*encoder.stages, ML.gbt(LABEL, **params).fit(table)])
-        table.unpersist()
+        model, *rest = run(table, whole=True)
+        models.extend(rest)
         table.write.parquet(f"{folder}/train")
+        table.unpersist()
+        model = PipelineModel([*encoder.stages, model])
         IO.save_registry(model, {"model_version": f"gbt-{key[:8]}-{name[:7]}", "scale_pos_weight": ratio}, folder, spark)
 
-    return store.current(key) or store.publish(key, write)
+    if path is None:
+        return store.publish(key, write), models
+    if without_folds:
+        table = ML.training_table(spark.read.parquet(f"{path}/train"))
+        models = run(table, whole=False)
+        table.unpersist()
+    return path, models
+
+
+def fitted(spark, sf_dir, params=ML.BASE_PARAMS, store: ModelStore | None = None) -> str:
+    """One weighted fit on all training rows, published with its split; the folder of the
+    version in use.  Found again by every later session until data or parameters change."""
+    return _fits(spark, sf_dir, params, store, without_folds=False)[0]
 
 
 def released(spark, sf_dir, tune_on: str = "out_of_fold", params=ML.BASE_PARAMS) -> str:
@@ -87,16 +109,12 @@ def released(spark, sf_dir, tune_on: str = "out_of_fold", params=ML.BASE_PARAMS)
     store, key = ModelStore(spark), _key(spark, sf_dir, tune_on=tune_on, target=S.TARGET_PRECISION, **params)
 
     def write(folder: str, name: str) -> None:
-        source = fitted(spark, sf_dir, params)
+        source, models = _fits(spark, sf_dir, params, store, without_folds=tune_on == "out_of_fold")
         model, made = IO.load_registry(source, spark)
         made = made.first()
         test = stored(ML.positive_proba(model.transform(spark.read.parquet(f"{source}/split").where("is_test"))).select(LABEL, "y_proba"), "test-scores")
         if tune_on == "out_of_fold":
-            table = ML.persist(spark.read.parquet(f"{source}/train"))
-            fits = [lambda i=i: ML.gbt(LABEL, **params).fit(table.where(F.col("fold") != i)) for i in range(ML.SEARCH_FOLDS)]
-            models = ML.in_slots(spark, fits, ML.free_slots(table))
-            tune_rows = stored(ML.out_of_fold_scores(table, models).select(LABEL, "y_proba"), "out-of-fold-scores")
-            table.unpersist()
+            tune_rows = stored(ML.out_of_fold_scores(spark.read.parquet(f"{source}/train"), models).select(LABEL, "y_proba"), "out-of-fold-scores")
         else:
             tune_rows = test
         tuned = ML.tune_threshold(tune_rows, S.TARGET_PRECISION, LABEL)

@@ -2,6 +2,7 @@
 stored model and split; the registry across sessions and data; the search's resumption."""
 
 import shutil
+import threading
 
 import numpy as np
 import pyarrow.compute as pc
@@ -148,3 +149,11 @@ def test_fit_uses_every_core_in_even_shares(spark, tmp_path, monkeypatch):
 
 def test_training_parts():
     assert [ML.training_parts(n, 12) for n in (0, 1, 19_999, 60_000, 240_000, 6_000_000, 6_000_001, 60_000_000)] == [1, 1, 1, 3, 12, 12, 24, 120]
+
+
+def test_all_fits_run_beside_each_other(spark, tmp_path, monkeypatch):
+    meet = threading.Barrier(1 + ML.SEARCH_FOLDS, timeout=120)
+    small = _SmallFit(monkeypatch, lambda t: meet.wait())
+    monkeypatch.setattr(QM, "ModelStore", lambda spark, root=f"file:{tmp_path}/models": ModelStore(spark, root))
+    path = QM.released(spark, SF001, params=small.params)
+    assert spark.read.parquet(f"{path}/report").count() == 2
