@@ -157,3 +157,16 @@ def test_all_fits_run_beside_each_other(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(QM, "ModelStore", lambda spark, root=f"file:{tmp_path}/models": ModelStore(spark, root))
     path = QM.released(spark, SF001, params=small.params)
     assert spark.read.parquet(f"{path}/report").count() == 2
+
+
+def test_fold_models_do_not_depend_on_what_ran_beside_them(spark, tmp_path, monkeypatch):
+    rows = []
+    small = _SmallFit(monkeypatch, lambda t: rows.append(t.count()))
+    store = ModelStore(spark, f"file:{tmp_path}/models")
+    path, models = QM._fits(spark, SF001, small.params, store, without_folds=True)  # four fits
+    again, later = QM._fits(spark, SF001, small.params, store, without_folds=True)  # the whole one is published
+    assert path == again and [m.toDebugString.split("\n", 1)[1] for m in models] == [m.toDebugString.split("\n", 1)[1] for m in later]
+    split = spark.read.parquet(f"{path}/split").where("not is_test")
+    n = split.count()
+    left = [n - split.where(f"fold = {i}").count() for i in range(ML.SEARCH_FOLDS)]
+    assert sorted(rows) == sorted([n, *left, *left])
