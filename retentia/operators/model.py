@@ -182,10 +182,13 @@ def training_parts(rows: int, cores: int) -> int:
     return max(1, min(rounds * cores, rows // ROWS_PER_TASK))
 
 
-def training_table(table: DataFrame, key: str = "customer_id") -> DataFrame:
-    """An encoded table kept for its fits, in even shares over the cores (a scan deals whole files,
-    few for few rows) and in the order of its key, so that a fit does not hang on arrival."""
-    parts = training_parts(table.count(), table.sparkSession.sparkContext.defaultParallelism)
+def training_table(table: DataFrame, key: str = "customer_id", beside: int = 1) -> DataFrame:
+    """An encoded table kept for its fit, in even shares over the cores (a scan deals whole files,
+    few for few rows) and in the order of its key, so that a fit does not hang on arrival.  Of
+    ``beside`` fits at a time each takes its part of the cores: the stages of all of them fill the
+    cluster, and a tree level is fewer, longer tasks."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    parts = training_parts(table.count(), max(1, cores // beside))
     return persist(table.repartition(parts, key).sortWithinPartitions(key))
 
 

@@ -62,35 +62,40 @@ def _training(split):
 
 def _fits(spark, sf_dir, params, store: ModelStore | None, without_folds: bool) -> tuple[str, list]:
     """The folder of the fit in use (``fitted``) and, ``without_folds``, the models fitted without
-    each fold.  All fits that are missing run beside each other on one kept table: each is some
-    hundred short stages after one another, and the others fill the cores between them."""
+    each fold.  All fits that are missing run beside each other, each on a table of its own: a fit
+    is some hundred short stages after one another, and the others fill the cores between them.
+    The whole table is dealt over all cores and those without a fold over their part of them,
+    whatever runs, so a model does not depend on which query asked first."""
     store, key = store or ModelStore(spark), _key(spark, sf_dir, **params)
     path, models = store.current(key), []
 
+    def fit(rows, beside: int):
+        table = ML.training_table(rows, beside=beside)
+        try:
+            return ML.gbt(LABEL, **params).fit(table)
+        finally:
+            table.unpersist()
+
     def run(table, whole: bool) -> list:
-        parts = [table] if whole else []
+        jobs = [lambda: fit(table, 1)] if whole else []
         if without_folds:
-            parts += [table.where(F.col("fold") != i) for i in range(ML.SEARCH_FOLDS)]
-        return ML.in_slots(spark, [lambda t=t: ML.gbt(LABEL, **params).fit(t) for t in parts], len(parts))
+            jobs += [lambda i=i: fit(table.where(F.col("fold") != i), ML.SEARCH_FOLDS) for i in range(ML.SEARCH_FOLDS)]
+        return ML.in_slots(spark, jobs, len(jobs))
 
     def write(folder: str, name: str) -> None:
         split_customers(spark, sf_dir).write.parquet(f"{folder}/split")
         train, ratio = _training(spark.read.parquet(f"{folder}/split"))
         encoder, table = ML.encoded(train, LABEL, ["customer_id", "fold"])
-        table = ML.training_table(table)
         model, *rest = run(table, whole=True)
         models.extend(rest)
         table.write.parquet(f"{folder}/train")
-        table.unpersist()
         model = PipelineModel([*encoder.stages, model])
         IO.save_registry(model, {"model_version": f"gbt-{key[:8]}-{name[:7]}", "scale_pos_weight": ratio}, folder, spark)
 
     if path is None:
         return store.publish(key, write), models
     if without_folds:
-        table = ML.training_table(spark.read.parquet(f"{path}/train"))
-        models = run(table, whole=False)
-        table.unpersist()
+        models = run(spark.read.parquet(f"{path}/train"), whole=False)
     return path, models
 
 

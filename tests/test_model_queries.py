@@ -170,3 +170,22 @@ def test_fold_models_do_not_depend_on_what_ran_beside_them(spark, tmp_path, monk
     n = split.count()
     left = [n - split.where(f"fold = {i}").count() for i in range(ML.SEARCH_FOLDS)]
     assert sorted(rows) == sorted([n, *left, *left])
+
+
+def test_fits_beside_each_other_share_the_cores(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ML, "ROWS_PER_TASK", 10)
+    seen = []
+    small = _SmallFit(monkeypatch, lambda t: seen.append((t.count(), t.rdd.getNumPartitions())))
+    store = ModelStore(spark, f"file:{tmp_path}/models")
+    path, models = QM._fits(spark, SF001, small.params, store, without_folds=True)
+    split = spark.read.parquet(f"{path}/split").where("not is_test")
+    n, cores = split.count(), spark.sparkContext.defaultParallelism
+    left = [n - split.where(f"fold = {i}").count() for i in range(ML.SEARCH_FOLDS)]
+    # every row in its fits; the whole fit on all cores, the others on their part of them
+    assert sorted(seen) == sorted([(n, min(cores, n // 10)), *[(k, max(1, min(cores // ML.SEARCH_FOLDS, k // 10))) for k in left]])
+    later = QM._fits(spark, SF001, small.params, store, without_folds=True)[1]
+    assert [m.toDebugString.split("\n", 1)[1] for m in models] == [m.toDebugString.split("\n", 1)[1] for m in later]
+    # the whole model is that of the query that fits it alone
+    alone = QM.fitted(spark, SF001, small.params, ModelStore(spark, f"file:{tmp_path}/alone"))
+    trees = [IO.load_registry(p, spark)[0].stages[-1].toDebugString.split("\n", 1)[1] for p in (path, alone)]
+    assert trees[0] == trees[1]
