@@ -117,13 +117,21 @@ def released(spark, sf_dir, tune_on: str = "out_of_fold", params=ML.BASE_PARAMS)
         source, models = _fits(spark, sf_dir, params, store, without_folds=tune_on == "out_of_fold")
         model, made = IO.load_registry(source, spark)
         made = made.first()
-        test = stored(ML.positive_proba(model.transform(spark.read.parquet(f"{source}/split").where("is_test"))).select(LABEL, "y_proba"), "test-scores")
+
+        def on_test():
+            test = stored(ML.positive_proba(model.transform(spark.read.parquet(f"{source}/split").where("is_test"))).select(LABEL, "y_proba"), "test-scores")
+            return test, ML.auc_of(test)  # the curve has no threshold: once for both rows of the report
+
+        def on_training():
+            rows = ML.out_of_fold_scores(spark.read.parquet(f"{source}/train"), models).select(LABEL, "y_proba")
+            return ML.tune_threshold(stored(rows, "out-of-fold-scores"), S.TARGET_PRECISION, LABEL)
+
         if tune_on == "out_of_fold":
-            tune_rows = stored(ML.out_of_fold_scores(spark.read.parquet(f"{source}/train"), models).select(LABEL, "y_proba"), "out-of-fold-scores")
+            (test, auc), tuned = ML.in_slots(spark, [on_test, on_training], 2)
         else:
-            tune_rows = test
-        tuned = ML.tune_threshold(tune_rows, S.TARGET_PRECISION, LABEL)
-        report = [("default", ML.evaluation_rows(test, S.DEFAULT_THRESHOLD, LABEL)), ("tuned", ML.evaluation_rows(test, float(tuned["threshold"]), LABEL))]
+            test, auc = on_test()
+            tuned = ML.tune_threshold(test, S.TARGET_PRECISION, LABEL)
+        report = [(kind, {**ML.threshold_metrics(test, t, LABEL), "roc_auc": auc}) for kind, t in (("default", S.DEFAULT_THRESHOLD), ("tuned", float(tuned["threshold"])))]
         rows = [(kind, float(m["threshold"]), float(m["precision"]), float(m["recall"]), float(m["f1"]), m["roc_auc"], int(m["tn"]), int(m["fp"]), int(m["fn"]), int(m["tp"]), tune_on) for kind, m in report]
         spark.createDataFrame(rows, REPORT).coalesce(1).write.parquet(f"{folder}/report")
         at_tuned = report[1][1]

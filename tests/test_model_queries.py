@@ -189,3 +189,17 @@ def test_fits_beside_each_other_share_the_cores(spark, tmp_path, monkeypatch):
     alone = QM.fitted(spark, SF001, small.params, ModelStore(spark, f"file:{tmp_path}/alone"))
     trees = [IO.load_registry(p, spark)[0].stages[-1].toDebugString.split("\n", 1)[1] for p in (path, alone)]
     assert trees[0] == trees[1]
+
+
+def test_report_draws_each_curve_once(spark, tmp_path, monkeypatch):
+    drawn, real = [], ML.M.pr_curve
+    monkeypatch.setattr(ML.M, "pr_curve", lambda df, *a, **k: (drawn.append(df.count()), real(df, *a, **k))[1])
+    small = _SmallFit(monkeypatch, lambda t: None)
+    monkeypatch.setattr(QM, "ModelStore", lambda spark, root=f"file:{tmp_path}/models": ModelStore(spark, root))
+    path = QM.released(spark, SF001, params=small.params)
+    split = spark.read.parquet(f"{QM.fitted(spark, SF001, small.params)}/split")
+    assert sorted(drawn) == sorted([split.where("is_test").count(), split.where("not is_test").count()])  # every row, once
+    test = ML.positive_proba(IO.load_registry(path, spark)[0].transform(split.where("is_test")))
+    for m in spark.read.parquet(f"{path}/report").collect():
+        brute = ML.evaluation_rows(test, m["threshold"])
+        assert {k: m[k] for k in brute} == brute
