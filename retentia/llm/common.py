@@ -31,12 +31,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Spark's setting by which a query's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """``df`` written to a new folder of the shared work folder and read back: later steps
-    start from stored rows, so a lost executor costs a re-read and no recomputation."""
-    path = work_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    start from stored rows, so a lost executor costs a re-read and no recomputation.
+    ``release``: the shuffle files behind it go once it is written, not when the driver happens
+    to collect its garbage."""
+    spark = df.sparkSession
+    path, before = work_dir(spark, name), spark.conf.get(CLEANUP, None)
+    if release:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if release and before is None:
+            spark.conf.unset(CLEANUP)
+        elif release:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fold(key: Column, n: int) -> Column:

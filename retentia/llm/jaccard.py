@@ -18,17 +18,20 @@ signatures, not of the sets: on the rest of the domain linked sets differ in no
 elements either, so any such list loses nothing.  It is drawn from a bounded sample.  Sets with
 too little else sign a second time with all their elements, to meet each other.
 
-Steps: (1) sets are reduced to fingerprints; documents with one fingerprint are one class.
-(2) Every chunk sends its classes' signatures once, in compact blocks, to partitions by
-signature.  Classes that share one are candidate pairs: all pairs of a signature with at most
-PAIRS_UP_TO classes, and of a more frequent ("hot") one each class with the smallest.
-(3) Candidate pairs are verified, exactly: the sets of classes in pairs are made again from one
-row each, dealt into blocks bounded in sets and in shingles, and only to block pairs that
-hold a candidate.  Their links give components.  (4) A hot signature whose classes ended in one
-component is done, which m near copies reach with m - 1 pairs a signature.  Of the others, the classes of
-different components are compared blockwise, pairs that are connected by then are passed over.
-(5) Components of all links.  With ``count`` all pairs of every signature are candidates and the
-links of each class are counted; that is as much work as there are links.
+Steps: (1) sets are reduced to fingerprints and parity sketches; documents with one fingerprint are
+one class.  (2) Every chunk sends its classes' signatures once, in compact blocks, to partitions by
+band and signature: a class signs for two bands and so names itself in the partitions of two,
+however many partitions there are.  Classes that share a signature are candidate pairs: all pairs of
+a signature with at most PAIRS_UP_TO classes, and of a more frequent ("hot") one each class with the
+smallest.  (3) Sizes and sketches, a few bits a shingle, strike out candidate pairs that cannot
+link; most share one signature by chance.  (4) The others are verified, exactly: the sets of their
+classes are made again from one row each, dealt into blocks bounded in sets and in shingles, and only
+to block pairs that hold a candidate.  Sets are shuffled as they are made and not stored, and the
+shuffle files of a large step go when its result is written.  Their links give components.  (5) A hot signature whose classes ended in one component is done, which m near
+copies reach with m - 1 pairs a signature.  Of the others, the classes of different components are
+compared in larger blocks, pairs that are connected by then are passed over.  (6) Components of all
+links.  With ``count`` all pairs of every signature are candidates and the links of each class are
+counted; that is as much work as there are links.
 
 Rows of equal sets never meet: a class is represented by one row, found by its hash, and while
 those rows are few (counted) they are broadcast and no text is shuffled.
@@ -60,12 +63,15 @@ SIGNATURES_PER_PARTITION = 4_000_000
 PAIRS_UP_TO = 8
 #: Sets compared against each other in one task: two blocks of about so many sets and shingles.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 2_000_000
+#: Sets of a block where all blocks of a cluster meet, and each set travels once a block.
+OPEN_SETS = 2_048
 #: Rows that stand for classes in pairs: above this they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Shared shingles are looked for in about so many documents; at most so many are listed.
 HOT_SAMPLE, HOT_LIST = 20_000, 1 << 18
 HOT_FROM = 4
 SKETCH_WORDS = 16  # 1,024 parity bits
+LEAST_BITS, MOST_BITS = 64, 1 << 20  # of a set's own sketch
 TIES = "a long, b long, s long"
 
 
@@ -118,6 +124,33 @@ def fingerprint(s: np.ndarray) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def sketches(sets: list[np.ndarray]) -> list[bytes]:
+    """A parity sketch of each set: every element flips one of as many bits as the set has elements or
+    more, a power of two.  A longer sketch folds onto a shorter one (``apart_by``)."""
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    bits = np.left_shift(1, np.ceil(np.log2(np.clip(size, LEAST_BITS, MOST_BITS))).astype(np.int64))
+    bits[size == 0] = 0
+    end = np.cumsum(bits)
+    first, mask = np.repeat(end - bits, size), np.repeat((bits - 1).astype(np.uint64), size)
+    at = first + (mix(np.concatenate([*sets, np.zeros(0, np.uint64)])) & mask).astype(np.int64)
+    odd = np.bincount(at, minlength=int(bits.sum())).astype(np.uint8) & 1
+    raw = np.packbits(odd, bitorder="little").tobytes()
+    return [raw[(e - b) // 8 : e // 8] for e, b in zip(end.tolist(), bits.tolist(), strict=True)]
+
+
+def apart_by(a: bytes, b: bytes) -> int:
+    """A lower bound of the number of elements that only one of two sets has, by their sketches."""
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    n, m = 8 * len(a), 8 * len(b)
+    while n > m:
+        n //= 2
+        x = (x >> n) ^ (x & ((1 << n) - 1))
+    while m > n:
+        m //= 2
+        y = (y >> m) ^ (y & ((1 << m) - 1))
+    return (x ^ y).bit_count()
+
+
 class Shared:
     """The listed shingles: a bitmap before an exact search."""
 
@@ -366,20 +399,35 @@ def link_block(f: np.ndarray, sets: list[np.ndarray], label: np.ndarray, first_h
     return links
 
 
-def in_blocks(nodes: DataFrame, clusters: DataFrame, own: DataFrame) -> DataFrame:
+def in_blocks(nodes: DataFrame, clusters: DataFrame, own: DataFrame, most_sets: int) -> DataFrame:
     """(f, root, nb, i): the block of each of the classes ``nodes`` (f) in its cluster."""
     x = stored(nodes.join(clusters.withColumnRenamed("node", "f"), "f").join(own.select("f", "n"), "f"), "jaccard-nodes")
-    size = x.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
+    size = x.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / most_sets), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
     return stored(join_hot(x, size, "root").select("f", "root", "nb", F.pmod(F.xxhash64("f"), F.col("nb")).cast("int").alias("i")), "jaccard-blocks")
 
 
-def verify_pairs(pairs: DataFrame, blocks: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """The pairs (a, b) that link; sets travel to the block pairs that hold one of their pairs."""
+def could_link(pairs: DataFrame, own: DataFrame, bands: Bands) -> DataFrame:
+    """The pairs (a, b) of classes that can link for all that sizes and sketches tell."""
+    side = lambda c: own.select(F.col("f").alias(c), F.col("n").alias(f"n_{c}"), F.col("sk").alias(f"sk_{c}"))
+    both = join_hot(pairs.select("a", "b"), side("b"), "b").join(side("a"), "a")  # b: the smallest class of a hot signature
+    near = both.where(F.least("n_a", "n_b") * bands.den >= F.greatest("n_a", "n_b") * bands.num)
+
+    def run(batches):
+        for batch in batches:
+            x, y, u, v = (batch.column(batch.schema.get_field_index(c)) for c in ("n_a", "n_b", "sk_a", "sk_b"))
+            # |A & B| >= t/(1+t) (a+b), so the difference is at most (1-t)/(1+t) (a+b)
+            most = (x.to_numpy() + y.to_numpy()) * (bands.den - bands.num) // (bands.den + bands.num)
+            go = pa.array([apart_by(p, q) <= k for p, q, k in zip(u.to_pylist(), v.to_pylist(), most.tolist(), strict=True)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(go)
+
+    return near.select("a", "b", "n_a", "n_b", "sk_a", "sk_b").mapInArrow(run, "a long, b long")
+
+
+def verify_pairs(pairs: DataFrame, blocks: DataFrame, deal, bands: Bands) -> DataFrame:
+    """The pairs (a, b) that link; sets travel (``deal``) to the block pairs that hold one of their pairs."""
     place = lambda c: blocks.select(F.col("f").alias(c), F.col("root").alias(f"root_{c}"), F.col("i").alias(f"i_{c}"))
-    p = join_hot(pairs, place("b"), "b").join(place("a"), "a")  # b: the smallest class of a hot signature
-    p = stored(p.select("a", "b", F.col("root_a").alias("root"), F.least("i_a", "i_b").alias("x"), F.greatest("i_a", "i_b").alias("y")), "jaccard-pairs")
-    cell = ["root", "x", "y"]
-    needed = p.select(F.col("a").alias("f"), *cell).unionAll(p.select(F.col("b").alias("f"), *cell)).distinct()
+    p = join_hot(pairs, place("b"), "b").join(place("a"), "a")
+    p = stored(p.select("a", "b", F.xxhash64("root_a", F.least("i_a", "i_b"), F.greatest("i_a", "i_b")).alias("c")), "jaccard-pairs")
 
     def run(_, left: pa.Table, right: pa.Table) -> pa.Table:
         if not right.num_rows:
@@ -389,24 +437,47 @@ def verify_pairs(pairs: DataFrame, blocks: DataFrame, sets: DataFrame, bands: Ba
         go = link_pairs(f, got, right["a"].to_numpy(), right["b"].to_numpy(), bands)
         return right.select(["a", "b"]).filter(pa.array(go))
 
-    there = needed.join(sets, "f").toDF("f", *cell, "s")  # columns of its own, apart from those of p
-    return there.groupBy(*cell).cogroup(p.groupBy(*cell)).applyInArrow(run, "a long, b long")
+    there = deal(p.select(F.col("a").alias("f"), "c").unionAll(p.select(F.col("b").alias("f"), "c")).distinct())
+    return there.groupBy("c").cogroup(p.groupBy("c")).applyInArrow(run, "a long, b long")
 
 
-def verify_blocks(blocks: DataFrame, labels: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
+def verify_blocks(blocks: DataFrame, labels: DataFrame, deal, bands: Bands) -> DataFrame:
     """Links (a, b) that connect classes of different labels in one cluster, all blocks against all."""
     pair = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least("i", j).alias("x"), F.greatest("i", j).alias("y")))
-    spread_out = blocks.join(labels, "f").withColumn("pair", F.explode(pair)).select("f", "root", "i", "label", "pair.x", "pair.y")
-
-    def run(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        f, at = np.unique(t["f"].to_numpy(), return_index=True)
-        got = [np.frombuffer(t["s"][int(k)].as_py(), np.uint64) for k in at]
-        x, y = t["x"][0].as_py(), t["y"][0].as_py()
-        links = link_block(f, got, t["label"].to_numpy()[at], t["i"].to_numpy()[at] == x, x == y, bands)
+    cells = blocks.join(labels, "f").withColumn("pair", F.explode(pair))
+    cells = cells.select("f", "label", F.xxhash64("root", "pair.x", "pair.y").alias("c"), (F.col("i") == F.col("pair.x")).alias("first"), F.expr("pair.x = pair.y").alias("within"))
+    cells = stored(cells, "jaccard-cells")
+
+    def run(_, left: pa.Table, right: pa.Table) -> pa.Table:
+        f, at = np.unique(left["f"].to_numpy(), return_index=True)  # rows of one class, once
+        got = [np.frombuffer(left["s"][int(k)].as_py(), np.uint64) for k in at]
+        there, by = np.unique(right["f"].to_numpy(), return_index=True)
+        by = by[np.searchsorted(there, f)]
+        label, first, within = (right[c].to_numpy()[by] for c in ("label", "first", "within"))
+        links = link_block(f, got, label, first, bool(within.any()), bands)
         return pa.table({"a": pa.array([p[0] for p in links], pa.int64()), "b": pa.array([p[1] for p in links], pa.int64())})
 
-    return spread_out.join(sets, "f").groupBy("root", "x", "y").applyInArrow(run, "a long, b long")
+    return deal(cells.select("f", "c")).groupBy("c").cogroup(cells.groupBy("c")).applyInArrow(run, "a long, b long")
+
+
+def deal_bands(rows: DataFrame, bands: Bands, top: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first partition, partitions) of each band's signatures: about ``parts`` in all, dealt by the
+    number of signatures of the sets (n, at most ``top``) that sign for a band, its own and those of
+    the band below."""
+
+    def count_bands(batches):
+        for batch in batches:
+            j, m = np.unique(bands.of(batch.column(0).to_numpy()), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(j, pa.int64()), pa.array(m, pa.int64())], names=["j", "m"])
+
+    found = rows.where("n > 0").select("n").mapInArrow(count_bands, "j long, m long").groupBy("j").agg(F.sum("m").alias("m")).collect()
+    ends = bands.ends(top)
+    sets = np.zeros(len(ends))
+    for r in found:
+        sets[r["j"] : r["j"] + 2] += r["m"]
+    work = sets * bands.parts(bands.budget(ends))
+    share = np.maximum(1, np.rint(parts * work / max(1, work.sum()))).astype(np.int64)
+    return np.cumsum(share) - share, share
 
 
 def find_components(docs: DataFrame, key: str, text: str, row: Column, n: int, num: int, den: int, count: bool) -> tuple[DataFrame, DataFrame]:
@@ -422,11 +493,12 @@ def find_components(docs: DataFrame, key: str, text: str, row: Column, n: int, n
         for batch in batches:
             for part in sub_batches(batch, "t", CHUNK):
                 sets = shingle_sets(part.column(1), n)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64())], names=["id", "k", "n", "f"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array(sketches(sets), pa.binary())], names=["id", "k", "n", "f", "sk"])
 
-    rows = stored(src.mapInArrow(reduce_sets, "id long, k long, n long, f long"), "jaccard-sets")
-    size = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("rows")).first()
+    rows = stored(src.mapInArrow(reduce_sets, "id long, k long, n long, f long, sk binary"), "jaccard-sets")
+    size = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("n"), F.lit(0)).alias("top"), F.count("*").alias("rows")).first()
     parts = partitions(spark, size["n"] // SIGNATURES_PER_PARTITION)
+    start, share = deal_bands(rows, bands, size["top"], 2 * parts)
     hot = spark.sparkContext.broadcast(find_shared(src, n, size["rows"]))
 
     def send(batches):
@@ -436,7 +508,8 @@ def find_components(docs: DataFrame, key: str, text: str, row: Column, n: int, n
                 sets.pop(0, None)
                 classes = np.array(list(sets), dtype=np.int64)
                 sig, node, own = signatures(list(sets.values()), bands, hot.value)
-                p = (sig >> np.uint64(40)).astype(np.int64) % (2 * parts)
+                band = bands.of(np.array([len(s) for s in sets.values()], dtype=np.int64))[node] + ~own
+                p = start[band] + (sig >> np.uint64(40)).astype(np.int64) % share[band]
                 order = np.argsort(p, kind="stable")
                 s, m = runs(p[order])
                 out = []
@@ -452,13 +525,13 @@ def find_components(docs: DataFrame, key: str, text: str, row: Column, n: int, n
     def meet(t: pa.Table) -> pa.Table:
         return pa.table(dict(zip("abs", tie([pickle.loads(x.as_py()) for x in t["b"]], most), strict=True)))
 
-    ties = stored(src.select("id", "t").mapInArrow(send, "p int, b binary").groupBy("p").applyInArrow(meet, TIES).distinct(), "jaccard-candidates")
-    pairs = ties.select("a", "b").distinct()
-    clusters = components(pairs, "jaccard-ties")
+    ties = stored(src.select("id", "t").mapInArrow(send, "p int, b binary").groupBy("p").applyInArrow(meet, TIES).distinct(), "jaccard-candidates", release=True)
     # one row stands for a class; its set is made again from its text
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k")).alias("own")
-    own = stored(rows.where("f <> 0").groupBy("f").agg(first, F.first("n").alias("n")), "jaccard-classes")
-    chosen = stored(own.join(clusters.select(F.col("node").alias("f")), "f").select("f", "own.k"), "jaccard-members")
+    own = stored(rows.where("f <> 0").groupBy("f").agg(first, F.first("n").alias("n"), F.first("sk").alias("sk")), "jaccard-classes", release=True)
+
+    def placed(out):
+        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["f", "c", "s"])
 
     def again(batches):
         seen = set()  # rows equal to the chosen one: one of them a task
@@ -466,17 +539,31 @@ def find_components(docs: DataFrame, key: str, text: str, row: Column, n: int, n
             for part in sub_batches(batch, "t", CHUNK):
                 part = part.take(pa.array([i for i, f in enumerate(part.column(1).to_pylist()) if f not in seen], pa.int64()))
                 sets = shingle_sets(part.column(0), n)
-                keep = []
-                for i, (s, f) in enumerate(zip(sets, part.column(1).to_pylist(), strict=True)):
-                    if f not in seen and fingerprint(s) == f:
-                        seen.add(f)
-                        keep.append(i)
-                yield pa.RecordBatch.from_arrays([part.take(pa.array(keep, pa.int64())).column(1), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["f", "s"])
-
-    few = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen.hint("merge")
-    sets = stored(src.select("t", "k").join(few, "k").select("t", "f").mapInArrow(again, "f long, s binary"), "jaccard-shingles")
-    blocks = in_blocks(chosen.select("f"), clusters, own)
-    links = stored(verify_pairs(pairs, blocks, sets, bands), "jaccard-links")
+                out, held = [], 0
+                for s, f, cells in zip(sets, part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    if f in seen or fingerprint(s) != f:
+                        continue
+                    seen.add(f)
+                    raw = s.tobytes()
+                    for c in cells:
+                        if held > 2 * CHUNK:
+                            yield placed(out)
+                            out, held = [], 0
+                        out.append((f, c, raw))
+                        held += len(raw)
+                yield placed(out)
+
+    def deal(places: DataFrame) -> DataFrame:
+        """(f, c, s): the sets of classes at their places (f, c)."""
+        chosen = own.select("f", "own.k").join(places, "f").groupBy("k", "f").agg(F.collect_set("c").alias("cells"))
+        chosen = stored(chosen, "jaccard-members")
+        few = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen.hint("merge")
+        return src.select("t", "k").join(few, "k").select("t", "f", "cells").mapInArrow(again, "f long, c long, s binary")
+
+    pairs = stored(could_link(ties.select("a", "b").distinct(), own, bands), "jaccard-near", release=True)
+    clusters = components(pairs, "jaccard-ties")
+    blocks = in_blocks(clusters.select(F.col("node").alias("f")), clusters, own, BLOCK_SETS)
+    links = stored(verify_pairs(pairs, blocks, deal, bands), "jaccard-links", release=True)
     comp = components(links, "jaccard-comp")
     degree = links.select(F.explode(F.array("a", "b")).alias("f")).groupBy("f").agg(F.count("*").alias("links")) if count else None
     # hot signatures whose classes are still apart
@@ -487,8 +574,9 @@ def find_components(docs: DataFrame, key: str, text: str, row: Column, n: int, n
     apart = labelled.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("s")
     open_ = stored(join_hot(labelled, apart, "s").select("f", "label").distinct(), "jaccard-open")
     if open_.limit(1).count():
-        more = verify_blocks(in_blocks(open_.select("f"), clusters, own), open_, sets, bands)
-        comp = components(links.unionAll(stored(more, "jaccard-links")), "jaccard-comp")
+        clusters = components(join_hot(ties.where("s <> 0"), apart, "s").select("a", "b").distinct(), "jaccard-ties")
+        more = verify_blocks(in_blocks(open_.select("f"), clusters, own, OPEN_SETS), open_, deal, bands)
+        comp = components(links.unionAll(stored(more, "jaccard-links", release=True)), "jaccard-comp")
     # every class: its first row, and its component's
     classes = stored(own.join(comp.withColumnRenamed("node", "f"), "f", "left"), "jaccard-classes")
     classes = classes.join(degree, "f", "left") if count else classes.withColumn("links", F.lit(None).cast("long"))
