@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentia.llm.common import join_hot, order_key, partitions, query, stored, sub_batches, table
+from retentia.llm.common import give_back, join_hot, order_key, partitions, query, stored, sub_batches, table
 from retentia.llm.lm import planes, runs, unplanes
 from retentia.llm.substring import five, unfive
 from retentia.llm.words import mix, sequence_hashes, spread, word_hashes
@@ -523,7 +523,9 @@ def find_components(docs: DataFrame, key: str, text: str, row: Column, n: int, n
     most = None if count else PAIRS_UP_TO
 
     def meet(t: pa.Table) -> pa.Table:
-        return pa.table(dict(zip("abs", tie([pickle.loads(x.as_py()) for x in t["b"]], most), strict=True)))
+        out = pa.table(dict(zip("abs", tie([pickle.loads(x.as_py()) for x in t["b"]], most), strict=True)))
+        give_back()
+        return out
 
     ties = stored(src.select("id", "t").mapInArrow(send, "p int, b binary").groupBy("p").applyInArrow(meet, TIES).distinct(), "jaccard-candidates", release=True)
     # one row stands for a class; its set is made again from its text

@@ -30,6 +30,7 @@ from retentia.llm.words import mix, span_hashes, text_bytes, word_spans
 #: Bound of the fit: about this many documents train the scorer.
 SAMPLE_DOCS = 6_000
 BUCKETS = 1 << 12
+CHUNK = 1 << 20  # bytes of text handled at a time: some 60 bytes of memory each
 #: Shares are taken of this many words at least, so that short texts lean towards the prior.
 SHORT = 30
 #: A document is kept when its score is at least this (losing a clean one costs more).
@@ -200,7 +201,7 @@ def fit(docs: DataFrame, key: str, text: str, sample_docs: int = SAMPLE_DOCS):
 
     def patterns(batches):
         for batch in batches:
-            for part in sub_batches(batch, "t"):
+            for part in sub_batches(batch, "t", CHUNK):
                 stats, n, _, _ = statistics(part.column(1))
                 p, c = np.unique(votes(stats)[n > 0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(c)], names=["p", "n"])
@@ -214,7 +215,7 @@ def fit(docs: DataFrame, key: str, text: str, sample_docs: int = SAMPLE_DOCS):
 
     def features(batches):
         for batch in batches:
-            for part in sub_batches(batch, "t", 1 << 20):
+            for part in sub_batches(batch, "t", CHUNK):
                 stats, n, bucket, doc = statistics(part.column(1))
                 cell, count = np.unique(doc * BUCKETS + bucket, return_counts=True)
                 owner = cell // BUCKETS
@@ -268,7 +269,7 @@ def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: fl
     def run(batches):
         fitted = shared.value
         for batch in batches:
-            for part in sub_batches(batch, text):
+            for part in sub_batches(batch, text, CHUNK):
                 _, n, bucket, doc = statistics(part.column(at))
                 if fitted is None:
                     continue

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentia.llm.common import order_key, partitions, query, stored, sub_batches, table
+from retentia.llm.common import give_back, order_key, partitions, query, stored, sub_batches, table
 from retentia.llm.lm import planes, runs, unplanes
 from retentia.llm.words import mix, sequence_hashes, spread, text_bytes, word_hashes, word_spans
 
@@ -240,7 +240,10 @@ def find_factors(docs: DataFrame, key: str, text: str, span: int = SPAN) -> Data
 
     def look(t: pa.Table) -> pa.Table:
         rows = [r for b in t["b"] for r in pickle.loads(b.as_py())]
-        return pa.table(dict(zip(("o", "th", "start", "stop", "ref_o", "ref_start"), factor(rows), strict=True)))
+        out = pa.table(dict(zip(("o", "th", "start", "stop", "ref_o", "ref_start"), factor(rows), strict=True)))
+        del rows
+        give_back()
+        return out
 
     return src.mapInArrow(send, "p int, b binary").groupBy("p").applyInArrow(look, FACTORS)
 
